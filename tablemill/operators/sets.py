@@ -36,6 +36,9 @@ def drop_strict_subsets(baskets: DataFrame, items: str, largest: int) -> DataFra
     Baskets hold at most ``largest`` items, so each lists its own proper subsets and the test is
     an anti-join on equality.
     """
+    fits = F.when(F.size(items) <= largest, F.col(items)).otherwise(
+        F.raise_error(F.lit(f"a basket holds more than {largest} items")).cast(baskets.schema[items].dataType))
+    baskets = baskets.withColumn(items, fits)
     subsets = None
     for k in range(1, largest):
         part = baskets.filter(F.size(items) > k).select(F.explode(combinations(F.col(items), k)).alias(items))
