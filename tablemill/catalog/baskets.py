@@ -7,6 +7,7 @@ from tablemill.operators.joining import union_all
 from tablemill.operators.sorting import top_and_bottom
 from tablemill.plans import basket as mb
 from tablemill.registry import job
+from tablemill.session import stage
 
 # column -> condition, evaluated alike by Spark and by the oracle
 FLAGS = {
@@ -43,7 +44,7 @@ LISTED = f"""{BEST}, flagged AS (SELECT *, CASE WHEN lift >= (SELECT quantile_co
 
 
 def found(t):
-    return mb.signatures(basket_table(t), ITEMS)
+    return stage(mb.signatures(basket_table(t), ITEMS), "basket-signatures")
 
 
 @job("b01_item_columns", f"SELECT item, count(*) AS n FROM (WITH {ROWS} SELECT item FROM i) GROUP BY 1")
@@ -106,7 +107,7 @@ def basket_measures(t):
       UNION ALL (SELECT 'support', 'bottom', basket, support FROM v ORDER BY support, basket LIMIT 5)
       UNION ALL (SELECT 'marker', 'scaled', basket, round(15 + 15 * (support - (SELECT min(support) FROM v)) / (SELECT max(support) - min(support) FROM v), 6) FROM v))""")
 def basket_views(t):
-    listed = mb.specific_baskets(mb.best_baskets(mb.find_rules(found(t)))).select("basket", "lift", "support")
+    listed = stage(mb.specific_baskets(mb.best_baskets(mb.find_rules(found(t)))).select("basket", "lift", "support"), "basket-views")
     views = [top_and_bottom(listed, m, "basket", 5).select(F.lit(m).alias("measure"), "part", "basket", F.col(m).alias("value")) for m in ("lift", "support")]
     low, high = listed.agg(F.min("support")).scalar(), listed.agg(F.max("support")).scalar()
     marker = listed.select(F.lit("marker").alias("measure"), F.lit("scaled").alias("part"), "basket",

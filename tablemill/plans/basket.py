@@ -99,9 +99,9 @@ def rules(itemsets: DataFrame) -> DataFrame:
 
 def find_rules(found: DataFrame) -> DataFrame:
     """Rules at the usual support, or at the low one when nothing is frequent."""
-    itemsets = frequent_itemsets(found, MIN_SUPPORT)
+    itemsets = stage(frequent_itemsets(found, MIN_SUPPORT), "basket-itemsets")
     if itemsets.isEmpty():
-        itemsets = frequent_itemsets(found, FALLBACK_SUPPORT)
+        itemsets = stage(frequent_itemsets(found, FALLBACK_SUPPORT), "basket-itemsets")
     return rules(itemsets)
 
 
