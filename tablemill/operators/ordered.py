@@ -23,11 +23,14 @@ def _parts(df: DataFrame) -> int:
 
 
 def as_number(column: Column | str, df: DataFrame) -> Column:
-    """A double that orders like ``column`` (numbers, dates and timestamps)."""
+    """A double that orders like ``column``: numbers, dates, timestamps and (by their first six bytes) texts."""
     column = F.col(column) if isinstance(column, str) else column
     kind = df.select(column.alias("c")).schema["c"].dataType.typeName()
     if kind in ("timestamp", "timestamp_ntz", "date"):
         column = column.cast("timestamp")
+    elif kind == "string":
+        head = F.hex(F.substring(F.encode(column, "UTF-8"), 1, 6))
+        column = F.conv(F.rpad(head, 12, "0"), 16, 10)
     return column.cast("double")
 
 

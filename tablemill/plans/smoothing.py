@@ -17,6 +17,7 @@ from tablemill.plans.series import bucket_label
 # The parameter grid.
 ALPHAS, BETAS, GAMMAS, PHIS = (0.2, 0.5, 0.8), (0.1, 0.3), (0.1, 0.3), (0.8, 0.95)
 TRAIN_SHARE = 0.8
+COPIES = 16
 
 
 def candidates(alphas=ALPHAS, betas=BETAS, gammas=GAMMAS, phis=PHIS) -> list[dict]:
@@ -106,10 +107,12 @@ def choose_smoothing(series: DataFrame, keys: Sequence[str], season: DataFrame,
     fields = ", ".join(f"{n} {k}" for n, k in (("trend", "string"), ("damped", "boolean"), ("alpha", "double"), ("beta", "double"), ("gamma", "double"), ("phi", "double")))
     listed = F.array(*[F.struct(*[F.lit(v).alias(k) for k, v in c.items()]) for c in grid]).cast(f"array<struct<{fields.replace(' ', ':').replace(',:', ',')}>>")
     rows = series_arrays(series, keys).filter("complete").join(season, list(keys))
-    rows = rows.repartition(*keys) if keys else rows
-    tried = rows.withColumn("c", F.explode(listed)).filter((F.col("c.trend") != "mul") | (F.col("lowest") > 0))
     # without a season the seasonal constant has no effect: one value is enough
-    tried = tried.filter((F.col("seasonality") != "None") | (F.col("c.gamma") == F.lit(min(c["gamma"] for c in grid))))
+    one = F.lit(min(c["gamma"] for c in grid))
+    listed = F.filter(listed, lambda c: ((c["trend"] != "mul") | (F.col("lowest") > 0)) & ((F.col("seasonality") != "None") | (c["gamma"] == one)))
+    # a few copies of each series share its candidates, so few series still fill the cluster
+    rows = rows.withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(COPIES - 1)))).repartition(*keys, "copy")
+    tried = rows.withColumn("c", F.explode(F.filter(listed, lambda c, i: i % COPIES == F.col("copy"))))
     size = F.size("values")
     train = F.bround(size * F.lit(TRAIN_SHARE)).cast("int")
     kind, length = F.col("seasonality"), F.col("season_length")
@@ -117,9 +120,10 @@ def choose_smoothing(series: DataFrame, keys: Sequence[str], season: DataFrame,
     ahead = _ahead(F.col("state"), kind, size - train)
     wrong = F.zip_with(F.slice("values", train + 1, F.greatest(size, F.lit(1))), ahead, lambda a, b: (a - b) * (a - b))
     tried = tried.withColumn("sse", F.aggregate(wrong, F.lit(0.0), lambda a, x: a + x))
-    scored = tried.filter(F.col("sse").isNotNull() & ~F.isnan("sse"))
     order = F.struct("sse", "c.trend", "c.damped", "c.alpha", "c.beta", "c.gamma", "c.phi")
-    return scored.groupBy(*keys, "seasonality", "season_length").agg(F.min(F.struct(order.alias("o"), F.col("c"))).alias("best")).select(
+    # invalid scores become null inside the aggregate; a filter here would compute the fold twice
+    scored = F.when(F.col("sse").isNotNull() & ~F.isnan("sse"), F.struct(order.alias("o"), F.col("c")))
+    return tried.groupBy(*keys, "seasonality", "season_length").agg(F.min(scored).alias("best")).filter("best is not null").select(
         *keys, "seasonality", "season_length", "best.c.*", "best.o.sse")
 
 
