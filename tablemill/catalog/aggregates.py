@@ -9,6 +9,7 @@ from tablemill.functions.numbers import money, total
 from tablemill.operators import summary
 from tablemill.operators.ordered import exact_quantiles, positions
 from tablemill.registry import job
+from tablemill.session import spread
 
 PUNCTUATION = string.punctuation.replace("'", "''")
 BLANKS = "[ \\t\\n\\r\\f]+"
@@ -116,7 +117,7 @@ def share_of_total(t):
 @job("a13_top_words", f"""
     SELECT word, count(*) AS n FROM {PLAIN_WORDS} GROUP BY 1 ORDER BY n DESC, word DESC LIMIT 10""")
 def top_words(t, k=10):
-    counted = summary.word_counts(t.documents, tx.plain_words(F.col("text")))
+    counted = summary.word_counts(spread(t.documents), tx.plain_words(F.col("text")))
     return counted.orderBy(F.desc("n"), F.desc("word")).limit(k)
 
 
@@ -124,7 +125,7 @@ def top_words(t, k=10):
     WITH lines AS (SELECT trim(trim(upper(unnest(string_split(replace(text, 'ß', 'SS'), chr(10)))), E' \\t\\n\\r\\f'), '-') AS line FROM documents)
     SELECT c, count(*) AS n FROM (SELECT unnest(string_split(line, '')) AS c FROM lines WHERE line <> '') GROUP BY 1""")
 def char_counts(t):
-    line = t.documents.select(F.explode(tx.lines(F.col("text"))).alias("line"))
+    line = spread(t.documents).select(F.explode(tx.lines(F.col("text"))).alias("line"))
     line = line.select(F.btrim(F.btrim(F.upper("line"), F.lit(" \t\n\r\f")), F.lit("-")).alias("line"))
     # count equal blank-separated pieces once, then spell out the distinct ones; a piece that is
     # not the first of its line brings the blank in front of it along
@@ -140,7 +141,7 @@ def char_counts(t):
          k AS (SELECT doc_id, unnest(list_filter(l, lambda x, i: i = 1 OR x <> l[i - 1])) AS word FROM w)
     SELECT doc_id, word, count(*) AS n FROM k GROUP BY ALL""")
 def words_without_repeats(t):
-    return summary.word_counts(t.documents, tx.skip_repeats(tx.words(F.col("text"))), ["doc_id"])
+    return summary.word_counts(spread(t.documents), tx.skip_repeats(tx.words(F.col("text"))), ["doc_id"])
 
 
 @job("a16_keyword_counts", """

@@ -53,7 +53,7 @@ def run_missing(t):
     pairs = rows.select("k").distinct()
     done = None
     for wanted in (pairs.filter("k % 2 = 0"), pairs):
-        todo = sm.run_missing(wanted, done, ["k"])
+        todo = stage(sm.run_missing(wanted, done, ["k"]), "pairs")
         stats = ts.series_statistics(rows.join(todo, "k", "left_semi"), ["k"], "ts", "v", "event_id")
         stats.write.mode("append").parquet(path)
         done = t.spark.read.schema(stats.schema).parquet(path)

@@ -56,26 +56,42 @@ def slashed(text: Column) -> Column:
     return F.translate(F.split_part(F.ltrim(text), F.lit(" "), F.lit(1)), "-.,", "///")
 
 
-def _reads_as(text: Column, first: str, second: str) -> Column:
-    four = F.when(text.rlike("^[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}$"), F.try_to_date(text, f"{first}/{second}/yyyy"))
-    two = F.when(text.rlike("^[0-9]{1,2}/[0-9]{1,2}/[0-9]{2}$"), F.try_to_date(text, f"{first}/{second}/yy"))
-    return F.coalesce(four, two).isNotNull()
+# Month and day as digits; texts that pass hardly ever fail to convert, so no time goes into failures.
+_MONTH, _DAY, _MONTH2, _DAY2 = "0?[1-9]|1[0-2]", "0?[1-9]|[12][0-9]|3[01]", "0[1-9]|1[0-2]", "0[1-9]|[12][0-9]|3[01]"
+_TIME = "(?: (?:[01][0-9]|2[0-3]):[0-5][0-9]:[0-5][0-9])?"
+
+
+def _reads_as(text: Column, first: str, second: str, shown: str) -> Column:
+    pattern = f"^({first})/({second})/([0-9]{{4}}|[0-9]{{2}})$"
+    # two-digit years lie in a century whose 00 is a leap year
+    iso = F.regexp_replace(F.regexp_replace(text, pattern, shown), "^([0-9]{2}-)", "20$1")
+    return F.coalesce(F.when(text.rlike(pattern), iso.try_cast("date").isNotNull()), F.lit(False))
 
 
 def is_dayfirst(text: Column) -> Column:
-    return _reads_as(slashed(text), "d", "M")
+    return _reads_as(slashed(text), _DAY, _MONTH, "$3-$2-$1")
 
 
 def is_monthfirst(text: Column) -> Column:
-    return _reads_as(slashed(text), "M", "d")
+    return _reads_as(slashed(text), _MONTH, _DAY, "$3-$1-$2")
 
 
-# Formats tried when a text column is tested for dates.
-DATE_FORMATS = ["yyyy-MM-dd", "yyyy-MM-dd HH:mm:ss", "yyyy/MM/dd", "dd/MM/yyyy", "MM/dd/yyyy", "MM-dd-yyyy", "dd-MM-yyyy", "yyyyMMdd"]
+# The date formats tried on a text column: year first with or without time, year first without
+# separators, day or month first.  Each is (pattern, ISO form).
+YEAR_FIRST = (f"^([0-9]{{4}})[-/]({_MONTH2})[-/]({_DAY2})({_TIME})$", "$1-$2-$3$4")
+COMPACT = (f"^([0-9]{{4}})({_MONTH2})({_DAY2})$", "$1-$2-$3")
+DAY_FIRST = (f"^({_DAY2})[-/]({_MONTH2})[-/]([0-9]{{4}})$", "$3-$2-$1")
+MONTH_FIRST = (f"^({_MONTH2})[-/]({_DAY2})[-/]([0-9]{{4}})$", "$3-$1-$2")
 
 
-def parse_date(text: Column, formats=DATE_FORMATS) -> Column:
-    return F.coalesce(*[F.try_to_timestamp(text, F.lit(f)) for f in formats])
+def parse_date(text: Column, dayfirst: bool = False) -> Column:
+    """Timestamp of a text in one of the known formats, otherwise null."""
+    order = [YEAR_FIRST, COMPACT, *((DAY_FIRST, MONTH_FIRST) if dayfirst else (MONTH_FIRST, DAY_FIRST))]
+    iso = None
+    for pattern, shown in order:
+        hit, value = text.rlike(pattern), F.regexp_replace(text, pattern, shown)
+        iso = F.when(hit, value) if iso is None else iso.when(hit, value)
+    return iso.try_cast("timestamp")
 
 
 def date_key(day: Column) -> Column:

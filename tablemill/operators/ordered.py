@@ -34,21 +34,28 @@ def as_number(column: Column | str, df: DataFrame) -> Column:
     return column.cast("double")
 
 
-def with_range(df: DataFrame, on: Column | str, parts: int | None = None) -> DataFrame:
-    """Add ``__range``: the number of the equal-count range of ``on`` the row falls into.
-
-    Only ``parts - 1`` bounds come to the driver.  Rows with a null ``on`` get a range of
-    their own, before all others.
-    """
+def range_bounds(df: DataFrame, on: Column | str, parts: int | None = None) -> list[float]:
+    """At most ``parts - 1`` bounds that cut ``on`` into ranges of about equal row count."""
     parts = parts or _parts(df)
-    keyed = df.withColumn(_ON, as_number(on, df))
     shares = [i / parts for i in range(1, parts)]
-    found = keyed.agg(F.percentile_approx(_ON, shares, 20 * parts).alias("b")).first()["b"] or []
-    bounds = [float("-inf"), *sorted(set(found)), float("inf")]
-    cut = Bucketizer(splits=bounds, inputCol=_ON, outputCol=RANGE, handleInvalid="keep")
-    invalid = len(bounds) - 1
+    found = df.select(as_number(on, df).alias("v")).agg(F.percentile_approx("v", shares, 20 * parts).alias("b")).first()["b"]
+    return sorted(set(found or []))
+
+
+def with_range(df: DataFrame, on: Column | str, parts: int | None = None, bounds: list[float] | None = None) -> DataFrame:
+    """Add ``__range``: the number of the range of ``on`` the row falls into.
+
+    Only the bounds come to the driver.  Rows with a null ``on`` get a range of their own,
+    before all others.
+    """
+    bounds = range_bounds(df, on, parts) if bounds is None else bounds
+    splits = [float("-inf"), *bounds, float("inf")]
+    if len(splits) == 2:
+        splits.insert(1, 0.0)
+    cut = Bucketizer(splits=splits, inputCol=_ON, outputCol=RANGE, handleInvalid="keep")
+    invalid = len(splits) - 1
     return (
-        cut.transform(keyed)
+        cut.transform(df.withColumn(_ON, as_number(on, df)))
         .withColumn(RANGE, F.when(F.col(RANGE) == invalid, -1).otherwise(F.col(RANGE)).cast("int"))
         .drop(_ON)
     )
@@ -149,7 +156,8 @@ def exact_quantiles(df: DataFrame, value: str, shares: Sequence[float], keys: Se
         df.filter(F.col(value).isNotNull())
         .groupBy(*keys, F.col(value).cast("double").alias("__v")).agg(F.count(F.lit(1)).alias("__n"))
     )
-    cut = with_range(counted, "__v", parts)
+    # bounds from the rows themselves: a scan without a shuffle
+    cut = with_range(counted, "__v", bounds=range_bounds(df, value, parts))
     cells = cut.groupBy(*keys, RANGE).agg(F.sum("__n").alias("__n"))
     by_range = Window.partitionBy(*keys).orderBy(RANGE)
     cells = cells.select(

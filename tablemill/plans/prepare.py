@@ -167,12 +167,7 @@ def handle_dates(df: DataFrame, source_type: str, now: str) -> DataFrame:
     found = _facts(df, facts) if facts else {}
     for c in text:
         if found[f"{c}|n"] and found[f"{c}|bad"] == 0:
-            formats = dates.DATE_FORMATS
-            if found[f"{c}|day"] > found[f"{c}|month"]:
-                formats = sorted(formats, key=lambda f: not f.startswith("dd"))
-            else:
-                formats = sorted(formats, key=lambda f: f.startswith("dd"))
-            df = df.withColumn(c, dates.parse_date(q(c), formats))
+            df = df.withColumn(c, dates.parse_date(q(c), dayfirst=found[f"{c}|day"] > found[f"{c}|month"]))
     if source_type in ("csv", "excel"):
         for c in excel_date_columns(df, now):
             df = df.withColumn(c, dates.excel_to_timestamp(q(c)))

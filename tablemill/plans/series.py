@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tablemill.operators.sorting import top_per_group
+from tablemill.session import stage
 
 # Frequencies from fine to coarse, and the periods used for decomposition.
 FREQUENCIES = ["H", "D", "W", "MS", "QS", "YS"]
@@ -213,10 +214,10 @@ def control_statistics(series: DataFrame, keys: Sequence[str]) -> DataFrame:
         *runs("__beyond", "blw_lcl", "abv_ucl"))
 
 
-def trimmed_series(rows: DataFrame, keys: Sequence[str], at: str, value: str, order: str, choice: DataFrame) -> DataFrame:
+def trimmed_series(rows: DataFrame, hours: DataFrame, keys: Sequence[str], at: str, value: str, order: str, choice: DataFrame) -> DataFrame:
     """Series at the chosen frequency after dropping the chosen first and last rows.
 
-    Only the at most 40 rows near the ends are looked at one by one; their sums are taken off
+    ``hours`` are the hourly sums of the rows.  Only the at most 40 rows near the ends are looked at one by one; their sums are taken off
     the hourly sums.
     """
     known = rows.filter(F.col(at).isNotNull() & F.col(value).isNotNull()).select(*keys, at, value, order)
@@ -227,7 +228,7 @@ def trimmed_series(rows: DataFrame, keys: Sequence[str], at: str, value: str, or
         part = near.join(choice, list(keys)).filter(F.col("__rn") <= F.col(count)).select(*keys, at, value)
         ends = part if ends is None else ends.unionByName(part)
     off = hourly(ends, keys, at, value).withColumnsRenamed({"n": "__n", "total": "__total"})
-    left = hourly(known, keys, at, value).join(off, [*keys, "hour"], "left").select(
+    left = hours.join(off, [*keys, "hour"], "left").select(
         *keys, "hour", (F.col("n") - F.coalesce("__n", F.lit(0))).alias("n"),
         (F.col("total") - F.coalesce("__total", F.lit(0))).alias("total")).filter("n > 0")
     placed = left.join(choice, list(keys)).withColumn("b", pick(F.col("period"), bucket_index, F.timestamp_seconds(F.col("hour") * 3600)))
@@ -245,11 +246,11 @@ def empty_years(hours: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 def series_statistics(rows: DataFrame, keys: Sequence[str], at: str, value: str, order: str) -> DataFrame:
     """Control statistics per series; series with more than 500 empty years get zeros and ``YS``."""
-    hours = hourly(rows, keys, at, value)
-    years = empty_years(hours, keys)
-    choice = best_trim(hours, keys)
-    regular = years.filter(F.col("empty") <= MAX_EMPTY_YEARS)
-    series = trimmed_series(rows.join(regular.select(*keys), list(keys), "left_semi"), keys, at, value, order, choice)
+    # hourly sums and choices are read several times; the rows themselves only for their ends
+    hours = stage(hourly(rows, keys, at, value), "series-hours")
+    years = stage(empty_years(hours, keys), "series-years")
+    choice = stage(best_trim(hours, keys).join(years.filter(F.col("empty") <= MAX_EMPTY_YEARS).select(*keys), list(keys), "left_semi"), "series-choice")
+    series = trimmed_series(rows, hours, keys, at, value, order, choice)
     found = control_statistics(series, keys).join(choice, list(keys))
     sparse = years.filter(F.col("empty") > MAX_EMPTY_YEARS).select(
         *keys, F.col("years").alias("nobs"), F.lit("YS").alias("period"),

@@ -59,3 +59,13 @@ def stage(df, label: str):
     path = scratch_path(spark, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def spread(df):
+    """Deal out the rows of a small scan that has fewer tasks than the cluster has cores.
+
+    For work that costs much more than moving its input, such as splitting texts into words.  A
+    large table already has more tasks than cores and is left as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

@@ -24,16 +24,22 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType | str | None =
     return reader.schema(schema).csv(path)
 
 
+def _all_columns_read(columns: Sequence[str]) -> Column:
+    """Always true, but keeps every column in the scan: a cell is only checked when its column is read."""
+    return F.length(F.concat_ws("", *[F.col(c).cast("string") for c in columns])) >= 0
+
+
 def read_csv_dropping_bad(spark: SparkSession, path: str, schema: T.StructType | str, **options) -> DataFrame:
     """Rows that do not fit the schema are left out, whichever columns the query uses later."""
-    return read_csv(spark, path, schema, mode="DROPMALFORMED", columnPruning=False, **options)
+    rows = read_csv(spark, path, schema, mode="DROPMALFORMED", columnPruning=False, **options)
+    return rows.filter(_all_columns_read(rows.columns))
 
 
 def split_bad_rows(spark: SparkSession, path: str, schema: T.StructType, **options) -> DataFrame:
     """All rows with a flag and the raw text of those that do not fit, so rejects can be counted."""
     wide = T.StructType([*schema.fields, T.StructField(CORRUPT, T.StringType())])
     rows = read_csv(spark, path, wide, columnNameOfCorruptRecord=CORRUPT, columnPruning=False, **options)
-    return rows.withColumn("rejected", F.col(CORRUPT).isNotNull())
+    return rows.withColumn("rejected", F.col(CORRUPT).isNotNull() & _all_columns_read([f.name for f in wide.fields[:-1]]))
 
 
 def relabel(df: DataFrame, names: Sequence[str]) -> DataFrame:
