@@ -45,20 +45,16 @@ def range_bounds(df: DataFrame, on: Column | str, parts: int | None = None) -> l
 def with_range(df: DataFrame, on: Column | str, parts: int | None = None, bounds: list[float] | None = None) -> DataFrame:
     """Add ``__range``: the number of the range of ``on`` the row falls into.
 
-    Only the bounds come to the driver.  Rows with a null ``on`` get a range of their own,
-    before all others.
+    Only the bounds come to the driver.  As in Spark's own order, rows with a null ``on`` come
+    before all others and NaN after them.
     """
     bounds = range_bounds(df, on, parts) if bounds is None else bounds
     splits = [float("-inf"), *bounds, float("inf")]
     if len(splits) == 2:
         splits.insert(1, 0.0)
     cut = Bucketizer(splits=splits, inputCol=_ON, outputCol=RANGE, handleInvalid="keep")
-    invalid = len(splits) - 1
-    return (
-        cut.transform(df.withColumn(_ON, as_number(on, df)))
-        .withColumn(RANGE, F.when(F.col(RANGE) == invalid, -1).otherwise(F.col(RANGE)).cast("int"))
-        .drop(_ON)
-    )
+    ranged = cut.transform(df.withColumn(_ON, as_number(on, df)))
+    return ranged.withColumn(RANGE, F.coalesce(F.col(RANGE).cast("int"), F.lit(-1))).drop(_ON)
 
 
 def _join_cells(rows: DataFrame, cells: DataFrame, keys: Sequence[str]) -> DataFrame:
