@@ -193,10 +193,14 @@ def parts_sql(model, period, name, source="s"):
     else:
         mean = f"""(sum(value) OVER (PARTITION BY k ORDER BY idx ROWS BETWEEN {half - 1} PRECEDING AND {half - 1} FOLLOWING)
                     + (lag(value, {half}) OVER (PARTITION BY k ORDER BY idx) + lead(value, {half}) OVER (PARTITION BY k ORDER BY idx)) / 2) / {period}"""
-    return f"""{name}_t AS (SELECT k, idx, value, CASE WHEN idx >= {half} AND idx < count(*) OVER (PARTITION BY k) - {half} THEN {mean} END AS trend FROM {source}),
+    positive = "AND min(value) OVER (PARTITION BY k) > 0" if model == "mul" else ""
+    return f"""{name}_u AS (SELECT k, idx, value, count(*) OVER (PARTITION BY k) AS n, count(*) OVER (PARTITION BY k) >= {2 * period}
+                 AND count(*) OVER (PARTITION BY k) = count(value) OVER (PARTITION BY k) {positive} AS usable FROM {source}),
+      {name}_t AS (SELECT k, idx, value, usable, CASE WHEN usable AND idx >= {half} AND idx < n - {half} THEN {mean} END AS trend FROM {name}_u),
       {name}_p AS (SELECT k, idx % {period} AS p, avg(value {less} trend) AS m FROM {name}_t GROUP BY ALL),
       {name}_s AS (SELECT k, p, m {less} avg(m) OVER (PARTITION BY k) AS seasonality FROM {name}_p),
-      {name} AS (SELECT t.k, idx, value, trend, seasonality, value {back} trend {back} seasonality AS residual FROM {name}_t t JOIN {name}_s s ON s.k = t.k AND s.p = t.idx % {period})"""
+      {name} AS (SELECT t.k, idx, value, trend, CASE WHEN usable THEN seasonality END AS seasonality, value {back} trend {back} seasonality AS residual
+                 FROM {name}_t t JOIN {name}_s s ON s.k = t.k AND s.p = t.idx % {period})"""
 
 
 @job("t09_decompose", f"""
@@ -221,10 +225,10 @@ def decompose_odd_period(t):
 @job("t10_season_choice", f"""
     WITH {WEEKS}, {parts_sql('add', 52, 'a')}, {parts_sql('mul', 52, 'm')}, ar AS (SELECT k, idx, residual AS value FROM a), mr AS (SELECT k, idx, residual AS value FROM m),
       {acf_sql('s', 'a0')}, {acf_sql('ar', 'a1')}, {acf_sql('mr', 'a2')},
-      j AS (SELECT k, r, x, y FROM (SELECT k, sum(acf * acf) AS r FROM a0 GROUP BY k) JOIN (SELECT k, sum(acf * acf) AS x FROM a1 GROUP BY k) USING (k)
-            JOIN (SELECT k, sum(acf * acf) AS y FROM a2 GROUP BY k) USING (k))
+      j AS (SELECT k, r, x, y FROM (SELECT k, sum(acf * acf) AS r FROM a0 GROUP BY k) LEFT JOIN (SELECT k, sum(acf * acf) AS x FROM a1 GROUP BY k) USING (k)
+            LEFT JOIN (SELECT k, sum(acf * acf) AS y FROM a2 GROUP BY k) USING (k))
     SELECT k, round(r, 6) AS acf_sos, round(x, 6) AS add_sos, round(y, 6) AS mul_sos,
-           CASE WHEN x <= y AND x < r THEN 'add' WHEN y <= x AND y < r THEN 'mul' ELSE 'None' END AS seasonality FROM j""")
+           CASE WHEN x < r AND x <= coalesce(y, x) THEN 'add' WHEN y < r AND y <= coalesce(x, y) THEN 'mul' ELSE 'None' END AS seasonality FROM j""")
 def season_choice(t):
     return ts.season_choice(weekly(t), ["k"], ts.PERIODS["W"]).withColumns({c: F.round(c, 6) for c in ("acf_sos", "add_sos", "mul_sos")})
 
@@ -232,6 +236,6 @@ def season_choice(t):
 @job("t11_season_length", f"""
     WITH {WEEKS}, {parts_sql('add', 52, 'a')}, p AS (SELECT k, idx FROM (SELECT *, max(seasonality) OVER (PARTITION BY k) AS top FROM a)
         WHERE seasonality >= top - abs(top) * 1e-9 - 1e-9 QUALIFY row_number() OVER (PARTITION BY k ORDER BY idx) <= 2)
-    SELECT k, greatest(max(idx) - min(idx), 2) AS season_length FROM p GROUP BY k""")
+    SELECT k, greatest(coalesce(max(p.idx) - min(p.idx), 2), 2) AS season_length FROM (SELECT DISTINCT k FROM s) LEFT JOIN p USING (k) GROUP BY k""")
 def season_length(t):
     return ts.season_length(ts.decompose(weekly(t), ["k"], ts.PERIODS["W"]), ["k"])
