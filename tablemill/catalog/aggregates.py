@@ -235,7 +235,7 @@ def longest_and_shortest(t):
 def sum_of_numbers_only(t, start=1, end=3):
     """Sum of the values that are numbers, and of those at places start..end (end included)."""
     numbered = positions(t.orders.select("o_custkey", "o_orderkey", "o_orderdate", "o_totalprice"),
-                         [F.col("o_orderdate"), F.col("o_orderkey")], on="o_orderdate", keys=["o_custkey"])
+                         [F.col("o_orderdate"), F.col("o_orderkey")], on=["o_orderdate", "o_orderkey"], keys=["o_custkey"])
     value = F.when(F.col("o_orderkey") % 5 == 0, "n/a").otherwise(money("o_totalprice").cast("string"))
     number = value.try_cast("decimal(18,2)")
     return numbered.groupBy("o_custkey").agg(

@@ -192,7 +192,7 @@ def head_and_tail(t, n=10):
            row_number() OVER (ORDER BY c_acctbal, c_custkey) AS from_one FROM customer""")
 def enumerate_rows(t):
     numbered = positions(t.customer.select("c_custkey", "c_acctbal"), [F.col("c_acctbal"), F.col("c_custkey")],
-                         on="c_acctbal", name="from_one")
+                         on=["c_acctbal", "c_custkey"], name="from_one")
     return numbered.withColumn("from_zero", F.col("from_one") - 1)
 
 

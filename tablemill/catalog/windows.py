@@ -12,7 +12,7 @@ from tablemill.registry import job
 def customer_orders(t):
     """Orders numbered per customer by date and key."""
     return positions(t.orders.select("o_custkey", "o_orderkey", "o_orderdate", "o_totalprice"),
-                     [F.col("o_orderdate"), F.col("o_orderkey")], on="o_orderdate", keys=["o_custkey"])
+                     [F.col("o_orderdate"), F.col("o_orderkey")], on=["o_orderdate", "o_orderkey"], keys=["o_custkey"])
 
 
 @job("w04_largest_gap", """
@@ -46,7 +46,7 @@ def three_in_a_row_odd(t):
     SELECT event_id, CAST(sum(CAST(value AS DECIMAL(18,2))) OVER w AS DOUBLE) / (count(*) OVER w) AS running_avg FROM events
     WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)""")
 def running_average(t):
-    sums = running_sums(t.events.select("user_id", "event_id", "ts", "value"), [F.col("ts"), F.col("event_id")], "ts",
+    sums = running_sums(t.events.select("user_id", "event_id", "ts", "value"), [F.col("ts"), F.col("event_id")], ["ts", "event_id"],
                         {"total": money("value"), "n": F.lit(1).cast("long")}, ["user_id"])
     return sums.select("event_id", (F.col("total").cast("double") / F.col("n")).alias("running_avg"))
 

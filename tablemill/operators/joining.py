@@ -17,15 +17,21 @@ def blocks_for(rows: int, block_rows: int = 50_000) -> int:
 
 
 def product(left: DataFrame, right: DataFrame, block_rows: int = 50_000) -> DataFrame:
-    """Every row of ``left`` with every row of ``right`` through an equi-join on block numbers.
+    """Every row of ``left`` with every row of ``right``, laid out as a grid of blocks.
 
-    The right side is counted and dealt into blocks of at most ``block_rows`` rows; each left
-    row visits each block once.  One block means one pass with a side of checked size.
+    Both sides are counted and dealt into blocks of about ``block_rows`` rows.  A left row visits
+    every right block and the other way round, so each grid cell is an equi-join of two blocks of
+    known size and no cell grows with the tables.
     """
-    n = blocks_for(right.count(), block_rows)
-    dealt = right.withColumn("__block", F.pmod(F.xxhash64(*right.columns), F.lit(n)).cast("int"))
-    visits = left.withColumn("__block", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
-    return visits.join(F.broadcast(dealt) if n == 1 else dealt, "__block").drop("__block")
+    n_left, n_right = blocks_for(left.count(), block_rows), blocks_for(right.count(), block_rows)
+
+    def dealt(df: DataFrame, blocks: int, own: str, other: str, others: int) -> DataFrame:
+        mine = F.pmod(F.xxhash64(*df.columns), F.lit(blocks)).cast("int")
+        return df.withColumn(own, mine).withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(others - 1))))
+
+    a = dealt(left, n_left, "__left", "__right", n_right)
+    b = dealt(right, n_right, "__right", "__left", n_left)
+    return a.join(b, ["__left", "__right"]).drop("__left", "__right")
 
 
 def latest_versions(df: DataFrame, keys: Sequence[str], version: Column, keep: Column) -> DataFrame:

@@ -8,6 +8,7 @@ bounds only decide how rows are spread, never what the result is.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.ml.feature import Bucketizer
@@ -15,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 RANGE = "__range"
-_ON = "__range_on"
+_ON, _FINE = "__range_on", "__range_fine"
 
 
 def _parts(df: DataFrame) -> int:
@@ -34,27 +35,44 @@ def as_number(column: Column | str, df: DataFrame) -> Column:
     return column.cast("double")
 
 
-def range_bounds(df: DataFrame, on: Column | str, parts: int | None = None) -> list[float]:
-    """At most ``parts - 1`` bounds that cut ``on`` into ranges of about equal row count."""
+def range_bounds(df: DataFrame, on: Column | str, parts: int | None = None) -> tuple[list[float], list[float]]:
+    """Bounds that cut ``on`` into ranges of about equal row count, and its heavy values.
+
+    A value that fills a whole range by itself is heavy; it gets a range of its own.
+    """
     parts = parts or _parts(df)
     shares = [i / parts for i in range(1, parts)]
-    found = df.select(as_number(on, df).alias("v")).agg(F.percentile_approx("v", shares, 20 * parts).alias("b")).first()["b"]
-    return sorted(set(found or []))
+    found = df.select(as_number(on, df).alias("v")).agg(F.percentile_approx("v", shares, 20 * parts).alias("b")).first()["b"] or []
+    heavy = sorted({a for a, b in zip(found, found[1:]) if a == b})
+    return sorted({*found, *(math.nextafter(v, math.inf) for v in heavy)}), heavy
 
 
-def with_range(df: DataFrame, on: Column | str, parts: int | None = None, bounds: list[float] | None = None) -> DataFrame:
-    """Add ``__range``: the number of the range of ``on`` the row falls into.
-
-    Only the bounds come to the driver.  As in Spark's own order, rows with a null ``on`` come
-    before all others and NaN after them.
-    """
-    bounds = range_bounds(df, on, parts) if bounds is None else bounds
-    splits = [float("-inf"), *bounds, float("inf")]
+def _bucket(df: DataFrame, on: Column, bounds: list[float], name: str) -> DataFrame:
+    splits = [-math.inf, *bounds, math.inf]
     if len(splits) == 2:
         splits.insert(1, 0.0)
-    cut = Bucketizer(splits=splits, inputCol=_ON, outputCol=RANGE, handleInvalid="keep")
-    ranged = cut.transform(df.withColumn(_ON, as_number(on, df)))
-    return ranged.withColumn(RANGE, F.coalesce(F.col(RANGE).cast("int"), F.lit(-1))).drop(_ON)
+    cut = Bucketizer(splits=splits, inputCol=_ON, outputCol=name, handleInvalid="keep")
+    ranged = cut.transform(df.withColumn(_ON, on))
+    return ranged.withColumn(name, F.coalesce(F.col(name).cast("int"), F.lit(-1))).drop(_ON)
+
+
+def with_range(df: DataFrame, on, parts: int | None = None, bounds: tuple[list[float], list[float]] | None = None) -> DataFrame:
+    """Add ``__range``: the number of the range the row falls into.
+
+    ``on`` is the leading order column, or the first two.  With two, the rows of a heavy value of
+    the first are cut once more by the second, so one frequent date does not end in one task.
+    Only bounds come to the driver.  As in Spark's own order, null comes first and NaN last.
+    """
+    first, *more = on if isinstance(on, (list, tuple)) else [on]
+    cuts, heavy = range_bounds(df, first, parts) if bounds is None else bounds
+    out = _bucket(df, as_number(first, df), cuts, RANGE)
+    if not (more and heavy):
+        return out
+    is_heavy = as_number(first, df).isin(heavy)
+    fine, _ = range_bounds(df.filter(is_heavy), more[0], parts)
+    out = _bucket(out, as_number(more[0], df), fine, _FINE)
+    step = F.when(is_heavy, F.col(_FINE) + 1).otherwise(0)
+    return out.withColumn(RANGE, F.col(RANGE) * (len(fine) + 4) + step).drop(_FINE)
 
 
 def _join_cells(rows: DataFrame, cells: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -70,11 +88,11 @@ def _join_cells(rows: DataFrame, cells: DataFrame, keys: Sequence[str]) -> DataF
     return rows.join(side, same, "left").drop("__k_range", *[f"__k_{k}" for k in keys])
 
 
-def positions(df: DataFrame, order: Sequence[Column], on: Column | str, keys: Sequence[str] = (),
+def positions(df: DataFrame, order: Sequence[Column], on, keys: Sequence[str] = (),
               name: str = "pos", parts: int | None = None) -> DataFrame:
     """Number the rows of each key 1, 2, 3 … in ``order``.
 
-    ``on`` must be the first ordering column; ``order`` must be total.
+    ``on`` names the first ordering column, or the first two; ``order`` must be total.
     """
     keys = list(keys)
     cut = with_range(df, on, parts)
@@ -89,7 +107,7 @@ def positions(df: DataFrame, order: Sequence[Column], on: Column | str, keys: Se
     )
 
 
-def running_sums(df: DataFrame, order: Sequence[Column], on: Column | str, sums: dict[str, Column],
+def running_sums(df: DataFrame, order: Sequence[Column], on, sums: dict[str, Column],
                  keys: Sequence[str] = (), parts: int | None = None) -> DataFrame:
     """Add, per key, the running total of each expression in ``sums`` up to and with the row."""
     keys = list(keys)
@@ -112,10 +130,14 @@ def largest_gap(df: DataFrame, value: str, keys: Sequence[str] = (), name: str =
                 parts: int | None = None) -> DataFrame:
     """Largest difference between neighbours of the sorted numeric column ``value`` per key."""
     keys = list(keys)
-    cut = with_range(df.select(*keys, value).filter(F.col(value).isNotNull()), value, parts)
+    known = df.filter(F.col(value).isNotNull())
+    # equal values are one row with a count: they are a gap of zero
+    single = known.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("__n"))
+    cut = with_range(single, value, bounds=range_bounds(known, value, parts))
     step = Window.partitionBy(*keys, RANGE).orderBy(value)
+    same = F.when(F.col("__n") > 1, F.lit(0))
     cells = (
-        cut.withColumn("__gap", F.col(value) - F.lag(value).over(step))
+        cut.withColumn("__gap", F.greatest(F.col(value) - F.lag(value).over(step), same))
         .groupBy(*keys, RANGE)
         .agg(F.max("__gap").alias("__inner"), F.min(value).alias("__lo"), F.max(value).alias("__hi"))
     )

@@ -38,7 +38,7 @@ def oversample_minority(df: DataFrame, key: str, label: str, by: str, features:
     counts = df.agg(F.count_if(F.col(label) == 1).alias("p"), F.count_if(F.col(label) == 0).alias("n")).first()
     minority = 1 if counts["p"] < counts["n"] else 0
     small, large = min(counts["p"], counts["n"]), max(counts["p"], counts["n"])
-    rows = positions(df.filter(F.col(label) == minority).select(key, by, *[f for f in features if f != by]), [F.col(by), F.col(key)], on=by)
+    rows = positions(df.filter(F.col(label) == minority).select(key, by, *[f for f in features if f != by]), [F.col(by), F.col(key)], on=[by, key])
     if small < 2:
         raise ValueError("the smaller class needs two rows at least")
     every, rest = divmod(large - small, small)
@@ -131,7 +131,7 @@ def permutation_importance(model, df: DataFrame, key: str, features: Sequence[st
     """
     base = df.select(key, "label", vector_to_array("features").alias("x"))
     placed = positions(base, [F.col(key)], on=key)
-    shuffled = positions(base.select(key, F.col("x").alias("other"), _hash32(F.col(key), seed).alias("h")), [F.col("h"), F.col(key)], on="h")
+    shuffled = positions(base.select(key, F.col("x").alias("other"), _hash32(F.col(key), seed).alias("h")), [F.col("h"), F.col(key)], on=["h", key])
     matched = placed.join(shuffled.select("pos", "other"), "pos")
     swapped = matched.withColumn("j", F.explode(F.sequence(F.lit(-1), F.lit(len(features) - 1)))).withColumn(
         "features", array_to_vector(F.transform("x", lambda v, i: F.when(i == F.col("j"), F.get("other", i)).otherwise(v))))

@@ -38,6 +38,22 @@ def test_positions_without_key_and_with_one_value(spark):
     assert got == [(i, i + 1) for i in range(50)]
 
 
+def test_heavy_value_is_cut_by_the_second_column(spark):
+    rng = random.Random(11)
+    rows = [(7 if rng.random() < 0.7 else rng.randint(0, 20), i) for i in range(2000)]
+    df = spark.createDataFrame(rows, "v int, id int")
+    cut = ordered.with_range(df, ["v", "id"], parts=8)
+    sizes = [r["count"] for r in cut.groupBy(ordered.RANGE).count().collect()]
+    assert max(sizes) < 500
+    got = sorted((r.v, r.id, r.pos) for r in ordered.positions(df, [F.col("v"), F.col("id")], on=["v", "id"], parts=8).collect())
+    assert got == [(*r, i + 1) for i, r in enumerate(sorted(rows))]
+
+
+def test_equal_values_are_a_gap_of_zero(spark):
+    df = spark.createDataFrame([(1, 5.0), (1, 5.0)], "k int, x double")
+    assert ordered.largest_gap(df, "x", ["k"]).first().max_gap == 0
+
+
 def test_positions_with_null_and_text(spark):
     df = spark.createDataFrame([("b",), (None,), ("a",), ("éa",), ("zz",), ("ab",)], "s string")
     got = {r.s: r.pos for r in ordered.positions(df, [F.col("s")], on="s", parts=3).collect()}
@@ -122,7 +138,7 @@ def test_combinations(spark):
         assert got[2] == [] and (k == 1 or got[1] == [])
 
 
-@pytest.mark.parametrize("block_rows", [1000, 3])
+@pytest.mark.parametrize("block_rows", [1000, 3, 1])
 def test_product(spark, block_rows):
     left, right = spark.range(7).toDF("a"), spark.range(10).toDF("b")
     got = sorted((r.a, r.b) for r in joining.product(left, right, block_rows).collect())
