@@ -34,7 +34,7 @@ def _columns(spec, text, day, key):
 
 
 def _spark(spec):
-    return _columns(spec, "STRING", "date_format({}, 'yyyy-MM-dd')", "CAST(date_format({}, 'yyyyMMdd') AS INT)")
+    return _columns(spec, "STRING", "CAST({} AS DATE)", "CAST(date_format({}, 'yyyyMMdd') AS INT)")
 
 
 def _duck(spec):
@@ -117,9 +117,9 @@ def settlement_sql(condition, original=False):
 
 
 def _shown(df):
-    """Decimals as double for the comparison."""
+    """Decimals as double and dates as text for the comparison."""
     decimals = ("total_settlement_amt_32e", "total_settlement_amt_contract_uom", "total_quantity_32e", "total_quantity_contract_uom")
-    return df.withColumns({c: F.col(c).cast("double") for c in decimals})
+    return df.withColumns({**{c: F.col(c).cast("double") for c in decimals}, **{c: F.col(c).cast("string") for c in ("last_update_date", "change_date")}})
 
 
 YEAR, SINCE = 1998, "2000-06-01"

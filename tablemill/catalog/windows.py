@@ -126,7 +126,7 @@ def random_sample(t):
 @job("o08_distinct_keep_first", """
     SELECT doc_id, lang FROM documents QUALIFY row_number() OVER (PARTITION BY text ORDER BY doc_id) = 1""")
 def distinct_keep_first(t):
-    return sorting.keep_first(t.documents.select("doc_id", "lang", "text"), ["text"], "doc_id").select("doc_id", "lang")
+    return sorting.keep_first(t.documents.select("doc_id", "lang", "text"), ["text"], "doc_id", long_text=True).select("doc_id", "lang")
 
 
 @job("o09_reverse", """

@@ -16,9 +16,16 @@ def top_per_group(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k
     return ranked.filter(F.col("__rn") <= k).drop("__rn")
 
 
-def keep_first(df: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
-    """One row per key, the first in ``order``."""
-    return top_per_group(df, keys, [F.col(order)], 1)
+def keep_first(df: DataFrame, keys: Sequence[str], order: str, long_text: bool = False) -> DataFrame:
+    """One row per key, the first in ``order``.
+
+    With ``long_text`` rows are compared by a 256-bit digest of their keys, so whole texts are
+    neither sorted nor used to place rows.
+    """
+    if not long_text:
+        return top_per_group(df, keys, [F.col(order)], 1)
+    digest = F.sha2(F.concat_ws("\u0000", *[F.coalesce(F.col(k).cast("string"), F.lit("\u0001")) for k in keys]), 256)
+    return top_per_group(df.withColumn("__digest", digest), ["__digest"], [F.col(order)], 1).drop("__digest")
 
 
 def top_and_bottom(df: DataFrame, measure: str, key: str, n: int) -> DataFrame:

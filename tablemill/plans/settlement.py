@@ -2,7 +2,7 @@
 
 ``sources`` is a mapping with the frames ``inv`` (inventory transactions), ``mtm`` (marked
 positions), ``bridge`` (transaction to position), ``contracts``, ``product``, ``entity`` and
-``organisation``.
+``organisation``.  Change dates are of type DATE.
 """
 
 from __future__ import annotations
@@ -37,17 +37,17 @@ def settled_quantities(sources: dict[str, DataFrame]) -> DataFrame:
     taken = ["volume_uom_contract", "accounting_dt_id", "invoiced_status", "actual_shipment_dt_id", "received_dt_id"]
     latest = latest_transactions(sources["inv"]).groupBy(*CONTRACT, "source_system_id").agg(
         F.count(F.lit(1)).alias("ties"), *[F.max(c).alias(c) for c in taken])
-    final = sources["contracts"].filter(F.col("price_status") == "Final").select(F.col("surrogate_key2").alias("contract_line_id1"), "price_status")
+    final = sources["contracts"].filter(F.col("price_status") == "Final").select(F.col("surrogate_key2").alias("contract_line_id1"))
     bridge = sources["bridge"].select("release_number", F.col("calc_key").alias("json_object_id"), F.col("mtl_txn_id").alias("source_system_id"), "mtm_guid")
     joined = (
         inv.join(latest, [*CONTRACT, "source_system_id"])
         .join(bridge, ["release_number", "json_object_id", "source_system_id"])
         .join(final, "contract_line_id1")
     )
-    return joined.groupBy(*CONTRACT, "source_system_id", "mtm_guid", *IDS).agg(
+    # the latest values belong to contract line and source: as keys they keep this a hash aggregation
+    return joined.groupBy(*CONTRACT, "source_system_id", "mtm_guid", *IDS, *taken).agg(
         F.sum(F.col("q32") * F.col("ties")).alias("actual_quantity_32e"), F.sum(F.col("q") * F.col("ties")).alias("actual_quantity"),
-        F.max("last_update_date").alias("last_update_date"), F.max("update_dt").alias("update_dt"), F.max("price_status").alias("price_status"),
-        *[F.max(c).alias(c) for c in taken])
+        F.max("last_update_date").alias("last_update_date"), F.max("update_dt").alias("update_dt")).withColumn("price_status", F.lit("Final"))
 
 
 def allocated(amount: Column, quantity: Column, base: Column, divide_first: bool = False) -> Column:
@@ -80,7 +80,7 @@ def settlement(sources: dict[str, DataFrame], year: int | None = None, changed_s
     keys = ["mtm_guid", "contract_number", "contract_line_number", "contract_type"]
     joined = inv.join(mtm, keys).join(product, "product_id1")
     if changed_since is not None:
-        joined = joined.filter(F.greatest("update_dt", "mtm_update_dt") >= F.lit(changed_since))
+        joined = joined.filter(F.greatest("update_dt", "mtm_update_dt") >= F.lit(changed_since).cast("date"))
     if not original:
         entity = sources["entity"].select(F.col("surrogate_key2").alias("mele_id"), "mele_code", "mele_name")
         organisation = sources["organisation"].select(F.col("surrogate_key2").alias("inventory_org_id"), "org_code", "org_name")
@@ -102,7 +102,7 @@ def settlement(sources: dict[str, DataFrame], year: int | None = None, changed_s
         F.max(F.nvl("accounting_dt_id", F.lit(0))).alias("accounting_dt_id"), F.max("last_update_date").alias("last_update_date"),
         F.max("invoiced_status").alias("invoiced_status"), F.max("inventory_org_id").alias("inventory_org_id"), F.max("product_id").alias("product_id"),
         F.max("mele_id").alias("mele_id"), F.max("legal_entity_id").alias("legal_entity_id"), change.alias("change_date"),
-        F.nvl(F.date_format(change.cast("date"), "yyyyMMdd").cast("int"), F.lit(0)).alias("change_dt_id"),
+        F.nvl(F.date_format(change, "yyyyMMdd").cast("int"), F.lit(0)).alias("change_dt_id"),
         F.max("price_status").alias("price_status"),
     ]
     if not original:
