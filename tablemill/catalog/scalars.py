@@ -332,9 +332,12 @@ def date_key(t):
     return t.orders.select("o_orderkey", key.alias("dt_id"), dates.year_of_key(key).alias("year"))
 
 
-@job("f46_load_stamps")
+@job("f46_load_stamps", "SELECT o_orderkey, true AS same_stamp, true AS after_order FROM orders")
 def load_stamps(t):
-    return t.supplier.select("s_suppkey", F.current_timestamp().alias("insert_dt"), F.current_timestamp().alias("update_dt"))
+    """Both stamps of one load are equal; their value is left out because it changes with every load."""
+    loaded = t.orders.withColumns({"insert_dt": F.current_timestamp(), "update_dt": F.current_timestamp()})
+    return loaded.select("o_orderkey", (F.col("insert_dt") == F.col("update_dt")).alias("same_stamp"),
+                         (F.col("insert_dt") > F.col("o_orderdate").cast("timestamp")).alias("after_order"))
 
 
 # ---- maths ------------------------------------------------------------------------------

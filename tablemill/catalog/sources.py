@@ -204,9 +204,12 @@ def lines_by_extension(t):
     return readers.lines_by_extension(t.spark, _file_tree(t)).drop("n_files")
 
 
-@job("s18_file_inventory")
+@job("s18_file_inventory", """
+    SELECT 'csv' AS extension, CAST(sum(strlen(concat_ws(',', c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment)) + 1) AS BIGINT) AS bytes FROM customer""")
 def file_inventory(t):
-    return readers.file_inventory(t.spark, _file_tree(t), "*.csv").select("extension", "length", F.regexp_extract("path", "([^/]+)$", 1).alias("file"))
+    """Sizes add up to the bytes written, however many files there are."""
+    files = readers.file_inventory(t.spark, _file_tree(t), "*.csv")
+    return files.groupBy("extension").agg(F.sum("length").alias("bytes"))
 
 
 @job("s19_csv_out", "SELECT o_orderkey, o_totalprice, o_orderpriority FROM orders")
@@ -215,10 +218,13 @@ def csv_out(t):
     return readers.read_csv(t.spark, writers.write_csv(slim, t.scratch("orders")), slim.schema)
 
 
-@job("s20_stamped_csv")
+@job("s20_stamped_csv", "SELECT *, true AS stamped FROM supplier")
 def stamped_csv(t):
+    """The stamp itself changes with every load, so the result only says that it is there and recent."""
     path = writers.write_stamped_csv(t.supplier, t.scratch("stamped"))
-    return readers.read_csv(t.spark, path, T.StructType([*t.supplier.schema.fields, T.StructField("created_at", T.TimestampType())]))
+    read = readers.read_csv(t.spark, path, T.StructType([*t.supplier.schema.fields, T.StructField("created_at", T.TimestampType())]))
+    recent = F.col("created_at").between(F.current_timestamp() - F.expr("interval 1 hour"), F.current_timestamp() + F.expr("interval 1 hour"))
+    return read.withColumn("stamped", F.coalesce(recent, F.lit(False))).drop("created_at")
 
 
 @job("s21_table_from_values", """

@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 RANGE = "__range"
+MIN_RANGE_ROWS = 20_000
 _ON, _FINE = "__range_on", "__range_fine"
 
 
@@ -38,11 +39,18 @@ def as_number(column: Column | str, df: DataFrame) -> Column:
 def range_bounds(df: DataFrame, on: Column | str, parts: int | None = None) -> tuple[list[float], list[float]]:
     """Bounds that cut ``on`` into ranges of about equal row count, and its heavy values.
 
-    A value that fills a whole range by itself is heavy; it gets a range of its own.
+    Unless ``parts`` is given there is one range per shuffle partition, and fewer where a range
+    would hold under ``MIN_RANGE_ROWS`` rows.  A value that fills a whole range by itself is
+    heavy; it gets a range of its own.
     """
-    parts = parts or _parts(df)
-    shares = [i / parts for i in range(1, parts)]
-    found = df.select(as_number(on, df).alias("v")).agg(F.percentile_approx("v", shares, 20 * parts).alias("b")).first()["b"] or []
+    wanted = parts or _parts(df)
+    shares = [i / wanted for i in range(1, wanted)]
+    row = df.select(as_number(on, df).alias("v")).agg(
+        F.percentile_approx("v", shares, 20 * wanted).alias("b"), F.count("v").alias("n")).first()
+    found = row["b"] or []
+    if parts is None:
+        ranges = max(1, min(wanted, row["n"] // MIN_RANGE_ROWS))
+        found = [found[i * wanted // ranges - 1] for i in range(1, ranges)] if found else []
     heavy = sorted({a for a, b in zip(found, found[1:]) if a == b})
     return sorted({*found, *(math.nextafter(v, math.inf) for v in heavy)}), heavy
 
