@@ -62,8 +62,7 @@ def messy_files(t):
     month = F.month("o_orderdate")
     wide = t.orders.groupBy("o_custkey").agg(*[F.coalesce(F.sum(F.when(month == i + 1, money("o_totalprice"))), F.lit(0)).alias(m) for i, m in enumerate(MONTHS)])
     line = F.concat_ws(" ", F.concat(F.lit("c"), "o_custkey"), *[F.col(m).cast("string") for m in MONTHS])
-    start = F.array(F.lit("The following data was collected from an unknown source"), F.lit("this line does not help either"),
-                    F.lit("and this one goes away as well"), F.lit(" ".join(["name", *MONTHS])), F.lit("# the line above has the labels"))
+    start = F.array(F.lit("free line one"), F.lit("free line two"), F.lit("free line three"), F.lit(" ".join(["name", *MONTHS])), F.lit("# the line above has the labels"))
     # the low 33 bits of the id count the rows of a task, hence of a file
     at = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
     rows = wide.select(line.alias("line"), at.alias("at")).select(F.explode(F.concat(

@@ -17,7 +17,7 @@ from tablemill.functions.names import numeric_columns
 from tablemill.operators.joining import combinations
 from tablemill.operators.sets import drop_strict_subsets
 from tablemill.operators.sorting import top_per_group
-from tablemill.plans.prepare import _facts, q
+from tablemill.plans.prepare import NARROW, _facts, correlation_matrix, q
 from tablemill.session import stage
 
 # Support levels, largest item set, size of the rule list, share for the flags.
@@ -32,7 +32,11 @@ def item_columns(df: DataFrame, label: str | None = None) -> list[str]:
     numeric = numeric_columns(df)
     zero = _facts(df, {c: F.count_if(q(c) <= 0) > 0 for c in numeric})
     names = [c for c in numeric if zero[c] and c != label]
-    same = _facts(df, {f"{a}|{b}": F.corr(q(a), q(b)) for a, b in subsets(names, 2)}) if len(names) > 1 else {}
+    if len(names) <= NARROW:
+        same = _facts(df, {f"{a}|{b}": F.corr(q(a), q(b)) for a, b in subsets(names, 2)}) if len(names) > 1 else {}
+    else:
+        matrix = correlation_matrix(df.select(*[q(c) for c in names]).na.drop(), names)[0]
+        same = {f"{a}|{b}": matrix[i, j] for (i, a), (j, b) in subsets(list(enumerate(names)), 2)}
     dropped: set[str] = set()
     for a in names:
         for b in names:

@@ -64,7 +64,8 @@ def column_facts(df: DataFrame) -> ColumnFacts:
     for c in df.columns:
         aggs[f"known {c}"] = F.count(q(c))
         aggs[f"distinct {c}"] = F.count_distinct(q(c))
-    found = _facts(df, aggs)
+    # a distinct count copies each row once per column of its pass, so passes stay narrow
+    found = _facts(df, aggs, per_pass=60)
     return ColumnFacts(found["rows"], {c: found["rows"] - found[f"known {c}"] for c in df.columns},
                        {c: found[f"distinct {c}"] for c in df.columns})
 
@@ -199,19 +200,44 @@ def handle_nulls(df: DataFrame, mode: str = "drop") -> DataFrame:
 
 # ---- multicollinearity -------------------------------------------------------------------
 
+NARROW = 28  # up to here all sums of products fit into one aggregation
+
+
 def cross_products(df: DataFrame, columns: Sequence[str]) -> np.ndarray:
-    """Matrix of sums of products of (1, x1, x2 …) over rows without nulls; one distributed pass per 400 sums."""
+    """Matrix of sums of products of (1, x1, x2 …) over rows without nulls.
+
+    Few columns are one aggregation.  Many columns go through Spark's correlation matrix, which
+    adds up all pairs in one pass, and are put together again from mean and deviation.
+    """
     x = [F.lit(1.0), *[q(c).cast("double") for c in columns]]
-    known = df.select(*columns).na.drop()
-    cells = {f"{i},{j}": F.sum(x[i] * x[j]) for i in range(len(x)) for j in range(i, len(x))}
-    sums = _facts(known, cells)
+    known = df.select(*[q(c) for c in columns]).na.drop()
     m = np.zeros((len(x), len(x)))
-    for key, value in sums.items():
-        i, j = map(int, key.split(","))
-        m[i, j] = m[j, i] = value or 0.0
+    if len(columns) <= NARROW:
+        sums = _facts(known, {f"{i},{j}": F.sum(x[i] * x[j]) for i in range(len(x)) for j in range(i, len(x))}, per_pass=1000)
+        for key, value in sums.items():
+            i, j = map(int, key.split(","))
+            m[i, j] = m[j, i] = value or 0.0
+        return m
+    correlation, mean, std, n = correlation_matrix(known, columns)
+    m[0, 0] = n
+    m[0, 1:] = m[1:, 0] = n * mean
+    m[1:, 1:] = correlation * np.outer(std, std) * (n - 1) + n * np.outer(mean, mean)
     return m
 
 
+def correlation_matrix(df: DataFrame, columns: Sequence[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """Correlations (0 for a constant column), means, sample deviations and row count of columns without nulls."""
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.stat import Correlation, Summarizer
+
+    plain = df.select(*[q(c).cast("double").alias(f"c{i}") for i, c in enumerate(columns)])
+    vectors = VectorAssembler(inputCols=plain.columns, outputCol="v").transform(plain).select("v")
+    stats = vectors.select(Summarizer.metrics("mean", "std", "count").summary(F.col("v")).alias("s")).first()["s"]
+    found = np.nan_to_num(np.array(Correlation.corr(vectors, "v").first()[0].toArray()))
+    np.fill_diagonal(found, (np.array(stats["std"]) > 0).astype(float))
+    return found, np.array(stats["mean"].toArray()), np.array(stats["std"].toArray()), stats["count"]
+
+
 def vifs(products: np.ndarray, chosen: Sequence[int]) -> list[float]:
     """Variance inflation factor of each chosen column; column 0 is the intercept.
 

@@ -41,6 +41,20 @@ def test_vif_matches_regression(spark):
     assert prep.collinear_columns(df, ["a", "b", "c"])[0] in ("a", "c")
 
 
+def test_wide_cross_products_match_narrow(spark, monkeypatch):
+    df = spark.range(300).select(F.rand(1).alias("a"), (F.rand(2) * 100 + 7).alias("b"), F.lit(3).alias("same"), (F.rand(3) - 5).alias("c")).cache()
+    narrow = prep.cross_products(df, df.columns)
+    monkeypatch.setattr(prep, "NARROW", 0)
+    assert np.allclose(prep.cross_products(df, df.columns), narrow)
+    assert "same" in prep.collinear_columns(df, df.columns)
+
+
+def test_item_columns_of_a_wide_table(spark, monkeypatch):
+    df = spark.range(100).select((F.col("id") % 2).alias("odd"), (F.col("id") % 2).alias("odd_again"), (F.col("id") % 3).alias("third"))
+    monkeypatch.setattr(mb, "NARROW", 0)
+    assert mb.item_columns(df) == ["odd", "third"]
+
+
 def test_vif_infinite_and_uncentred(spark):
     df = spark.range(100).select(F.rand(1).alias("a"), F.rand(2).alias("b")).withColumn("twice", F.col("a") * 2)
     gone = prep.collinear_columns(df.cache(), ["a", "b", "twice"])
