@@ -373,11 +373,14 @@ def win_rates(t):
 
 @job("f58_random_columns", """
     SELECT o_orderkey, ('0x' || left(md5(o_orderkey || '-7'), 8))::BIGINT::DOUBLE / 4294967296 AS uniform,
-           CAST(1 + floor(('0x' || left(md5(o_orderkey || '-7'), 8))::BIGINT::DOUBLE / 4294967296 * 9) AS INTEGER) AS whole FROM orders""")
+           CAST(1 + floor(('0x' || left(md5(o_orderkey || '-7'), 8))::BIGINT::DOUBLE / 4294967296 * 9) AS INTEGER) AS whole,
+           round(sqrt(-2 * ln(1 - ('0x' || left(md5(o_orderkey || '-8'), 8))::BIGINT::DOUBLE / 4294967296)) *
+             cos(2 * pi() * (('0x' || left(md5(o_orderkey || '-9'), 8))::BIGINT::DOUBLE / 4294967296)), 6) AS normal FROM orders""")
 def random_columns(t):
-    """Random numbers fixed by key and seed; the normal one is only checked by its moments in tests."""
+    """Random numbers fixed by key and seed."""
     uniform = scaling.uniform_of(F.col("o_orderkey"), 7)
-    return t.orders.select("o_orderkey", uniform.alias("uniform"), F.floor(uniform * 9 + 1).cast("int").alias("whole"))
+    return t.orders.select("o_orderkey", uniform.alias("uniform"), F.floor(uniform * 9 + 1).cast("int").alias("whole"),
+                           F.round(scaling.normal_of(F.col("o_orderkey"), 8), 6).alias("normal"))
 
 
 GRID = """a AS (SELECT o_orderstatus AS i, o_orderpriority AS j, CAST(count(*) AS DOUBLE) AS v FROM orders GROUP BY ALL),

@@ -142,10 +142,6 @@ def permutation_importance(model, df: DataFrame, key: str, features: Sequence[st
     return right.filter("j >= 0").select(names.alias("feature"), (whole - F.col("accuracy")).alias("weight")).orderBy(F.desc("weight"), "feature")
 
 
-def parent_of(feature: str, memory: dict[str, list[str]]) -> str:
-    return next((p for p, children in memory.items() if feature in children), feature)
-
-
 def parent_importance(importance: DataFrame, memory: dict[str, list[str]]) -> DataFrame:
     """Importance per column before dummy coding: the best child counts."""
     pairs = {c: p for p, children in memory.items() for c in children}

@@ -275,12 +275,13 @@ def collinear_columns(df: DataFrame, columns: Sequence[str], threshold: float =
     products = cross_products(df, columns)
     names, chosen, removed = ["Intercept", *columns], list(range(len(columns) + 1)), []
     while True:
-        found = vifs(products, chosen)
+        # equal up to rounding noise counts as equal: then the first column goes, on every run
+        found = [float(f"{v:.9g}") for v in vifs(products, chosen)]
         worst = max(found)
         if not worst > threshold:
             break
         if np.isinf(worst):
-            means = [float(np.mean(vifs(products, [c for c in chosen if c != out]))) if len(chosen) > 1 else 0.0 for out in chosen]
+            means = [float(f"{np.mean(vifs(products, [c for c in chosen if c != out])):.9g}") if len(chosen) > 1 else 0.0 for out in chosen]
             gone = chosen[means.index(min(means))]
         else:
             gone = chosen[found.index(worst)]

@@ -36,11 +36,3 @@ def write_gps(df: DataFrame, path: str, columns: list[str]) -> str:
     """One record per line, values joined by blanks, no header."""
     df.select(F.concat_ws(" ", *[F.col(c).cast("string") for c in columns]).alias("value")).write.text(path)
     return path
-
-
-def write_table(df: DataFrame, name: str, path: str) -> str:
-    """Catalog table stored at ``path``; an older one of the same name is dropped first."""
-    spark = df.sparkSession
-    spark.sql(f"DROP TABLE IF EXISTS {name}")
-    df.write.option("path", path).saveAsTable(name)
-    return name

@@ -101,3 +101,12 @@ def test_strict_subsets_refuse_large_baskets(spark):
     assert sorted(tuple(r.l) for r in sets.drop_strict_subsets(df, "l", 3).collect()) == [("a", "b"), ("a", "b"), ("c",)]
     with pytest.raises(Exception, match="more than 2 items"):
         sets.drop_strict_subsets(spark.createDataFrame([(["a", "b", "c"],)], "l array<string>"), "l", 2).collect()
+
+
+def test_random_numbers_by_key(spark):
+    from tablemill.operators.scaling import normal_of, uniform_of
+
+    df = spark.range(5000).select(uniform_of(F.col("id"), 1).alias("u"), normal_of(F.col("id"), 2).alias("n"), uniform_of(F.col("id"), 3).alias("other"))
+    r = df.agg(F.avg("u"), F.min("u"), F.max("u"), F.avg("n"), F.stddev("n"), F.corr("u", "other")).first()
+    assert r[0] == pytest.approx(0.5, abs=0.02) and 0 <= r[1] < r[2] < 1
+    assert r[3] == pytest.approx(0, abs=0.05) and r[4] == pytest.approx(1, abs=0.05) and abs(r[5]) < 0.05
