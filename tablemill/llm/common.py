@@ -39,6 +39,30 @@ BASE = 0x9E3779B97F4A7C15
 RUN = 500_000
 
 
+class Powers:
+    """Powers of a fixed odd number and of its inverse modulo 2^64, as many as were asked for."""
+
+    def __init__(self):
+        self.up = self.down = np.zeros(0, dtype=np.uint64)
+
+    def hashes(self, data: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+        """A 64-bit polynomial hash of each stretch of the bytes."""
+        return self.between(self.sums(data), start, stop)
+
+    def sums(self, data: np.ndarray) -> np.ndarray:
+        if len(self.up) <= len(data):
+            many = max(len(data), 2 * RUN)
+            with np.errstate(over="ignore"):
+                self.up = np.cumprod(np.r_[np.uint64(1), np.full(many, BASE, dtype=np.uint64)], dtype=np.uint64)
+                self.down = np.cumprod(np.r_[np.uint64(1), np.full(many, pow(BASE, -1, 1 << 64), dtype=np.uint64)], dtype=np.uint64)
+        with np.errstate(over="ignore"):
+            return np.r_[np.uint64(0), np.cumsum((data + np.uint64(1)) * self.up[: len(data)], dtype=np.uint64)]
+
+    def between(self, sums: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            return (sums[stop] - sums[start]) * self.down[start]
+
+
 class Terms:
     """Hashed terms of texts, computed for many texts at once.
 
@@ -49,15 +73,10 @@ class Terms:
 
     def __init__(self, size: int, lower: bool = False, prefixes: tuple[int, ...] = ()):
         self.size, self.lower, self.prefixes = size, lower, prefixes
-        self._powers(1)
-
-    def _powers(self, n: int) -> None:
-        with np.errstate(over="ignore"):
-            self.up = np.cumprod(np.r_[np.uint64(1), np.full(n, BASE, dtype=np.uint64)], dtype=np.uint64)
-            self.down = np.cumprod(np.r_[np.uint64(1), np.full(n, pow(BASE, -1, 1 << 64), dtype=np.uint64)], dtype=np.uint64)
+        self.powers = Powers()
 
     def _ids(self, sums: np.ndarray, start: np.ndarray, end: np.ndarray, salt: int) -> np.ndarray:
-        h = (sums[end] - sums[start]) * self.down[start] + np.uint64(salt)
+        h = self.powers.between(sums, start, end) + np.uint64(salt)
         h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
         return ((h >> np.uint64(24)) % np.uint64(self.size)).astype(np.int64)
 
@@ -66,15 +85,13 @@ class Terms:
         raw = [((t or "").lower() if self.lower else t or "").encode("utf-8", "surrogatepass") for t in texts]
         data = np.frombuffer(b" ".join([*raw, b""]), dtype=np.uint8)
         ends = np.cumsum([len(r) + 1 for r in raw])
-        if len(self.up) <= len(data):
-            self._powers(max(2 * RUN, len(data)))
         kind = KIND[data]
         edge = np.flatnonzero(np.r_[True, kind[1:] != kind[:-1]]) if len(data) else np.zeros(0, np.int64)
         stop = np.r_[edge[1:], len(data)]
         full = kind[edge] > 0
         start, stop = edge[full], stop[full]
         with np.errstate(over="ignore"):
-            sums = np.r_[np.uint64(0), np.cumsum((data.astype(np.uint64) + np.uint64(1)) * self.up[: len(data)], dtype=np.uint64)]
+            sums = self.powers.sums(data)
             found = [self._ids(sums, start, stop, 0)]
             where = [start]
             for n in self.prefixes:

@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablemill.llm.common import KIND
+from tablemill.llm.common import BASE, KIND, Powers
 from tablemill.llm.graph import components
 from tablemill.session import stage
 
@@ -24,7 +24,6 @@ from tablemill.session import stage
 BLOCK_ROWS = 2048
 BLOCK_WORDS = 1_000_000
 RUN = 1_000_000
-BASE = 0x9E3779B97F4A7C15
 
 
 def banding(similarity: float, recall: float, most: int = 192) -> tuple[int, int]:
@@ -54,22 +53,16 @@ class Shingler:
     """
 
     def __init__(self, n: int):
-        self.n, self.up, self.down = n, np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+        self.n, self.powers = n, Powers()
 
     def _run(self, texts: list[str]) -> list[np.ndarray]:
         raw = [t.encode("utf-8", "surrogatepass") for t in texts]
         data = np.frombuffer(b" ".join([*raw, b""]), dtype=np.uint8)
         ends = np.cumsum([len(r) + 1 for r in raw])
-        if len(self.up) <= len(data):
-            many = max(len(data), 2 * RUN)
-            with np.errstate(over="ignore"):
-                self.up = np.cumprod(np.r_[np.uint64(1), np.full(many, BASE, dtype=np.uint64)], dtype=np.uint64)
-                self.down = np.cumprod(np.r_[np.uint64(1), np.full(many, pow(BASE, -1, 1 << 64), dtype=np.uint64)], dtype=np.uint64)
         word = np.r_[False, KIND[data] > 0, False]
         start, stop = np.flatnonzero(~word[:-1] & word[1:]), np.flatnonzero(word[:-1] & ~word[1:])
         with np.errstate(over="ignore"):
-            sums = np.r_[np.uint64(0), np.cumsum((data + np.uint64(1)) * self.up[: len(data)], dtype=np.uint64)]
-            words = mix((sums[stop] - sums[start]) * self.down[start] + (stop - start).astype(np.uint64))
+            words = mix(self.powers.hashes(data, start, stop) + (stop - start).astype(np.uint64))
             grams = np.zeros(len(words), dtype=np.uint64)
             for k in range(self.n):
                 grams[: len(words) - k] += words[k:] * np.uint64(pow(BASE, 2 * k + 1, 1 << 64))

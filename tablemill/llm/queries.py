@@ -7,8 +7,9 @@ import sys
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tablemill.llm import jaccard, linededup, packing, quality, toxicity
+from tablemill.llm import extraction, jaccard, linededup, neighbours, packing, pieces, quality, repetition, toxicity, urlrules
 from tablemill.registry import Tables
 
 
@@ -21,11 +22,27 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.dedup_lines(Tables(spark, sf_dir).documents).select("doc_id", "text", "n_dropped")
 
 
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repetition.repetition_rules(Tables(spark, sf_dir).documents)
+
+
+def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extraction.extract_pages(Tables(spark, sf_dir).pages).select("page_id", "url", "text", "n_chars")
+
+
+def op5_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urlrules.judge_urls(Tables(spark, sf_dir).pages).select("page_id", "host", "path", "rule", "verdict", "mined")
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = Tables(spark, sf_dir)
     return toxicity.toxicity_scores(t.documents, t.labels).select("doc_id", "held_out", "score", "predicted")
 
 
+def op7_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest_neighbours(Tables(spark, sf_dir).embeddings)
+
+
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_50k.json")
     return packing.packed_documents(Tables(spark, sf_dir).documents, path).select(
@@ -33,6 +50,14 @@ def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Number and hash of the ids of every document, and whether they decode to its text."""
+    made = pieces.encode_documents(Tables(spark, sf_dir).documents, public_tokenizers.path("piece_bpe_32k.model"))
+    return made.select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"), F.xxhash64("ids").alias("ids_hash"), F.col("exact").alias("round_trip")
+    )
+
+
 def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_duplicates(Tables(spark, sf_dir).documents)
 
@@ -50,7 +75,8 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        op1_quality_classifier, op2_line_dedup, op6_toxicity, op8_best_fit_packing, op10_ngram_jaccard_join, pipeline,
+        op1_quality_classifier, op2_line_dedup, op3_quality_rules, op4_html_extraction, op5_url_filters, op6_toxicity,
+        op7_nearest_neighbours, op8_best_fit_packing, op9_sentencepiece, op10_ngram_jaccard_join, pipeline,
     )
 }
 ORACLES = {"op2_line_dedup": linededup.dedup_sql()}
