@@ -135,7 +135,8 @@ def usable(embeddings: DataFrame) -> DataFrame:
 
 
 def nearest_neighbours(embeddings: DataFrame, every: int = 50, k: int = 5, list_rows: int = 128, most_lists: int = 4096,
-                       sample: int = 40_000, replicas: float = 1.03, probes: float = 1.3, beam: int = 24, most_probes: int = 1024) -> DataFrame:
+                       sample: int = 40_000, replicas: float = 1.03, probes: float = 1.3, beam: int = 24, least_probes: int = 16,
+                       most_probes: int = 1024) -> DataFrame:
     """query_id, rank, vec_id, score: the ``k`` nearest found of each vector whose id is divisible by ``every``.
 
     Nearness is the cosine in double precision, ties go to the smaller id, and a query is not its own
@@ -145,8 +146,8 @@ def nearest_neighbours(embeddings: DataFrame, every: int = 50, k: int = 5, list_
 
     ``list_rows`` is the aimed size of a list and ``most_lists`` bounds the centroids that are held in
     memory.  ``replicas`` and ``probes`` are the distance ratios up to which a vector is copied to, and a
-    query searches, further lists; ``beam`` and ``most_probes`` are how many centroids a search of the graph
-    keeps for a vector and for a query.
+    query searches, further lists; a query searches at least ``least_probes``.  ``beam`` and ``most_probes``
+    are how many centroids a search of the graph keeps for a vector and for a query.
 
     Vectors that take no part are described at ``usable``; rows that repeat an id with the same vector
     count once; fewer than ``k`` candidates give fewer rows; further columns are ignored; an empty
@@ -168,26 +169,39 @@ def nearest_neighbours(embeddings: DataFrame, every: int = 50, k: int = 5, list_
     x = np.array((chosen if len(chosen) else classes.limit(1).select("embedding").toPandas())["embedding"].tolist(), dtype=np.float64)
     index = build_index(unit(x), int(min(most_lists, max(1, total // list_rows), max(1, len(x) // 8))))
 
-    def lists_of(batches, ratio: float, keep: int):
-        """Each row once for every list whose centroid is at most ``ratio`` times as far as the nearest."""
+    def lists_of(batches, ratio: float, keep: int, least: int, sizes: np.ndarray | None):
+        """Each row once for every list that it is put into or searches, nearest first.
+
+        Those are the lists whose centroid is at most ``ratio`` times as far as the nearest, at least
+        ``least`` of them, and for a search as many as it takes to hold ``k`` others.
+        """
         for batch in batches:
             for a in range(0, len(batch), 2048):
                 part = batch.iloc[a : a + 2048]
                 ids, sims = index.search(unit(np.array(part["embedding"].tolist(), dtype=np.float64)), keep)
                 far = np.sqrt(np.maximum(2 - 2 * sims, 0))
-                r, c = np.nonzero((far <= ratio * far[:, :1] + 1e-9) & (ids >= 0))
-                yield part.iloc[r].assign(list=ids[r, c])
+                taken = far <= ratio * far[:, :1] + 1e-9
+                taken[:, :least] = True
+                if sizes is not None:
+                    own = sizes[np.maximum(ids, 0)]
+                    taken |= np.cumsum(own, axis=1) - own <= k
+                r, c = np.nonzero(taken & (ids >= 0))
+                yield part.iloc[r].assign(list=ids[r, c], first=c == 0)
 
     wanted = rows.where(F.col("vec_id") % every == 0).distinct()
     queries = stage(wanted.join(classes.select("embedding", "cid"), "embedding").select("vec_id", "cid"), "queries")
     asked = classes.join(queries.select("cid").distinct(), "cid", "left_semi").select("cid", "embedding")
-    posted = classes.select("cid", "embedding").mapInPandas(lambda b: lists_of(b, replicas, beam), "cid long, embedding array<double>, list int")
-    posted = stage(posted, "lists")
-    opened = stage(asked.mapInPandas(lambda b: lists_of(b, probes, most_probes), "cid long, embedding array<double>, list int"), "probes")
+    schema = "cid long, embedding array<double>, list int, first boolean"
+    posted = stage(classes.select("cid", "embedding").mapInPandas(lambda b: lists_of(b, replicas, beam, 1, None), schema), "lists")
+    # how many vectors are nearest to each centroid: a number for each of a bounded number of lists
+    sizes = np.zeros(len(index.centroids), dtype=np.int64)
+    for row in posted.where("first").groupBy("list").count().collect():
+        sizes[row["list"]] = row["count"]
+    opened = stage(asked.mapInPandas(lambda b: lists_of(b, probes, most_probes, least_probes, sizes), schema), "probes")
     # at most one count per list: bounded by most_lists and the splits
-    sizes = posted.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    blocks = posted.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
     asks = opened.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("turns"))
-    shape = F.broadcast(sizes.join(asks, "list"))
+    shape = F.broadcast(blocks.join(asks, "list"))
     upto = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     held = posted.join(shape, "list").withColumn("block", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int")).withColumn("turn", upto("turns"))
     asking = opened.join(shape, "list").withColumn("turn", F.pmod(F.xxhash64("cid"), F.col("turns")).cast("int")).withColumn("block", upto("blocks"))
