@@ -2,6 +2,7 @@
 
 import string
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tablemill.functions import text as tx
@@ -9,7 +10,6 @@ from tablemill.functions.numbers import money, total
 from tablemill.operators import summary
 from tablemill.operators.ordered import exact_quantiles, positions
 from tablemill.registry import job
-from tablemill.session import spread
 
 PUNCTUATION = string.punctuation.replace("'", "''")
 BLANKS = "[ \\t\\n\\r\\f]+"
@@ -117,7 +117,7 @@ def share_of_total(t):
 @job("a13_top_words", f"""
     SELECT word, count(*) AS n FROM {PLAIN_WORDS} GROUP BY 1 ORDER BY n DESC, word DESC LIMIT 10""")
 def top_words(t, k=10):
-    counted = summary.word_counts(spread(t.documents), tx.plain_words(F.col("text")))
+    counted = summary.word_counts(t.documents, tx.plain_words(F.col("text")))
     return counted.orderBy(F.desc("n"), F.desc("word")).limit(k)
 
 
@@ -125,7 +125,7 @@ def top_words(t, k=10):
     WITH lines AS (SELECT trim(trim(upper(unnest(string_split(replace(text, 'ß', 'SS'), chr(10)))), E' \\t\\n\\r\\f'), '-') AS line FROM documents)
     SELECT c, count(*) AS n FROM (SELECT unnest(string_split(line, '')) AS c FROM lines WHERE line <> '') GROUP BY 1""")
 def char_counts(t):
-    line = spread(t.documents).select(F.explode(tx.lines(F.col("text"))).alias("line"))
+    line = t.documents.select(F.explode(tx.lines(F.col("text"))).alias("line"))
     line = line.select(F.btrim(F.btrim(F.upper("line"), F.lit(" \t\n\r\f")), F.lit("-")).alias("line"))
     # count equal blank-separated pieces once, then spell out the distinct ones; a piece that is
     # not the first of its line brings the blank in front of it along
@@ -141,7 +141,7 @@ def char_counts(t):
          k AS (SELECT doc_id, unnest(list_filter(l, lambda x, i: i = 1 OR x <> l[i - 1])) AS word FROM w)
     SELECT doc_id, word, count(*) AS n FROM k GROUP BY ALL""")
 def words_without_repeats(t):
-    return summary.word_counts(spread(t.documents), tx.skip_repeats(tx.words(F.col("text"))), ["doc_id"])
+    return summary.word_counts(t.documents, tx.skip_repeats(tx.words(F.col("text"))), ["doc_id"])
 
 
 @job("a16_keyword_counts", """
@@ -163,20 +163,18 @@ def histogram(t):
     return summary.histogram(t.documents, "n_chars", 25)
 
 
+_NUMERIC = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+_TYPES = {"l_orderkey": "bigint", "l_partkey": "bigint", "l_suppkey": "bigint", "l_linenumber": "int"}
 DESCRIBE = " UNION ALL ".join(f"""
-    SELECT '{c}' AS "column", '{k}' AS type, count({c}) AS count, round(avg({c}), 6) AS mean, round(stddev_samp({c}), 6) AS std,
+    SELECT '{c}' AS "column", '{_TYPES.get(c, "double")}' AS type, count({c}) AS count, round(avg({c}), 4) AS mean, round(stddev_samp({c}), 4) AS std,
            min({c})::DOUBLE AS min, round(quantile_cont({c}, 0.25), 6) AS q1, round(quantile_cont({c}, 0.5), 6) AS median,
-           round(quantile_cont({c}, 0.75), 6) AS q3, max({c})::DOUBLE AS max FROM lineitem"""
-                            for c, k in (("l_quantity", "double"), ("l_extendedprice", "double"), ("l_linenumber", "int")))
+           round(quantile_cont({c}, 0.75), 6) AS q3, max({c})::DOUBLE AS max FROM lineitem""" for c in _NUMERIC)
 
 
 @job("a18_describe", DESCRIBE)
 def describe(t):
-    found = summary.describe(t.lineitem, ["l_quantity", "l_extendedprice", "l_linenumber"])
-    return found.withColumns({c: F.round(c, 6) for c in ("mean", "std", "q1", "median", "q3")})
-
-
-_NUMERIC = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+    found = summary.describe(t.lineitem, _NUMERIC)
+    return found.withColumns({c: F.round(c, 4) for c in ("mean", "std")} | {c: F.round(c, 6) for c in ("q1", "median", "q3")})
 
 
 @job("a19_correlations", " UNION ALL ".join(
@@ -211,8 +209,9 @@ def box_stats(t):
 def category_composition(t):
     joined = t.labels.join(t.documents.select("doc_id", "lang"), "doc_id")
     counted = joined.groupBy("quality", "lang").agg(F.count(F.lit(1)).alias("n"))
-    whole = joined.groupBy("quality").agg(F.count(F.lit(1)).alias("whole"))
-    return counted.join(whole, "quality").select("quality", "lang", "n", (F.col("n") / F.col("whole")).alias("share"))
+    # a row per quality and language: small whatever the tables
+    whole = F.sum("n").over(Window.partitionBy("quality"))
+    return counted.select("quality", "lang", "n", (F.col("n") / whole).alias("share"))
 
 
 @job("a23_longest_and_shortest", """

@@ -34,7 +34,8 @@ def smoothed(t):
 def smoothing_forecast(t):
     series, best = smoothed(t)
     rows = sm.forecast_rows(sm.smooth(series, ["k"], best), ["k"], "MS")
-    return rows.join(best.select("k", "trend", "damped", "seasonality", "sse"), "k")
+    # a series that could not be smoothed keeps its last value and has no model
+    return rows.join(best.select("k", "trend", "damped", "seasonality", "sse"), "k", "left")
 
 
 @job("t13_level_parts")

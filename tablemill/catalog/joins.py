@@ -141,7 +141,7 @@ def combinations_of_four(t):
     SELECT a.l_orderkey, CAST(count(*) FILTER (a.l_linenumber < b.l_linenumber AND a.l_quantity < b.l_quantity) AS BIGINT) AS n_pairs
     FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey GROUP BY 1 HAVING n_pairs > 0""")
 def rising_pairs(t):
-    pairs = count_rising_pairs(t.lineitem, ["l_orderkey"], "l_linenumber", "l_quantity", place_bits=3, value_bits=6)
+    pairs = count_rising_pairs(t.lineitem, ["l_orderkey"], "l_linenumber", "l_quantity")
     return pairs.filter("n_pairs > 0")
 
 

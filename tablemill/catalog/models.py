@@ -9,7 +9,7 @@ from tablemill.plans import evaluate as ev
 from tablemill.plans import modelling as md
 from tablemill.plans import prepare as prep
 from tablemill.registry import job
-from tablemill.session import spread, stage
+from tablemill.session import stage
 
 UNIFORM = "(('0x' || left(md5({key} || '-{seed}'), 8))::BIGINT::DOUBLE / 4294967296)"
 WORDS = "list_filter(string_split_regex(text, '[ \\t\\n\\r\\f]+'), lambda w: w <> '')"
@@ -214,7 +214,7 @@ def _terms(t):
 
 @job("m14_bag_of_words", f"SELECT doc_id, term, count(*) AS n FROM ({TERMS}) GROUP BY ALL")
 def bag_of_words(t):
-    return spread(t.documents).select("doc_id", F.explode(_terms(t)).alias("term")).groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("n"))
+    return t.documents.select("doc_id", F.explode(_terms(t)).alias("term")).groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("n"))
 
 
 @job("m14_vocabulary", f"""
@@ -223,7 +223,7 @@ def vocabulary(t):
     # per document first: the second grouping then counts documents without a distinct
     per_doc = bag_of_words(t)
     words = per_doc.groupBy("term").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("n_docs"))
-    return positions(words, [F.col("term")], on="term").select("term", "n", "n_docs", (F.col("pos") - 1).alias("index"))
+    return positions(stage(words, "vocabulary"), [F.col("term")], on="term").select("term", "n", "n_docs", (F.col("pos") - 1).alias("index"))
 
 
 @job("m14_document_length", f"""

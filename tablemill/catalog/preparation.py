@@ -23,13 +23,20 @@ def _health_sql(table, numeric, other, src=None):
 
 DIRTY_SQL = """(SELECT c_custkey, CASE WHEN c_custkey % 20 = 3 THEN NULL ELSE c_mktsegment END AS segment, CASE WHEN c_custkey % 5 = 0 THEN NULL ELSE c_nationkey END AS nation,
     CASE WHEN c_custkey % 5 < 3 THEN NULL ELSE c_acctbal END AS balance, c_name, 1 AS same FROM customer)"""
-_HEALTH_SOURCES = [
-    _health_sql("customer", ["c_custkey", "c_nationkey", "c_acctbal"], ["c_name", "c_mktsegment"]),
-    _health_sql("orders", ["o_orderkey", "o_custkey", "o_totalprice"], ["o_orderstatus", "o_orderdate", "o_orderpriority"]),
-    _health_sql("lineitem", ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax"],
-                ["l_returnflag", "l_linestatus", "l_shipdate"]),
-    _health_sql("events", ["event_id", "user_id", "value"], ["ts", "event_type", "props"]),
-    _health_sql("dirty", ["c_custkey", "nation", "balance", "same"], ["segment", "c_name"], DIRTY_SQL)]
+# table -> numeric columns and others
+_COLUMNS = {
+    "region": (["r_regionkey"], ["r_name"]), "nation": (["n_nationkey", "n_regionkey"], ["n_name"]),
+    "customer": (["c_custkey", "c_nationkey", "c_acctbal"], ["c_name", "c_mktsegment"]),
+    "supplier": (["s_suppkey", "s_nationkey", "s_acctbal"], ["s_name"]),
+    "part": (["p_partkey", "p_size", "p_retailprice"], ["p_name", "p_brand", "p_type"]),
+    "orders": (["o_orderkey", "o_custkey", "o_totalprice"], ["o_orderstatus", "o_orderdate", "o_orderpriority"]),
+    "lineitem": (["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax"],
+                 ["l_returnflag", "l_linestatus", "l_shipdate"]),
+    "events": (["event_id", "user_id", "value"], ["ts", "event_type", "props"]),
+    "documents": (["doc_id", "n_chars"], ["text", "lang", "source"]), "embeddings": (["vec_id", "label"], ["embedding"]),
+    "pages": (["page_id"], ["url", "html"]), "benchmark": (["item_id"], ["text"]), "labels": (["doc_id", "quality", "toxic"], []),
+    "conversations": (["conv_id", "turn"], ["role", "text"])}
+_HEALTH_SOURCES = [*(_health_sql(n, *c) for n, c in _COLUMNS.items()), _health_sql("dirty", ["c_custkey", "nation", "balance", "same"], ["segment", "c_name"], DIRTY_SQL)]
 
 
 def dirty_customer(t):
@@ -42,7 +49,7 @@ def dirty_customer(t):
 
 @job("d01_health_score", "SELECT *, (sparsity + row_count + type_mix + blowout) / 4 AS health FROM (" + " UNION ALL ".join(_HEALTH_SOURCES) + ")")
 def health_score(t):
-    tables = {"customer": t.customer, "orders": t.orders, "lineitem": t.lineitem, "events": t.events, "dirty": dirty_customer(t)}
+    tables = {name: getattr(t, name) for name in _COLUMNS} | {"dirty": dirty_customer(t)}
     return union_all([profile.health_score(df).select(
         F.lit(name).alias("table"), "n_rows", "sparsity", "row_count", "type_mix", "blowout", "health") for name, df in tables.items()])
 
@@ -116,14 +123,29 @@ def excel_dates(t):
     return t.spark.createDataFrame([(c, c in found) for c in table.columns], "column string, is_date boolean")
 
 
+# column -> pattern of the texts that are to be read as dates
+DATE_TEXTS = {
+    "day_first": "dd/MM/yyyy", "month_first": "MM/dd/yyyy", "one_digit": "d/M/yyyy", "with_time": "dd/MM/yyyy HH:mm:ss", "two_digit_year": "M/d/yy",
+    "year_first": "yyyy-M-d", "with_t": "yyyy-MM-dd'T'HH:mm:ss", "month_name": "MMM d, yyyy", "long_name": "d MMMM yyyy", "dashed_name": "dd-MMM-yyyy"}
+
+
 @job("d06_convert_dates", """
-    SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS serial, strftime(o_orderdate, '%Y-%m-%d') AS day_first, strftime(o_orderdate, '%Y-%m-%d') AS month_first, o_orderpriority FROM orders""")
+    SELECT o_orderkey, o_orderpriority, """ + ", ".join(f"strftime(o_orderdate, '%Y-%m-%d') AS {c}" for c in (
+        "serial", *DATE_TEXTS)) + " FROM orders")
 def convert_dates(t):
     days = F.date_diff(F.col("o_orderdate").cast("date"), F.lit("1899-12-30").cast("date"))
-    raw = t.orders.select("o_orderkey", days.alias("serial"), F.date_format("o_orderdate", "dd/MM/yyyy").alias("day_first"),
-                          F.date_format("o_orderdate", "MM/dd/yyyy").alias("month_first"), "o_orderpriority")
+    texts = [F.date_format("o_orderdate", pattern).alias(c) for c, pattern in DATE_TEXTS.items()]
+    raw = t.orders.select("o_orderkey", days.alias("serial"), *texts, "o_orderpriority")
     made = prep.handle_dates(raw, "csv", "2005-01-01")
-    return made.withColumns({c: F.date_format(c, "yyyy-MM-dd") for c in ("serial", "day_first", "month_first")})
+    return made.withColumns({c: F.date_format(c, "yyyy-MM-dd") for c in ("serial", *DATE_TEXTS)})
+
+
+@job("d06_nanosecond_dates", """
+    SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS nanos, o_custkey FROM orders""")
+def nanosecond_dates(t):
+    """Numbers of nanoseconds in input that is neither csv nor excel."""
+    raw = t.orders.select("o_orderkey", (F.unix_micros(F.col("o_orderdate").cast("timestamp")) * 1000).alias("nanos"), "o_custkey")
+    return prep.handle_dates(raw, "parquet", "2005-01-01").withColumn("nanos", F.date_format("nanos", "yyyy-MM-dd"))
 
 
 @job("d07_blown_columns", """
@@ -140,21 +162,27 @@ def null_rows_dropped(t):
 
 
 @job("d08_means_filled", """
-    WITH x AS (SELECT p_partkey, CASE WHEN p_partkey % 7 = 0 THEN NULL ELSE p_size END AS p_size, CASE WHEN p_partkey % 9 = 0 THEN NULL ELSE p_type END AS p_type FROM part)
-    SELECT p_partkey::DOUBLE AS p_partkey, coalesce(p_size::DOUBLE, (SELECT sum(p_size)::DOUBLE / count(p_size) FROM x)) AS p_size, p_type FROM x""")
+    WITH x AS (SELECT p_partkey, CASE WHEN p_partkey % 7 = 0 THEN NULL ELSE p_size END AS p_size, CASE WHEN p_partkey % 9 = 0 THEN NULL ELSE p_type END AS p_type,
+                 CASE WHEN p_partkey % 5 = 0 THEN NULL ELSE p_size * 2 END AS holes FROM part)
+    SELECT p_partkey::DOUBLE AS p_partkey, coalesce(p_size::DOUBLE, (SELECT sum(p_size)::DOUBLE / count(p_size) FROM x)) AS p_size, p_type,
+      coalesce(holes::DOUBLE, (SELECT sum(holes)::DOUBLE / count(holes) FROM x)) AS holes FROM x""")
 def means_filled(t):
+    """Nulls and NaN alike take the mean of what is known."""
     key = F.col("p_partkey")
-    holed = t.part.select("p_partkey", F.when(key % 7 != 0, F.col("p_size")).alias("p_size"), F.when(key % 9 != 0, F.col("p_type")).alias("p_type"))
+    holed = t.part.select("p_partkey", F.when(key % 7 != 0, F.col("p_size")).alias("p_size"), F.when(key % 9 != 0, F.col("p_type")).alias("p_type"),
+                          F.when(key % 5 != 0, F.col("p_size") * 2.0).otherwise(F.lit(float("nan"))).alias("holes"))
     return prep.handle_nulls(holed, "drop")
 
 
 @job("d09_variance_inflation", """
-    SELECT 'l_quantity' AS "column", round(1 / (1 - corr(l_quantity, l_extendedprice) ** 2), 6) AS vif FROM lineitem UNION ALL
-    SELECT 'l_extendedprice', round(1 / (1 - corr(l_quantity, l_extendedprice) ** 2), 6) FROM lineitem""")
+    WITH r AS (SELECT corr(l_quantity, l_extendedprice) AS a, corr(l_quantity, l_discount) AS b, corr(l_extendedprice, l_discount) AS c FROM lineitem),
+         d AS (SELECT *, 1 + 2 * a * b * c - a ** 2 - b ** 2 - c ** 2 AS det FROM r)
+    SELECT 'l_quantity' AS "column", round((1 - c ** 2) / det, 5) AS vif FROM d UNION ALL
+    SELECT 'l_extendedprice', round((1 - b ** 2) / det, 5) FROM d UNION ALL SELECT 'l_discount', round((1 - a ** 2) / det, 5) FROM d""")
 def variance_inflation(t):
-    columns = ["l_quantity", "l_extendedprice"]
-    found = prep.vifs(prep.cross_products(t.lineitem, columns), [0, 1, 2])
-    return t.spark.createDataFrame([(c, round(v, 6)) for c, v in zip(columns, found[1:])], "column string, vif double")
+    columns = ["l_quantity", "l_extendedprice", "l_discount"]
+    found = prep.vifs(prep.cross_products(t.lineitem, columns), [0, 1, 2, 3])
+    return t.spark.createDataFrame([(c, round(v, 5)) for c, v in zip(columns, found[1:])], "column string, vif double")
 
 
 @job("d09_collinear_columns")
@@ -166,14 +194,15 @@ def collinear_columns(t):
     return t.spark.createDataFrame([(i, c) for i, c in enumerate(gone)], "round int, column string")
 
 
-ORDER_CUSTOMER = """(SELECT o_orderkey, o_totalprice, o_orderstatus, o_orderpriority, c_mktsegment, CAST(o_orderkey % 3 AS INTEGER) AS third FROM orders JOIN customer ON c_custkey = o_custkey)"""
+ORDER_CUSTOMER = """(SELECT o_orderkey, o_totalprice, o_orderstatus, o_orderpriority, c_mktsegment, CAST(o_orderkey % 3 AS INTEGER) AS third, CASE WHEN o_orderkey % 2 = 0 THEN 'True' ELSE 'False' END AS even FROM orders JOIN customer ON c_custkey = o_custkey)"""
 _DUMMIES = [("o_orderstatus", ["F", "O", "P"]), ("o_orderpriority", ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]),
-            ("c_mktsegment", ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"]), ("third", [0, 1, 2])]
+            ("c_mktsegment", ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"]), ("third", [0, 1, 2]), ("even", ["False", "True"])]
 
 
 def order_customer(t):
     return t.orders.join(t.customer, F.col("o_custkey") == F.col("c_custkey")).select(
-        "o_orderkey", "o_totalprice", "o_orderstatus", "o_orderpriority", "c_mktsegment", (F.col("o_orderkey") % 3).cast("int").alias("third"))
+        "o_orderkey", "o_totalprice", "o_orderstatus", "o_orderpriority", "c_mktsegment", (F.col("o_orderkey") % 3).cast("int").alias("third"),
+        (F.col("o_orderkey") % 2 == 0).alias("even"))
 
 
 @job("d10_dummy_columns", "SELECT o_orderkey, o_totalprice, " + ", ".join(
@@ -187,10 +216,14 @@ def dummy_memory(t):
     return prep.memory_table(t.spark, prep.dummy_columns(order_customer(t))[1])
 
 
-@job("d11_recode_label", "SELECT doc_id, quality FROM labels")
+@job("d11_recode_label", "SELECT doc_id, quality, quality AS numbers, quality AS flags FROM labels")
 def recode_label(t):
-    worded = t.labels.select("doc_id", F.when(F.col("quality") == 1, "good").otherwise("bad").alias("quality"))
-    return prep.recode_label(worded, "quality", "good")
+    """Texts, doubles against the text 1, and booleans."""
+    good = F.col("quality") == 1
+    worded = t.labels.select("doc_id", F.when(good, "good").otherwise("bad").alias("quality"), F.col("quality").cast("double").alias("numbers"), good.alias("flags"))
+    for column, positive in (("quality", "good"), ("numbers", "1"), ("flags", True)):
+        worded = prep.recode_label(worded, column, positive)
+    return worded
 
 
 @job("d12_series_columns", """

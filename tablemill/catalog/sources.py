@@ -8,7 +8,8 @@ from tablemill.functions import text as tx
 from tablemill.functions.numbers import money, total
 from tablemill.operators.joining import union_all
 from tablemill.operators.ordered import positions, running_sums
-from tablemill.registry import job
+from tablemill.registry import TABLES, job
+from tablemill.session import stage
 from tablemill.sources import contract, readers, writers
 from tablemill.streaming.feeds import GPS_SCHEMA
 
@@ -247,14 +248,13 @@ def create_insert_drop(t):
 
 
 @job("s23_table_listing", " UNION ALL ".join(
-    f"""SELECT 'tablemill_{n}' AS "table", unnest({c}) AS "column", count(*) AS n_rows FROM {n}""" for n, c in (
-        ("customer", ["c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment"]), ("events", ["event_id", "ts", "user_id", "event_type", "value", "props"]))))
+    f"""SELECT 'tablemill_{n}' AS "table", column_name AS "column", (SELECT count(*) FROM {n}) AS n_rows FROM (DESCRIBE {n})""" for n in TABLES))
 def table_listing(t):
     sizes = []
-    for name in ("customer", "events"):
+    for name in TABLES:
         getattr(t, name).createOrReplaceTempView(f"tablemill_{name}")
-        sizes.append(getattr(t, name).select(F.lit(f"tablemill_{name}").alias("table")).groupBy("table").agg(F.count(F.lit(1)).alias("n_rows")))
-    listed = t.spark.createDataFrame(readers.catalog_columns(t.spark, ["tablemill_customer", "tablemill_events"]), "`table` string, `column` string, type string")
+        sizes.append(getattr(t, name).agg(F.count(F.lit(1)).alias("n_rows")).select(F.lit(f"tablemill_{name}").alias("table"), "n_rows"))
+    listed = t.spark.createDataFrame(readers.catalog_columns(t.spark, [f"tablemill_{n}" for n in TABLES]), "`table` string, `column` string, type string")
     return listed.join(union_all(sizes), "table").select("table", "column", "n_rows")
 
 
@@ -280,7 +280,7 @@ def record_contract(t):
 def chunk_totals(t):
     numbered = positions(t.orders.select("o_orderkey", "o_totalprice"), [F.col("o_orderkey")], on="o_orderkey")
     chunks = readers.chunk_totals(numbered, "pos", money("o_totalprice"), 1000)
-    summed = running_sums(chunks, [F.col("chunk")], "chunk", {"running_total": F.col("chunk_total")})
+    summed = running_sums(stage(chunks, "chunks"), [F.col("chunk")], "chunk", {"running_total": F.col("chunk_total")})
     return summed.select("chunk", *[F.col(c).cast("double").alias(c) for c in ("chunk_total", "running_total")])
 
 

@@ -181,14 +181,14 @@ def intersection_keeps_duplicates(t):
 
 
 @job("u05_any_overlap", """
-    WITH s AS (SELECT DISTINCT user_id, event_type FROM events WHERE value > 60),
-         u AS (SELECT user_id, list(event_type) AS l FROM s GROUP BY 1)
-    SELECT a.user_id, b.user_id AS other_id, list_has_any(a.l, b.l) AS overlap FROM u a JOIN u b ON b.user_id = a.user_id + 1""")
+    WITH c AS (SELECT user_id, list(DISTINCT event_type) AS l FROM events WHERE value > 60 GROUP BY 1),
+         e AS (SELECT user_id, list(DISTINCT event_type) AS l FROM events WHERE value <= 60 GROUP BY 1)
+    SELECT user_id, coalesce(list_has_any(c.l, e.l), false) AS overlap FROM c FULL JOIN e USING (user_id)""")
 def any_overlap(t):
-    lists = t.events.filter("value > 60").groupBy("user_id").agg(F.collect_set("event_type").alias("l"))
-    a, b = lists.alias("a"), lists.alias("b")
-    return a.join(b, F.col("b.user_id") == F.col("a.user_id") + 1).select(
-        F.col("a.user_id").alias("user_id"), F.col("b.user_id").alias("other_id"), F.arrays_overlap("a.l", "b.l").alias("overlap"))
+    """Whether a user's large and small events share a type, over all events."""
+    large = F.col("value") > 60
+    lists = t.events.groupBy("user_id").agg(F.collect_set(F.when(large, F.col("event_type"))).alias("a"), F.collect_set(F.when(~large, F.col("event_type"))).alias("b"))
+    return lists.select("user_id", F.arrays_overlap("a", "b").alias("overlap"))
 
 
 @job("u06_map_union", """

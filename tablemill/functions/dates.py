@@ -76,22 +76,45 @@ def is_monthfirst(text: Column) -> Column:
     return _reads_as(slashed(text), _MONTH, _DAY, "$3-$1-$2")
 
 
-# The date formats tried on a text column: year first with or without time, year first without
-# separators, day or month first.  Each is (pattern, ISO form).
-YEAR_FIRST = (f"^([0-9]{{4}})[-/]({_MONTH2})[-/]({_DAY2})({_TIME})$", "$1-$2-$3$4")
-COMPACT = (f"^([0-9]{{4}})({_MONTH2})({_DAY2})$", "$1-$2-$3")
-DAY_FIRST = (f"^({_DAY2})[-/]({_MONTH2})[-/]([0-9]{{4}})$", "$3-$2-$1")
-MONTH_FIRST = (f"^({_MONTH2})[-/]({_DAY2})[-/]([0-9]{{4}})$", "$3-$1-$2")
+# Month names by their first three letters.
+MONTHS = ["jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec"]
+
+# The date formats tried on a text column, each as (pattern, ISO form): year first, without
+# separators, day or month first, month by name.  A time may follow; days and months may have one
+# digit; years of two digits from 69 on lie in the last century.
+_CLOCK = "(?:[ T]((?:[01]?[0-9]|2[0-3]):[0-5][0-9](?::[0-5][0-9](?:[.][0-9]{1,6})?)?)(?:Z)?)?"
+_NAME = "(" + "|".join(MONTHS) + ")[a-z]*[.]?"
+YEAR_FIRST = (f"^([0-9]{{4}})[-/.]({_MONTH})[-/.]({_DAY}){_CLOCK}$", "$1-$2-$3 $4")
+COMPACT = (f"^([0-9]{{4}})({_MONTH2})({_DAY2})$", "$1-$2-$3 ")
+DAY_FIRST = (f"^({_DAY})[-/.]({_MONTH})[-/.]([0-9]{{4}}|[0-9]{{2}}){_CLOCK}$", "$3-$2-$1 $4")
+MONTH_FIRST = (f"^({_MONTH})[-/.]({_DAY})[-/.]([0-9]{{4}}|[0-9]{{2}}){_CLOCK}$", "$3-$1-$2 $4")
+NAME_FIRST = (f"^{_NAME}[ -]({_DAY})(?:st|nd|rd|th)?,?[ -]([0-9]{{4}}){_CLOCK}$", "$3-$1-$2 $4")
+NAME_SECOND = (f"^({_DAY})(?:st|nd|rd|th)?[ -]{_NAME},?[ -]([0-9]{{4}}){_CLOCK}$", "$3-$2-$1 $4")
 
 
 def parse_date(text: Column, dayfirst: bool = False) -> Column:
     """Timestamp of a text in one of the known formats, otherwise null."""
-    order = [YEAR_FIRST, COMPACT, *((DAY_FIRST, MONTH_FIRST) if dayfirst else (MONTH_FIRST, DAY_FIRST))]
+    low = F.lower(F.trim(text))
+    low = F.regexp_replace(low, "([0-9])t([0-9])", "$1T$2")
+    low = F.regexp_replace(low, "([0-9])z$", "$1Z")
+    order = [YEAR_FIRST, COMPACT, *((DAY_FIRST, MONTH_FIRST) if dayfirst else (MONTH_FIRST, DAY_FIRST)), NAME_FIRST, NAME_SECOND]
     iso = None
     for pattern, shown in order:
-        hit, value = text.rlike(pattern), F.regexp_replace(text, pattern, shown)
+        hit, value = low.rlike(pattern), F.trim(F.regexp_replace(low, pattern, shown))
         iso = F.when(hit, value) if iso is None else iso.when(hit, value)
-    return iso.try_cast("timestamp")
+    iso = F.regexp_replace(F.regexp_replace(iso, "^([0-5][0-9]-|6[0-8]-)", "20$1"), "^(69-|[7-9][0-9]-)", "19$1")
+    name = F.regexp_extract(iso, "-([a-z]{3})-", 1)
+    number = F.array_position(F.array(*[F.lit(m) for m in MONTHS]), name).cast("string")
+    return F.when(name == "", iso).otherwise(F.replace(iso, name, number)).try_cast("timestamp")
+
+
+def is_nanoseconds(number: Column) -> Column:
+    """Aggregate: the numbers read as nanoseconds since 1970, a range of more than a day after its start."""
+    return (F.max(number) - F.min(number) > 86_400 * 10**9) & (F.min(number) > 0)
+
+
+def nanoseconds_to_timestamp(number: Column) -> Column:
+    return F.timestamp_micros(F.floor(number / 1000).cast("long"))
 
 
 def date_key(day: Column) -> Column:

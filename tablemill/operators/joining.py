@@ -83,6 +83,9 @@ def pair_to_goal(df: DataFrame, keys: Sequence[str], place: str, value: str, goa
     equi-join of those short rows instead of a join of all rows.
     """
     goal = F.lit(goal) if not isinstance(goal, Column) else goal
+    kind = df.schema[value].dataType.simpleString()
+    if kind in ("double", "float"):  # 0.1 + 0.2 is to meet 0.3
+        df, goal = df.withColumn(value, F.col(value).cast("decimal(30,10)")), goal.cast("decimal(30,10)")
     once = df.groupBy(*keys, value, place).agg(F.count(F.lit(1)).alias("__n"))
     by_value = Window.partitionBy(*keys, value).orderBy(place)
     seen = (
@@ -108,4 +111,4 @@ def pair_to_goal(df: DataFrame, keys: Sequence[str], place: str, value: str, goa
     # ties on the place: the smaller second value wins
     return twice.unionByName(mixed).groupBy(*keys).agg(
         F.min(F.struct("__at", "second_value", "first_value")).alias("p")
-    ).select(*keys, F.col("p.first_value").alias("first_value"), F.col("p.second_value").alias("second_value"))
+    ).select(*keys, F.col("p.first_value").cast(kind).alias("first_value"), F.col("p.second_value").cast(kind).alias("second_value"))

@@ -8,79 +8,63 @@ bounds only decide how rows are spread, never what the result is.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-RANGE = "__range"
-MIN_RANGE_ROWS = 20_000
-_ON, _FINE = "__range_on", "__range_fine"
-
+from tablemill.session import stage
 
-def _parts(df: DataFrame) -> int:
-    return max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+RANGE = "__range"
+#: Rows that a range is meant to hold, and sampled rows per range from which its bound is taken.
+RANGE_ROWS = 2_000_000
+SAMPLES = 16
 
 
-def as_number(column: Column | str, df: DataFrame) -> Column:
-    """A double that orders like ``column``: numbers, dates, timestamps and (by their first six bytes) texts."""
-    column = F.col(column) if isinstance(column, str) else column
-    kind = df.select(column.alias("c")).schema["c"].dataType.typeName()
-    if kind in ("timestamp", "timestamp_ntz", "date"):
-        column = column.cast("timestamp")
-    elif kind == "string":
-        head = F.hex(F.substring(F.encode(column, "UTF-8"), 1, 6))
-        column = F.conv(F.rpad(head, 12, "0"), 16, 10)
-    return column.cast("double")
+def _listed(on) -> list[Column]:
+    columns = on if isinstance(on, (list, tuple)) else [on]
+    return [F.col(c) if isinstance(c, str) else c for c in columns]
 
 
-def range_bounds(df: DataFrame, on: Column | str, parts: int | None = None) -> tuple[list[float], list[float]]:
-    """Bounds that cut ``on`` into ranges of about equal row count, and its heavy values.
+def range_bounds(df: DataFrame, on, parts: int | None = None) -> list:
+    """Bounds that cut the order of ``on`` (one column or several) into ranges of about equal row count.
 
-    Unless ``parts`` is given there is one range per shuffle partition, and fewer where a range
-    would hold under ``MIN_RANGE_ROWS`` rows.  A value that fills a whole range by itself is
-    heavy; it gets a range of its own.
+    There is a range for every ``RANGE_ROWS`` rows unless ``parts`` is given.  Bounds are values of the
+    columns themselves, taken from a sample of ``SAMPLES`` rows a range, which is all that comes to the
+    driver; they decide how rows are spread and never a result.
     """
-    wanted = parts or _parts(df)
-    shares = [i / wanted for i in range(1, wanted)]
-    row = df.select(as_number(on, df).alias("v")).agg(
-        F.percentile_approx("v", shares, 20 * wanted).alias("b"), F.count("v").alias("n")).first()
-    found = row["b"] or []
-    if parts is None:
-        ranges = max(1, min(wanted, row["n"] // MIN_RANGE_ROWS))
-        found = [found[i * wanted // ranges - 1] for i in range(1, ranges)] if found else []
-    heavy = sorted({a for a, b in zip(found, found[1:]) if a == b})
-    return sorted({*found, *(math.nextafter(v, math.inf) for v in heavy)}), heavy
-
-
-def _bucket(df: DataFrame, on: Column, bounds: list[float], name: str) -> DataFrame:
-    splits = [-math.inf, *bounds, math.inf]
-    if len(splits) == 2:
-        splits.insert(1, 0.0)
-    cut = Bucketizer(splits=splits, inputCol=_ON, outputCol=name, handleInvalid="keep")
-    ranged = cut.transform(df.withColumn(_ON, on))
-    return ranged.withColumn(name, F.coalesce(F.col(name).cast("int"), F.lit(-1))).drop(_ON)
-
-
-def with_range(df: DataFrame, on, parts: int | None = None, bounds: tuple[list[float], list[float]] | None = None) -> DataFrame:
-    """Add ``__range``: the number of the range the row falls into.
-
-    ``on`` is the leading order column, or the first two.  With two, the rows of a heavy value of
-    the first are cut once more by the second, so one frequent date does not end in one task.
-    Only bounds come to the driver.  As in Spark's own order, null comes first and NaN last.
+    keyed = df.select(*[c.alias(f"o{i}") for i, c in enumerate(_listed(on))])
+    rows = keyed.count()
+    wanted = parts or -(-rows // RANGE_ROWS)
+    if wanted < 2 or not rows:
+        return []
+    share = SAMPLES * wanted / rows
+    sample = keyed if share >= 1 else keyed.sample(withReplacement=False, fraction=share, seed=1)
+    found = sample.orderBy(*keyed.columns).collect()
+    picked = [found[i * len(found) // wanted] for i in range(1, wanted)] if found else []
+    bounds: list = []
+    for row in picked:
+        if not bounds or repr(bounds[-1]) != repr(row):
+            bounds.append(row)
+    return bounds
+
+
+def with_range(df: DataFrame, on, parts: int | None = None, bounds: list | None = None) -> DataFrame:
+    """Add ``__range``: the number of bounds that are not above the row, by binary search.
+
+    ``on`` is the leading order column, or the first few; with more than one, the rows of a frequent
+    first value are cut by the next.  As in Spark's own order, null comes first and NaN last.
     """
-    first, *more = on if isinstance(on, (list, tuple)) else [on]
-    cuts, heavy = range_bounds(df, first, parts) if bounds is None else bounds
-    out = _bucket(df, as_number(first, df), cuts, RANGE)
-    if not (more and heavy):
-        return out
-    is_heavy = as_number(first, df).isin(heavy)
-    fine, _ = range_bounds(df.filter(is_heavy), more[0], parts)
-    out = _bucket(out, as_number(more[0], df), fine, _FINE)
-    step = F.when(is_heavy, F.col(_FINE) + 1).otherwise(0)
-    return out.withColumn(RANGE, F.col(RANGE) * (len(fine) + 4) + step).drop(_FINE)
+    columns = _listed(on)
+    bounds = range_bounds(df, columns, parts) if bounds is None else bounds
+    if not bounds:
+        return df.withColumn(RANGE, F.lit(0))
+    kinds = [f.dataType for f in df.select(*columns).schema]
+    listed = F.array(*[F.struct(*[F.lit(v).cast(k).alias(f"o{i}") for i, (v, k) in enumerate(zip(row, kinds))]) for row in bounds])
+    own = F.struct(*[c.alias(f"o{i}") for i, c in enumerate(columns)])
+    steps = F.array(*[F.lit(1 << k) for k in reversed(range(len(bounds).bit_length()))])
+    found = F.aggregate(steps, F.lit(0), lambda at, step: F.when(F.get(listed, at + step - 1) <= own, at + step).otherwise(at))
+    return df.withColumn(RANGE, found)
 
 
 def _join_cells(rows: DataFrame, cells: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -91,7 +75,7 @@ def _join_cells(rows: DataFrame, cells: DataFrame, keys: Sequence[str]) -> DataF
     same = F.col(RANGE) == F.col("__k_range")
     for k in keys:
         same = same & F.col(k).eqNullSafe(F.col(f"__k_{k}"))
-    # without keys there are at most `parts` cells, so that side is small by construction
+    # without keys there is one cell per range, so that side is small by construction
     side = cells if keys else F.broadcast(cells)
     return rows.join(side, same, "left").drop("__k_range", *[f"__k_{k}" for k in keys])
 
@@ -158,13 +142,14 @@ def rolling(df: DataFrame, pos: str, width: int, keys: Sequence[str] = (), block
             **aggs) -> DataFrame:
     """Aggregate each row with its ``width - 1`` followers; ``pos`` counts 1, 2, 3 … per key.
 
-    Blocks of consecutive positions are independent tasks: the first rows of a block are
-    copied to the block before it, so frames never cross a task.
+    Blocks of consecutive positions are independent tasks: a row is copied to every earlier block
+    from which a frame reaches it, so frames never cross a task.  Blocks hold a frame at least.
     """
     keys = list(keys)
+    block = max(block, width)
     own = F.floor((F.col(pos) - 1) / block)
-    into = F.when((own > 0) & (((F.col(pos) - 1) % block) < width - 1), F.array(own, own - 1)).otherwise(F.array(own))
-    spread = df.withColumn("__own", own).withColumn("__block", F.explode(into))
+    first = F.greatest(F.floor((F.col(pos) - width) / block), F.lit(0).cast("long"))
+    spread = df.withColumn("__own", own).withColumn("__block", F.explode(F.sequence(F.least(first, own), own)))
     frame = Window.partitionBy(*keys, "__block").orderBy(pos).rowsBetween(0, width - 1)
     out = spread.select("*", *[a.over(frame).alias(n) for n, a in aggs.items()])
     return out.filter(F.col("__own") == F.col("__block")).drop("__own", "__block")
@@ -231,26 +216,37 @@ def quantile_columns(df: DataFrame, value: str, named: dict[str, float], keys: S
         *[F.max(F.when(F.col("share") == s, F.col("quantile"))).alias(n) for n, s in named.items()])
 
 
-def count_rising_pairs(df: DataFrame, keys: Sequence[str], place: str, value: str, place_bits: int,
-                       value_bits: int, name: str = "n_pairs") -> DataFrame:
+def _ranks(cells: DataFrame, column: str, name: str) -> tuple[DataFrame, int]:
+    """(column, name): the distinct known values numbered from 0 in order, and how many there are."""
+    distinct = stage(cells.select(column).distinct(), "values")
+    numbered = positions(distinct, [F.col(column)], on=column, name=name)
+    return numbered.withColumn(name, F.col(name) - 1), distinct.count()
+
+
+def count_rising_pairs(df: DataFrame, keys: Sequence[str], place: str, value: str, name: str = "n_pairs") -> DataFrame:
     """Count pairs with ``place_i < place_j`` and ``value_i < value_j`` without forming a pair.
 
-    Two non-negative integers differ first at exactly one binary level, where the smaller has
-    bit 0 and the larger bit 1.  Grouping by that level and the common prefix, for place and
-    value at once, turns the pair count into a sum of products of two counts.
+    Places and values of any ordered type are numbered densely.  Two numbers differ first at exactly
+    one binary level, where the smaller has bit 0 and the larger bit 1.  Grouping by that level and the
+    common prefix, for place and value at once, turns the pair count into a sum of products of two
+    counts.  The levels follow from the largest number; a null takes part in no pair.
     """
-    cells = df.groupBy(*keys, place, value).agg(F.count(F.lit(1)).alias("__n"))
+    known = df.filter(F.col(place).isNotNull() & F.col(value).isNotNull())
+    cells = stage(known.groupBy(*keys, place, value).agg(F.count(F.lit(1)).alias("__n")), "cells")
+    places, n_places = _ranks(cells, place, "__place")
+    values, n_values = _ranks(cells, value, "__value")
+    ranked = cells.join(places, place).join(values, value)
 
-    def levels(column: str, bits: int) -> Column:
+    def levels(column: str, n: int) -> Column:
         return F.array(*[F.struct(
             F.lit(b).alias("level"),
-            F.shiftright(F.col(column).cast("long"), b + 1).alias("prefix"),
-            F.shiftright(F.col(column).cast("long"), b).bitwiseAND(F.lit(1)).alias("bit"),
-        ) for b in range(bits)])
+            F.shiftright(F.col(column), b + 1).alias("prefix"),
+            F.shiftright(F.col(column), b).bitwiseAND(F.lit(1)).alias("bit"),
+        ) for b in range(max(1, (n - 1).bit_length()))])
 
     spread = (
-        cells.withColumn("__p", F.explode(levels(place, place_bits)))
-        .withColumn("__v", F.explode(levels(value, value_bits)))
+        ranked.withColumn("__p", F.explode(levels("__place", n_places)))
+        .withColumn("__v", F.explode(levels("__value", n_values)))
         .filter(F.col("__p.bit") == F.col("__v.bit"))
     )
     split = spread.groupBy(*keys, F.col("__p.level").alias("__pl"), F.col("__p.prefix").alias("__pp"),

@@ -24,7 +24,9 @@ def keep_first(df: DataFrame, keys: Sequence[str], order: str, long_text: bool =
     """
     if not long_text:
         return top_per_group(df, keys, [F.col(order)], 1)
-    digest = F.sha2(F.concat_ws("\u0000", *[F.coalesce(F.col(k).cast("string"), F.lit("\u0001")) for k in keys]), 256)
+    # null and length marks keep different key lists apart
+    marked = [F.coalesce(F.concat(F.length(F.col(k).cast("string")).cast("string"), F.lit(":"), F.col(k).cast("string")), F.lit("-")) for k in keys]
+    digest = F.sha2(F.concat(*marked), 256)
     return top_per_group(df.withColumn("__digest", digest), ["__digest"], [F.col(order)], 1).drop("__digest")
 
 

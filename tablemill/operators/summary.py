@@ -5,6 +5,8 @@ from __future__ import annotations
 from collections.abc import Sequence
 from itertools import combinations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,7 +22,8 @@ def share_of_total(df: DataFrame, keys: Sequence[str], digits: int = 2) -> DataF
 
 def histogram(df: DataFrame, value: str, bins: int) -> DataFrame:
     """Counts in ``bins`` equal steps between minimum and maximum; the last step is closed."""
-    low, high = df.agg(F.min(value).cast("double")).scalar(), df.agg(F.max(value).cast("double")).scalar()
+    ends = df.agg(F.struct(F.min(value).cast("double").alias("low"), F.max(value).cast("double").alias("high"))).scalar()
+    low, high = ends["low"], ends["high"]
     step = (high - low) / bins
     place = F.least(F.floor((F.col(value) - low) / step), F.lit(bins - 1)).cast("int")
     counted = df.filter(F.col(value).isNotNull()).groupBy(place.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
@@ -46,20 +49,53 @@ def describe(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return plain.join(F.broadcast(quartiles), "column", "left").withColumn("type", F.element_at(kind, F.col("column")))
 
 
-def correlations(df: DataFrame, columns: Sequence[str], per_pass: int = 400) -> DataFrame:
-    """Pearson correlation of all column pairs, long form, one aggregation per ``per_pass`` pairs."""
-    pairs = list(combinations(columns, 2))
-    out = None
-    for i in range(0, len(pairs), per_pass):
-        some = pairs[i:i + per_pass]
-        row = df.agg(*[F.corr(a, b).alias(f"c{j}") for j, (a, b) in enumerate(some)])
-        part = row.select(F.explode(F.array(*[
-            F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"c{j}").alias("corr"))
-            for j, (a, b) in enumerate(some)])).alias("r")).select("r.*")
-        out = part if out is None else out.unionByName(part)
+def pair_moments(df: DataFrame, columns: Sequence[str]) -> dict[str, np.ndarray]:
+    """Sums over the rows where both columns of a pair are known, for all pairs in one pass.
+
+    ``n[i, j]`` counts them, ``s[i, j]`` and ``q[i, j]`` add up column i and its square, ``p[i, j]`` the
+    product; values are taken less the column's ``mean``.  NaN counts as unknown.  A task reports a
+    number per pair, and so many come to the driver, whatever the rows.
+    """
+    size = len(columns)
+    plain = df.select(*[F.nanvl(F.col(f"`{c}`").cast("double"), F.lit(None).cast("double")).alias(f"c{i}") for i, c in enumerate(columns)])
+    mean = np.array([v or 0.0 for v in plain.agg(*[F.avg(c).alias(c) for c in plain.columns]).first()], dtype=float)
+
+    def sums(batches):
+        total = np.zeros((4, size, size))
+        for batch in batches:
+            x = batch.to_numpy(dtype=float) - mean
+            known = ~np.isnan(x)
+            x = np.where(known, x, 0.0)
+            k = known.astype(float)
+            total += np.array([k.T @ k, x.T @ k, (x * x).T @ k, x.T @ x])
+        i, j = np.indices((size, size))
+        yield pd.DataFrame({"i": i.ravel(), "j": j.ravel(), **{f: total[m].ravel() for m, f in enumerate("nsqp")}})
+
+    parts = plain.mapInPandas(sums, "i int, j int, n double, s double, q double, p double")
+    out = {f: np.zeros((size, size)) for f in "nsqp"} | {"mean": mean}
+    for row in parts.groupBy("i", "j").agg(*[F.sum(f).alias(f) for f in "nsqp"]).collect():
+        for f in "nsqp":
+            out[f][row["i"], row["j"]] = row[f]
     return out
 
 
+def correlation_matrix(df: DataFrame, columns: Sequence[str]) -> np.ndarray:
+    """Pearson correlations, each over the rows where both columns are known; NaN where one is constant there."""
+    m = pair_moments(df, columns)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        n = m["n"]
+        spread = m["q"] - m["s"] ** 2 / n
+        spread[spread <= 1e-12 * np.maximum(m["q"], 1e-300)] = np.nan
+        return (m["p"] - m["s"] * m["s"].T / n) / np.sqrt(spread * spread.T)
+
+
+def correlations(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Pearson correlation of all column pairs, long form."""
+    found = correlation_matrix(df, columns)
+    rows = [(a, b, None if np.isnan(found[i, j]) else float(found[i, j])) for (i, a), (j, b) in combinations(enumerate(columns), 2)]
+    return df.sparkSession.createDataFrame(rows, "a string, b string, corr double")
+
+
 def mode(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     """Most frequent value per key; among equals the smallest."""
     counted = df.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("n"))
@@ -72,6 +108,7 @@ def box_stats(df: DataFrame, key: str, value: str) -> DataFrame:
     quartiles = quantile_columns(df, value, {"q1": .25, "median": .5, "q3": .75}, [key])
     reach = 1.5 * (F.col("q3") - F.col("q1"))
     inside = F.col(value).between(F.col("q1") - reach, F.col("q3") + reach)
+    # a row per category: Spark broadcasts it if it measures small, else it splits hot categories
     joined = df.select(key, value).join(quartiles, key)
     return joined.groupBy(key, "q1", "median", "q3").agg(
         F.min(F.when(inside, F.col(value))).alias("low_whisker"),

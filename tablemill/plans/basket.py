@@ -17,7 +17,8 @@ from tablemill.functions.names import numeric_columns
 from tablemill.operators.joining import combinations
 from tablemill.operators.sets import drop_strict_subsets
 from tablemill.operators.sorting import top_per_group
-from tablemill.plans.prepare import NARROW, _facts, correlation_matrix, q
+from tablemill.operators.summary import correlation_matrix
+from tablemill.plans.prepare import _facts, q
 from tablemill.session import stage
 
 # Support levels, largest item set, size of the rule list, share for the flags.
@@ -32,18 +33,17 @@ def item_columns(df: DataFrame, label: str | None = None) -> list[str]:
     numeric = numeric_columns(df)
     zero = _facts(df, {c: F.count_if(q(c) <= 0) > 0 for c in numeric})
     names = [c for c in numeric if zero[c] and c != label]
-    if len(names) <= NARROW:
-        same = _facts(df, {f"{a}|{b}": F.corr(q(a), q(b)) for a, b in subsets(names, 2)}) if len(names) > 1 else {}
-    else:
-        matrix = correlation_matrix(df.select(*[q(c) for c in names]).na.drop(), names)[0]
-        same = {f"{a}|{b}": matrix[i, j] for (i, a), (j, b) in subsets(list(enumerate(names)), 2)}
+    if len(names) < 2:
+        return names
+    matrix = correlation_matrix(df, names)
+    same = {f"{a}|{b}": matrix[i, j] for (i, a), (j, b) in subsets(list(enumerate(names)), 2)}
     dropped: set[str] = set()
     for a in names:
         for b in names:
             if a == b or a in dropped or b in dropped:
                 continue
             corr = same[f"{a}|{b}"] if f"{a}|{b}" in same else same[f"{b}|{a}"]
-            if corr is not None and corr >= SAME_COLUMN:
+            if corr >= SAME_COLUMN:
                 dropped.add(b)
     return [c for c in names if c not in dropped]
 
@@ -64,20 +64,29 @@ def signatures(df: DataFrame, items: Sequence[str], measures: Sequence[str] = ()
 def frequent_itemsets(found: DataFrame, min_support: float, max_items: int = MAX_ITEMS) -> DataFrame:
     """Item sets of up to ``max_items`` items whose share of rows reaches ``min_support``: items, n, n_rows.
 
-    Level by level: a set is counted only when each of its items is frequent by itself.
+    Level by level: a set is made only where two frequent sets of one item less, equal but for the last
+    item, meet in a signature, so what is not frequent is never spelt out further.
     """
     n_rows = found.agg(F.sum("n")).scalar()
-    single = found.select(F.explode("items").alias("item"), "n").groupBy("item").agg(F.sum("n").alias("n"))
-    single = single.filter(F.col("n") >= n_rows * min_support)
-    names = [r["item"] for r in single.select("item").collect()]  # at most one per column of the table
-    if not names:
-        return found.sparkSession.createDataFrame([], "items array<string>, n bigint, n_rows bigint")
-    kept = found.select(F.filter("items", lambda x: x.isin(names)).alias("items"), "n").groupBy("items").agg(F.sum("n").alias("n"))
-    out = single.select(F.array("item").alias("items"), "n")
+    signs = stage(found.select(F.array_sort("items").alias("items"), "n").withColumn("sid", F.monotonically_increasing_id()), "basket-signs")
+
+    def frequent(held: DataFrame) -> DataFrame:
+        counted = held.groupBy("items").agg(F.sum("n").alias("n")).withColumn("n_rows", n_rows)
+        return stage(counted.filter(F.col("n") >= F.col("n_rows") * min_support), "basket-level")
+
+    held = signs.select("sid", "n", F.explode("items").alias("item")).select("sid", "n", F.array("item").alias("items"))
+    level = frequent(held)
+    out = level
     for k in range(2, max_items + 1):
-        sets_ = kept.filter(F.size("items") >= k).select(F.explode(combinations(F.col("items"), k)).alias("items"), "n")
-        out = out.unionByName(sets_.groupBy("items").agg(F.sum("n").alias("n")))
-    return out.withColumn("n_rows", n_rows).filter(F.col("n") >= F.col("n_rows") * min_support)
+        if level.isEmpty():
+            break
+        held = stage(held.join(level.select("items"), "items", "left_semi").select(
+            "sid", "n", F.slice("items", 1, k - 2).alias("head"), F.element_at("items", -1).alias("last")), "basket-held")
+        other = held.select("sid", "head", F.col("last").alias("next"))
+        held = held.join(other, ["sid", "head"]).filter("last < next").select("sid", "n", F.concat("head", F.array("last", "next")).alias("items"))
+        level = frequent(held)
+        out = out.unionByName(level)
+    return out.select("items", "n", "n_rows")
 
 
 def rules(itemsets: DataFrame) -> DataFrame:
@@ -120,8 +129,9 @@ def best_baskets(all_rules: DataFrame) -> DataFrame:
 
 def flag_top(baskets: DataFrame, measures: Sequence[str], share: float = FLAG_SHARE) -> DataFrame:
     """``<measure>_highlight`` for values at or above the quantile; the list has at most 100 rows."""
-    bounds = baskets.agg(*[F.percentile(q(m), share).alias(m) for m in measures])
-    return baskets.withColumns({f"{m}_highlight": F.when(q(m) >= bounds.select(q(m)).scalar(), 1).otherwise(0) for m in measures})
+    baskets = stage(baskets, "basket-flags")
+    bounds = baskets.agg(F.struct(*[F.percentile(q(m), share).alias(f"b{i}") for i, m in enumerate(measures)])).scalar()
+    return baskets.withColumns({f"{m}_highlight": F.when(q(m) >= bounds[f"b{i}"], 1).otherwise(0) for i, m in enumerate(measures)})
 
 
 def specific_baskets(baskets: DataFrame) -> DataFrame:
@@ -132,19 +142,17 @@ def specific_baskets(baskets: DataFrame) -> DataFrame:
 def basket_measures(baskets: DataFrame, found: DataFrame, measures: Sequence[str]) -> DataFrame:
     """Sum, mean and count of each measure inside each basket and in the whole table, with flags.
 
-    Each signature lists its own item sets, so the rows of a basket are found by equality.
+    The at most 100 baskets are one row, against which every signature is held.
     """
     sums = [F.sum(q(f"{m}|{p}")).alias(f"{m}|{p}") for m in measures for p in ("sum", "count")]
-    inside = None
-    for k in range(1, MAX_ITEMS + 1):
-        part = found.filter(F.size("items") >= k).withColumn("items", F.explode(combinations(F.col("items"), k)))
-        part = part.join(F.broadcast(baskets.select("items")), "items", "left_semi").groupBy("items").agg(*sums)
-        inside = part if inside is None else inside.unionByName(part)
-    population = found.agg(*sums)
+    listed = baskets.agg(F.collect_list("items")).scalar()
+    hits = F.filter("listed", lambda b: F.size(F.array_except(b, F.col("items"))) == 0)
+    inside = found.withColumn("listed", listed).withColumn("basket", F.explode(hits)).groupBy(F.col("basket").alias("items")).agg(*sums)
+    population = found.agg(F.struct(*sums)).scalar()
     columns = {}
     for m in measures:
         s, n = F.col(f"`{m}|sum`").cast("double"), F.col(f"`{m}|count`")
-        ps, pn = population.select(f"`{m}|sum`").scalar().cast("double"), population.select(f"`{m}|count`").scalar()
+        ps, pn = population[f"{m}|sum"].cast("double"), population[f"{m}|count"]
         columns |= {f"{m}_basket_sum": s, f"{m}_basket_mean": s / n, f"{m}_basket_count": n,
                     f"{m}_pop_sum": ps, f"{m}_pop_mean": ps / pn, f"{m}_pop_count": pn}
     joined = baskets.join(inside, "items", "left").select(*baskets.columns, *[e.alias(n) for n, e in columns.items()])

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablemill.operators.ordered import running_sums
+from tablemill.session import stage
 
 # Fixed value: probabilities are clipped to [EPS, 1 - EPS] before the logarithm.
 EPS = 1e-15
@@ -41,7 +42,7 @@ def roc_points(scored: DataFrame, label="label", score="score") -> DataFrame:
     """
     y = F.col(label)
     by_score = scored.groupBy(F.col(score).alias("score")).agg(F.count_if(y == 1).alias("p"), F.count_if(y == 0).alias("n"))
-    falling = by_score.withColumn("falling", -F.col("score"))
+    falling = stage(by_score.withColumn("falling", -F.col("score")), "scores")
     summed = running_sums(falling, [F.col("falling")], "falling", {"tp": F.col("p"), "fp": F.col("n")})
     whole = scored.agg(F.count_if(y == 1).alias("p"), F.count_if(y == 0).alias("n"))
     return summed.select("score", "p", "n", "tp", "fp", (F.col("tp") / whole.select("p").scalar()).alias("tpr"),

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from tablemill.operators.ordered import positions
 from tablemill.operators.scaling import _hash32, uniform_of
 from tablemill.plans.prepare import SEPARATOR, q
+from tablemill.session import stage
 
 
 def assemble(df: DataFrame, features: Sequence[str], label: str) -> DataFrame:
@@ -49,11 +50,12 @@ def oversample_minority(df: DataFrame, key: str, label: str, by: str, features:
     pairs = asked.join(other, "at")
     near = Window.partitionBy(key).orderBy(F.abs(F.col(by) - F.col(f"__{by}")), F.abs(F.col("at") - F.col("pos")), "at")
     ranked = pairs.withColumn("rank", F.row_number().over(near)).withColumn("known", F.count(F.lit(1)).over(Window.partitionBy(key)))
-    # one pair per copy: a number fixed by key and copy picks among the neighbours that exist
-    made = ranked.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).withColumn(
-        "name", F.concat_ws("/", F.col(key).cast("string"), F.col("copy").cast("string")))
-    pick = _hash32(F.col("name"), seed) % F.least(F.col("known"), F.lit(neighbours)) + 1
-    made = made.filter(F.col("rank") == pick).withColumn("weight", uniform_of(F.col("name"), seed + 1))
+    # a number fixed by key and copy picks among the neighbours that exist: each pair lists the copies that pick it
+    named = lambda copy: F.concat_ws("/", F.col(key).cast("string"), copy.cast("string"))
+    picks = lambda copy: _hash32(named(copy), seed) % F.least(F.col("known"), F.lit(neighbours)) + 1 == F.col("rank")
+    near_ones = ranked.filter(F.col("rank") <= neighbours)
+    made = near_ones.withColumn("copy", F.explode(F.filter(F.sequence(F.lit(1), F.col("copies")), picks)))
+    made = made.withColumn("weight", uniform_of(named(F.col("copy")), seed + 1))
     return made.select(key, "neighbour", "copy", "weight", *[
         (F.col(f).cast("double") + F.col("weight") * (F.col(f"__{f}").cast("double") - F.col(f).cast("double"))).alias(f) for f in features])
 
@@ -123,16 +125,19 @@ def score(model, df: DataFrame) -> DataFrame:
     return scored.withColumn("score", vector_to_array("probability")[1]).withColumn("prediction", F.col("prediction").cast("int"))
 
 
-def permutation_importance(model, df: DataFrame, key: str, features: Sequence[str], seed: int) -> DataFrame:
-    """Accuracy lost when one feature is taken from another row: feature, weight, falling.
+def permutation_importance(model, df: DataFrame, key: str, features: Sequence[str], seed: int, repeats: int = 5) -> DataFrame:
+    """Mean accuracy lost when one feature is taken from another row: feature, weight, falling.
 
-    Rows are matched by their place in key order and in an order fixed by a hash, one join for
-    all features; the copies with one feature exchanged are scored together.
+    Rows are matched by their place in key order and in ``repeats`` orders fixed by hashes, one join
+    for all features and orders; the copies with one feature exchanged are scored together.
     """
-    base = df.select(key, "label", vector_to_array("features").alias("x"))
+    base = stage(df.select(key, "label", vector_to_array("features").alias("x")), "importance")
     placed = positions(base, [F.col(key)], on=key)
-    shuffled = positions(base.select(key, F.col("x").alias("other"), _hash32(F.col(key), seed).alias("h")), [F.col("h"), F.col(key)], on=["h", key])
-    matched = placed.join(shuffled.select("pos", "other"), "pos")
+    turns = base.select(key, F.col("x").alias("other"), F.explode(F.array(*[
+        F.struct(F.lit(r).alias("turn"), _hash32(F.col(key), seed + r).alias("h")) for r in range(repeats)])).alias("t"))
+    turns = turns.select(key, "other", "t.turn", "t.h")
+    shuffled = positions(stage(turns, "importance-turns"), [F.col("h"), F.col(key)], on=["h", key], keys=["turn"])
+    matched = placed.join(shuffled.select("pos", "other", "turn"), "pos")
     swapped = matched.withColumn("j", F.explode(F.sequence(F.lit(-1), F.lit(len(features) - 1)))).withColumn(
         "features", array_to_vector(F.transform("x", lambda v, i: F.when(i == F.col("j"), F.get("other", i)).otherwise(v))))
     right = model.transform(swapped.select("j", "label", "features")).groupBy("j").agg(

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from tablemill.functions import dates
 from tablemill.functions.names import clean_name, clean_names, date_columns, numeric_columns, strip_symbol, text_columns
 from tablemill.operators.ordered import largest_gap
+from tablemill.operators.summary import pair_moments
 from tablemill.session import stage
 
 SEPARATOR = " = "
@@ -42,11 +43,35 @@ def q(name: str) -> Column:
     return F.col(f"`{name}`")
 
 
+def nan_to_null(df: DataFrame) -> DataFrame:
+    """NaN is a missing value: it becomes null."""
+    kinds = dict(df.dtypes)
+    return df.withColumns({c: F.nanvl(q(c), F.lit(None).cast(k)) for c, k in kinds.items() if k in ("double", "float")})
+
+
+def distinct_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """(column, n): exact numbers of distinct known values, counted on 128-bit digests.
+
+    No value travels, however long, and a task sends a column's digest once.
+    """
+    def digest(c: str) -> Column:
+        value = q(c) + F.lit(0.0) if dict(df.dtypes)[c] in ("double", "float") else q(c)
+        return F.unhex(F.md5(value.cast("string").cast("binary")))
+
+    if not columns:
+        return df.sparkSession.createDataFrame([], "column string, n bigint")
+    each = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), digest(c).alias("v")) for c in columns]))
+    seen = df.select(each.alias("r")).select("r.column", "r.v").filter("v is not null").distinct()
+    listed = df.sparkSession.createDataFrame([(c,) for c in columns], "column string")
+    found = seen.groupBy("column").agg(F.count(F.lit(1)).alias("n"))
+    return listed.join(found, "column", "left").select("column", F.coalesce("n", F.lit(0)).alias("n"))
+
+
 # ---- sparse, high-cardinality and blown-out columns --------------------------------------
 
 @dataclass(frozen=True)
 class ColumnFacts:
-    """Rows of the table and nulls and distinct values of each column, from one aggregation."""
+    """Rows of the table and nulls and distinct values of each column; NaN counts as null."""
 
     rows: int
     nulls: dict[str, int]
@@ -60,14 +85,10 @@ class ColumnFacts:
 
 
 def column_facts(df: DataFrame) -> ColumnFacts:
-    aggs = {"rows": F.count(F.lit(1))}
-    for c in df.columns:
-        aggs[f"known {c}"] = F.count(q(c))
-        aggs[f"distinct {c}"] = F.count_distinct(q(c))
-    # a distinct count copies each row once per column of its pass, so passes stay narrow
-    found = _facts(df, aggs, per_pass=60)
-    return ColumnFacts(found["rows"], {c: found["rows"] - found[f"known {c}"] for c in df.columns},
-                       {c: found[f"distinct {c}"] for c in df.columns})
+    df = nan_to_null(df)
+    found = _facts(df, {"rows": F.count(F.lit(1)), **{f"known {c}": F.count(q(c)) for c in df.columns}})
+    distinct = {r["column"]: r["n"] for r in distinct_counts(df, df.columns).collect()}
+    return ColumnFacts(found["rows"], {c: found["rows"] - found[f"known {c}"] for c in df.columns}, distinct)
 
 
 def sparse_columns(df: DataFrame, threshold: float = MAX_NULL_SHARE, facts: ColumnFacts | None = None) -> list[str]:
@@ -157,7 +178,8 @@ def excel_date_columns(df: DataFrame, now: str) -> list[str]:
 
 
 def handle_dates(df: DataFrame, source_type: str, now: str) -> DataFrame:
-    """Text that parses in full and, for csv and excel input, spreadsheet serials become timestamps."""
+    """Text that parses in full becomes timestamps; so do numbers that read as spreadsheet serials in csv
+    and excel input, and numbers that read as nanoseconds since 1970 in other input."""
     text = text_columns(df)
     facts = {}
     for c in text:
@@ -172,12 +194,16 @@ def handle_dates(df: DataFrame, source_type: str, now: str) -> DataFrame:
     if source_type in ("csv", "excel"):
         for c in excel_date_columns(df, now):
             df = df.withColumn(c, dates.excel_to_timestamp(q(c)))
-    return df
+        return df
+    numeric = numeric_columns(df)
+    found = _facts(df, {c: dates.is_nanoseconds(q(c)) for c in numeric}) if numeric else {}
+    return df.withColumns({c: dates.nanoseconds_to_timestamp(q(c)) for c in numeric if found[c]})
 
 
 # ---- nulls -------------------------------------------------------------------------------
 
 def impute_means(df: DataFrame) -> DataFrame:
+    df = nan_to_null(df)
     numeric = numeric_columns(df)
     means = _facts(df, {c: F.avg(q(c).cast("double")) for c in numeric}) if numeric else {}
     return df.withColumns({c: F.coalesce(q(c).cast("double"), F.lit(m)) for c, m in means.items() if m is not None})
@@ -186,6 +212,7 @@ def impute_means(df: DataFrame) -> DataFrame:
 def handle_nulls(df: DataFrame, mode: str = "drop") -> DataFrame:
     """``drop`` deletes rows with a null when they are under 1 % of all, otherwise numbers get their mean;
     ``mean`` always fills numbers.  Text keeps its nulls."""
+    df = nan_to_null(df)
     if mode not in ("drop", "mean"):
         return df
     if mode == "drop":
@@ -200,42 +227,17 @@ def handle_nulls(df: DataFrame, mode: str = "drop") -> DataFrame:
 
 # ---- multicollinearity -------------------------------------------------------------------
 
-NARROW = 28  # up to here all sums of products fit into one aggregation
-
-
 def cross_products(df: DataFrame, columns: Sequence[str]) -> np.ndarray:
-    """Matrix of sums of products of (1, x1, x2 …) over rows without nulls.
-
-    Few columns are one aggregation.  Many columns go through Spark's correlation matrix, which
-    adds up all pairs in one pass, and are put together again from mean and deviation.
-    """
-    x = [F.lit(1.0), *[q(c).cast("double") for c in columns]]
-    known = df.select(*[q(c) for c in columns]).na.drop()
-    m = np.zeros((len(x), len(x)))
-    if len(columns) <= NARROW:
-        sums = _facts(known, {f"{i},{j}": F.sum(x[i] * x[j]) for i in range(len(x)) for j in range(i, len(x))}, per_pass=1000)
-        for key, value in sums.items():
-            i, j = map(int, key.split(","))
-            m[i, j] = m[j, i] = value or 0.0
-        return m
-    correlation, mean, std, n = correlation_matrix(known, columns)
-    m[0, 0] = n
-    m[0, 1:] = m[1:, 0] = n * mean
-    m[1:, 1:] = correlation * np.outer(std, std) * (n - 1) + n * np.outer(mean, mean)
-    return m
-
-
-def correlation_matrix(df: DataFrame, columns: Sequence[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
-    """Correlations (0 for a constant column), means, sample deviations and row count of columns without nulls."""
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.stat import Correlation, Summarizer
-
-    plain = df.select(*[q(c).cast("double").alias(f"c{i}") for i, c in enumerate(columns)])
-    vectors = VectorAssembler(inputCols=plain.columns, outputCol="v").transform(plain).select("v")
-    stats = vectors.select(Summarizer.metrics("mean", "std", "count").summary(F.col("v")).alias("s")).first()["s"]
-    found = np.nan_to_num(np.array(Correlation.corr(vectors, "v").first()[0].toArray()))
-    np.fill_diagonal(found, (np.array(stats["std"]) > 0).astype(float))
-    return found, np.array(stats["mean"].toArray()), np.array(stats["std"].toArray()), stats["count"]
+    """Matrix of sums of products of (1, x1, x2 …) over the rows where all are known, in one pass for any width."""
+    known = nan_to_null(df.select(*[q(c).cast("double").alias(c) for c in columns])).na.drop()
+    m = pair_moments(known, columns)
+    n, mean = m["n"][0, 0], m["mean"]
+    sums = np.diag(m["s"])  # over complete rows the same for every partner
+    out = np.zeros((len(columns) + 1, len(columns) + 1))
+    out[0, 0] = n
+    out[0, 1:] = out[1:, 0] = sums + n * mean
+    out[1:, 1:] = m["p"] + np.outer(mean, sums) + np.outer(sums, mean) + n * np.outer(mean, mean)
+    return out
 
 
 def vifs(products: np.ndarray, chosen: Sequence[int]) -> list[float]:
@@ -297,13 +299,14 @@ def value_text(value) -> str:
 
 
 def category_values(df: DataFrame, label: str | None, few: int = 5, limit: int = MAX_VALUES) -> dict[str, list]:
-    """Sorted values of text columns and of numeric columns with at most ``few`` values, label left out.
+    """Sorted values of text columns and of all others (numbers, flags, dates) with at most ``few`` values, label left out.
 
     Columns above ``limit`` values are refused: they must go before (see ``drop_blown``).
     """
-    numeric, text = numeric_columns(df), text_columns(df)
-    candidates = [c for c in [*text, *numeric] if c != label]
-    distinct = _facts(df, {c: F.count_distinct(q(c)) for c in candidates})
+    text = text_columns(df)
+    plain = ("array", "map", "struct", "binary", "variant")
+    candidates = [c for c, kind in df.dtypes if c != label and not kind.startswith(plain)]
+    distinct = {r["column"]: r["n"] for r in distinct_counts(df, candidates).collect()}
     chosen = [c for c in candidates if c in text or distinct[c] <= few]
     too_many = [c for c in chosen if distinct[c] > limit]
     if too_many:
@@ -331,25 +334,34 @@ def memory_table(spark, memory: dict[str, list[str]]) -> DataFrame:
 
 
 def recode_label(df: DataFrame, label: str, positive) -> DataFrame:
-    """Two-valued label to 1 (positive) and 0; any other number of values is an error."""
-    values = [r[0] for r in df.select(q(label)).filter(q(label).isNotNull()).distinct().limit(3).collect()]
-    if len(values) > 2:
-        raise ValueError(f"{label} has more than two unique values")
-    if len(values) < 2:
-        raise ValueError(f"{label} only has one unique value")
-    return df.withColumn(label, F.when(q(label).cast("string") == str(positive), 1).when(q(label).isNotNull(), 0))
+    """Two-valued label to 1 (positive) and 0, compared in the label's own type.
+
+    Any other number of values is an error, and so is a positive value that does not occur.
+    """
+    kind = df.schema[label].dataType.simpleString()
+    wanted = F.lit(str(positive)) if kind == "string" else F.lit(positive).try_cast(kind)
+    found = df.select(q(label).alias("v")).filter("v is not null").distinct().select("v", (F.col("v") == wanted).alias("hit")).limit(3).collect()
+    if len(found) != 2:
+        raise ValueError(f"{label} must have two values, it has {'more' if len(found) > 2 else len(found)}")
+    if not any(r["hit"] for r in found):
+        raise ValueError(f"{label} never takes the positive value {positive!r}")
+    return df.withColumn(label, F.when(q(label) == wanted, 1).when(q(label).isNotNull(), 0))
 
 
 # ---- columns for time series -------------------------------------------------------------
 
 def time_columns(df: DataFrame, max_gap_days: int = 365, max_null_share: float = 0.5) -> list[str]:
     """Date columns without a gap above a year and with at most half of the cells missing."""
-    out = []
-    for c in date_columns(df):
-        share = _facts(df, {"s": F.try_divide(F.count(F.lit(1)) - F.count(q(c)), F.count(F.lit(1)))})["s"] or 0
+    out, dated = [], date_columns(df)
+    shares = _facts(df, {c: F.try_divide(F.count(F.lit(1)) - F.count(q(c)), F.count(F.lit(1))) for c in dated}) if dated else {}
+    for c in dated:
+        share = shares[c] or 0
+        if share > max_null_share:
+            continue
         days = df.select(F.unix_micros(q(c).cast("timestamp")).alias("at")).filter("at is not null").distinct()
+        days = stage(days, "days")
         gap = largest_gap(days, "at").first()["max_gap"] or 0
-        if gap <= max_gap_days * 86_400 * 10**6 and share <= max_null_share:
+        if gap <= max_gap_days * 86_400 * 10**6:
             out.append(c)
     return out
 
@@ -404,7 +416,7 @@ def prepare(raw: DataFrame, config: PrepareConfig) -> Prepared:
         report.append((name, ", ".join(gone)))
         return after
 
-    df = step("block list", raw, raw.drop(*config.block_list))
+    df = step("block list", raw, nan_to_null(raw.drop(*config.block_list)))
     df = step("names", df, clean_names(df))
     df = step("symbols", df, strip_symbol(df))
     df = step("dates", df, handle_dates(df, config.source_type, config.now))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tablemill.functions import dates
 from tablemill.functions.names import date_columns, non_numeric_columns, numeric_columns, text_columns
+from tablemill.plans.prepare import distinct_counts, nan_to_null
 
 
 def _as_rows(row: DataFrame, names: Sequence[str], label: str = "column") -> DataFrame:
@@ -31,11 +32,10 @@ def date_like(df: DataFrame) -> DataFrame:
     than a day that starts after 1970-01-01.
     """
     checks = []
-    day = 86_400 * 10**9
     for c in text_columns(df):
         checks.append((F.count(F.when(F.col(c).isNotNull() & dates.parse_date(F.col(c)).isNull(), 1)) == 0).alias(c))
     for c in numeric_columns(df):
-        checks.append(((F.max(c) - F.min(c) > day) & (F.min(c) > 0)).alias(c))
+        checks.append(dates.is_nanoseconds(F.col(c)).alias(c))
     names = [*text_columns(df), *numeric_columns(df)]
     return df.agg(*checks).unpivot([], names, "column", "is_date")
 
@@ -44,10 +44,12 @@ def column_profile(df: DataFrame) -> DataFrame:
     """Rows, nulls and distinct values of every column: ``(column, kind, n_rows, n_null, n_distinct)``."""
     numeric, dated = set(numeric_columns(df)), set(date_columns(df))
     kinds = {c: "numeric" if c in numeric else "date" if c in dated else "other" for c in df.columns}
+    df = nan_to_null(df)
     row = df.agg(*[F.struct(
         F.lit(kinds[c]).alias("kind"), F.count(F.lit(1)).alias("n_rows"),
-        (F.count(F.lit(1)) - F.count(f"`{c}`")).alias("n_null"), F.count_distinct(f"`{c}`").alias("n_distinct")).alias(c) for c in df.columns])
-    return _as_rows(row, df.columns)
+        (F.count(F.lit(1)) - F.count(f"`{c}`")).alias("n_null")).alias(c) for c in df.columns])
+    distinct = distinct_counts(df, df.columns).withColumnRenamed("n", "n_distinct")
+    return _as_rows(row, df.columns).join(distinct, "column")
 
 
 # Score table of the row-count part.
@@ -62,23 +64,24 @@ def health_score(df: DataFrame) -> DataFrame:
     """One row: the four part scores and their mean."""
     n_columns, others = len(df.columns), non_numeric_columns(df)
     n_numeric = n_columns - len(others)
+    df = nan_to_null(df)
+    blown = distinct_counts(df, others).agg(F.count_if(F.col("n") > MANY_VALUES)).scalar()
     profile = df.agg(
         F.count(F.lit(1)).alias("n_rows"),
-        sum((F.count(F.lit(1)) - F.count(f"`{c}`") for c in df.columns), F.lit(0)).alias("n_null"),
-        sum((F.when(F.count_distinct(f"`{c}`") > MANY_VALUES, 1).otherwise(0) for c in others), F.lit(0)).alias("n_blown"))
+        sum((F.count(F.lit(1)) - F.count(f"`{c}`") for c in df.columns), F.lit(0)).alias("n_null")).withColumn("n_blown", blown)
     rows = F.col("n_rows")
     row_score = F.when(rows <= 1000, rows / 20)
     for limit, score in ROW_STEPS:
         row_score = row_score.when(rows < limit, score)
-    blown = None
+    blow_score = None
     for n, score in BLOWOUT_SCORES.items():
-        blown = F.when(F.col("n_blown") == n, score) if blown is None else blown.when(F.col("n_blown") == n, score)
+        blow_score = F.when(F.col("n_blown") == n, score) if blow_score is None else blow_score.when(F.col("n_blown") == n, score)
     parts = profile.select(
         "n_rows", "n_null", "n_blown",
         (100 * (1 - F.col("n_null") / (rows * n_columns))).alias("sparsity"),
         row_score.otherwise(FULL_SCORE).alias("row_count"),
         F.lit((min(100.0, 20.0 * n_numeric) + min(100.0, 20.0 * len(others))) / 2).alias("type_mix"),
-        blown.otherwise(0.0).alias("blowout"))
+        blow_score.otherwise(0.0).alias("blowout"))
     score = (F.col("sparsity") + F.col("row_count") + F.col("type_mix") + F.col("blowout")) / 4
     return parts.withColumn("health", score)
 

@@ -20,6 +20,8 @@ PERIODS = {"H": 24, "D": 7, "W": 52, "MS": 12, "QS": 4, "YS": 1}
 RANKS = {f: len(FREQUENCIES) - 1 - i for i, f in enumerate(FREQUENCIES)}
 MAX_TRIM = 20
 MAX_EMPTY_YEARS = 500
+# Empty buckets between two known ones that are filled in; a gap beyond is refused with an error.
+MAX_GAP = 1_000_000
 
 
 def bucket_index(at: Column, freq: str) -> Column:
@@ -67,7 +69,9 @@ def fill_buckets(buckets: DataFrame, keys: Sequence[str], value: str = "value")
     by_bucket = Window.partitionBy(*keys).orderBy("b")
     following = F.lead("b").over(by_bucket)
     first = F.min("b").over(Window.partitionBy(*keys))
-    spread = buckets.withColumn("__to", F.coalesce(following - 1, F.col("b"))).withColumn("__first", first)
+    empty = F.coalesce(following - 1, F.col("b")) - F.col("b")
+    bounded = F.when(empty > MAX_GAP, F.raise_error(F.lit(f"a gap of more than {MAX_GAP} empty buckets: is a date wrong, or the frequency too fine?")).cast("long"))
+    spread = buckets.withColumn("__to", bounded.otherwise(F.coalesce(following - 1, F.col("b")))).withColumn("__first", first)
     return (
         spread.withColumn("__b", F.explode(F.sequence("b", "__to")))
         .withColumn(value, F.when(F.col("__b") == F.col("b"), F.col(value)))

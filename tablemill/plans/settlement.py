@@ -75,7 +75,14 @@ def settlement(sources: dict[str, DataFrame], year: int | None = None, changed_s
     if year is not None:
         mtm = mtm.filter(F.col("position_start_dt_id").between(year * 10000 + 101, year * 10000 + 1231))
     mtm = mtm.withColumnsRenamed({"update_dt": "mtm_update_dt"})
-    inv = settled_quantities(sources)
+    line = ["contract_type", "contract_number", "contract_line_number"]
+    wanted = mtm.select(*line)
+    if changed_since is not None:
+        # a contract line is loaded if one of its transactions or positions has changed
+        since = F.lit(changed_since).cast("date")
+        wanted = sources["inv"].filter(F.col("update_dt") >= since).select(*line).unionByName(mtm.filter(F.col("mtm_update_dt") >= since).select(*line))
+    # versions are kept per contract line and release, so whole groups stay or go
+    inv = settled_quantities({**sources, "inv": sources["inv"].join(wanted.distinct(), line, "left_semi")})
     product = sources["product"].select(F.col("surrogate_key2").alias("product_id1"), "product_type", "prod_name", "ebs_item")
     keys = ["mtm_guid", "contract_number", "contract_line_number", "contract_type"]
     joined = inv.join(mtm, keys).join(product, "product_id1")
@@ -121,6 +128,6 @@ def settlement(sources: dict[str, DataFrame], year: int | None = None, changed_s
     return out
 
 
-def high_water_mark(target: DataFrame) -> str | None:
-    """Latest change date already loaded; the next incremental load starts there."""
-    return target.agg(F.max("change_date").cast("string")).first()[0]
+def high_water_mark(target: DataFrame) -> DataFrame:
+    """One row: the latest change date already loaded (null before the first load); the next load starts there."""
+    return target.agg(F.max("change_date").cast("string").alias("loaded_until"))

@@ -34,10 +34,15 @@ def get_session(app: str = "tablemill", master: str | None = None, **conf: str)
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach, as named by ``spark.checkpoint.dir``.
 
-    A machine-local folder is used only where the setting is absent, i.e. in local tests.
+    Where the setting is absent, a temporary folder serves one process on one machine.  On a cluster
+    it has to be set, and to name its file system: executors would else write to their own disks, and
+    a later read would miss those files without an error.
     """
     global _local_scratch
     named = spark.conf.get("spark.checkpoint.dir", None)
+    alone = spark.sparkContext.master == "local" or spark.sparkContext.master.startswith("local[")
+    if not alone and not (named and "://" in named or named and named.startswith("file:")):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share, with the scheme of its file system")
     if named:
         return named.rstrip("/")
     if _local_scratch is None:
@@ -60,12 +65,3 @@ def stage(df, label: str):
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
-
-def spread(df):
-    """Deal out the rows of a small scan that has fewer tasks than the cluster has cores.
-
-    For work that costs much more than moving its input, such as splitting texts into words.  A
-    large table already has more tasks than cores and is left as it is.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

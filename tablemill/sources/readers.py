@@ -147,6 +147,8 @@ def read_source(spark: SparkSession, config: SourceConfig) -> DataFrame:
     """Read the configured source; an unknown kind is an error."""
     kind, path, schema = config.kind, config.path, config.schema
     if kind in ("csv", "excel"):  # spreadsheets arrive exported as csv
+        if path.lower().rstrip("/").endswith((".xls", ".xlsx", ".xlsm", ".xlsb")):
+            raise ValueError(f"{path} is a workbook; export its sheet as csv first")
         return read_csv(spark, path, schema, **config.options)
     if kind == "json":
         return read_json(spark, path, schema)

@@ -103,8 +103,9 @@ def convert_feed(feed: DataFrame, convert: Callable[[Column], Column], path: str
 
 
 def running_average(feed: DataFrame, keys: Sequence[str], value: Column, path: str, checkpoint: str) -> DataFrame:
-    """Average over all deliveries so far; the last batch holds the final state."""
+    """Average over all deliveries so far; a batch writes the keys that it changed, and the last word counts."""
     state = feed.groupBy(*keys).agg((F.sum(value).cast("double") / F.count(value)).alias("average"), F.count(value).alias("n"))
-    run_batches(state, batch_writer(lambda b: b, path), checkpoint, mode="complete")
-    every = feed.sparkSession.read.parquet(path)
-    return every.filter(F.col("batch") == every.agg(F.max("batch")).scalar()).drop("batch")
+    run_batches(state, batch_writer(lambda b: b, path), checkpoint, mode="update")
+    changes = feed.sparkSession.read.parquet(path)
+    last = F.max_by(F.struct("average", "n"), "batch").alias("last")
+    return changes.groupBy(*keys).agg(last).select(*keys, "last.average", "last.n")

@@ -116,12 +116,54 @@ def test_rising_pairs(spark):
     rng = random.Random(3)
     rows = [(rng.randint(0, 3), rng.randint(0, 60), rng.randint(0, 100)) for _ in range(400)]
     df = spark.createDataFrame(rows, "k int, p int, v int")
-    got = {r.k: r.n_pairs for r in ordered.count_rising_pairs(df, ["k"], "p", "v", 6, 7).collect()}
+    got = {r.k: r.n_pairs for r in ordered.count_rising_pairs(df, ["k"], "p", "v").collect()}
     for k in {r[0] for r in rows}:
         group = [r for r in rows if r[0] == k]
         assert got[k] == sum(1 for a in group for b in group if a[1] < b[1] and a[2] < b[2])
 
 
+def test_rising_pairs_of_any_numbers(spark):
+    rng = random.Random(6)
+    rows = [(1, rng.choice([-3.5, 0.25, 9.0, 1e6, None]), rng.choice([-74.2, -0.1, 10.2, 10.7, 74.0, None])) for _ in range(120)] + [(2, 1.0, 10.0), (2, 9.0, 74.0)]
+    got = {r.k: r.n_pairs for r in ordered.count_rising_pairs(spark.createDataFrame(rows, "k int, p double, v double"), ["k"], "p", "v").collect()}
+    for k in (1, 2):
+        group = [r for r in rows if r[0] == k and None not in r]
+        assert got[k] == sum(1 for a in group for b in group if a[1] < b[1] and a[2] < b[2])
+
+
+@pytest.mark.parametrize(("width", "block"), [(8, 3), (5, 5), (2, 100), (1, 1)])
+def test_rolling_frames_wider_than_a_block(spark, width, block):
+    df = spark.range(1, 31).select(F.col("id").alias("pos"), (F.col("id") * F.col("id")).alias("v"))
+    got = {r.pos: (r.total, r.n) for r in ordered.rolling(df, "pos", width, block=block, total=F.sum("v"), n=F.count("v")).collect()}
+    assert got == {p: (sum(x * x for x in range(p, min(31, p + width))), min(31, p + width) - p) for p in range(1, 31)}
+
+
+def test_texts_with_a_common_start_are_cut(spark):
+    urls = [f"https://www.example.com/{i:05d}" for i in range(2000)] + [None, "", "ü", "日本"]
+    df = spark.createDataFrame([(u,) for u in urls], "u string")
+    sizes = [r["count"] for r in ordered.with_range(df, "u", parts=8).groupBy(ordered.RANGE).count().collect()]
+    assert len(sizes) == 8 and max(sizes) < 600
+    got = {r.u: r.pos for r in ordered.positions(df, [F.col("u")], on="u", parts=8).collect()}
+    assert got == {u: i + 1 for i, u in enumerate(sorted(urls, key=lambda u: (u is not None, (u or "").encode())))}
+
+
+@pytest.mark.parametrize("kind", ["double", "timestamp", "date", "decimal(12,3)", "boolean"])
+def test_ranges_of_other_types(spark, kind):
+    base = F.col("id") % 97
+    value = {"double": F.when(base == 5, float("nan")).when(base == 6, None).otherwise(base / 7), "timestamp": F.timestamp_seconds(base * 86_401),
+             "date": F.date_add(F.lit("2020-01-01").cast("date"), base.cast("int")), "decimal(12,3)": (base / 8).cast("decimal(12,3)"), "boolean": base > 40}[kind]
+    df = spark.range(500).select("id", value.alias("v"))
+    order = [F.col("v"), F.col("id")]
+    got = {r.id: r.pos for r in ordered.positions(df, order, on=["v", "id"], parts=6).collect()}
+    want = {r.id: i + 1 for i, r in enumerate(df.orderBy(*order).collect())}
+    assert got == want
+
+
+def test_equal_sums_of_doubles_meet(spark):
+    df = spark.createDataFrame([(1, 1, 0.1), (1, 2, 0.2)], "k int, p int, v double")
+    assert [tuple(r) for r in joining.pair_to_goal(df, ["k"], "p", "v", 0.3).collect()] == [(1, 0.1, 0.2)]
+
+
 @pytest.mark.parametrize("nums,goal,want", [([1, 2, 2, 10], 4, (2, 2)), ([4, 2, 10, 5, 1], 6, (4, 2)), ([5, 1, 4, 8, 3, 2], 7, (4, 3)), ([11, 20, 4, 2, 1, 5], 100, None)])
 def test_pair_to_goal_golden(spark, nums, goal, want):
     df = spark.createDataFrame([(1, i, v) for i, v in enumerate(nums)], "g int, pos int, v int")

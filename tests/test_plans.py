@@ -1,13 +1,16 @@
 """Preparation, baskets, evaluation, modelling, sources and feeds on small hand-made tables."""
 
+import itertools
 import random
 from itertools import combinations
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.ml.classification import LogisticRegression
 from pyspark.sql import functions as F
 
+from tablemill.operators.summary import correlation_matrix
 from tablemill.plans import basket as mb
 from tablemill.plans import evaluate as ev
 from tablemill.plans import modelling as md
@@ -41,18 +44,41 @@ def test_vif_matches_regression(spark):
     assert prep.collinear_columns(df, ["a", "b", "c"])[0] in ("a", "c")
 
 
-def test_wide_cross_products_match_narrow(spark, monkeypatch):
-    df = spark.range(300).select(F.rand(1).alias("a"), (F.rand(2) * 100 + 7).alias("b"), F.lit(3).alias("same"), (F.rand(3) - 5).alias("c")).cache()
-    narrow = prep.cross_products(df, df.columns)
-    monkeypatch.setattr(prep, "NARROW", 0)
-    assert np.allclose(prep.cross_products(df, df.columns), narrow)
+def test_cross_products(spark):
+    rng = np.random.default_rng(2)
+    x = np.column_stack([rng.normal(size=300), rng.normal(size=300) * 100 + 7, np.full(300, 3.0), rng.normal(size=300) - 5])
+    rows = [tuple(map(float, r)) for r in x] + [(1.0, None, 2.0, 3.0), (float("nan"), 1.0, 1.0, 1.0)]
+    df = spark.createDataFrame(rows, "a double, b double, same double, c double").repartition(5).cache()
+    full = np.column_stack([np.ones(300), x])
+    assert np.allclose(prep.cross_products(df, df.columns), full.T @ full)
     assert "same" in prep.collinear_columns(df, df.columns)
 
 
-def test_item_columns_of_a_wide_table(spark, monkeypatch):
-    df = spark.range(100).select((F.col("id") % 2).alias("odd"), (F.col("id") % 2).alias("odd_again"), (F.col("id") % 3).alias("third"))
-    monkeypatch.setattr(mb, "NARROW", 0)
-    assert mb.item_columns(df) == ["odd", "third"]
+def test_correlations_of_thirty_columns_with_nulls(spark):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(200, 30))
+    x[:, 1] += x[:, 0]
+    x[rng.random((200, 30)) < 0.2] = np.nan
+    x[:, 29] = 4.0
+    df = spark.createDataFrame([tuple(None if np.isnan(v) else float(v) for v in r) for r in x], ", ".join(f"c{i} double" for i in range(30)))
+    got = correlation_matrix(df, df.columns)
+    want = pd.DataFrame(x).corr().to_numpy()
+    assert np.allclose(got, want, equal_nan=True, atol=1e-9)
+
+
+def test_item_columns_keep_their_meaning_at_any_width(spark):
+    few = [(F.col("id") % 2).alias("odd"), (F.col("id") % 2).alias("odd_again"), F.when(F.col("id") > 60, F.col("id") % 3).alias("third")]
+    many = [F.when(F.col("id") % 40 != i, F.pmod(F.hash("id", F.lit(i)), F.lit(2)).cast("long")).alias(f"x{i}") for i in range(30)]
+    assert mb.item_columns(spark.range(100).select(*few)) == ["odd", "third"]
+    assert mb.item_columns(spark.range(100).select(*few, *many))[:2] == ["odd", "third"]
+
+
+def test_frequent_sets_of_many_items_per_row(spark):
+    rows = [([f"i{k:03d}" for k in range(300)], 2), ([f"i{k:03d}" for k in range(0, 300, 100)], 5), (["z"], 3)]
+    found = spark.createDataFrame(rows, "items array<string>, n long")
+    got = {tuple(r["items"]): r["n"] for r in mb.frequent_itemsets(found, 0.5).collect()}
+    often = ["i000", "i100", "i200"]
+    assert got == {c: 7 for k in (1, 2, 3) for c in itertools.combinations(often, k)}
 
 
 def test_vif_infinite_and_uncentred(spark):
@@ -83,10 +109,16 @@ def test_null_modes(spark):
 
 
 def test_label_needs_two_values(spark):
-    with pytest.raises(ValueError, match="more than two"):
+    with pytest.raises(ValueError, match="has more"):
         prep.recode_label(spark.range(3).withColumnRenamed("id", "y"), "y", 1)
-    with pytest.raises(ValueError, match="only has one"):
+    with pytest.raises(ValueError, match="it has 1"):
         prep.recode_label(spark.range(1).withColumnRenamed("id", "y"), "y", 0)
+    numbers = spark.createDataFrame([(1.0,), (0.0,), (None,)], "y double")
+    assert [r.y for r in prep.recode_label(numbers, "y", "1").collect()] == [1, 0, None]
+    with pytest.raises(ValueError, match="never takes"):
+        prep.recode_label(numbers, "y", 7)
+    flags = spark.createDataFrame([(True,), (False,)], "y boolean")
+    assert [r.y for r in prep.recode_label(flags, "y", True).collect()] == [1, 0]
     assert sorted(r.y for r in prep.recode_label(spark.createDataFrame([("yes",), ("no",)], "y string"), "y", "yes").collect()) == [0, 1]
 
 
