@@ -113,3 +113,21 @@ def basket_views(t):
     marker = listed.select(F.lit("marker").alias("measure"), F.lit("scaled").alias("part"), "basket",
                            F.round(15 + 15 * (F.col("support") - low) / (high - low), 6).alias("value"))
     return union_all([*views, marker])
+
+
+@job("b08_measure_views", f"""
+    WITH {MEASURED} SELECT * FROM ((SELECT 'top' AS part, basket, l_quantity_basket_mean AS value FROM w ORDER BY value DESC, basket LIMIT 5)
+      UNION ALL (SELECT 'bottom', basket, l_quantity_basket_mean AS value FROM w ORDER BY value, basket LIMIT 5))""")
+def measure_views(t, measure="l_quantity_basket_mean"):
+    """First and last five baskets by any measure of the report."""
+    report = stage(mb.basket_report(basket_table(t), ITEMS, MEASURES), "basket-report")
+    return top_and_bottom(report, measure, "basket", 5).select("part", "basket", F.col(measure).alias("value"))
+
+
+@job("b08_basket_lookup", f"""
+    WITH {MEASURED} SELECT * FROM w WHERE basket = (SELECT basket FROM w ORDER BY lift DESC, basket LIMIT 1)""")
+def basket_lookup(t):
+    """All measures of one basket: the one of the highest lift."""
+    report = stage(mb.basket_report(basket_table(t), ITEMS, MEASURES), "basket-report").drop("items", *[f"{c}_highlight" for c in _PARTS])
+    chosen = report.agg(F.min(F.struct((-F.col("lift")).alias("l"), "basket"))).scalar()["basket"]
+    return report.filter(F.col("basket") == chosen)

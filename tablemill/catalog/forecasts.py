@@ -99,3 +99,17 @@ def forecast_lines(t):
     runs = union_all([last.select("k", F.lit(run).alias("run"), (F.col("x.b") + 1).cast("string").alias("bucket"), (F.col("x.value") * factor).alias("forecast"))
                       for run, factor in ((1, 2.0), (2, 1.0))])
     return sm.forecast_lines(history, sm.latest_results(runs, ["k"], "run"), ["k"])
+
+
+@job("t16_fitted_summary")
+def fitted_summary(t):
+    """The models that the smoothing chose, in words."""
+    return sm.model_summary(smoothed(t)[1], ["k"])
+
+
+@job("t16_fitted_lines")
+def fitted_lines(t):
+    """History and the forecasts of the chosen models under one another."""
+    series, best = smoothed(t)
+    forecasts = sm.forecast_rows(sm.smooth(series, ["k"], best), ["k"], "MS").filter("step > 0")
+    return sm.forecast_lines(series, forecasts, ["k"])

@@ -184,6 +184,18 @@ def what_if_rows(t):
     return md.expand_dummies(flagged, memory)
 
 
+@job("m11_what_if_scores")
+def what_if_scores(t):
+    """The edited rows scored again by a model of the training rows."""
+    low = (F.substring("p_brand", 7, 1) < "3").cast("int").alias("target")
+    train = scaling.train_test_split(t.part, "p_partkey", 20, seed=1).filter(~F.col("test")).select("p_size", "p_retailprice", "p_type", low)
+    table, memory = prep.dummy_columns(train, label="target", few=1)
+    features = [c for c in table.columns if c != "target"]
+    model = md.LogisticRegression(maxIter=20).fit(md.assemble(table, features, "target"))
+    scored = md.score(model, md.assemble(what_if_rows(t).withColumn("target", F.lit(0)), features, "target"))
+    return scored.select("scenario", "p_size_outside", "p_retailprice_outside", "prediction", F.col("score").alias("pos_proba"))
+
+
 @job("m12_svm_grid")
 def svm_grid(t):
     ready, _ = training(t)
@@ -192,16 +204,20 @@ def svm_grid(t):
 
 @job("m13_run_summary", f"""
     WITH {METRICS_SQL}, a AS ({AUC}) SELECT run, 'scored labels' AS model_type, 'labels' AS file_name, 3 AS col_count, tp::DOUBLE / (tp + fp) AS precision, tp::DOUBLE / (tp + fn) AS recall, 2 * tp::DOUBLE / (2 * tp + fp + fn) AS f1,
-      (tp + tn)::DOUBLE / (tp + fp + fn + tn) AS accuracy, round(soft, 6) AS log_loss, round(hard, 6) AS log_loss_hard, auc AS roc_auc, (SELECT count(*) FROM s) AS test_item_count
+      (tp + tn)::DOUBLE / (tp + fp + fn + tn) AS accuracy, round(soft, 6) AS log_loss, round(hard, 6) AS log_loss_hard, auc AS roc_auc, (SELECT count(*) FROM s) AS test_item_count,
+      (SELECT count(*) FROM labels) AS row_count, 'quality' AS target, 'threshold=0.5' AS parameters, 'score=1.0' AS importances, 'first line; second line' AS analysis, true AS stamped, true AS timed
     FROM c, l, a, (SELECT unnest(['first', 'second']) AS run)""")
 def run_summary(t):
     """Two runs appended to one table of run records."""
-    path = t.scratch("runs")
+    path, rows = t.scratch("runs"), t.labels.agg(F.count(F.lit(1))).scalar()
     for run in ("first", "second"):
-        row = ev.run_summary(scored_labels(t), run=run, model_type="scored labels", file_name="labels", col_count=len(t.labels.columns))
+        row = ev.run_record(scored_labels(t), rows, target="quality", parameters={"threshold": 0.5}, importances={"score": 1.0}, run_seconds=0.1,
+                            analysis=["first line", "second line"], run=run, model_type="scored labels", file_name="labels", col_count=len(t.labels.columns))
         row = row.drop("tp", "fp", "fn", "tn").withColumns({c: F.round(c, 6) for c in ("log_loss", "log_loss_hard")})
         row.write.mode("append").parquet(path)
-    return t.spark.read.schema(row.schema).parquet(path)
+    kept = t.spark.read.schema(row.schema).parquet(path)
+    recent = F.col("created_at").between(F.current_timestamp() - F.expr("interval 1 hour"), F.current_timestamp() + F.expr("interval 1 hour"))
+    return kept.withColumns({"stamped": recent, "timed": F.col("run_seconds") > 0}).drop("created_at", "run_seconds")
 
 
 TERMS = "SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]{2,}')) AS term FROM documents"

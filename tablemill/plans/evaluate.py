@@ -61,3 +61,10 @@ def run_summary(scored: DataFrame, **facts) -> DataFrame:
     area = roc_area(roc_points(scored)).scalar()
     size = scored.agg(F.count(F.lit(1))).scalar()
     return metrics.withColumns({"roc_auc": area, "test_item_count": size, **{k: F.lit(v) for k, v in facts.items()}})
+
+
+def run_record(scored: DataFrame, rows: Column, target: str, parameters: dict, importances: dict, run_seconds: float, analysis: list[str], **facts) -> DataFrame:
+    """``run_summary`` with what else a run leaves behind: its input, settings, importances, lines of analysis, time and date."""
+    listed = lambda d: ", ".join(f"{k}={v}" for k, v in d.items())
+    return run_summary(scored, target=target, parameters=listed(parameters), importances=listed(importances), analysis="; ".join(analysis),
+                       run_seconds=float(run_seconds), **facts).withColumns({"row_count": rows, "created_at": F.current_timestamp()})
