@@ -67,12 +67,15 @@ class Machine:
         return sigmoid(self.logits(*term_sets(texts, terms, self.column)))
 
 
-def telling_terms(starts: np.ndarray, ids: np.ndarray, y: np.ndarray, least: float, most: int) -> np.ndarray:
+def telling_terms(sets: list[np.ndarray], y: np.ndarray, least: float, most: int) -> np.ndarray:
     """Term ids whose presence goes with the label: likelihood ratio of at least ``least``, best first."""
-    labels = np.repeat(y, np.diff(starts))
     n1, n = y.sum(), len(y)
-    with1 = np.bincount(ids, weights=labels, minlength=SPACE)
-    with_any = np.bincount(ids, minlength=SPACE).astype(float)
+    with1, with_any = np.zeros(SPACE), np.zeros(SPACE)
+    for at in range(0, len(sets), 512):
+        part = sets[at : at + 512]
+        with_any += np.bincount(np.concatenate(part), minlength=SPACE)
+        if good := [x for x, label in zip(part, y[at : at + 512], strict=True) if label]:
+            with1 += np.bincount(np.concatenate(good), minlength=SPACE)
     seen = np.flatnonzero(with_any >= 4)
     a, c = with1[seen], with_any[seen]
     cells = [(a, c * n1 / n), (c - a, c * (n - n1) / n), (n1 - a, (n - c) * n1 / n), (n - c - n1 + a, (n - c) * (n - n1) / n)]
@@ -81,21 +84,26 @@ def telling_terms(starts: np.ndarray, ids: np.ndarray, y: np.ndarray, least: flo
     return good[np.argsort(-ratio[ratio >= least], kind="stable")][:most]
 
 
-def fit_machine(starts: np.ndarray, ids: np.ndarray, y: np.ndarray, rank: int = 6, epochs: int = 12,
-                rate: float = 0.03, least: float = 8.0, most: int = 20_000) -> Machine:
-    """Adam on the log loss over the telling terms; without rows of both kinds only the bias is set."""
+def fit_machine(sets: list[np.ndarray], y: np.ndarray, rank: int = 6, epochs: int = 20, rate: float = 0.03, least: float = 16.0,
+                most: int = 20_000) -> Machine:
+    """Adam on the log loss over the telling terms; ``sets`` are the distinct term ids of each row.
+
+    Without rows of both kinds only the bias is set.
+    """
     rng = np.random.default_rng(5)
     prior = (y.sum() + 1.0) / (len(y) + 2.0)
     column = np.full(SPACE, -1, dtype=np.int64)
-    terms = telling_terms(starts, ids, y, least, most) if len(set(y.tolist())) == 2 else np.zeros(0, np.int64)
+    terms = telling_terms(sets, y, least, most) if len(set(y.tolist())) == 2 else np.zeros(0, np.int64)
     column[terms] = np.arange(len(terms))
     made = Machine(column, float(np.log(prior / (1 - prior))), np.zeros(len(terms)), rng.normal(0, 0.02, (len(terms), rank)))
     if not len(terms):
         return made
-    cols = column[ids]
-    lengths = np.array([int((cols[a:b] >= 0).sum()) for a, b in zip(starts[:-1], starts[1:], strict=True)])
-    cols = cols[cols >= 0]
+    kept = [own[own >= 0] for own in (column[x] for x in sets)]
+    lengths = np.array([len(x) for x in kept])
+    cols = np.concatenate(kept)
     begins = np.concatenate([[0], np.cumsum(lengths)])
+    # the rarer label weighs more, by the root of the ratio of the two
+    weigh = np.where(y == 1, max(1.0, np.sqrt((len(y) - y.sum()) / y.sum())), max(1.0, np.sqrt(y.sum() / (len(y) - y.sum()))))
     size, step = len(terms), 0
     first, second = np.zeros((size, rank + 1)), np.zeros((size, rank + 1))
     order = np.arange(len(y))
@@ -105,7 +113,7 @@ def fit_machine(starts: np.ndarray, ids: np.ndarray, y: np.ndarray, rank: int =
             rows = order[at : at + 256]
             part = np.concatenate([cols[begins[r] : begins[r + 1]] for r in rows])
             runs = np.concatenate([[0], np.cumsum(lengths[rows])])
-            error = (sigmoid(made.logits(runs, part)) - y[rows]) / len(rows)
+            error = weigh[rows] * (sigmoid(made.logits(runs, part)) - y[rows]) / len(rows)
             each = np.repeat(error, lengths[rows])
             own = made.factor[part]
             slope = each[:, None] * (np.repeat(_sums(own, runs), lengths[rows], axis=0) - own)
@@ -151,11 +159,8 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.7,
         .toPandas()
         .sort_values("doc_id", kind="stable")
     )
-    sets = [np.frombuffer(b, dtype="<u4") for b in known["ids"]]
-    starts = np.concatenate([[0], np.cumsum([len(x) for x in sets])]).astype(np.int64)
-    ids = np.concatenate(sets).astype(np.int64) if sets else np.zeros(0, np.int64)
-    machine = fit_machine(starts, ids, known["y"].to_numpy(dtype=np.float64))
-    del known, sets, ids
+    machine = fit_machine([np.frombuffer(b, dtype="<u4") for b in known["ids"]], known["y"].to_numpy(dtype=np.float64))
+    del known
 
     @F.pandas_udf("double")
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:

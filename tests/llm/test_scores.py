@@ -75,7 +75,7 @@ def test_machine_learns_a_pair_that_no_weight_shows():
     sets = [np.array(sorted([1] * int(p) + [2] * int(q) + [3])) for p, q in zip(a, b, strict=True)]
     sets = [np.unique(s) for s in sets]
     starts = np.r_[0, np.cumsum([len(s) for s in sets])]
-    machine = toxicity.fit_machine(starts, np.concatenate(sets), y, epochs=60, least=0.0, rate=0.05)
+    machine = toxicity.fit_machine(sets, y, epochs=60, least=0.0, rate=0.05)
     assert ((machine.logits(starts, machine.column[np.concatenate(sets)]) > 0) == y).mean() > 0.95
 
 
