@@ -47,6 +47,9 @@ NAMED = {
     2.5: "article content entry post story body main maincontent",
 }
 NAME_WEIGHT = {name: weight for weight, names in NAMED.items() for name in names.split()}
+#: Words beside which a name of boilerplate describes the layout; and elements that are never boilerplate by name.
+LAYOUT = frozenset("has with no without layout wrapper container page".split())
+WHOLE = frozenset("html body main".split())
 STRONG = -4.0
 
 
@@ -64,8 +67,12 @@ def name_evidence(attributes: str) -> float:
     found = 0.0
     for name, *values in ATTRIBUTE.findall(attributes):
         if name.lower() in ("class", "id", "role", "itemprop"):
-            for part in re.split(r"[^a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", "".join(values)).lower()):
+            words = re.split(r"[^a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", "".join(values)).lower())
+            layout = not LAYOUT.isdisjoint(words)  # says what the page has, not what the element is
+            for part in words:
                 weight = NAME_WEIGHT.get(part, 0.0)
+                if weight < 0 and layout:
+                    continue
                 if (weight < 0 and weight < found) or (weight > 0 and found >= 0 and weight > found):
                     found = weight
         elif name.lower() == "aria-hidden" and "".join(values).lower() == "true":
@@ -124,6 +131,7 @@ def blocks_of(page: str) -> list[Block]:
                 if name not in VOID:
                     number += 1
                     own = name_evidence(found[4]) if found[4].strip() else 0.0
+                    own = max(own, 0.0) if name in WHOLE else own
                     own = min(own, ELEMENT.get(name, 0.0)) if min(own, ELEMENT.get(name, 0.0)) < 0 else own + ELEMENT.get(name, 0.0)
                     around = stack[-1][2]
                     # what is boilerplate stays so inside; a header within an article holds the article's own title

@@ -24,6 +24,11 @@ def test_hand_made_page():
     assert extraction.main_text(page) == "\n\n".join(want)
 
 
+def test_names_of_the_layout_are_no_boilerplate():
+    page = f'<html class="no-ads"><body class="has-sidebar comments"><div class="page-with-sidebar"><p>{LONG}</p><div class="sidebar">{LONG} side</div></div>'
+    assert extraction.main_text(page) == LONG
+
+
 def test_given_pages(spark, sf_dir):
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
     for row in extraction.extract_pages(pages).join(pages.select("page_id", "html"), "page_id").collect():
