@@ -49,7 +49,7 @@ def rows_of():
     word = lambda: rng.choice("abcdefghijklmnop") + str(rng.randint(0, 30))
     rows = [(1, None), (2, ""), (3, " "), (4, "one two"), (5, "one  two"), (6, "one two three"), (4, "one two"), (None, "null id here"), (None, None)]
     for base in range(12):
-        text = [word() for _ in range(rng.randint(20, 90))]
+        text = [word() for _ in range(rng.randint(40, 140))]
         for _ in range(8):
             copy = list(text)
             for _ in range(rng.randint(0, 4)):
