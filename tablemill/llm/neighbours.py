@@ -3,8 +3,8 @@
 Centroids are fitted on a bounded sample and split until their lists are balanced.  Every vector goes
 to the list of its nearest centroid and, near a boundary, to those of others about as near.  Centroids
 are searched through a neighbour graph held in memory.  A query opens the lists whose centroids are
-within a ratio of its nearest one's distance.  Lists are dealt into blocks of bounded size, so a long
-list is many tasks.
+within a ratio of its nearest one's distance.  Neighbouring lists share a cell, which is a task's work
+and answers a query once; cells are dealt into blocks of bounded size, so a long list is many tasks.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from tablemill.session import stage
 
-#: Rows of a list, and queries of a list, that one task compares at a time.
+#: Rows that one task compares at a time, and queries with them.
 BLOCK = 4096
 
 
@@ -169,11 +169,13 @@ def nearest_neighbours(embeddings: DataFrame, every: int = 50, k: int = 5, list_
     x = np.array((chosen if len(chosen) else classes.limit(1).select("embedding").toPandas())["embedding"].tolist(), dtype=np.float64)
     index = build_index(unit(x), int(min(most_lists, max(1, total // list_rows), max(1, len(x) // 8))))
 
+    per_cell = max(1, BLOCK // list_rows)
+
     def lists_of(batches, ratio: float, keep: int, least: int, sizes: np.ndarray | None):
-        """Each row once for every list that it is put into or searches, nearest first.
+        """Each row once for every cell in which it is put into lists, or searches lists.
 
         Those are the lists whose centroid is at most ``ratio`` times as far as the nearest, at least
-        ``least`` of them, and for a search as many as it takes to hold ``k`` others.
+        ``least`` of them, and for a search as many as it takes to hold ``k`` others.  home is the nearest.
         """
         for batch in batches:
             for a in range(0, len(batch), 2048):
@@ -186,47 +188,57 @@ def nearest_neighbours(embeddings: DataFrame, every: int = 50, k: int = 5, list_
                     own = sizes[np.maximum(ids, 0)]
                     taken |= np.cumsum(own, axis=1) - own <= k
                 r, c = np.nonzero(taken & (ids >= 0))
-                yield part.iloc[r].assign(list=ids[r, c], first=c == 0)
+                lists = ids[r, c]
+                order = np.lexsort((lists, r))
+                r, lists = r[order], lists[order]
+                cell = lists // per_cell
+                cuts = np.flatnonzero((np.diff(r) != 0) | (np.diff(cell) != 0)) + 1
+                first = np.r_[0, cuts] if len(r) else np.zeros(0, np.int64)
+                yield part.iloc[r[first]].assign(cell=cell[first], lists=np.split(lists, cuts) if len(r) else [], home=ids[r[first], 0])
 
     wanted = rows.where(F.col("vec_id") % every == 0).distinct()
     queries = stage(wanted.join(classes.select("embedding", "cid"), "embedding").select("vec_id", "cid"), "queries")
     asked = classes.join(queries.select("cid").distinct(), "cid", "left_semi").select("cid", "embedding")
-    schema = "cid long, embedding array<double>, list int, first boolean"
+    schema = "cid long, embedding array<double>, cell int, lists array<int>, home int"
     posted = stage(classes.select("cid", "embedding").mapInPandas(lambda b: lists_of(b, replicas, beam, 1, None), schema), "lists")
     # how many vectors are nearest to each centroid: a number for each of a bounded number of lists
     sizes = np.zeros(len(index.centroids), dtype=np.int64)
-    for row in posted.where("first").groupBy("list").count().collect():
-        sizes[row["list"]] = row["count"]
+    for row in posted.where(F.col("cell") == F.floor(F.col("home") / per_cell)).groupBy("home").count().collect():
+        sizes[row["home"]] = row["count"]
     opened = stage(asked.mapInPandas(lambda b: lists_of(b, probes, most_probes, least_probes, sizes), schema), "probes")
-    # at most one count per list: bounded by most_lists and the splits
-    blocks = posted.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
-    asks = opened.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("turns"))
-    shape = F.broadcast(blocks.join(asks, "list"))
+    # at most one count per cell: bounded by most_lists and the splits
+    blocks = posted.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    asks = opened.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("turns"))
+    shape = F.broadcast(blocks.join(asks, "cell"))
     upto = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    held = posted.join(shape, "list").withColumn("block", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int")).withColumn("turn", upto("turns"))
-    asking = opened.join(shape, "list").withColumn("turn", F.pmod(F.xxhash64("cid"), F.col("turns")).cast("int")).withColumn("block", upto("blocks"))
+    held = posted.join(shape, "cell").withColumn("block", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int")).withColumn("turn", upto("turns"))
+    asking = opened.join(shape, "cell").withColumn("turn", F.pmod(F.xxhash64("cid"), F.col("turns")).cast("int")).withColumn("block", upto("blocks"))
 
     def compare(key, q: pd.DataFrame, v: pd.DataFrame) -> pd.DataFrame:
-        if not len(q) or not len(v):
-            return pd.DataFrame({"cid": [], "other": [], "score": []}).astype({"cid": "int64", "other": "int64"})
-        a, b = np.array(q["embedding"].tolist(), dtype=np.float64), np.array(v["embedding"].tolist(), dtype=np.float64)
-        na, nb = np.sqrt((a * a).sum(axis=1)), np.sqrt((b * b).sum(axis=1))
-        take = min(len(v), 2 * k + 2)
-        out = []
-        for at in range(0, len(a), 512):
-            sims = (a[at : at + 512] @ b.T) / na[at : at + 512, None] / nb
-            top = np.argpartition(-sims, take - 1, axis=1)[:, :take]
-            i = np.repeat(np.arange(at, at + len(top)), take)
-            j = top.ravel()
-            score = (a[i] * b[j]).sum(axis=1) / (na[i] * nb[j])
-            out.append(pd.DataFrame({"cid": q["cid"].to_numpy()[i], "other": v["cid"].to_numpy()[j], "score": score}))
-        found = pd.concat(out)
+        """The ``k`` + 1 nearest of each query among the vectors in the lists that it opened."""
+        out = [pd.DataFrame({"cid": np.zeros(0, np.int64), "other": np.zeros(0, np.int64), "score": np.zeros(0)})]
+        if len(q) and len(v):
+            a, b = np.array(q["embedding"].tolist(), dtype=np.float64), np.array(v["embedding"].tolist(), dtype=np.float64)
+            na, nb = np.sqrt((a * a).sum(axis=1)), np.sqrt((b * b).sum(axis=1))
+            row_of = lambda lists: (np.repeat(np.arange(len(lists)), [len(x) for x in lists]), np.concatenate(list(lists)))
+            (q_row, q_list), (v_row, v_list) = row_of(q["lists"]), row_of(v["lists"])
+            for one in np.intersect1d(q_list, v_list):
+                rows, near = q_row[q_list == one], v_row[v_list == one]
+                take = min(len(near), 2 * k + 2)
+                for at in range(0, len(rows), 512):
+                    some = rows[at : at + 512]
+                    sims = (a[some] @ b[near].T) / na[some, None] / nb[near]
+                    top = np.argpartition(-sims, take - 1, axis=1)[:, :take]
+                    i, j = np.repeat(some, take), near[top.ravel()]
+                    score = (a[i] * b[j]).sum(axis=1) / (na[i] * nb[j])
+                    out.append(pd.DataFrame({"cid": q["cid"].to_numpy()[i], "other": v["cid"].to_numpy()[j], "score": score}))
+        found = pd.concat(out, ignore_index=True).drop_duplicates(["cid", "other"])
         return found.sort_values(["cid", "score", "other"], ascending=[True, False, True]).groupby("cid").head(k + 1)
 
-    keys = ["list", "block", "turn"]
+    keys = ["cell", "block", "turn"]
     found = (
-        asking.select(*keys, "cid", "embedding").groupBy(*keys)
-        .cogroup(held.select(*keys, "cid", "embedding").groupBy(*keys))
+        asking.select(*keys, "cid", "embedding", "lists").groupBy(*keys)
+        .cogroup(held.select(*keys, "cid", "embedding", "lists").groupBy(*keys))
         .applyInPandas(compare, "cid long, other long, score double")
     )
     # the nearest classes, then the nearest ids, of each class that is asked for
