@@ -49,7 +49,8 @@ class Lattice:
         self.unknown = min(s for s, _ in self.score.values()) - PENALTY
         #: no piece goes on over a blank after another character, so texts can be cut there
         self.cuttable = not any(re.search(f"[^{BLANK}]{BLANK}", p) for p in self.score)
-        self.known: dict[str, tuple[float, list[int]]] = {}
+        #: score, ids as 32-bit numbers, and whether they decode to the stretch, of stretches met before
+        self.known: dict[str, tuple[float, bytes, bool]] = {}
 
     def forward(self, text: str, body: int, begin: list[float]) -> tuple[list[float], list[int], list[int]]:
         """Best score, start and id of the last piece at every position, for pieces that start before ``body``.
@@ -59,22 +60,21 @@ class Lattice:
         size = len(text)
         best = begin + [NEVER] * (size + 1 - len(begin))
         start, last = [-1] * (size + 1), [-1] * (size + 1)
-        find, longest, unknown = self.find, self.longest, self.unknown
+        find, longest, unknown = self.find.get, self.longest, self.unknown
         for i in range(min(body, size)):
             base = best[i]
             if base == NEVER:
                 continue
             single = False
-            for j in range(i + 1, min(i + longest, size) + 1):
-                part = text[i:j]
-                if part not in find:
-                    break
-                hit = find[part]
-                if hit is not None:
+            for j in range(i + 1, (i + longest if i + longest < size else size) + 1):
+                hit = find(text[i:j], 0)
+                if hit:
                     single = single or j == i + 1
                     value = base + hit[0]
                     if value > best[j]:
                         best[j], start[j], last[j] = value, i, hit[1]
+                elif hit == 0:  # no piece goes on from here
+                    break
             if not single and base + unknown > best[i + 1]:
                 best[i + 1], start[i + 1], last[i + 1] = base + unknown, i, -2
         return best, start, last
@@ -88,14 +88,15 @@ class Lattice:
             end = i
         return end, ids[::-1]
 
-    def unit(self, text: str) -> tuple[float, list[int]]:
-        """Score and ids of a stretch that no piece crosses."""
+    def unit(self, text: str) -> tuple[float, bytes, bool]:
+        """Score, ids and exactness of a stretch that no piece crosses."""
         found = self.known.get(text)
         if found is None:
             if len(self.known) >= KEEP:
                 self.known.clear()
             best, start, last = self.forward(text, len(text), [0.0])
-            found = best[-1], self.back(text, len(text), start, last)[1]
+            ids = self.back(text, len(text), start, last)[1]
+            found = best[-1], np.array(ids, dtype="<i4").tobytes(), self.decode(ids) == text
             if len(text) <= 64:
                 self.known[text] = found
         return found
@@ -103,12 +104,14 @@ class Lattice:
     def units(self, text: str) -> list[str]:
         return UNITS.findall(text) if self.cuttable else [text] if text else []
 
+    def encoded(self, text: str) -> tuple[np.ndarray, bool]:
+        """Ids of a text and whether they decode to it; a text decodes if all its stretches do."""
+        known, unit = self.known, self.unit
+        found = [known.get(u) or unit(u) for u in self.units(text)]
+        return np.frombuffer(b"".join([f[1] for f in found]), dtype="<i4"), all([f[2] for f in found])
+
     def encode(self, text: str) -> list[int]:
-        out: list[int] = []
-        known = self.known
-        for unit in self.units(text):
-            out += (known.get(unit) or self.unit(unit))[1]
-        return out
+        return self.encoded(text)[0].tolist()
 
     def decode(self, ids) -> str:
         """The text of ids, blanks still written as pieces do."""
@@ -198,19 +201,25 @@ def encode_documents(docs: DataFrame, path: str, chunk: int = CHUNK) -> DataFram
     longest = lattice.longest
     del lattice
     chunk = max(chunk, longest)
-    rows = docs.select("doc_id", F.when(text == "", "").otherwise(F.concat(F.lit(BLANK), F.translate(text, " ", BLANK))).alias("s"), F.contains(text, F.lit(BLANK)).alias("odd"))
+    # a blank goes before a text that is not empty
+    giant = F.length(text) + 1 > chunk
 
     def short(batches):
         lattice = Lattice(path)
         for batch in batches:
-            ids = [lattice.encode(s) for s in batch["s"]]
-            exact = [lattice.decode(i) == s and not odd for i, s, odd in zip(ids, batch["s"], batch["odd"], strict=True)]
+            ids, exact = [], []
+            for raw in batch["text"]:
+                own, fine = lattice.encoded(BLANK + raw.replace(" ", BLANK) if raw else "")
+                ids.append(own)
+                exact.append(fine and BLANK not in (raw or ""))
             yield pd.DataFrame({"doc_id": batch["doc_id"], "ids": ids, "exact": exact})
 
     made = "doc_id long, ids array<int>, exact boolean"
-    few = rows.where(F.length("s") <= chunk).mapInPandas(short, made)
+    few = docs.select("doc_id", "text").where(~giant).mapInPandas(short, made)
 
-    giants = stage(rows.where(F.length("s") > chunk).withColumn("row", F.monotonically_increasing_id()), "giants")
+    shown = F.concat(F.lit(BLANK), F.replace(text, F.lit(" "), F.lit(BLANK)))
+    rows = docs.where(giant).select("doc_id", shown.alias("s"), F.contains(text, F.lit(BLANK)).alias("odd"))
+    giants = stage(rows.withColumn("row", F.monotonically_increasing_id()), "giants")
     number = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.length("s") - 1) / chunk).cast("long")))
     size = F.lit(chunk + longest - 1)
     cut = giants.select("row", F.length("s").alias("all"), "s", number.alias("no"))
