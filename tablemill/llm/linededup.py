@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tablemill.session import stage
+
 #: Rows of a host's total that the counts of its lines are dealt over.
 SALTS = 32
 
@@ -58,9 +60,10 @@ def dedup_lines(docs: DataFrame, ratio: float = 0.05, least: int = 5) -> DataFra
     source is a host of its own; repeated rows count as pages of their own; a column n_dropped of
     ``docs`` is replaced; an empty table gives an empty table.
     """
-    hosts = boilerplate(docs, ratio, least).select(F.col("host").alias("__host"), F.col("marks").alias("__marks"))
+    # stored, so that Spark knows how small it is before it plans how the documents meet it
+    hosts = stage(boilerplate(docs, ratio, least), "boilerplate").select(F.col("host").alias("__host"), F.col("marks").alias("__marks"))
     rest = [c for c in docs.columns if c != "n_dropped"]
-    # Spark broadcasts the hosts if they measure small enough, else it splits the rows of hot hosts
+    # Spark broadcasts the hosts if they are small enough, else it splits the rows of hot hosts
     joined = docs.select(*(F.col(f"`{c}`") for c in rest), host_of(F.col("source")).alias("__key")).join(
         hosts, F.col("__key") == F.col("__host"), "left"
     )
