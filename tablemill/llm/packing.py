@@ -12,8 +12,12 @@ take the rounded places, and the rest fills what is left, best fit first.
 from __future__ import annotations
 
 import json
+import re
 import zlib
 from bisect import bisect_left, insort
+from collections.abc import Iterator
+from functools import cached_property
+from typing import TYPE_CHECKING
 
 import numpy as np
 import pandas as pd
@@ -23,8 +27,15 @@ from pyspark.sql import functions as F
 
 from tablemill.session import stage
 
+if TYPE_CHECKING:
+    import tiktoken
+
 #: The pre-tokenizer pattern of this family of byte-level vocabularies (a fixed value).
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: What the \s of the pattern matches; that of Python also takes the four separators \x1c to \x1f.
+BLANKS = re.compile(r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
+#: Characters of white space from which on a run is cut out: the faster library gives up on about a million.
+LONG_RUN = 100_000
 #: Share of each configuration whose pieces are left to best fit, which makes up for rounding up.
 SPARE = 0.25
 
@@ -40,7 +51,7 @@ class ByteIds:
     """Ids of whole texts by a byte-level BPE tokenizer file, whose vocabulary a faster library encodes.
 
     Special strings of the vocabulary inside a text become their ids, as the tokenizer file has it.  A
-    null text has no ids.
+    null text has no ids.  Runs of white space of any length are read.
     """
 
     def __init__(self, path: str):
@@ -52,9 +63,37 @@ class ByteIds:
         special = {t["content"]: t["id"] for t in made["added_tokens"]}
         ranks = {bytes(letters[c] for c in token): i for token, i in made["model"]["vocab"].items() if token not in special}
         self.coder = tiktoken.Encoding("file", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=special)
+        self.ranks = ranks
+        self.special = re.compile("(" + "|".join(map(re.escape, special)) + ")" if special else r"(\Z)")
+
+    @cached_property
+    def whole(self) -> tiktoken.Encoding:
+        """Merges a text as one match of the pattern."""
+        import tiktoken
+
+        return tiktoken.Encoding("run", pat_str=r"(?s:.+)", mergeable_ranks=self.ranks, special_tokens={})
+
+    def parts(self, text: str) -> Iterator[tuple[tiktoken.Encoding, str]]:
+        """The text in parts that have the same ids as in the text, each with its coder.
+
+        A match of the pattern always begins where a run of white space of two or more does, since no
+        match goes from other characters into white space.  It takes the run but for the last character,
+        or all of it before a special string and at the end; the next match begins behind it and does
+        not look back.  So a long run is cut out there and is merged as the one match that it is.
+        """
+        for segment in self.special.split(text) if len(text) >= LONG_RUN else [text]:
+            at = 0
+            for run in BLANKS.finditer(segment) if len(segment) >= LONG_RUN else ():
+                if run.end() - run.start() >= LONG_RUN:
+                    stop = run.end() - (run.end() < len(segment))
+                    yield self.coder, segment[at : run.start()]
+                    yield self.whole, segment[run.start() : stop]
+                    at = stop
+            yield self.coder, segment[at:]
 
     def __call__(self, text: str | None) -> np.ndarray:
-        return self.coder.encode_to_numpy(text or "", allowed_special="all").astype("<u4")
+        ids = [coder.encode_to_numpy(part, allowed_special="all") for coder, part in self.parts(text or "")]
+        return np.concatenate(ids).astype("<u4")
 
 
 def token_pieces(docs: DataFrame, path: str, capacity: int = 1024, end_id: int = 2, keep_ids: bool = False) -> DataFrame:

@@ -31,6 +31,29 @@ def test_pieces_against_the_tokenizer(docs_of):
     assert sum(map(len, whole.values())) == sum(w[3] for w in want) and max(map(len, whole.values())) <= 64
 
 
+@pytest.mark.parametrize("text", [
+    " " * 2_000_000, "a" + " " * 2_000_000 + "b", "it's\n" + "\n" * 2_000_000 + "'s", " \n\t\xa0\u3000" * 300_000 + "<|endoftext|>" + "\r" * 1_500_000 + "!",
+    " " * 150_000 + "\x1f" + "\x85" * 150_000 + " x y  " + "\u2003" * 120_000 + "1" + " " * 99_999 + "z<|endoftext|> ",
+])
+def test_long_white_space_against_the_tokenizer(text):
+    assert packing.ByteIds(PATH)(text).tolist() == Tokenizer.from_file(PATH).encode(text, add_special_tokens=False).ids
+
+
+def test_short_runs_are_cut_out_alike(monkeypatch):
+    coder, rng = packing.ByteIds(PATH), random.Random(4)
+    texts = ["".join(rng.choice([" ", " ", "\n", "\t", "\xa0", "\x1c", "\u2028", "a", "é", "1", "!", "'s", "<|endoftext|>"]) for _ in range(40)) for _ in range(3000)]
+    want = [coder(t).tolist() for t in texts]
+    monkeypatch.setattr(packing, "LONG_RUN", 2)
+    assert [coder(t).tolist() for t in texts] == want
+
+
+def test_a_very_long_blank_document_is_packed(docs_of):
+    text = "a" + " " * 2_000_000 + "b"
+    got = packing.packed_documents(docs_of([(1, text), (2, "c")]), PATH).collect()
+    assert sum(r["length"] for r in got if r["doc_id"] == 1) == len(Tokenizer.from_file(PATH).encode(text, add_special_tokens=False).ids) + 1
+    check_places(got, 1024)
+
+
 def check_places(rows, capacity):
     at = {}
     for r in sorted(rows, key=lambda r: (r["sequence_id"], r["offset"])):
