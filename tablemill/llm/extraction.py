@@ -11,32 +11,45 @@ from __future__ import annotations
 
 import html
 import re
-from collections import deque
+from collections import Counter, deque
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Elements whose content is never text of the page; all but the last lines hold raw text that is not parsed.
-RAW = "script|style|template|noscript|svg|math|iframe|object|textarea|select|title|canvas|audio|video"
+#: Elements whose content HTML itself reads raw: up to the end tag of the same name, or the end of the page.
+RAW = "script|style|noscript|iframe|textarea|title"
+#: Parsed elements whose content is never text of the page either, if they are closed.
+UNSHOWN = frozenset("template svg math object select canvas audio video".split())
+TAG = r"(?:\"[^\"]*\"|'[^']*'|[^>\"'])*"
 MARKUP = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<({RAW})\b(?:\"[^\"]*\"|'[^']*'|[^>\"'])*>.*?(?:</\1\s*>|\Z)"
-    r"|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)>|<[!?/][^>]*(?:>|\Z)",
+    rf"<!--.*?(?:-->|\Z)|(?P<open><(?P<raw>{RAW})(?=[\s/>]){TAG}>).*?(?:</(?P=raw)(?=[\s/>])[^>]*>|\Z)"
+    rf"|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<rest>{TAG})>|<[!?/][^>]*(?:>|\Z)",
     re.S | re.I,
 )
+HIDES = re.compile(rf"<(?:{'|'.join(sorted(UNSHOWN))})(?=[\s/>])", re.I)
+#: Of those, the ones with rules of their own: a tag may close itself, and a start tag of ``BREAKOUT`` ends them but inside ``POINTS``.
+FOREIGN = frozenset(["svg", "math"])
+POINTS = frozenset("foreignobject desc annotation-xml mi mo mn ms mtext".split())
+BREAKOUT = frozenset(
+    "b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing menu meta nobr ol p pre "
+    "ruby s small span strong strike sub sup table tt u ul var article aside footer header main nav section".split()
+)
 ATTRIBUTE = re.compile(r"([a-zA-Z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
 BLOCKS = frozenset(
     "address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer "
     "form h1 h2 h3 h4 h5 h6 head header hgroup hr html label legend li main menu nav ol optgroup option p pre section summary table "
     "tbody td tfoot th thead tr ul".split()
 )
-#: A start tag of the key ends an open element of the value.
-ENDS = {"li": {"li", "p"}, "dt": {"dt", "dd", "p"}, "dd": {"dt", "dd", "p"}, "tr": {"tr", "td", "th", "p"}, "td": {"td", "th", "p"}, "th": {"td", "th", "p"}}
+#: A start tag of the key ends an open element of the value; any but these ends options.
+OPTIONS = frozenset(["option", "optgroup"])
+ENDS = {"option": {"option"}, "optgroup": {"option", "optgroup"}, "li": {"li", "p"}, "dt": {"dt", "dd", "p"}, "dd": {"dt", "dd", "p"}, "tr": {"tr", "td", "th", "p"}, "td": {"td", "th", "p"}, "th": {"td", "th", "p"}}
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Evidence for boilerplate (negative) and for content (positive), by element and by words of class, id and role.
 ELEMENT = {
-    "nav": -6.0, "footer": -6.0, "aside": -6.0, "form": -6.0, "menu": -6.0, "button": -6.0, "dialog": -6.0, "fieldset": -4.0, "label": -2.0,
+    "nav": -6.0, "footer": -6.0, "aside": -6.0, "form": -6.0, "menu": -6.0, "button": -6.0, "dialog": -6.0, "fieldset": -4.0, "label": -2.0, "option": -6.0,
     "header": -5.0, "address": -1.0, "head": -8.0, "article": 4.0, "main": 3.0, "blockquote": 0.5, "pre": 0.5, "h1": 1.0, "p": 0.5,
 }
 NAMED = {
@@ -82,6 +95,62 @@ def name_evidence(attributes: str) -> float:
     return found
 
 
+def markup_of(page: str) -> Iterator[tuple[int, int, re.Match | None]]:
+    """(start, end, match) of the page's markup in order; None for what is left out whole.
+
+    A closed element of ``UNSHOWN`` is left out whole.  One without an end tag of its own, before that of
+    an element around it, hides nothing: only its tag is markup.
+    """
+    if not HIDES.search(page):
+        for found in MARKUP.finditer(page):
+            yield found.start(), found.end(), None if found["raw"] else found
+        return
+    tokens: list[tuple[int, int, re.Match | None]] = []
+    until: dict[int, tuple[int, int]] = {}  # by the token that opens an element left out: its end, the token behind it
+    stack: list[tuple[str, int, bool]] = []  # open elements: name, token, whether the inside is foreign
+    opened: Counter[str] = Counter()
+    at = 0
+    while found := MARKUP.search(page, at):
+        at, here, foreign = found.end(), len(tokens), bool(stack) and stack[-1][2]
+        if found["raw"] and foreign and found["open"].endswith("/>"):
+            at = found.end("open")
+        tokens.append((found.start(), at, None if found["raw"] else found))
+        if not found["name"]:
+            continue
+        name = found["name"].lower()
+        if found["end"]:
+            while opened[name]:
+                own, start, _ = stack.pop()
+                opened[own] -= 1
+                if own == name:
+                    if name in UNSHOWN:
+                        until[start] = at, here + 1
+                    break
+                if own in FOREIGN:
+                    until[start] = found.start(), here
+            continue
+        if foreign and name in BREAKOUT:
+            while stack and stack[-1][2]:
+                own, start, _ = stack.pop()
+                opened[own] -= 1
+                until[start] = found.start(), here
+            foreign = False
+        if (foreign or name in FOREIGN) and found["rest"].endswith("/"):
+            continue
+        if name in UNSHOWN or (name in POINTS if foreign else name in BLOCKS and name not in VOID and name != "p"):
+            stack.append((name, here, name in FOREIGN))
+            opened[name] += 1
+    i = 0
+    while i < len(tokens):
+        if i in until:
+            end, behind = until[i]
+            yield tokens[i][0], end, None
+            i = behind
+        else:
+            yield tokens[i]
+            i += 1
+
+
 def blocks_of(page: str) -> list[Block]:
     """The page's blocks in order: text with references decoded and white space as one space, never empty."""
     blocks: list[Block] = []
@@ -100,37 +169,37 @@ def blocks_of(page: str) -> list[Block]:
         parts, inside = [], []
 
     at = 0
-    for found in MARKUP.finditer(page):
-        if found.start() > at:
-            parts.append(page[at : found.start()])
+    for start, end, found in markup_of(page):
+        if start > at:
+            parts.append(page[at:start])
             if links:
-                inside.append(page[at : found.start()])
-        at = found.end()
-        name = found[3]
-        if name is None:
-            if found[1]:
-                parts.append(" ")
+                inside.append(page[at:start])
+        at = end
+        if found is None:
+            parts.append(" ")
+            continue
+        if found["name"] is None:
             continue
-        name = name.lower()
+        name = found["name"].lower()
         if name == "a":
-            links = 0 if found[2] else 1
+            links = 0 if found["end"] else 1
         elif name in ("br", "img", "input", "wbr"):
             parts.append(" " if name != "wbr" else "")
         elif name in BLOCKS:
             flush()
             links = 0
-            if found[2]:
+            if found["end"]:
                 if any(name == n for n, _, _ in stack[1:]):
                     while stack[-1][0] != name:
                         stack.pop()
                     stack.pop()
             else:
-                ends = ENDS.get(name, {"p"})
+                ends = ENDS.get(name, {"p"}) | (OPTIONS if name not in OPTIONS else set())
                 while stack[-1][0] in ends:
                     stack.pop()
                 if name not in VOID:
                     number += 1
-                    own = name_evidence(found[4]) if found[4].strip() else 0.0
+                    own = name_evidence(found["rest"]) if found["rest"].strip() else 0.0
                     own = max(own, 0.0) if name in WHOLE else own
                     own = min(own, ELEMENT.get(name, 0.0)) if min(own, ELEMENT.get(name, 0.0)) < 0 else own + ELEMENT.get(name, 0.0)
                     around = stack[-1][2]

@@ -4,7 +4,9 @@ import html
 import itertools
 import random
 import re
+import time
 
+import pytest
 from pyspark.sql import functions as F
 
 from tablemill.llm import extraction
@@ -29,6 +31,33 @@ def test_names_of_the_layout_are_no_boilerplate():
     assert extraction.main_text(page) == LONG
 
 
+ONE, TWO, THREE = (f"{LONG} {x}" for x in ("one", "two", "three"))
+
+
+@pytest.mark.parametrize("between", [
+    "<svg class='i'/>", "<math/>", "<SVG viewBox='0 0 1 1' />", "<svg-icon name='x'></svg-icon>", "<video-player src=x></video-player>", "<audio-player></audio-player>",
+    "<select-box></select-box>", "<title-bar></title-bar>", "<select><option>a<option>b", "<object data=x>", "<audio src=x>", "<video src=x>", "<canvas>", "<template>", "<svg><path d=x>",
+    "<svg><style/><script href='x'/><path/></svg>", "<svg><title>t</title><text>hidden words</text></svg>", f"<svg><foreignObject><p>{LONG} hidden</p></foreignObject></svg>",
+    f"<object data=a>{LONG} outer<object data=b>{LONG} inner</object>{LONG} outer</object>", f"<video src=x><p>{LONG} no video</p></video>", f"<template><div><p>{LONG}</p></div></template>",
+    f"<select><option>{LONG}</option></select>", f"<noscript>{LONG}</noscript >", f"<script>'<svg>'</script x><canvas>{LONG}</canvas>", "<math><mi>x</mi><mo>=</mo></math>",
+])
+@pytest.mark.parametrize("last", ["", "<audio src=y></audio><svg><path/></svg><object>o</object><select><option>c</option></select><video></video><canvas></canvas><template></template>"])
+def test_elements_that_hide_only_what_is_theirs(between, last):
+    page = f"<body><article><p>{ONE}</p><div>{between}</div><p>{TWO}</p>{between}<p>{THREE}</p>{last}</article></body>"
+    assert extraction.main_text(page) == "\n\n".join([ONE, TWO, THREE])
+
+
+def test_raw_elements_hide_to_the_end_of_the_page():
+    for name in ("script", "style", "textarea", "title", "iframe", "noscript"):
+        assert extraction.main_text(f"<p>{ONE}</p><{name}><p>{TWO}</p>") == ONE
+
+
+def test_many_unclosed_elements_take_no_longer_by_the_square():
+    page = f"<article><p>{ONE}</p>" + "<audio><svg><object><div>" * 20_000 + f"<p>{TWO}</p>"
+    began = time.process_time()
+    assert list(extraction.markup_of(page)) and time.process_time() - began < 10
+
+
 def test_given_pages(spark, sf_dir):
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
     for row in extraction.extract_pages(pages).join(pages.select("page_id", "html"), "page_id").collect():
