@@ -38,6 +38,7 @@ BREAKOUT = frozenset(
     "ruby s small span strong strike sub sup table tt u ul var article aside footer header main nav section".split()
 )
 ATTRIBUTE = re.compile(r"([a-zA-Z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
+HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|/|$)|display\s*:\s*none", re.I)
 BLOCKS = frozenset(
     "address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer "
     "form h1 h2 h3 h4 h5 h6 head header hgroup hr html label legend li main menu nav ol optgroup option p pre section summary table "
@@ -60,6 +61,16 @@ NAMED = {
     2.5: "article content entry post story body main maincontent",
 }
 NAME_WEIGHT = {name: weight for weight, names in NAMED.items() for name in names.split()}
+#: Names of boilerplate that are topics as well: inside an article they say less than the others.
+TOPICS = frozenset(
+    "alert consent copyright disclaimer discussion form legal notice promotion recommended related replies reply respond search share "
+    "sharing social".split()
+)
+TOPIC, OTHER_ID, TOPIC_ID = -3.0, -4.0, -1.5
+#: Share of the evidence around an element, that of an article at most, that stands against its name inside an article.
+AGAINST = 0.4
+ARTICLE = frozenset(["article", "main"])
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Words beside which a name of boilerplate describes the layout; and elements that are never boilerplate by name.
 LAYOUT = frozenset("has with no without layout wrapper container page".split())
 WHOLE = frozenset("html body main".split())
@@ -75,24 +86,33 @@ class Block:
     heading: bool
 
 
-def name_evidence(attributes: str) -> float:
-    """The strongest word of class, id and role, boilerplate first."""
+def name_evidence(attributes: str, inside: str = "") -> tuple[float, bool]:
+    """The strongest word of class, id and role, boilerplate first; and whether the element is hidden.
+
+    ``inside`` is the element's own name if it is within an article: there a topic is weaker than other
+    names, an id is weaker than a class, and neither the names of a heading nor the id of a section count.
+    """
     found = 0.0
+    hidden = bool(HIDDEN.search(attributes))
     for name, *values in ATTRIBUTE.findall(attributes):
-        if name.lower() in ("class", "id", "role", "itemprop"):
+        name = name.lower()
+        if name in ("class", "id", "role", "itemprop"):
+            if inside and (inside in HEADINGS or (inside == "section" and name == "id")):
+                continue
             words = re.split(r"[^a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", "".join(values)).lower())
             layout = not LAYOUT.isdisjoint(words)  # says what the page has, not what the element is
             for part in words:
                 weight = NAME_WEIGHT.get(part, 0.0)
                 if weight < 0 and layout:
                     continue
+                if weight < 0 and inside:
+                    topic = part in TOPICS
+                    weight = (TOPIC_ID if topic else OTHER_ID) if name == "id" else TOPIC if topic else weight
                 if (weight < 0 and weight < found) or (weight > 0 and found >= 0 and weight > found):
                     found = weight
-        elif name.lower() == "aria-hidden" and "".join(values).lower() == "true":
-            found = min(found, -5.0)
-    if re.search(r"(?:^|\s)hidden(?:\s|=|/|$)|display\s*:\s*none", attributes, re.I):
-        found = min(found, -6.0)
-    return found
+        elif name == "aria-hidden" and "".join(values).lower() == "true":
+            found, hidden = min(found, -5.0), True
+    return min(found, -6.0) if HIDDEN.search(attributes) else found, hidden
 
 
 def markup_of(page: str) -> Iterator[tuple[int, int, re.Match | None]]:
@@ -154,8 +174,9 @@ def markup_of(page: str) -> Iterator[tuple[int, int, re.Match | None]]:
 def blocks_of(page: str) -> list[Block]:
     """The page's blocks in order: text with references decoded and white space as one space, never empty."""
     blocks: list[Block] = []
-    # open elements: name, number, evidence of the element and all around it
-    stack: list[tuple[str, int, float]] = [("", 0, 0.0)]
+    # open elements: name, number, evidence of the element and all around it, whether inside an article
+    # (1) and there inside an element with a name of boilerplate (2)
+    stack: list[tuple[str, int, float, int]] = [("", 0, 0.0, 0)]
     parts: list[str] = []
     links, link_at, number = 0, 0, 0
     inside: list[str] = []
@@ -165,7 +186,7 @@ def blocks_of(page: str) -> list[Block]:
         text = " ".join(html.unescape("".join(parts)).split())
         if text:
             words = sum(len(html.unescape(p).split()) for p in inside)
-            blocks.append(Block(text, tuple(n for _, n, _ in stack), stack[-1][2], min(1.0, words / max(1, len(text.split()))), stack[-1][0] in ("h1", "h2", "h3", "h4", "h5", "h6")))
+            blocks.append(Block(text, tuple(n for _, n, *_ in stack), stack[-1][2], min(1.0, words / max(1, len(text.split()))), stack[-1][0] in HEADINGS))
         parts, inside = [], []
 
     at = 0
@@ -189,7 +210,7 @@ def blocks_of(page: str) -> list[Block]:
             flush()
             links = 0
             if found["end"]:
-                if any(name == n for n, _, _ in stack[1:]):
+                if any(name == n for n, *_ in stack[1:]):
                     while stack[-1][0] != name:
                         stack.pop()
                     stack.pop()
@@ -199,18 +220,23 @@ def blocks_of(page: str) -> list[Block]:
                     stack.pop()
                 if name not in VOID:
                     number += 1
-                    own = name_evidence(found["rest"]) if found["rest"].strip() else 0.0
+                    around, within = stack[-1][2:]
+                    own, hidden = name_evidence(found["rest"], name if within else "") if found["rest"].strip() else (0.0, False)
                     own = max(own, 0.0) if name in WHOLE else own
-                    own = min(own, ELEMENT.get(name, 0.0)) if min(own, ELEMENT.get(name, 0.0)) < 0 else own + ELEMENT.get(name, 0.0)
-                    around = stack[-1][2]
-                    # what is boilerplate stays so inside; a header within an article holds the article's own title
-                    if name == "header" and around > 0 and own == ELEMENT["header"]:
-                        own = 0.0
-                    if own <= STRONG or around <= STRONG:
-                        total = min(own, around)
+                    kind = ELEMENT.get(name, 0.0)
+                    # a header within an article holds the article's own title
+                    if name == "header" and around > 0 and not hidden:
+                        own = kind = 0.0
+                    named = bool(within) and own < 0 and kind > STRONG and not hidden
+                    if named:
+                        # weighed against the article; what is within does not outweigh it by names
+                        total = min(around, own + AGAINST * min(max(around, 0.0), ELEMENT["article"]))
                     else:
-                        total = max(-8.0, min(6.0, around + own))
-                    stack.append((name, number, total))
+                        own = min(own, kind) if min(own, kind) < 0 else own + kind
+                        own = min(own, 0.5) if within == 2 else own
+                        # what is boilerplate stays so inside
+                        total = min(own, around) if own <= STRONG or around <= STRONG else max(-8.0, min(6.0, around + own))
+                    stack.append((name, number, total, 2 if named or within == 2 else int(within or name in ARTICLE)))
     if at < len(page) and not page[at:].lstrip().startswith("<"):
         parts.append(page[at:])
     flush()

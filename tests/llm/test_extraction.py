@@ -52,6 +52,31 @@ def test_raw_elements_hide_to_the_end_of_the_page():
         assert extraction.main_text(f"<p>{ONE}</p><{name}><p>{TWO}</p>") == ONE
 
 
+@pytest.mark.parametrize("outer", ["<article>", "<main>", "<main><article>"])
+def test_slugs_inside_an_article(outer):
+    for slug in ("discussion", "search", "form", "legal", "copyright", "notice", "alert", "share", "reply", "related", "related-work", "comments", "navigation", "ads"):
+        page = f'<body>{outer}<h1>T</h1><p>{ONE}</p><section id="{slug}"><h2 id="{slug}">Heading</h2><p>{TWO}</p><p>{THREE}</p></section><h3 class="{slug}">Last</h3><p>{LONG}</p>'
+        assert extraction.main_text(page) == "\n\n".join(["T", ONE, "Heading", TWO, THREE, "Last", LONG]), slug
+    for slug in ("discussion", "legal-notice", "share"):
+        for name in ("id", "class"):
+            page = f'<body>{outer}<p>{ONE}</p><div {name}="{slug}"><p>{TWO} {LONG}</p><p>{THREE} {LONG}</p></div><p>{LONG}</p>'
+            assert extraction.main_text(page) == "\n\n".join([ONE, f"{TWO} {LONG}", f"{THREE} {LONG}", LONG]), (slug, name)
+
+
+@pytest.mark.parametrize("outer", ["<article>", "<main>", "<main><article>"])
+def test_boilerplate_inside_an_article(outer):
+    for part in (
+        f'<section class="comments"><p>{TWO} {LONG}.</p><article class="entry"><p>{THREE} {LONG}.</p></article></section>', f'<div class="ad">{TWO}</div>', f'<div hidden id="discussion"><p>{TWO}</p></div>',
+        '<div class="share"><a href=x>Share</a> <a href=y>Post</a></div>', '<div id="related"><ul><li><a href=x>Another story to read</a><li><a href=y>One more story</a></ul></div>',
+        f'<nav id="discussion"><p>{TWO}</p></nav>', f'<div id="sidebar" class="sidebar"><p>{TWO}</p></div>', f'<div class="x" aria-hidden="true"><p>{TWO}</p></div>',
+    ):
+        assert extraction.main_text(f"<body>{outer}<p>{ONE}</p>{part}<p>{LONG}</p>") == f"{ONE}\n\n{LONG}", part
+
+
+def test_names_outside_an_article_count_in_full():
+    assert extraction.main_text(f'<body><div id="discussion"><p>{TWO}</p></div><article><p>{ONE}</p></article><section id="related"><h2>H</h2><p>{TWO}</p></section>') == ONE
+
+
 def test_many_unclosed_elements_take_no_longer_by_the_square():
     page = f"<article><p>{ONE}</p>" + "<audio><svg><object><div>" * 20_000 + f"<p>{TWO}</p>"
     began = time.process_time()
