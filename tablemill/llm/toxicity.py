@@ -67,8 +67,23 @@ class Machine:
         return sigmoid(self.logits(*term_sets(texts, terms, self.column)))
 
 
+def _ratio(a, c, n1, n, odds=1.0):
+    """Likelihood ratio of presence and label: ``a`` of ``c`` rows with a term, and ``n1`` of all ``n``, have the label.
+
+    ``odds`` is the odds ratio that is expected of them.
+    """
+    total = n + (odds - 1) * (c + n1)
+    e = 2 * odds * c * n1 / (total + np.sqrt(np.maximum(total * total - 4 * odds * (odds - 1) * c * n1, 0)))
+    cells = [(a, e), (c - a, c - e), (n1 - a, n1 - e), (n - c - n1 + a, n - c - n1 + e)]
+    return sum(2 * o * np.log(np.maximum(o, 1e-9) / np.maximum(e, 1e-9)) for o, e in cells)
+
+
 def telling_terms(sets: list[np.ndarray], y: np.ndarray, least: float, most: int) -> np.ndarray:
-    """Term ids whose presence goes with the label: likelihood ratio of at least ``least``, best first."""
+    """Term ids whose presence goes with the label, alone (best first) or given another term (both of the pair).
+
+    Alone, the likelihood ratio is at least ``least``; for pairs it is as much higher as there are more of
+    them.
+    """
     n1, n = y.sum(), len(y)
     with1, with_any = np.zeros(SPACE), np.zeros(SPACE)
     for at in range(0, len(sets), 512):
@@ -77,11 +92,49 @@ def telling_terms(sets: list[np.ndarray], y: np.ndarray, least: float, most: int
         if good := [x for x, label in zip(part, y[at : at + 512], strict=True) if label]:
             with1 += np.bincount(np.concatenate(good), minlength=SPACE)
     seen = np.flatnonzero(with_any >= 4)
-    a, c = with1[seen], with_any[seen]
-    cells = [(a, c * n1 / n), (c - a, c * (n - n1) / n), (n1 - a, (n - c) * n1 / n), (n - c - n1 + a, (n - c) * (n - n1) / n)]
-    ratio = sum(2 * o * np.log(np.maximum(o, 1e-9) / np.maximum(e, 1e-9)) for o, e in cells)
-    good = seen[ratio >= least]
-    return good[np.argsort(-ratio[ratio >= least], kind="stable")][:most]
+    ratio = _ratio(with1[seen], with_any[seen], n1, n)
+    alone = seen[ratio >= least][np.argsort(-ratio[ratio >= least], kind="stable")][:most]
+    paired = telling_pairs(sets, y, seen, with1[seen], with_any[seen], least)
+    return np.r_[alone, np.setdiff1d(paired, alone)[: max(0, most - len(alone))]]
+
+
+def telling_pairs(sets: list[np.ndarray], y: np.ndarray, seen: np.ndarray, a1: np.ndarray, a: np.ndarray, least: float) -> np.ndarray:
+    """Term ids of the pairs of which one tells the label among the rows that hold the other, and not so elsewhere.
+
+    All pairs are counted, but for given terms among whose rows no term could reach the ratio: it is at
+    most twice the entropy of their labels.
+    """
+    share = np.clip(a1 / a, 1e-12, 1 - 1e-12)
+    bound = -2 * (a1 * np.log(share) + (a - a1) * np.log(1 - share))
+    floor = least + 2 * np.log(max(1, (bound >= least).sum()))
+    given = np.flatnonzero(bound >= floor)
+    place = np.full(SPACE, -1, dtype=np.int32)
+    place[seen] = np.arange(len(seen))
+    rows = [own[own >= 0] for own in (place[x] for x in sets)]
+    columns = np.concatenate(rows) if rows else np.zeros(0, np.int32)
+    starts = np.r_[0, np.cumsum([len(r) for r in rows])]
+    del rows
+    order = np.argsort(columns, kind="stable")
+    holders = np.repeat(np.arange(len(sets), dtype=np.int32), np.diff(starts))[order]
+    ends = np.cumsum(np.bincount(columns, minlength=len(seen)))
+    del order
+    chosen = np.zeros(len(seen), dtype=bool)
+    for t in given:
+        held = holders[ends[t] - int(a[t]) : ends[t]]
+        both = [np.bincount(np.concatenate([columns[starts[r] : starts[r + 1]] for r in own]), minlength=len(seen)) if len(own) else np.zeros(len(seen), np.int64)
+                for own in (held[y[held] == 0], held[y[held] == 1])]
+        c = both[0] + both[1]
+        near = np.flatnonzero((c >= 4) & (c < a[t]))
+        told = near[_ratio(both[1][near], c[near], a1[t], a[t]) >= floor]
+        # against the odds ratio among the rows without the given term, one if there are none
+        n1, n0 = y.sum() - a1[t], len(y) - y.sum() - a[t] + a1[t]
+        b1, b = a1[told] - both[1][told], a[told] - c[told]
+        part = (n1 + 0.5) / (n1 + n0 + 1)
+        odds = (b1 + part) * (n0 - b + b1 + 1 - part) / ((b - b1 + 1 - part) * (n1 - b1 + part))
+        told = told[_ratio(both[1][told], c[told], a1[t], a[t], odds) >= floor]
+        if len(told):
+            chosen[told] = chosen[t] = True
+    return seen[chosen]
 
 
 def fit_machine(sets: list[np.ndarray], y: np.ndarray, rank: int = 6, epochs: int = 20, rate: float = 0.03, least: float = 16.0,

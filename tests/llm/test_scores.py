@@ -79,6 +79,29 @@ def test_machine_learns_a_pair_that_no_weight_shows():
     assert ((machine.logits(starts, machine.column[np.concatenate(sets)]) > 0) == y).mean() > 0.95
 
 
+def test_machine_learns_pairs_at_the_default():
+    rng = np.random.default_rng(0)
+    a, b = rng.random(4000) < 0.5, rng.random(4000) < 0.5
+    sets = [np.array([1] * int(p) + [2] * int(q) + [3]) for p, q in zip(a, b, strict=True)]
+    machine, y = toxicity.fit_machine(sets, (a == b).astype(float), epochs=60, rate=0.05), a == b
+    starts = np.r_[0, np.cumsum([(machine.column[s] >= 0).sum() for s in sets])]
+    columns = np.concatenate([machine.column[s] for s in sets])
+    assert ((machine.logits(starts, columns[columns >= 0]) > 0) == y).mean() > 0.95
+    # an insult and a group word: toxic together, among noise and rows that are toxic by a word of their own
+    n = 16_000
+    group, insult, other = rng.random(n) < 0.2, rng.random(n) < 0.05, rng.random(n) < 0.02
+    both = np.flatnonzero(group & insult)
+    group[both[32:]] = False
+    y = other.astype(float)
+    y[both[:32]] = 1
+    noise = rng.integers(10, 3000, (n, 30))
+    sets = [np.unique([*f, *([1] if p else []), *([2] if q else []), *([5] if t else [])]) for f, p, q, t in zip(noise, group, insult, other, strict=True)]
+    machine = toxicity.fit_machine(sets, y)
+    assert {1, 2, 5} <= set(np.flatnonzero(machine.column >= 0)) and len(machine.weight) < 30
+    logit = lambda *terms: machine.logits(np.array([0, len(terms)]), machine.column[list(terms)])[0]
+    assert logit(1) < 0 and logit(2) < 0 and logit(1, 2) > 0 and logit(5) > 0
+
+
 def test_machine_logits_against_plain_pairs():
     rng = np.random.default_rng(1)
     machine = toxicity.Machine(np.arange(9), 0.3, rng.normal(size=9), rng.normal(size=(9, 4)))
