@@ -20,6 +20,8 @@ from tablemill.session import stage
 
 #: Rows that one task compares at a time, and queries with them.
 BLOCK = 4096
+#: Cosines that differ by less may be equal, and so many pairs of vectors are multiplied at a time to tell.
+CLOSE, PAIRS = 1e-9, 65_536
 
 
 @dataclass
@@ -142,6 +144,7 @@ def nearest_neighbours(embeddings: DataFrame, every: int = 50, k: int = 5, list_
     Nearness is the cosine in double precision, ties go to the smaller id, and a query is not its own
     neighbour.  Equal vectors form one class that is indexed once: of its ids only the ``k`` + 1
     smallest can ever be among a query's ``k`` nearest, so those stand for it, and no result is lost.
+    Classes as near as one another (parallel vectors) go by their smallest ids wherever they are cut.
     The index is fitted on about ``sample`` classes chosen by a hash; every class is indexed.
 
     ``list_rows`` is the aimed size of a list and ``most_lists`` bounds the centroids that are held in
@@ -158,7 +161,8 @@ def nearest_neighbours(embeddings: DataFrame, every: int = 50, k: int = 5, list_
     by_vector = Window.partitionBy("embedding").orderBy("vec_id")
     few = rows.distinct().withColumn("nth", F.row_number().over(by_vector)).where(F.col("nth") <= k + 1)
     classes = stage(
-        few.groupBy("embedding").agg(F.array_sort(F.collect_list("vec_id")).alias("ids")).withColumn("cid", F.monotonically_increasing_id()),
+        few.groupBy("embedding").agg(F.array_sort(F.collect_list("vec_id")).alias("ids"))
+        .withColumns({"cid": F.monotonically_increasing_id(), "low": F.col("ids")[0]}),
         "vectors",
     )
     total = classes.count()
@@ -198,9 +202,9 @@ def nearest_neighbours(embeddings: DataFrame, every: int = 50, k: int = 5, list_
 
     wanted = rows.where(F.col("vec_id") % every == 0).distinct()
     queries = stage(wanted.join(classes.select("embedding", "cid"), "embedding").select("vec_id", "cid"), "queries")
-    asked = classes.join(queries.select("cid").distinct(), "cid", "left_semi").select("cid", "embedding")
-    schema = "cid long, embedding array<double>, cell int, lists array<int>, home int"
-    posted = stage(classes.select("cid", "embedding").mapInPandas(lambda b: lists_of(b, replicas, beam, 1, None), schema), "lists")
+    asked = classes.join(queries.select("cid").distinct(), "cid", "left_semi").select("cid", "low", "embedding")
+    schema = "cid long, low long, embedding array<double>, cell int, lists array<int>, home int"
+    posted = stage(classes.select("cid", "low", "embedding").mapInPandas(lambda b: lists_of(b, replicas, beam, 1, None), schema), "lists")
     # how many vectors are nearest to each centroid: a number for each of a bounded number of lists
     sizes = np.zeros(len(index.centroids), dtype=np.int64)
     for row in posted.where(F.col("cell") == F.floor(F.col("home") / per_cell)).groupBy("home").count().collect():
@@ -215,34 +219,42 @@ def nearest_neighbours(embeddings: DataFrame, every: int = 50, k: int = 5, list_
     asking = opened.join(shape, "cell").withColumn("turn", F.pmod(F.xxhash64("cid"), F.col("turns")).cast("int")).withColumn("block", upto("blocks"))
 
     def compare(key, q: pd.DataFrame, v: pd.DataFrame) -> pd.DataFrame:
-        """The ``k`` + 1 nearest of each query among the vectors in the lists that it opened."""
-        out = [pd.DataFrame({"cid": np.zeros(0, np.int64), "other": np.zeros(0, np.int64), "score": np.zeros(0)})]
+        """The ``k`` + 1 nearest of each query among the vectors in the lists that it opened, ties by the smallest id."""
+        out = [pd.DataFrame({"cid": np.zeros(0, np.int64), "other": np.zeros(0, np.int64), "low": np.zeros(0, np.int64), "score": np.zeros(0)})]
         if len(q) and len(v):
             a, b = np.array(q["embedding"].tolist(), dtype=np.float64), np.array(v["embedding"].tolist(), dtype=np.float64)
             na, nb = np.sqrt((a * a).sum(axis=1)), np.sqrt((b * b).sum(axis=1))
+            others, low = v["cid"].to_numpy(), v["low"].to_numpy()
             row_of = lambda lists: (np.repeat(np.arange(len(lists)), [len(x) for x in lists]), np.concatenate(list(lists)))
             (q_row, q_list), (v_row, v_list) = row_of(q["lists"]), row_of(v["lists"])
             for one in np.intersect1d(q_list, v_list):
                 rows, near = q_row[q_list == one], v_row[v_list == one]
-                take = min(len(near), 2 * k + 2)
+                take = min(len(near), k + 1)
                 for at in range(0, len(rows), 512):
                     some = rows[at : at + 512]
                     sims = (a[some] @ b[near].T) / na[some, None] / nb[near]
-                    top = np.argpartition(-sims, take - 1, axis=1)[:, :take]
-                    i, j = np.repeat(some, take), near[top.ravel()]
-                    score = (a[i] * b[j]).sum(axis=1) / (na[i] * nb[j])
-                    out.append(pd.DataFrame({"cid": q["cid"].to_numpy()[i], "other": v["cid"].to_numpy()[j], "score": score}))
+                    # all that are as near as the last one taken, but for rounding: which of them count, exact score and id say
+                    i, j = np.nonzero(sims >= np.partition(sims, -take, axis=1)[:, -take, None] - CLOSE)
+                    i, j = some[i], near[j]
+                    score = np.concatenate([
+                        (a[i[c : c + PAIRS]] * b[j[c : c + PAIRS]]).sum(axis=1) / (na[i[c : c + PAIRS]] * nb[j[c : c + PAIRS]]) for c in range(0, len(i), PAIRS)
+                    ])
+                    order = np.lexsort((others[j], low[j], -score, i))
+                    i, j, score = i[order], j[order], score[order]
+                    first = np.arange(len(i)) - np.searchsorted(i, i) < take
+                    i, j, score = i[first], j[first], score[first]
+                    out.append(pd.DataFrame({"cid": q["cid"].to_numpy()[i], "other": others[j], "low": low[j], "score": score}))
         found = pd.concat(out, ignore_index=True).drop_duplicates(["cid", "other"])
-        return found.sort_values(["cid", "score", "other"], ascending=[True, False, True]).groupby("cid").head(k + 1)
+        return found.sort_values(["cid", "score", "low", "other"], ascending=[True, False, True, True]).groupby("cid").head(k + 1)
 
     keys = ["cell", "block", "turn"]
     found = (
         asking.select(*keys, "cid", "embedding", "lists").groupBy(*keys)
-        .cogroup(held.select(*keys, "cid", "embedding", "lists").groupBy(*keys))
-        .applyInPandas(compare, "cid long, other long, score double")
+        .cogroup(held.select(*keys, "cid", "low", "embedding", "lists").groupBy(*keys))
+        .applyInPandas(compare, "cid long, other long, low long, score double")
     )
     # the nearest classes, then the nearest ids, of each class that is asked for
-    best = Window.partitionBy("cid").orderBy(F.desc("score"), "other")
+    best = Window.partitionBy("cid").orderBy(F.desc("score"), "low", "other")
     top = found.distinct().withColumn("nth", F.row_number().over(best)).where(F.col("nth") <= k + 1).drop("nth")
     spread = top.join(classes.select(F.col("cid").alias("other"), "ids"), "other").select("cid", "score", F.explode("ids").alias("vec_id"))
     first = Window.partitionBy("cid").orderBy(F.desc("score"), "vec_id")

@@ -56,6 +56,24 @@ def test_copies_ties_and_odd_vectors(spark, monkeypatch):
         assert got == {q: [(j, round(-s, 9)) for s, j in near] for q, near in want.items()}
 
 
+def test_ties_of_different_vectors(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    ids = rng.permutation(600).tolist()
+    v, w = rng.normal(size=4), rng.normal(size=4)
+    rows = [(ids[i], (v * 2.0**i).tolist()) for i in range(-20, 40)] + [(ids[40 + i], (w * 2.0 ** (i - 15)).tolist()) for i in range(30)]
+    rows += [(ids[100 + 16 * i + j], [float(2**i) if j % 4 == d else 0.0 for d in range(4)]) for i in range(20) for j in range(16)]
+    rows = list({i: (i, x) for i, x in rows}.values())
+    table = spark.createDataFrame([(i, x, 1) for i, x in rows], SCHEMA).repartition(7)
+    want = plain(rows, every=10)
+    assert sum(len({s for s, _ in near}) == 1 for near in want.values()) > 20
+    for block in (4096, 7):
+        monkeypatch.setattr(neighbours, "BLOCK", block)
+        got = defaultdict(list)
+        for r in sorted(neighbours.nearest_neighbours(table, every=10, probes=100.0).collect()):
+            got[r["query_id"]].append((r["vec_id"], round(r["score"], 9)))
+        assert got == {q: [(j, round(-s, 9)) for s, j in near] for q, near in want.items()}
+
+
 def test_few_and_none(spark):
     few = spark.createDataFrame([(50, [1.0, 0.0], 1), (3, [0.0, 2.0], 1), (100, [1.0, 1.0], 1)], SCHEMA)
     got = sorted(tuple(r)[:3] for r in neighbours.nearest_neighbours(few).collect())
