@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablemill.llm import extraction, jaccard, linededup, neighbours, packing, pieces, quality, repetition, toxicity, urlrules
+from tablemill.llm import extraction, jaccard, linededup, mixing, neighbours, packing, pieces, quality, repetition, toxicity, urlrules
 from tablemill.registry import Tables
 
 
@@ -62,6 +62,11 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_duplicates(Tables(spark, sf_dir).documents)
 
 
+def op11_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix_documents(Tables(spark, sf_dir).documents)
+    return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages of corpus_pipeline.py, which lies beside the package."""
     top = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
@@ -76,7 +81,8 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_quality_classifier, op2_line_dedup, op3_quality_rules, op4_html_extraction, op5_url_filters, op6_toxicity,
-        op7_nearest_neighbours, op8_best_fit_packing, op9_sentencepiece, op10_ngram_jaccard_join, pipeline,
+        op7_nearest_neighbours, op8_best_fit_packing, op9_sentencepiece, op10_ngram_jaccard_join,
+        op11_source_mixing, pipeline,
     )
 }
-ORACLES = {"op2_line_dedup": linededup.dedup_sql()}
+ORACLES = {"op2_line_dedup": linededup.dedup_sql(), "op11_source_mixing": mixing.mixing_sql()}
