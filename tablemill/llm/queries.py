@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablemill.llm import extraction, jaccard, linededup, mixing, neighbours, packing, pieces, quality, repetition, spelling, toxicity, urlrules
+from tablemill.llm import extraction, jaccard, linededup, mixing, negatives, neighbours, packing, pieces, quality, repetition, spelling, toxicity, urlrules
 from tablemill.registry import Tables
 
 
@@ -71,6 +71,10 @@ def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.spelling_groups(Tables(spark, sf_dir).documents)
 
 
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return negatives.hard_negatives(Tables(spark, sf_dir).embeddings)
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages of corpus_pipeline.py, which lies beside the package."""
     top = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
@@ -86,7 +90,7 @@ QUERIES = {
     for f in (
         op1_quality_classifier, op2_line_dedup, op3_quality_rules, op4_html_extraction, op5_url_filters, op6_toxicity,
         op7_nearest_neighbours, op8_best_fit_packing, op9_sentencepiece, op10_ngram_jaccard_join,
-        op11_source_mixing, op12_spelling_variants, pipeline,
+        op11_source_mixing, op12_spelling_variants, op13_hard_negatives, pipeline,
     )
 }
-ORACLES = {"op2_line_dedup": linededup.dedup_sql(), "op11_source_mixing": mixing.mixing_sql()}
+ORACLES = {"op2_line_dedup": linededup.dedup_sql(), "op11_source_mixing": mixing.mixing_sql(), "op13_hard_negatives": negatives.negatives_sql()}
