@@ -428,10 +428,10 @@ def negatives_sql() -> str:
     return """
         with u as (select vec_id, label, embedding from embeddings
                    where vec_id is not null and label is not null and embedding is not null and list_count(embedding) = len(embedding)
-                     and coalesce(list_bool_and(list_transform(embedding, x -> isfinite(x))), true)
+                     and coalesce(list_bool_and(list_transform(embedding, lambda x: isfinite(x))), true)
                    qualify row_number() over (partition by vec_id order by label, embedding) = 1),
         v as (select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label,
-                     list_transform(embedding, x -> floor(256 * x::double)) vec from u),
+                     list_transform(embedding, lambda x: floor(256 * x::double)) vec from u),
         s as (select a.vec_id anchor_id, a.label = b.label as same, b.vec_id, list_dot_product(a.vec, b.vec)::bigint score
               from v a join v b on a.vec_id <> b.vec_id where a.vec_id % 50 = 0),
         p as (select anchor_id, vec_id positive_id, score positive_score from s where same
@@ -439,5 +439,5 @@ def negatives_sql() -> str:
         select anchor_id, positive_id, row_number() over n::int as rank, vec_id negative_id, positive_score, score negative_score
         from p join s using (anchor_id)
         where not same and 50 * positive_score <= 100 * score and 100 * score <= 95 * positive_score
-        qualify row_number() over n <= 3
-        window n as (partition by anchor_id, positive_id order by score desc, vec_id)"""
+        window n as (partition by anchor_id, positive_id order by score desc, vec_id)
+        qualify row_number() over n <= 3"""
