@@ -30,6 +30,27 @@ def sampled_labels(labels: DataFrame, label: str, keep: Column, bound: int) -> D
     return known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(share * 1_000_000))
 
 
+def sampled_texts(docs: DataFrame, sample: DataFrame) -> DataFrame:
+    """(doc_id, y, text): one text for each id of the sample, the one whose hash is the least.
+
+    However often an id repeats, it is one row; ``sample`` is small by its bound.
+    """
+    met = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")
+    return met.groupBy("doc_id", "y").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+
+
+def slices(texts, size: int = 2_000_000):
+    """Yield slices that cut ``texts`` into stretches of about ``size`` characters, one text at least."""
+    first, held = 0, 0
+    for i, text in enumerate(texts):
+        held += len(text or "") + 1
+        if held >= size:
+            yield slice(first, i + 1)
+            first, held = i + 1, 0
+    if first < len(texts):
+        yield slice(first, len(texts))
+
+
 #: Kinds of bytes: 0 blank, 1 letter, digit, underscore or part of a longer character, 2 any other mark.
 KIND = np.full(256, 2, dtype=np.uint8)
 KIND[[9, 10, 11, 12, 13, 32]] = 0

@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablemill.llm.common import Terms, fold, log_sigmoid_loss, sampled_labels, sigmoid
+from tablemill.llm.common import Terms, fold, log_sigmoid_loss, sampled_labels, sampled_texts, sigmoid
 
 BUCKETS = 1 << 14
 DIMS = 32
@@ -165,9 +165,9 @@ def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, p
     """Every column of ``docs`` and held_out boolean, score double, predicted int (1: good).
 
     Rows of fold ``held`` (crc32 of the id modulo ``parts``) are never learned from.  ``most_labels``
-    bounds the labelled sample that reaches the driver; word vectors come from all documents.  A null
-    or empty text is the zero vector and gets the network's score for it.  Repeated rows are scored
-    each; columns of ``docs`` with one of the three result names are replaced; without usable labels
+    bounds the labelled sample that reaches the driver, one text for each id (the one of the least
+    hash); word vectors come from all documents.  A null or empty text is the zero vector and gets the
+    network's score for it.  Repeated rows are scored each, equal texts alike; columns of ``docs`` with one of the three result names are replaced; without usable labels
     every score is 0.5; an empty table gives an empty table.
     """
     vectors = word_vectors(docs)
@@ -181,8 +181,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, p
 
     # at most about most_labels small rows: safe to broadcast and to bring to the driver
     known = (
-        docs.select("doc_id", "text")
-        .join(F.broadcast(sample), "doc_id")
+        sampled_texts(docs, sample)
         .mapInPandas(features, "doc_id long, y int, x array<double>")
         .toPandas()
         .sort_values("doc_id", kind="stable")
