@@ -22,6 +22,7 @@ SPACE = 1 << 20
 #: Likelihood ratio from which a term tells the label, and tasks that the given terms are dealt over.
 LEAST = 16.0
 TURNS = 48
+STRETCH = 1 << 20
 
 
 def terms_of() -> Terms:
@@ -149,11 +150,11 @@ def told_by_pairs(seen: Screen, turns: np.ndarray, columns: np.ndarray, starts:
     size, chosen = len(seen.ids), np.zeros(len(seen.ids), dtype=bool)
     asked = np.full(size, -1, dtype=np.int32)
     asked[seen.given[turns]] = np.arange(len(turns))
-    which = asked[columns]
-    at = np.flatnonzero(which >= 0)
-    at = at[np.argsort(which[at], kind="stable")]
-    holders = np.searchsorted(starts, at, side="right") - 1
-    ends = np.cumsum(np.bincount(which[at], minlength=len(turns)))
+    # in stretches: no array of the size of all terms is made here
+    at = np.concatenate([i + np.flatnonzero(asked[columns[i : i + STRETCH]] >= 0) for i in range(0, max(len(columns), 1), STRETCH)])
+    which = asked[columns[at]]
+    holders = (np.searchsorted(starts, at, side="right") - 1)[np.argsort(which, kind="stable")]
+    ends = np.cumsum(np.bincount(which, minlength=len(turns)))
     none = np.zeros(size, np.int64)
     for i, turn in enumerate(turns):
         t = seen.given[turn]
@@ -191,30 +192,29 @@ def telling_terms(sets: list[np.ndarray], y: np.ndarray, least: float) -> np.nda
     return seen.ids[np.union1d(np.flatnonzero(seen.alone), paired)]
 
 
-def fit_machine(sets: list[np.ndarray], y: np.ndarray, rank: int = 6, epochs: int = 20, rate: float = 0.03, least: float = LEAST,
-                terms: np.ndarray | None = None) -> Machine:
+def fit_machine(sets: list[np.ndarray], y: np.ndarray, rank: int = 6, epochs: int = 20, rate: float = 0.03, least: float = LEAST) -> Machine:
     """Adam on the log loss over the telling terms (found here unless given); ``sets`` are the distinct term ids of each row.
 
     Without rows of both kinds only the bias is set.
     """
-    rng = np.random.default_rng(5)
-    prior = (y.sum() + 1.0) / (len(y) + 2.0)
     column = np.full(SPACE, -1, dtype=np.int32)
-    if len(set(y.tolist())) < 2:
-        terms = np.zeros(0, np.int64)
-    elif terms is None:
-        terms = telling_terms(sets, y, least)
+    terms = telling_terms(sets, y, least) if len(set(y.tolist())) == 2 else np.zeros(0, np.int64)
     column[terms] = np.arange(len(terms))
-    made = Machine(column, float(np.log(prior / (1 - prior))), np.zeros(len(terms)), rng.normal(0, 0.02, (len(terms), rank)))
-    if not len(terms):
-        return made
     kept = [own[own >= 0] for own in (column[x] for x in sets)]
-    lengths = np.array([len(x) for x in kept])
-    cols = np.concatenate(kept)
-    begins = np.concatenate([[0], np.cumsum(lengths)])
+    starts = np.r_[0, np.cumsum([len(x) for x in kept])].astype(np.int64)
+    return descend(column, np.concatenate(kept) if kept else np.zeros(0, np.int32), starts, y, rank, epochs, rate)
+
+
+def descend(column: np.ndarray, cols: np.ndarray, begins: np.ndarray, y: np.ndarray, rank: int = 6, epochs: int = 20, rate: float = 0.03) -> Machine:
+    """The fit on rows whose columns lie behind one another in ``cols``."""
+    rng, size, step = np.random.default_rng(5), int(column.max()) + 1, 0
+    prior = (y.sum() + 1.0) / (len(y) + 2.0)
+    made = Machine(column, float(np.log(prior / (1 - prior))), np.zeros(size), rng.normal(0, 0.02, (size, rank)))
+    if not size:
+        return made
+    lengths = np.diff(begins)
     # the rarer label weighs more, by the root of the ratio of the two
     weigh = np.where(y == 1, max(1.0, np.sqrt((len(y) - y.sum()) / y.sum())), max(1.0, np.sqrt(y.sum() / (len(y) - y.sum()))))
-    size, step = len(terms), 0
     first, second = np.zeros((size, rank + 1)), np.zeros((size, rank + 1))
     order = np.arange(len(y))
     for _ in range(epochs):
@@ -312,14 +312,16 @@ def learned_machine(docs: DataFrame, labels: DataFrame, keep, most_labels: int,
                     yield pd.DataFrame({"place": found})
 
     pairs = spark.range(0, TURNS, 1, TURNS).mapInPandas(told, "place long").distinct().toPandas()["place"].to_numpy(dtype=np.int64)
-    chosen = np.zeros(len(seen.ids), dtype=bool)
-    chosen[seen.alone], chosen[pairs] = True, True
-    ids = [seen.ids[own[chosen[own]]] for own in (columns[a:b] for a, b in zip(starts[:-1], starts[1:], strict=True))]
-    return fit_machine(ids, y, terms=seen.ids[chosen])
+    chosen = np.union1d(np.flatnonzero(seen.alone), pairs)
+    place, column = np.full(len(seen.ids), -1, dtype=np.int32), np.full(SPACE, -1, dtype=np.int32)
+    place[chosen] = column[seen.ids[chosen]] = np.arange(len(chosen))
+    cols = place[columns]
+    kept = np.r_[0, np.cumsum(cols >= 0)]
+    return descend(column, cols[cols >= 0], kept[starts], y)
 
 
 def toxicity_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, parts: int = 3, held: int = 1,
-                    most_labels: int = 16_000, most_terms: int = 20_000_000) -> DataFrame:
+                    most_labels: int = 12_000, most_terms: int = 12_000_000) -> DataFrame:
     """Every column of ``docs`` and held_out boolean, score double, predicted int (1: toxic).
 
     Rows of fold ``held`` (crc32 of the id modulo ``parts``) are never learned from.  ``most_labels`` bounds
