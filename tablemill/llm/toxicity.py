@@ -304,14 +304,18 @@ def learned_machine(docs: DataFrame, labels: DataFrame, keep, most_labels: int,
     starts = np.r_[0, np.cumsum([len(p) // columns.itemsize for p in rows["places"]])]
     del rows, counts
 
+    held = spark.sparkContext.broadcast((seen, columns, starts, y))
+
     def told(batches):
         for batch in batches:
             for turn in batch["id"]:
-                found = told_by_pairs(seen, np.arange(turn, len(seen.given), TURNS), columns, starts, y)
+                every = held.value
+                found = told_by_pairs(every[0], np.arange(turn, len(every[0].given), TURNS), *every[1:])
                 if len(found):
                     yield pd.DataFrame({"place": found})
 
     pairs = spark.range(0, TURNS, 1, TURNS).mapInPandas(told, "place long").distinct().toPandas()["place"].to_numpy(dtype=np.int64)
+    held.destroy()
     chosen = np.union1d(np.flatnonzero(seen.alone), pairs)
     place, column = np.full(len(seen.ids), -1, dtype=np.int32), np.full(SPACE, -1, dtype=np.int32)
     place[chosen] = column[seen.ids[chosen]] = np.arange(len(chosen))
