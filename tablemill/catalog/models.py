@@ -63,9 +63,9 @@ def train_test_split(t):
     WITH x AS (SELECT doc_id, quality, n_chars, CAST(len({WORDS}) AS INTEGER) AS n_words FROM labels JOIN documents USING (doc_id)
                WHERE NOT ('0x' || left(md5(doc_id || '-5'), 8))::BIGINT % 100 < 20),
       c AS (SELECT count(*) FILTER (quality = 1) AS p, count(*) FILTER (quality = 0) AS n FROM x),
-      m AS (SELECT x.*, row_number() OVER (ORDER BY n_chars, doc_id) AS pos, greatest(p, n) - least(p, n) AS need, least(p, n) AS small FROM x, c
+      m AS (SELECT x.*, row_number() OVER (ORDER BY doc_id) AS pos, greatest(p, n) - least(p, n) AS need, least(p, n) AS small FROM x, c
             WHERE quality = CASE WHEN p < n THEN 1 ELSE 0 END),
-      r AS (SELECT a.*, b.doc_id AS neighbour, b.n_chars AS n_chars_, b.n_words AS n_words_, row_number() OVER (PARTITION BY a.doc_id ORDER BY abs(a.n_chars - b.n_chars), abs(a.pos - b.pos), b.pos) AS rank
+      r AS (SELECT a.*, b.doc_id AS neighbour, b.n_chars AS n_chars_, b.n_words AS n_words_, row_number() OVER (PARTITION BY a.doc_id ORDER BY (a.n_chars - b.n_chars) ** 2 + (a.n_words - b.n_words) ** 2, b.doc_id) AS rank
             FROM m a JOIN m b ON a.doc_id <> b.doc_id),
       k AS (SELECT *, unnest(generate_series(1, need // small + CASE WHEN pos <= need % small THEN 1 ELSE 0 END)) AS copy FROM r WHERE rank <= 5)
     SELECT doc_id, neighbour, CAST(copy AS INTEGER) AS copy, u AS weight, n_chars + u * (n_chars_::DOUBLE - n_chars) AS n_chars, n_words + u * (n_words_::DOUBLE - n_words) AS n_words
@@ -74,7 +74,7 @@ def train_test_split(t):
 def oversample_minority(t):
     table = t.labels.join(t.documents, "doc_id").select("doc_id", "quality", "n_chars", F.size(tx.words(F.col("text"))).alias("n_words"))
     train = scaling.train_test_split(table, "doc_id", 20, seed=5).filter(~F.col("test"))
-    return md.oversample_minority(train, "doc_id", "quality", "n_chars", ["n_chars", "n_words"], seed=9)
+    return md.oversample_minority(train, "doc_id", "quality", ["n_chars", "n_words"], seed=9)
 
 
 @job("m03_search_models")

@@ -210,7 +210,7 @@ def map_union(t):
 def drop_strict_subsets(t):
     third = F.when(F.col("p_partkey") % 3 == 0, F.col("p_type")).otherwise(F.col("p_name"))
     baskets = t.part.select(F.array_sort(F.array_distinct(F.array("p_brand", "p_type", third))).alias("basket")).distinct()
-    return sets.drop_strict_subsets(baskets, "basket", 3).select(F.array_join("basket", ",").alias("basket"))
+    return sets.drop_strict_subsets(baskets, "basket").select(F.array_join("basket", ",").alias("basket"))
 
 
 @job("u08_keyed_update", """

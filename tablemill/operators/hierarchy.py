@@ -8,29 +8,28 @@ from pyspark.sql import functions as F
 from tablemill.session import stage
 
 
-def subtree_totals(tree: DataFrame, max_depth: int = 10_000) -> DataFrame:
+def subtree_totals(tree: DataFrame) -> DataFrame:
     """Total of ``value`` and node count over each node's subtree; columns node, parent, value.
 
-    Works up from all nodes at once: in each round a node's summed contribution moves to its
-    parent, so a round carries at most one row per node and never a path per leaf.  The number
-    of rounds is the depth of the tree; each round is stored, so no plan grows with the depth.
+    By doubling: after round k every node knows the total over its descendants fewer than 2^k steps below,
+    and the ancestor 2^k steps above.  A node hands its total to that ancestor and takes over the ancestor's
+    own pointer, so the number of rounds is the logarithm of the depth.  A round is stored and holds at most
+    one row per node; nodes whose pointer has left the tree take no further part in it.
     """
-    edges = stage(tree.select("node", "parent"), "tree-edges")
-    moving = stage(tree.select("node", F.col("value").alias("total"), F.lit(1).cast("long").alias("nodes")), "tree-round")
-    rounds = [moving]
-    for _ in range(max_depth):
-        moved = (
-            moving.join(edges, "node").filter(F.col("parent").isNotNull())
-            .groupBy(F.col("parent").alias("node"))
-            .agg(F.sum("total").cast(tree.schema["value"].dataType).alias("total"), F.sum("nodes").alias("nodes"))
-        )
-        moving = stage(moved, "tree-round")
-        if moving.isEmpty():
-            break
-        rounds.append(moving)
-    else:
-        raise ValueError("the parent links do not end; the table is not a tree")
-    every = rounds[0]
-    for part in rounds[1:]:
-        every = every.unionByName(part)
-    return every.groupBy("node").agg(F.sum("total").alias("total"), F.sum("nodes").alias("nodes"))
+    kind = tree.schema["value"].dataType
+    totals = stage(tree.select("node", F.col("value").alias("total"), F.lit(1).cast("long").alias("nodes")), "tree-totals")
+    # a parent that is no node of the table has no row to hand to
+    nodes = tree.select(F.col("node").alias("above"))
+    pointers = stage(tree.select("node", F.col("parent").alias("above")).join(nodes, "above"), "tree-pointers")
+    for _ in range(totals.count().bit_length() + 1):
+        if pointers.isEmpty():
+            return totals
+        handed = pointers.join(totals, "node").groupBy(F.col("above").alias("node")).agg(
+            F.sum("total").alias("__total"), F.sum("nodes").alias("__nodes"))
+        more = totals.join(handed, "node", "left")
+        plus = lambda own, new: F.when(new.isNull(), own).when(own.isNull(), new).otherwise(own + new)
+        totals = stage(more.select("node", plus(F.col("total"), F.col("__total")).cast(kind).alias("total"),
+                                   (F.col("nodes") + F.coalesce("__nodes", F.lit(0))).alias("nodes")), "tree-totals")
+        farther = pointers.select(F.col("node").alias("above"), F.col("above").alias("next"))
+        pointers = stage(pointers.join(farther, "above").select("node", F.col("next").alias("above")), "tree-pointers")
+    raise ValueError("the parent links do not end; the table is not a tree")

@@ -9,6 +9,7 @@ bounds only decide how rows are spread, never what the result is.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -19,6 +20,10 @@ RANGE = "__range"
 #: Rows that a range is meant to hold, and sampled rows per range from which its bound is taken.
 RANGE_ROWS = 2_000_000
 SAMPLES = 16
+#: Ranges up to which bounds are literals of the plan.
+TOP = 1000
+#: Whole numbers within so many of each other are not numbered anew.
+CLOSE = 1 << 12
 
 
 def _listed(on) -> list[Column]:
@@ -26,30 +31,67 @@ def _listed(on) -> list[Column]:
     return [F.col(c) if isinstance(c, str) else c for c in columns]
 
 
-def range_bounds(df: DataFrame, on, parts: int | None = None) -> list:
+class Splitters(NamedTuple):
+    """Where the order is cut: ``top`` bounds as literals and, in a table, the bounds within each top cell."""
+
+    top: list
+    inner: DataFrame | None = None
+    width: int = 1
+
+
+def _struct(columns: list[Column], bound=None, kinds=None) -> Column:
+    if bound is not None:
+        columns = [F.lit(v).cast(k) for v, k in zip(bound, kinds)]
+    return F.struct(*[c.alias(f"o{i}") for i, c in enumerate(columns)])
+
+
+def _bounds_below(listed: Column, most: int, own: Column) -> Column:
+    """How many of the sorted bounds, ``most`` at most, are not above ``own``, by binary search."""
+    steps = F.array(*[F.lit(1 << k) for k in reversed(range(most.bit_length()))])
+    return F.aggregate(steps, F.lit(0), lambda at, step: F.when(F.get(listed, at + step - 1) <= own, at + step).otherwise(at))
+
+
+def range_bounds(df: DataFrame, on, parts: int | None = None) -> Splitters:
     """Bounds that cut the order of ``on`` (one column or several) into ranges of about equal row count.
 
     There is a range for every ``RANGE_ROWS`` rows unless ``parts`` is given.  Bounds are values of the
-    columns themselves, taken from a sample of ``SAMPLES`` rows a range, which is all that comes to the
-    driver; they decide how rows are spread and never a result.
+    columns themselves, taken from a sample of ``SAMPLES`` rows a range; they decide how rows are spread and
+    never a result.  At most ``TOP`` ranges are cut by literals.  Beyond, these are the top cells, and each
+    has its own bounds in a stored table of one row per top cell, made by tasks: whatever the number of
+    ranges, ``SAMPLES`` x ``TOP`` sampled rows come to the driver and ``TOP`` bounds into a plan.
     """
-    keyed = df.select(*[c.alias(f"o{i}") for i, c in enumerate(_listed(on))])
+    columns = _listed(on)
+    keyed = df.select(*[c.alias(f"o{i}") for i, c in enumerate(columns)])
     rows = keyed.count()
     wanted = parts or -(-rows // RANGE_ROWS)
     if wanted < 2 or not rows:
-        return []
-    share = SAMPLES * wanted / rows
-    sample = keyed if share >= 1 else keyed.sample(withReplacement=False, fraction=share, seed=1)
-    found = sample.orderBy(*keyed.columns).collect()
-    picked = [found[i * len(found) // wanted] for i in range(1, wanted)] if found else []
+        return Splitters([])
+
+    def sample(ranges: int, seed: int) -> DataFrame:
+        share = SAMPLES * ranges / rows
+        return keyed if share >= 1 else keyed.sample(withReplacement=False, fraction=share, seed=seed)
+
+    cells = min(wanted, TOP)
+    found = sample(cells, 1).orderBy(*keyed.columns).collect()
+    picked = [found[i * len(found) // cells] for i in range(1, cells)] if found else []
     bounds: list = []
     for row in picked:
         if not bounds or repr(bounds[-1]) != repr(row):
             bounds.append(row)
-    return bounds
-
-
-def with_range(df: DataFrame, on, parts: int | None = None, bounds: list | None = None) -> DataFrame:
+    if wanted <= TOP or not bounds:
+        return Splitters(bounds)
+    per = -(-wanted // TOP)
+    own = _struct([F.col(c) for c in keyed.columns])
+    dealt = with_range(sample(wanted, 2).distinct(), keyed.columns, bounds=Splitters(bounds))
+    order = Window.partitionBy(RANGE).orderBy(*keyed.columns)
+    every = F.ceil(F.count(F.lit(1)).over(Window.partitionBy(RANGE)) / per)
+    chosen = dealt.withColumn("__rn", F.row_number().over(order) - 1).withColumn("__every", every).where("__rn > 0 and __rn % __every = 0")
+    # at most ``per`` bounds to a top cell
+    inner = chosen.groupBy(F.col(RANGE).alias("__top")).agg(F.array_sort(F.collect_list(own)).alias("__bounds"))
+    return Splitters(bounds, stage(inner, "range-bounds"), per + 1)
+
+
+def with_range(df: DataFrame, on, parts: int | None = None, bounds: Splitters | None = None) -> DataFrame:
     """Add ``__range``: the number of bounds that are not above the row, by binary search.
 
     ``on`` is the leading order column, or the first few; with more than one, the rows of a frequent
@@ -57,17 +99,20 @@ def with_range(df: DataFrame, on, parts: int | None = None, bounds: list | None
     """
     columns = _listed(on)
     bounds = range_bounds(df, columns, parts) if bounds is None else bounds
-    if not bounds:
+    if not bounds.top:
         return df.withColumn(RANGE, F.lit(0))
     kinds = [f.dataType for f in df.select(*columns).schema]
-    listed = F.array(*[F.struct(*[F.lit(v).cast(k).alias(f"o{i}") for i, (v, k) in enumerate(zip(row, kinds))]) for row in bounds])
-    own = F.struct(*[c.alias(f"o{i}") for i, c in enumerate(columns)])
-    steps = F.array(*[F.lit(1 << k) for k in reversed(range(len(bounds).bit_length()))])
-    found = F.aggregate(steps, F.lit(0), lambda at, step: F.when(F.get(listed, at + step - 1) <= own, at + step).otherwise(at))
-    return df.withColumn(RANGE, found)
+    listed = F.array(*[_struct(columns, row, kinds) for row in bounds.top])
+    cut = df.withColumn(RANGE, _bounds_below(listed, len(bounds.top), _struct(columns)))
+    if bounds.inner is None:
+        return cut
+    # one row per top cell, stored: Spark knows its size and broadcasts it or not
+    met = cut.join(bounds.inner, F.col(RANGE) == F.col("__top"), "left")
+    own = _bounds_below(F.col("__bounds"), bounds.width - 1, _struct(columns))
+    return met.withColumn(RANGE, F.col(RANGE) * bounds.width + own).drop("__top", "__bounds")
 
 
-def _join_cells(rows: DataFrame, cells: DataFrame, keys: Sequence[str]) -> DataFrame:
+def _join_cells(rows: DataFrame, cells: DataFrame, keys: Sequence[str], bounds: Splitters) -> DataFrame:
     """Join per-cell rows back; null keys meet null keys."""
     cells = cells.select(*[F.col(k).alias(f"__k_{k}") for k in keys],
                          F.col(RANGE).alias("__k_range"),
@@ -75,8 +120,8 @@ def _join_cells(rows: DataFrame, cells: DataFrame, keys: Sequence[str]) -> DataF
     same = F.col(RANGE) == F.col("__k_range")
     for k in keys:
         same = same & F.col(k).eqNullSafe(F.col(f"__k_{k}"))
-    # without keys there is one cell per range, so that side is small by construction
-    side = cells if keys else F.broadcast(cells)
+    # without keys there is one cell per range: at most TOP of them, unless there are inner bounds
+    side = cells if keys or bounds.inner is not None else F.broadcast(cells)
     return rows.join(side, same, "left").drop("__k_range", *[f"__k_{k}" for k in keys])
 
 
@@ -87,13 +132,16 @@ def positions(df: DataFrame, order: Sequence[Column], on, keys: Sequence[str] =
     ``on`` names the first ordering column, or the first two; ``order`` must be total.
     """
     keys = list(keys)
-    cut = with_range(df, on, parts)
+    bounds = range_bounds(df, on, parts)
+    if not bounds.top:
+        return df.withColumn(name, F.row_number().over(Window.partitionBy(*keys, F.lit(0)).orderBy(*order)).cast("long"))
+    cut = with_range(df, on, bounds=bounds)
     cells = cut.groupBy(*keys, RANGE).agg(F.count(F.lit(1)).alias("__n"))
     earlier = Window.partitionBy(*keys).orderBy(RANGE).rowsBetween(Window.unboundedPreceding, -1)
     cells = cells.select(*keys, RANGE, F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__before"))
     rows = cut.withColumn("__rn", F.row_number().over(Window.partitionBy(*keys, RANGE).orderBy(*order)))
     return (
-        _join_cells(rows, cells, keys)
+        _join_cells(rows, cells, keys, bounds)
         .withColumn(name, (F.col("__rn") + F.col("__before")).cast("long"))
         .drop("__rn", "__before", RANGE)
     )
@@ -103,14 +151,18 @@ def running_sums(df: DataFrame, order: Sequence[Column], on, sums: dict[str, Col
                  keys: Sequence[str] = (), parts: int | None = None) -> DataFrame:
     """Add, per key, the running total of each expression in ``sums`` up to and with the row."""
     keys = list(keys)
-    cut = with_range(df, on, parts)
+    bounds = range_bounds(df, on, parts)
+    if not bounds.top:
+        upto = Window.partitionBy(*keys, F.lit(0)).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+        return df.select("*", *[F.sum(e).over(upto).alias(n) for n, e in sums.items()])
+    cut = with_range(df, on, bounds=bounds)
     cut = cut.select("*", *[e.alias(f"__v_{n}") for n, e in sums.items()])
     cells = cut.groupBy(*keys, RANGE).agg(*[F.sum(f"__v_{n}").alias(f"__t_{n}") for n in sums])
     earlier = Window.partitionBy(*keys).orderBy(RANGE).rowsBetween(Window.unboundedPreceding, -1)
     cells = cells.select(*keys, RANGE, *[F.sum(f"__t_{n}").over(earlier).alias(f"__b_{n}") for n in sums])
     upto = Window.partitionBy(*keys, RANGE).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     rows = cut.select("*", *[F.sum(f"__v_{n}").over(upto).alias(f"__w_{n}") for n in sums])
-    joined = _join_cells(rows, cells, keys)
+    joined = _join_cells(rows, cells, keys, bounds)
     for n in sums:
         total = F.when(F.col(f"__w_{n}").isNull(), F.col(f"__b_{n}")).otherwise(
             F.col(f"__w_{n}") + F.coalesce(F.col(f"__b_{n}"), F.lit(0)))
@@ -216,41 +268,38 @@ def quantile_columns(df: DataFrame, value: str, named: dict[str, float], keys: S
         *[F.max(F.when(F.col("share") == s, F.col("quantile"))).alias(n) for n, s in named.items()])
 
 
-def _ranks(cells: DataFrame, column: str, name: str) -> tuple[DataFrame, int]:
-    """(column, name): the distinct known values numbered from 0 in order, and how many there are."""
+def _numbered(cells: DataFrame, column: str, name: str) -> tuple[DataFrame, int]:
+    """``cells`` with their ordered ``column`` numbered from 0, and a bound on the numbers.
+
+    Whole numbers that lie close together number themselves; other values are numbered densely.
+    """
+    if cells.schema[column].dataType.typeName() in ("byte", "short", "integer", "long"):
+        low, high = cells.agg(F.min(column).cast("decimal(20,0)"), F.max(column).cast("decimal(20,0)")).first()
+        if low is None or high - low < CLOSE:
+            return cells.withColumn(name, F.col(column) - F.lit(int(low or 0)).cast("long")), int(high - low) + 1 if low is not None else 1
     distinct = stage(cells.select(column).distinct(), "values")
-    numbered = positions(distinct, [F.col(column)], on=column, name=name)
-    return numbered.withColumn(name, F.col(name) - 1), distinct.count()
+    numbered = positions(distinct, [F.col(column)], on=column, name=name).withColumn(name, F.col(name) - 1)
+    return cells.join(numbered, column), distinct.count()
 
 
 def count_rising_pairs(df: DataFrame, keys: Sequence[str], place: str, value: str, name: str = "n_pairs") -> DataFrame:
     """Count pairs with ``place_i < place_j`` and ``value_i < value_j`` without forming a pair.
 
-    Places and values of any ordered type are numbered densely.  Two numbers differ first at exactly
-    one binary level, where the smaller has bit 0 and the larger bit 1.  Grouping by that level and the
-    common prefix, for place and value at once, turns the pair count into a sum of products of two
-    counts.  The levels follow from the largest number; a null takes part in no pair.
+    Places are numbered.  Two numbers differ first at exactly one binary level, where the smaller has bit 0
+    and the larger bit 1, so each pair meets once among the rows of a level and common prefix.  There the
+    rows of bit 1 take the running count of smaller values of bit 0.  A row is copied once per level, and
+    running counts are cut into ranges of values; a null takes part in no pair.
     """
     known = df.filter(F.col(place).isNotNull() & F.col(value).isNotNull())
-    cells = stage(known.groupBy(*keys, place, value).agg(F.count(F.lit(1)).alias("__n")), "cells")
-    places, n_places = _ranks(cells, place, "__place")
-    values, n_values = _ranks(cells, value, "__value")
-    ranked = cells.join(places, place).join(values, value)
-
-    def levels(column: str, n: int) -> Column:
-        return F.array(*[F.struct(
-            F.lit(b).alias("level"),
-            F.shiftright(F.col(column), b + 1).alias("prefix"),
-            F.shiftright(F.col(column), b).bitwiseAND(F.lit(1)).alias("bit"),
-        ) for b in range(max(1, (n - 1).bit_length()))])
-
-    spread = (
-        ranked.withColumn("__p", F.explode(levels("__place", n_places)))
-        .withColumn("__v", F.explode(levels("__value", n_values)))
-        .filter(F.col("__p.bit") == F.col("__v.bit"))
-    )
-    split = spread.groupBy(*keys, F.col("__p.level").alias("__pl"), F.col("__p.prefix").alias("__pp"),
-                           F.col("__v.level").alias("__vl"), F.col("__v.prefix").alias("__vp")).agg(
+    cells = known.groupBy(*keys, place, value).agg(F.count(F.lit(1)).alias("__n"))
+    ranked, n = _numbered(stage(cells, "cells"), place, "__place")
+    levels = F.array(*[F.struct(
+        F.lit(b).alias("level"), F.shiftright("__place", b + 1).alias("prefix"), F.shiftright("__place", b).bitwiseAND(F.lit(1)).alias("bit"),
+    ) for b in range(max(1, (n - 1).bit_length()))])
+    spread = ranked.select(*keys, value, "__n", F.explode(levels).alias("__p"))
+    inside = [*keys, "__level", "__prefix"]
+    sides = spread.groupBy(*keys, F.col("__p.level").alias("__level"), F.col("__p.prefix").alias("__prefix"), value).agg(
         F.sum(F.when(F.col("__p.bit") == 0, F.col("__n")).otherwise(0)).alias("__low"),
         F.sum(F.when(F.col("__p.bit") == 1, F.col("__n")).otherwise(0)).alias("__high"))
-    return split.groupBy(*keys).agg(F.sum(F.col("__low") * F.col("__high")).alias(name))
+    counted = running_sums(stage(sides, "sides"), [F.col(value)], value, {"__upto": F.col("__low")}, inside)
+    return counted.groupBy(*keys).agg(F.sum(F.col("__high") * (F.col("__upto") - F.col("__low"))).alias(name))

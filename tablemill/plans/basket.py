@@ -136,7 +136,7 @@ def flag_top(baskets: DataFrame, measures: Sequence[str], share: float = FLAG_SH
 
 def specific_baskets(baskets: DataFrame) -> DataFrame:
     """Without baskets that are strict subsets of another listed basket."""
-    return drop_strict_subsets(baskets, "items", MAX_ITEMS)
+    return drop_strict_subsets(baskets, "items")
 
 
 def basket_measures(baskets: DataFrame, found: DataFrame, measures: Sequence[str]) -> DataFrame:

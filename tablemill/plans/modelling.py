@@ -13,6 +13,7 @@ from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tablemill.operators.nearest import nearest_rows
 from tablemill.operators.ordered import positions
 from tablemill.operators.scaling import _hash32, uniform_of
 from tablemill.plans.prepare import SEPARATOR, q
@@ -28,35 +29,34 @@ def assemble(df: DataFrame, features: Sequence[str], label: str) -> DataFrame:
 
 # ---- oversampling ------------------------------------------------------------------------
 
-def oversample_minority(df: DataFrame, key: str, label: str, by: str, features: Sequence[str], seed: int, neighbours: int = 5) -> DataFrame:
+def oversample_minority(df: DataFrame, key: str, label: str, features: Sequence[str], seed: int, neighbours: int = 5) -> DataFrame:
     """New minority rows until both classes are equally large: key, neighbour, copy, weight, features.
 
-    Each new row lies between a minority row and one of its ``neighbours`` nearest minority rows.
-    Nearness is measured on the one column ``by``: there the nearest rows are among the next
-    ones in sorted order, so every row looks at ``2 * neighbours`` places and never at all
-    pairs.  Neighbour and weight are fixed by key, copy and seed.
+    Each new row lies between a minority row and one of its ``neighbours`` nearest minority rows, by
+    Euclidean distance over all features (ties to the smaller key).  Rows with an unknown feature take no
+    part.  Rows in key order share the new ones evenly, the first of them one more; neighbour and weight
+    are fixed by key, copy and seed.
     """
-    counts = df.agg(F.count_if(F.col(label) == 1).alias("p"), F.count_if(F.col(label) == 0).alias("n")).first()
+    complete = F.lit(True)
+    for f in features:
+        complete = complete & F.col(f).isNotNull() & ~F.isnan(F.col(f).cast("double"))
+    counts = df.filter(complete).agg(F.count_if(F.col(label) == 1).alias("p"), F.count_if(F.col(label) == 0).alias("n")).first()
     minority = 1 if counts["p"] < counts["n"] else 0
     small, large = min(counts["p"], counts["n"]), max(counts["p"], counts["n"])
-    rows = positions(df.filter(F.col(label) == minority).select(key, by, *[f for f in features if f != by]), [F.col(by), F.col(key)], on=[by, key])
     if small < 2:
         raise ValueError("the smaller class needs two rows at least")
+    rows = stage(positions(df.filter(complete & (F.col(label) == minority)).select(key, *features), [F.col(key)], on=key), "minority")
     every, rest = divmod(large - small, small)
     copies = F.lit(every) + F.when(F.col("pos") <= rest, 1).otherwise(0)
-    steps = F.array(*[F.lit(d) for d in range(-neighbours, neighbours + 1) if d])
-    asked = rows.withColumn("copies", copies).filter("copies > 0").withColumn("at", F.explode(F.transform(steps, lambda d: F.col("pos") + d)))
-    other = rows.select(F.col("pos").alias("at"), F.col(key).alias("neighbour"), *[F.col(f).alias(f"__{f}") for f in dict.fromkeys([by, *features])])
-    pairs = asked.join(other, "at")
-    near = Window.partitionBy(key).orderBy(F.abs(F.col(by) - F.col(f"__{by}")), F.abs(F.col("at") - F.col("pos")), "at")
-    ranked = pairs.withColumn("rank", F.row_number().over(near)).withColumn("known", F.count(F.lit(1)).over(Window.partitionBy(key)))
+    near = nearest_rows(rows, key, features, neighbours).select(key, "rank", "neighbour")
     # a number fixed by key and copy picks among the neighbours that exist: each pair lists the copies that pick it
     named = lambda copy: F.concat_ws("/", F.col(key).cast("string"), copy.cast("string"))
-    picks = lambda copy: _hash32(named(copy), seed) % F.least(F.col("known"), F.lit(neighbours)) + 1 == F.col("rank")
-    near_ones = ranked.filter(F.col("rank") <= neighbours)
-    made = near_ones.withColumn("copy", F.explode(F.filter(F.sequence(F.lit(1), F.col("copies")), picks)))
+    picks = lambda copy: _hash32(named(copy), seed) % min(small - 1, neighbours) + 1 == F.col("rank")
+    asked = rows.withColumn("copies", copies).filter("copies > 0").join(near, key)
+    made = asked.withColumn("copy", F.explode(F.filter(F.sequence(F.lit(1), F.col("copies")), picks)))
     made = made.withColumn("weight", uniform_of(named(F.col("copy")), seed + 1))
-    return made.select(key, "neighbour", "copy", "weight", *[
+    other = rows.select(F.col(key).alias("neighbour"), *[F.col(f).alias(f"__{f}") for f in features])
+    return made.join(other, "neighbour").select(key, "neighbour", "copy", "weight", *[
         (F.col(f).cast("double") + F.col("weight") * (F.col(f"__{f}").cast("double") - F.col(f).cast("double"))).alias(f) for f in features])
 
 

@@ -240,30 +240,106 @@ def cross_products(df: DataFrame, columns: Sequence[str]) -> np.ndarray:
     return out
 
 
+class Factors:
+    """Variance inflation factors of a set of columns that shrinks; column 0 is the intercept.
+
+    All factors come from the inverse of the scaled cross products: its diagonal is one over what a column
+    leaves unexplained.  Removing a column is a rank-one downdate.  Where the products are singular, a column
+    takes part in a dependence if it has a share in the null space; its factor is infinite, and those of the
+    others come from the pseudo-inverse.
+    """
+
+    NONE, SMALL, REFRESH = 1e-12, 1e-10, 50
+
+    def __init__(self, products: np.ndarray, chosen: Sequence[int]):
+        self.products, self.chosen = products, list(chosen)
+        self._solve()
+
+    def _solve(self) -> None:
+        part = self.products[np.ix_(self.chosen, self.chosen)]
+        scale = np.sqrt(np.diag(part))
+        scale[scale == 0] = 1.0
+        values, vectors = np.linalg.eigh(part / np.outer(scale, scale))
+        none = values <= self.NONE * max(len(values), 1)
+        kept = vectors[:, ~none]
+        self.inverse, self.null, self.downdates = (kept / values[~none]) @ kept.T, vectors[:, none], 0
+
+    def _totals(self, without: int | None = None) -> np.ndarray:
+        """Each column's total over its own square sum: centred if the intercept is among the others."""
+        square = np.diag(self.products)[self.chosen]
+        total = np.ones(len(self.chosen))
+        if 0 in self.chosen and without != 0:
+            cross = self.products[self.chosen, 0] ** 2 / self.products[0, 0]
+            total = np.where(square > 0, 1 - cross / np.where(square > 0, square, 1), 1.0)
+            total[self.chosen.index(0)] = 1.0
+        return total
+
+    def _of(self, diagonal: np.ndarray, total: np.ndarray, dependent: np.ndarray) -> np.ndarray:
+        endless = dependent | (diagonal >= 1 / self.SMALL) | (diagonal <= 0)
+        return np.where(endless, np.inf, total * np.where(endless, 1.0, diagonal))
+
+    def all(self) -> np.ndarray:
+        if len(self.chosen) == 1:
+            return np.ones(1)
+        shares = (self.null**2).sum(axis=1)
+        return self._of(np.diag(self.inverse), self._totals(), shares > 1e-8)
+
+    def means_without(self) -> np.ndarray:
+        """The mean factor of the others for each column that might go."""
+        n = len(self.chosen)
+        if n == 1:
+            return np.zeros(1)
+        if n == 2:
+            return np.ones(2)
+        out = np.full(n, np.inf)
+        if self.null.shape[1] > 1:  # one column less leaves a dependence
+            return out
+        diagonal = np.diag(self.inverse)
+        for k in range(n):
+            if self.null.shape[1]:
+                v = self.null[:, 0]
+                if v[k] ** 2 <= 1e-8:
+                    continue
+                ratio = v / v[k]
+                left = diagonal - 2 * ratio * self.inverse[k] + ratio**2 * diagonal[k]
+            else:
+                left = diagonal - self.inverse[k] ** 2 / diagonal[k]
+            found = self._of(left, self._totals(self.chosen[k]), np.zeros(n, dtype=bool))
+            out[k] = np.delete(found, k).mean()
+        return out
+
+    def remove(self, at: int) -> None:
+        gone, self.chosen = self.inverse[at], [c for i, c in enumerate(self.chosen) if i != at]
+        if self.null.shape[1] or self.downdates >= self.REFRESH or gone[at] >= 1 / self.SMALL:
+            return self._solve()
+        left = np.delete(gone, at)
+        self.inverse = np.delete(np.delete(self.inverse, at, 0), at, 1) - np.outer(left, left) / gone[at]
+        self.null, self.downdates = self.null[:-1], self.downdates + 1
+
+
 def vifs(products: np.ndarray, chosen: Sequence[int]) -> list[float]:
     """Variance inflation factor of each chosen column; column 0 is the intercept.
 
     With the intercept among the others the total is centred, otherwise it is not.
     """
-    part = products[np.ix_(chosen, chosen)]
-    scale = np.sqrt(np.diag(part))
-    scale[scale == 0] = 1.0
-    out = []
-    for k, column in enumerate(chosen):
-        others = [i for i in range(len(chosen)) if i != k]
-        total = part[k, k]
-        if 0 in [chosen[i] for i in others]:
-            z = chosen.index(0)
-            total = part[k, k] - part[k, z] ** 2 / part[z, z]
-        if not others:
-            out.append(1.0)
-            continue
-        a = part[np.ix_(others, others)] / np.outer(scale[others], scale[others])
-        b = part[others, k] / (scale[others] * scale[k])
-        solved = np.linalg.lstsq(a, b, rcond=1e-10)[0]
-        left = part[k, k] - float(b @ solved) * scale[k] ** 2
-        out.append(float("inf") if left <= part[k, k] * 1e-10 else float(total / left))
-    return out
+    return Factors(products, chosen).all().tolist()
+
+
+def removals(products: np.ndarray, threshold: float) -> list[int]:
+    """Columns removed one by one until no factor exceeds the threshold; 0 is the intercept."""
+    factors, removed = Factors(products, range(len(products))), []
+    rounded = lambda values: [float(f"{v:.9g}") for v in values]
+    while factors.chosen:
+        # equal up to rounding noise counts as equal: then the first column goes, on every run
+        found = rounded(factors.all())
+        worst = max(found)
+        if not worst > threshold:
+            break
+        means = rounded(factors.means_without()) if np.isinf(worst) else None
+        at = found.index(worst) if means is None else means.index(min(means))
+        removed.append(factors.chosen[at])
+        factors.remove(at)
+    return removed
 
 
 def collinear_columns(df: DataFrame, columns: Sequence[str], threshold: float = MAX_VIF) -> list[str]:
@@ -274,22 +350,7 @@ def collinear_columns(df: DataFrame, columns: Sequence[str], threshold: float =
     """
     if len(columns) < 2:
         return []
-    products = cross_products(df, columns)
-    names, chosen, removed = ["Intercept", *columns], list(range(len(columns) + 1)), []
-    while True:
-        # equal up to rounding noise counts as equal: then the first column goes, on every run
-        found = [float(f"{v:.9g}") for v in vifs(products, chosen)]
-        worst = max(found)
-        if not worst > threshold:
-            break
-        if np.isinf(worst):
-            means = [float(f"{np.mean(vifs(products, [c for c in chosen if c != out])):.9g}") if len(chosen) > 1 else 0.0 for out in chosen]
-            gone = chosen[means.index(min(means))]
-        else:
-            gone = chosen[found.index(worst)]
-        chosen.remove(gone)
-        removed.append(names[gone])
-    return [c for c in removed if c != "Intercept"]
+    return [columns[i - 1] for i in removals(cross_products(df, columns), threshold) if i]
 
 
 # ---- dummy columns -----------------------------------------------------------------------

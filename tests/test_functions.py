@@ -1,5 +1,7 @@
 """Published examples of the scalar functions."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -96,11 +98,22 @@ def test_mode_and_repeat(spark):
     assert summary.first_repeat(single, ["k"], "p", "v").first().first_repeat is None
 
 
-def test_strict_subsets_refuse_large_baskets(spark):
-    df = spark.createDataFrame([(["a"],), (["a", "b"],), (["c"],), (["a", "b"],)], "l array<string>")
-    assert sorted(tuple(r.l) for r in sets.drop_strict_subsets(df, "l", 3).collect()) == [("a", "b"), ("a", "b"), ("c",)]
-    with pytest.raises(Exception, match="more than 2 items"):
-        sets.drop_strict_subsets(spark.createDataFrame([(["a", "b", "c"],)], "l array<string>"), "l", 2).collect()
+def test_strict_subsets(spark):
+    df = spark.createDataFrame([(["a"],), (["a", "b"],), (["c"],), (["b", "a", "b"],), (None,), ([],), (["d", None],)], "l array<string>")
+    kept = sorted((r.l for r in sets.drop_strict_subsets(df, "l").collect()), key=repr)
+    assert kept == sorted([["a", "b"], ["b", "a", "b"], ["c"], None, ["d", None]], key=repr)
+    assert sets.drop_strict_subsets(df.limit(0), "l").collect() == []
+    assert sets.drop_strict_subsets(spark.createDataFrame([([],), ([],)], "l array<int>"), "l").count() == 2
+
+
+@pytest.mark.parametrize("many", [1_000_000, 30, 0])
+def test_strict_subsets_of_any_size_with_a_hot_item(spark, many):
+    rng = random.Random(8)
+    baskets = {frozenset(rng.sample(range(40), rng.randint(1, 40))) for _ in range(150)} | {frozenset(rng.sample(range(12), rng.randint(1, 6))) for _ in range(250)}
+    baskets |= {frozenset([*b, 99]) for b in list(baskets)[:200]}  # an item of half of all sets
+    df = spark.createDataFrame([(sorted(b),) for b in baskets], "set array<int>")
+    got = {frozenset(r["set"]) for r in sets.strict_subsets(df, many).collect()}
+    assert got == {a for a in baskets if any(a < b for b in baskets)}
 
 
 def test_random_numbers_by_key(spark):

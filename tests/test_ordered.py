@@ -193,3 +193,53 @@ def test_latest_versions_rules(spark):
     got = joining.latest_versions(df, ["k"], F.col("v"), F.col("type") == "Actualized").collect()
     # k1's latest row fails the filter, ties of k2 stay, null versions and keys never match
     assert [(r.k, r.v) for r in got] == [("k2", "3"), ("k2", "3")]
+
+
+def test_a_hundred_thousand_ranges(spark, skewed):
+    """The bounds within top cells are a table; what reaches the driver and the plan does not grow with the ranges."""
+    rows, df = skewed
+    bounds = ordered.range_bounds(df, ["x", "id"], parts=100_000)
+    assert len(bounds.top) < ordered.TOP and bounds.inner is not None
+    cut = ordered.with_range(df, ["x", "id"], bounds=bounds)
+    placed = sorted((r.x, r.id, r[ordered.RANGE]) for r in cut.collect())
+    assert [p[2] for p in placed] == sorted(p[2] for p in placed) and len({p[2] for p in placed}) > 2000
+    got = {(r.k, r.id): r.pos for r in ordered.positions(df, [F.col("x"), F.col("id")], on=["x", "id"], keys=["k"], parts=100_000).collect()}
+    assert got == {(r[0], r[1]): i + 1 for group in by_key(rows, lambda r: (r[3], r[1])).values() for i, r in enumerate(group)}
+    sums = {r.id: r.total for r in ordered.running_sums(df, [F.col("x"), F.col("id")], "x", {"total": F.col("v")}, parts=100_000).collect()}
+    every = sorted(rows, key=lambda r: (r[3], r[1]))
+    for r, total in zip(every, np.cumsum([r[2] for r in every])):
+        assert sums[r[1]] == total
+
+
+def test_inner_bounds_with_null_and_text(spark, monkeypatch):
+    monkeypatch.setattr(ordered, "TOP", 3)
+    words = [None, *sorted({f"w{i * 7919 % 1000:03}" for i in range(300)})]
+    df = spark.createDataFrame([(w,) for w in words], "s string").repartition(4)
+    got = {r.s: r.pos for r in ordered.positions(df, [F.col("s")], on="s", parts=60).collect()}
+    assert got == {w: i + 1 for i, w in enumerate(words)}
+
+
+def test_rising_pairs_of_a_hot_key_in_ranges(spark, monkeypatch):
+    monkeypatch.setattr(ordered, "RANGE_ROWS", 150)
+    monkeypatch.setattr(ordered, "CLOSE", 8)
+    rng = random.Random(12)
+    rows = [(None if rng.random() < 0.1 else 1, rng.randint(-10**12, 10**12), rng.randint(0, 90)) for _ in range(500)]
+    got = {r.k: r.n_pairs for r in ordered.count_rising_pairs(spark.createDataFrame(rows, "k int, p long, v int"), ["k"], "p", "v").collect()}
+    assert got[1] == sum(1 for a in rows for b in rows if a[0] == b[0] == 1 and a[1] < b[1] and a[2] < b[2])
+
+
+def test_tree_totals(spark):
+    from tablemill.operators.hierarchy import subtree_totals
+
+    rng = random.Random(2)
+    chain = [(i, i - 1 if i else None, 1) for i in range(5000)]
+    bushy = [(10_000 + i, None if i == 0 else 10_000 + rng.randrange(i), rng.randint(0, 9) if i % 50 else None) for i in range(1500)]
+    df = spark.createDataFrame(chain + bushy, "node long, parent long, value long")
+    want = {n: [v, 1] for n, _, v in chain + bushy}
+    for n, parent, _ in reversed(chain + bushy):
+        if parent is not None:
+            total, nodes = want[n]
+            want[parent] = [total if want[parent][0] is None else want[parent][0] + (total or 0), want[parent][1] + nodes]
+    assert {r.node: [r.total, r.nodes] for r in subtree_totals(df).collect()} == want
+    with pytest.raises(ValueError, match="not a tree"):
+        subtree_totals(spark.createDataFrame([(1, 2, 1), (2, 1, 1), (3, None, 1)], "node long, parent long, value long"))

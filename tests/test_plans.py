@@ -2,6 +2,7 @@
 
 import itertools
 import random
+import time
 from itertools import combinations
 
 import numpy as np
@@ -10,6 +11,7 @@ import pytest
 from pyspark.ml.classification import LogisticRegression
 from pyspark.sql import functions as F
 
+from tablemill.operators.nearest import nearest_rows
 from tablemill.operators.summary import correlation_matrix
 from tablemill.plans import basket as mb
 from tablemill.plans import evaluate as ev
@@ -217,16 +219,76 @@ def test_oversampling_levels_the_classes(spark):
     rng = random.Random(6)
     rows = [(i, int(i % 7 == 0), rng.randint(0, 30), rng.random()) for i in range(200)]
     df = spark.createDataFrame(rows, "id int, y int, v int, w double")
-    made = md.oversample_minority(df, "id", "y", "v", ["v", "w"], seed=1).collect()
+    made = md.oversample_minority(df, "id", "y", ["v", "w"], seed=1).collect()
     small = {r[0]: r for r in rows if r[1] == 1}
     assert len(made) == sum(1 for r in rows if r[1] == 0) - len(small)
     for r in made:
         a, b = small[r.id], small[r.neighbour]
-        gaps = sorted(abs(o[2] - a[2]) for i, o in small.items() if i != r.id)
-        assert r.id != r.neighbour and abs(a[2] - b[2]) <= gaps[4]
+        gap = lambda o: (o[2] - a[2]) ** 2 + (o[3] - a[3]) ** 2  # noqa: B023, E731
+        gaps = sorted(gap(o) for i, o in small.items() if i != r.id)
+        assert r.id != r.neighbour and gap(b) <= gaps[4]
         assert r.v == pytest.approx(a[2] + r.weight * (b[2] - a[2])) and 0 <= r.weight < 1
 
 
+@pytest.mark.parametrize("dims", [1, 2, 5, 10])
+def test_nearest_rows_against_brute_force(spark, dims):
+    rng = np.random.default_rng(dims)
+    x = np.round(rng.normal(size=(400, dims)), 1 if dims < 5 else 3)
+    x[:130] = x[0]  # a third of the rows have one vector
+    x[130:150, 0] += 50
+    df = spark.createDataFrame([(i, *map(float, r)) for i, r in enumerate(x)] + [(900, *[None] * dims), (901, *[float("nan")] * dims)],
+                               "id long, " + ", ".join(f"c{i} double" for i in range(dims)))
+    got = {}
+    for r in nearest_rows(df, "id", df.columns[1:], 5, leaf=20).collect():
+        got.setdefault(r.id, {})[r["rank"]] = (r.neighbour, r.distance)
+    assert set(got) == set(range(400))
+    for i in range(400):
+        square = np.zeros(400)
+        for k in range(dims):
+            square += np.square(x[i, k] - x[:, k])
+        want = [j for j in np.lexsort((np.arange(400), square)) if j != i][:5]
+        assert [got[i][n + 1] for n in range(5)] == [(j, pytest.approx(np.sqrt(square[j]))) for j in want]
+    assert nearest_rows(df.where("id >= 900"), "id", df.columns[1:], 5).collect() == []
+    assert [r.neighbour for r in nearest_rows(df.where("id in (3, 140)"), "id", df.columns[1:], 5).orderBy("id").collect()] == [140, 3]
+
+
+def test_five_hundred_columns_are_searched_for_collinear_ones():
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(3000, 100))
+    x = np.c_[x, x @ rng.normal(size=(100, 395)) + 0.3 * rng.normal(size=(3000, 395)), x[:, :5]]
+    one = np.c_[np.ones(3000), x]
+    start = time.time()
+    products = one.T @ one
+    gone = prep.removals(products, prep.MAX_VIF)
+    assert time.time() - start < 10
+    assert max(prep.vifs(products, [c for c in range(501) if c not in gone])) <= prep.MAX_VIF
+
+
+def test_removals_follow_plain_regressions():
+    """The same columns go as when every factor is a regression of its own."""
+    rng = np.random.default_rng(4)
+    for turn in range(12):
+        x = rng.normal(rng.normal(0, 2), 1, (150, 4))
+        extra = [x[:, :0], x[:, :1] * 2, x[:, :1] + rng.normal(0, 0.1, (150, 1)), np.full((150, 1), 3.0)][turn % 4]
+        one = np.c_[np.ones(150), x, extra]
+
+        def factors(chosen):
+            out = []
+            for c in chosen:
+                rest = one[:, [d for d in chosen if d != c]]
+                left = one[:, c] - (rest @ np.linalg.lstsq(rest, one[:, c], rcond=None)[0] if rest.size else 0)
+                base = one[:, c] - (one[:, c].mean() if c and 0 in chosen else 0)
+                out.append(np.inf if left @ left <= 1e-10 * (one[:, c] @ one[:, c]) else float(f"{base @ base / (left @ left):.7g}") if rest.size else 1.0)
+            return out
+
+        chosen, gone = list(range(one.shape[1])), []
+        while max(found := factors(chosen)) > 10:
+            means = [float(f"{np.mean(factors([d for d in chosen if d != c])):.7g}") for c in chosen]
+            at = means.index(min(means)) if np.isinf(max(found)) else found.index(max(found))
+            gone.append(chosen.pop(at))
+        assert prep.removals(one.T @ one, 10) == gone
+
+
 def test_parent_limits(spark):
     df = spark.createDataFrame([(1, 0, 2.0), (0, 1, 5.0)], "`c = x` int, `c = y` int, n double")
     rows = md.parent_limits(md.feature_limits(df, df.columns), {"c": ["c = x", "c = y"]}).collect()
