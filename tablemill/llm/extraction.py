@@ -11,24 +11,24 @@ from __future__ import annotations
 
 import html
 import re
+from bisect import bisect
 from collections import Counter, deque
 from collections.abc import Iterator
 from dataclasses import dataclass
+from typing import NamedTuple
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Elements whose content HTML itself reads raw: up to the end tag of the same name, or the end of the page.
-RAW = "script|style|noscript|iframe|textarea|title"
+RAW = frozenset("script style noscript iframe textarea title".split())
 #: Parsed elements whose content is never text of the page either, if they are closed.
 UNSHOWN = frozenset("template svg math object select canvas audio video".split())
-TAG = r"(?:\"[^\"]*\"|'[^']*'|[^>\"'])*"
-MARKUP = re.compile(
-    rf"<!--.*?(?:-->|\Z)|(?P<open><(?P<raw>{RAW})(?=[\s/>]){TAG}>).*?(?:</(?P=raw)(?=[\s/>])[^>]*>|\Z)"
-    rf"|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<rest>{TAG})>|<[!?/][^>]*(?:>|\Z)",
-    re.S | re.I,
-)
+NAME = re.compile(r"</?([a-zA-Z][^\s/>]*)")
+#: The rest of a tag up to its end.  As HTML reads it, a quote opens a value only behind ``=``; one that is
+#: never closed is a character like others.
+REST = re.compile(r"(?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+'|[^\s>\"'][^\s>]*+)?+)*+>")
 HIDES = re.compile(rf"<(?:{'|'.join(sorted(UNSHOWN))})(?=[\s/>])", re.I)
 #: Of those, the ones with rules of their own: a tag may close itself, and a start tag of ``BREAKOUT`` ends them but inside ``POINTS``.
 FOREIGN = frozenset(["svg", "math"])
@@ -37,8 +37,8 @@ BREAKOUT = frozenset(
     "b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing menu meta nobr ol p pre "
     "ruby s small span strong strike sub sup table tt u ul var article aside footer header main nav section".split()
 )
-ATTRIBUTE = re.compile(r"([a-zA-Z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
-HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|/|$)|display\s*:\s*none", re.I)
+ATTRIBUTE = re.compile(r"([^\s/>=][^\s/>=]*+)(?:\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s>\"'][^\s>]*+)))?+")
+NOT_SHOWN = re.compile(r"display\s*:\s*none", re.I)
 BLOCKS = frozenset(
     "address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer "
     "form h1 h2 h3 h4 h5 h6 head header hgroup hr html label legend li main menu nav ol optgroup option p pre section summary table "
@@ -72,7 +72,7 @@ AGAINST = 0.4
 ARTICLE = frozenset(["article", "main"])
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Words beside which a name of boilerplate describes the layout; and elements that are never boilerplate by name.
-LAYOUT = frozenset("has with no without layout wrapper container page".split())
+LAYOUT = frozenset("has with no without free less off layout wrapper container page".split())
 WHOLE = frozenset("html body main".split())
 STRONG = -4.0
 
@@ -92,10 +92,10 @@ def name_evidence(attributes: str, inside: str = "") -> tuple[float, bool]:
     ``inside`` is the element's own name if it is within an article: there a topic is weaker than other
     names, an id is weaker than a class, and neither the names of a heading nor the id of a section count.
     """
-    found = 0.0
-    hidden = bool(HIDDEN.search(attributes))
+    found, hidden, gone = 0.0, False, False
     for name, *values in ATTRIBUTE.findall(attributes):
         name = name.lower()
+        gone = gone or name == "hidden" or (name == "style" and bool(NOT_SHOWN.search("".join(values))))
         if name in ("class", "id", "role", "itemprop"):
             if inside and (inside in HEADINGS or (inside == "section" and name == "id")):
                 continue
@@ -112,33 +112,89 @@ def name_evidence(attributes: str, inside: str = "") -> tuple[float, bool]:
                     found = weight
         elif name == "aria-hidden" and "".join(values).lower() == "true":
             found, hidden = min(found, -5.0), True
-    return min(found, -6.0) if HIDDEN.search(attributes) else found, hidden
+    return min(found, -6.0) if gone else found, hidden or gone
+
+
+class Tag(NamedTuple):
+    """A piece of markup: a tag, or without a name a comment or declaration.  ``raw`` elements end with their content."""
+
+    start: int
+    end: int
+    name: str = ""
+    closes: bool = False
+    rest: str = ""
+    raw: bool = False
+    opened: int = 0
 
 
-def markup_of(page: str) -> Iterator[tuple[int, int, re.Match | None]]:
-    """(start, end, match) of the page's markup in order; None for what is left out whole.
+class Reader:
+    """The page's markup from left to right, in time linear in its length.
+
+    A ``<`` before anything but a letter, ``/``, ``!`` or ``?`` is text.  A tag whose quotes leave it without
+    an end shows that quotes cannot be trusted from there on: then it, and all behind it, end at the next ``>``.
+    """
+
+    def __init__(self, page: str):
+        self.page, self.loose = page, False
+        self.ends: dict[str, re.Pattern] = {}
+
+    def _until(self, mark: str, at: int) -> int:
+        found = self.page.find(mark, at)
+        return len(self.page) if found < 0 else found + len(mark)
+
+    def next(self, at: int) -> Tag | None:
+        page = self.page
+        while (start := page.find("<", at)) >= 0:
+            named = NAME.match(page, start)
+            if named is None:
+                if page.startswith("<!--", start):
+                    # an empty comment may be written in short
+                    end = start + 5 if page.startswith("<!-->", start) else start + 6 if page.startswith("<!--->", start) else self._until("-->", start + 4)
+                    return Tag(start, end)
+                if page[start + 1 : start + 2] in ("!", "?", "/") and start + 1 < len(page):
+                    return Tag(start, self._until(">", start))
+                at = start + 1
+                continue
+            closes, name = page[start + 1] == "/", named[1].lower()
+            rest = None if self.loose else REST.match(page, named.end())
+            if rest is None:
+                self.loose = True
+            end = self._until(">", named.end()) if rest is None else rest.end()
+            text = page[named.end() : end - 1]
+            if closes or name not in RAW:
+                return Tag(start, end, name, closes, text)
+            if name not in self.ends:
+                self.ends[name] = re.compile(rf"</{name}(?=[\s/>])[^>]*(?:>|\Z)", re.I)
+            last = self.ends[name].search(page, end)
+            return Tag(start, last.end() if last else len(page), name, False, text, True, end)
+        return None
+
+
+def markup_of(page: str) -> Iterator[tuple[int, int, Tag | None]]:
+    """(start, end, tag) of the page's markup in order; None for what is left out whole.
 
     A closed element of ``UNSHOWN`` is left out whole.  One without an end tag of its own, before that of
     an element around it, hides nothing: only its tag is markup.
     """
+    reader, at = Reader(page), 0
     if not HIDES.search(page):
-        for found in MARKUP.finditer(page):
-            yield found.start(), found.end(), None if found["raw"] else found
+        while found := reader.next(at):
+            at = found.end
+            yield found.start, at, None if found.raw else found
         return
-    tokens: list[tuple[int, int, re.Match | None]] = []
+    tokens: list[tuple[int, int, Tag | None]] = []
     until: dict[int, tuple[int, int]] = {}  # by the token that opens an element left out: its end, the token behind it
     stack: list[tuple[str, int, bool]] = []  # open elements: name, token, whether the inside is foreign
     opened: Counter[str] = Counter()
-    at = 0
-    while found := MARKUP.search(page, at):
-        at, here, foreign = found.end(), len(tokens), bool(stack) and stack[-1][2]
-        if found["raw"] and foreign and found["open"].endswith("/>"):
-            at = found.end("open")
-        tokens.append((found.start(), at, None if found["raw"] else found))
-        if not found["name"]:
+    while found := reader.next(at):
+        at, here, foreign = found.end, len(tokens), bool(stack) and stack[-1][2]
+        if found.raw and foreign and found.rest.endswith("/"):
+            at = found.opened
+        tokens.append((found.start, at, None if found.raw else found))
+        if found.raw or not found.name:
             continue
-        name = found["name"].lower()
-        if found["end"]:
+        name = found.name
+        if found.closes:
             while opened[name]:
                 own, start, _ = stack.pop()
                 opened[own] -= 1
@@ -147,15 +203,15 @@ def markup_of(page: str) -> Iterator[tuple[int, int, re.Match | None]]:
                         until[start] = at, here + 1
                     break
                 if own in FOREIGN:
-                    until[start] = found.start(), here
+                    until[start] = found.start, here
             continue
         if foreign and name in BREAKOUT:
             while stack and stack[-1][2]:
                 own, start, _ = stack.pop()
                 opened[own] -= 1
-                until[start] = found.start(), here
+                until[start] = found.start, here
             foreign = False
-        if (foreign or name in FOREIGN) and found["rest"].endswith("/"):
+        if (foreign or name in FOREIGN) and found.rest.endswith("/"):
             continue
         if name in UNSHOWN or (name in POINTS if foreign else name in BLOCKS and name not in VOID and name != "p"):
             stack.append((name, here, name in FOREIGN))
@@ -171,6 +227,23 @@ def markup_of(page: str) -> Iterator[tuple[int, int, re.Match | None]]:
             i += 1
 
 
+class Forms:
+    """Which forms of a page hold the page rather than fields: those with an article, or with most of the paragraphs."""
+
+    MARKS = re.compile(r"<(article|main|p|/form)(?=[\s/>])", re.I)
+
+    def __init__(self, page: str):
+        found = [(m.start(), m[1].lower()) for m in self.MARKS.finditer(page)] if "<form" in page.lower() else []
+        self.whole, self.paragraphs, self.ends = (
+            [at for at, name in found if name in names] for names in (("article", "main"), ("p",), ("/form",)))
+
+    def wide(self, start: int) -> bool:
+        at = bisect(self.ends, start)
+        end = self.ends[at] if at < len(self.ends) else float("inf")
+        inside = [bisect(places, end) - bisect(places, start) for places in (self.whole, self.paragraphs)]
+        return inside[0] > 0 or (inside[1] > 2 and 2 * inside[1] > len(self.paragraphs))
+
+
 def blocks_of(page: str) -> list[Block]:
     """The page's blocks in order: text with references decoded and white space as one space, never empty."""
     blocks: list[Block] = []
@@ -189,7 +262,7 @@ def blocks_of(page: str) -> list[Block]:
             blocks.append(Block(text, tuple(n for _, n, *_ in stack), stack[-1][2], min(1.0, words / max(1, len(text.split()))), stack[-1][0] in HEADINGS))
         parts, inside = [], []
 
-    at = 0
+    at, forms = 0, Forms(page)
     for start, end, found in markup_of(page):
         if start > at:
             parts.append(page[at:start])
@@ -199,17 +272,17 @@ def blocks_of(page: str) -> list[Block]:
         if found is None:
             parts.append(" ")
             continue
-        if found["name"] is None:
+        if not found.name:
             continue
-        name = found["name"].lower()
+        name = found.name
         if name == "a":
-            links = 0 if found["end"] else 1
+            links = 0 if found.closes else 1
         elif name in ("br", "img", "input", "wbr"):
             parts.append(" " if name != "wbr" else "")
         elif name in BLOCKS:
             flush()
             links = 0
-            if found["end"]:
+            if found.closes:
                 if any(name == n for n, *_ in stack[1:]):
                     while stack[-1][0] != name:
                         stack.pop()
@@ -221,9 +294,9 @@ def blocks_of(page: str) -> list[Block]:
                 if name not in VOID:
                     number += 1
                     around, within = stack[-1][2:]
-                    own, hidden = name_evidence(found["rest"], name if within else "") if found["rest"].strip() else (0.0, False)
+                    own, hidden = name_evidence(found.rest, name if within else "") if found.rest.strip() else (0.0, False)
                     own = max(own, 0.0) if name in WHOLE else own
-                    kind = ELEMENT.get(name, 0.0)
+                    kind = 0.0 if name == "form" and forms.wide(start) else ELEMENT.get(name, 0.0)
                     # a header within an article holds the article's own title
                     if name == "header" and around > 0 and not hidden:
                         own = kind = 0.0
@@ -237,8 +310,7 @@ def blocks_of(page: str) -> list[Block]:
                         # what is boilerplate stays so inside
                         total = min(own, around) if own <= STRONG or around <= STRONG else max(-8.0, min(6.0, around + own))
                     stack.append((name, number, total, 2 if named or within == 2 else int(within or name in ARTICLE)))
-    if at < len(page) and not page[at:].lstrip().startswith("<"):
-        parts.append(page[at:])
+    parts.append(page[at:])
     flush()
     return blocks
 

@@ -5,6 +5,7 @@ import itertools
 import random
 import re
 import time
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -83,6 +84,56 @@ def test_many_unclosed_elements_take_no_longer_by_the_square():
     assert list(extraction.markup_of(page)) and time.process_time() - began < 10
 
 
+@pytest.mark.parametrize("tag", [
+    '<article data-title="The hidden costs of rain">', "<article title='a hidden gem'>", "<article class='comment-free ad-free'>", "<article data-hidden=0 title=it's>",
+    '<article class="a"">', '<article class="a" "b>', "<article title='x > y'>", '<article data-x="a\n> b" lang=en>', "<article aria-label='display: none'>",
+])
+def test_attributes_are_read_as_html_does(tag):
+    assert extraction.main_text(f"<body>{tag}<p class=\"a\"\">{ONE}</p><p title=it's>{TWO}</p><p>It's {THREE}</p></article>") == f"{ONE}\n\n{TWO}\n\nIt's {THREE}"
+
+
+@pytest.mark.parametrize("tag", ["<div hidden>", '<div hidden="">', "<div HIDDEN id=x>", "<div style='color:red; display : none'>", "<div style=display:none>"])
+def test_hidden_elements(tag):
+    assert extraction.main_text(f"<article><p>{ONE}</p>{tag}<p>{TWO}</p></div><p>{THREE}</p></article>") == f"{ONE}\n\n{THREE}"
+
+
+def test_signs_that_open_no_tag_are_text():
+    text = "< 5 people came to the meeting, and 7 <3 it; a<b as well, they said <, or so."
+    assert extraction.main_text(f"<article><p>{ONE}</p><p>{text.replace('a<b', 'a < b')}</article>") == f"{ONE}\n\n{text.replace('a<b', 'a < b')}"
+    assert extraction.main_text(f"<article><p>{ONE}</p><p>{TWO}</p>< 5 people came to the meeting in the end, all of them on foot") == \
+        f"{ONE}\n\n{TWO}\n\n< 5 people came to the meeting in the end, all of them on foot"
+    assert extraction.main_text(f"<article><p>{ONE}</p><!--><p>{TWO}</p><!---><p>{THREE}</p>") == f"{ONE}\n\n{TWO}\n\n{THREE}"
+
+
+def test_a_form_around_the_page_is_no_form_of_fields():
+    page = f"<body><form id=aspnet action=/><nav><a href=/>Home</a></nav><article><p>{ONE}</p><p>{TWO}</p></article></form><form><p>{THREE}</p></form>"
+    assert extraction.main_text(page) == f"{ONE}\n\n{TWO}"
+    assert extraction.main_text(f"<body><form><div><p>{ONE}</p><p>{TWO}</p><p>{THREE}</p></div></form>") == f"{ONE}\n\n{TWO}\n\n{THREE}"
+
+
+@pytest.mark.parametrize("bit", ["<p>it's <a href='", "<p class=\"a\"\">", "<a b='", "<x \"", "< ", "<a b=\"'", "<!-", "<p title=it's>x"])
+def test_a_megabyte_of_stray_quotes(bit):
+    page = f"<article><p>{ONE}</p>" + bit * (1_000_000 // len(bit))
+    began = time.process_time()
+    extraction.blocks_of(page)
+    assert time.process_time() - began < 4
+
+
+def test_blocks_kept_and_dropped_on_the_given_pages():
+    """Precision and recall over all words of the given pages, against their article elements."""
+    import duckdb
+
+    pages = [r[0] for r in duckdb.sql("select html from '/root/testdata/sf0.01/pages.parquet'").fetchall()]
+    right = kept = wanted = 0
+    for page in pages:
+        article = re.search(r"<article>(.*)</article>", page, re.S)[1]
+        want = Counter(html.unescape(re.sub(r"<[^>]*>", " ", article)).split())
+        got = Counter(extraction.main_text(page).split())
+        right, kept, wanted = right + (want & got).total(), kept + got.total(), wanted + want.total()
+    print(f"precision {right / kept:.4f}, recall {right / wanted:.4f}")
+    assert right / kept > 0.99 and right / wanted > 0.99
+
+
 def test_given_pages(spark, sf_dir):
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
     for row in extraction.extract_pages(pages).join(pages.select("page_id", "html"), "page_id").collect():
