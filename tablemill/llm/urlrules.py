@@ -8,6 +8,8 @@ confidence are matched through an inverted index on their rarest token.  Column
 
 from __future__ import annotations
 
+import re
+
 from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -81,11 +83,32 @@ def mined_rules(labelled: DataFrame, support: float, least: int, confidence: flo
     )
 
 
+def mining_rows(urls: DataFrame, masked: Column, support: float, least: int) -> DataFrame:
+    """The rows (url, tokens, label) with only the tokens that mining has to look at.
+
+    Tokens below the support, which no rule can hold, go, and so do ``masked`` ones.  Of tokens that always
+    stand in the same URLs one speaks for all: adding another to a combination changes neither its support nor
+    its confidence, so tokens that a site repeats on every page do not multiply the combinations.  Two sets of
+    rows are told apart by their size and two sums of hashes.
+    """
+    each = urls.select("url", F.explode("tokens").alias("token")).where(~masked)
+    hashed = lambda seed: F.sum(F.xxhash64(F.lit(seed), "url").cast("decimal(38,0)"))
+    seen = each.groupBy("token").agg(F.count(F.lit(1)).alias("n"), hashed(1).alias("h1"), hashed(2).alias("h2"))
+    floor = max(float(least), support * urls.count())
+    speakers = seen.where(F.col("n") >= floor).groupBy("n", "h1", "h2").agg(F.min("token").alias("token")).select("token")
+    kept = each.join(speakers, "token").groupBy("url").agg(F.collect_set("token").alias("tokens"))
+    labels = urls.groupBy("url").agg(F.count(F.lit(1)).alias("n"), F.first("label").alias("label"))
+    # a URL that repeats is a row each time
+    met = labels.join(kept, "url", "left").select(F.explode(F.array_repeat(F.lit(0), F.col("n").cast("int"))).alias("turn"), "tokens", "label")
+    return met.select(F.coalesce("tokens", F.array().cast("array<string>")).alias("tokens"), "label")
+
+
 def judge_urls(pages: DataFrame, rules=RULES, seeds=SEEDS, support: float = 0.001, least: int = 10, confidence: float = 0.8) -> DataFrame:
     """Every column of ``pages`` and host, path, rule (the listed one or null), verdict, mined (tokens of the mined rule or null).
 
     The listed rule's verdict holds, else that of the mined rule of the highest confidence (then the
-    highest support, then block before allow, then the tokens in order), else allow.  A null URL, or
+    highest support, then block before allow, then the tokens in order), else allow.  What labels a URL (seed words, hosts and paths of the listed rules) stands in no
+    mined rule, so the rules say what goes with it and reach URLs that hold neither.  A null URL, or
     one without ``://``, has an empty host and path.  Repeated rows are judged alike and all kept;
     columns of ``pages`` with a result's name are replaced; an empty table gives an empty table.
     """
@@ -97,7 +120,9 @@ def judge_urls(pages: DataFrame, rules=RULES, seeds=SEEDS, support: float = 0.00
     seeded = F.arrays_overlap("tokens", F.array(*(F.lit(f"h:{s}") for s in seeds))) if seeds else F.lit(False)
     label = F.coalesce(F.col("fit.verdict"), F.when(seeded, F.lit("block")))
     urls = stage(urls.withColumn("label", label), "urls")
-    found = stage(mined_rules(urls, support, least, confidence), "rules")
+    words = {f"h:{s}" for s in seeds} | {f"{mark}:{part}" for _, r in rules for mark, side in zip("hp", r.split("/", 1)) for part in re.split(r"[./]", side) if part}
+    masked = F.col("token").isin(sorted(words))
+    found = stage(mined_rules(stage(mining_rows(urls, masked, support, least), "url-tokens"), support, least, confidence), "rules")
     # each rule is listed under the token of its antecedent that the fewest URLs have
     often = urls.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n"))
     index = (
