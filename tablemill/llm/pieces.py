@@ -15,16 +15,23 @@ is taken, going back from the end.
 from __future__ import annotations
 
 import re
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tablemill.llm.common import slices
 from tablemill.session import stage
 
 CHUNK = 65_536
-KEEP = 400_000
+#: Stretches that a task remembers, characters of texts that it encodes at once, longest stretch that is
+#: solved together with others, and cells (stretch by place) of one such turn.
+KEEP, SLICE, SHORT, CELLS = 300_000, 2_000_000, 64, 100_000
+#: Multiplier of the hash of pieces, and bits of its table.
+BASE, SLOTS = 0x9E3779B97F4A7C15, 20
 #: The sign that stands for a blank in pieces, and what an unknown character costs below the least score.
 BLANK, PENALTY = "▁", 10.0
 NEVER = float("-inf")
@@ -49,8 +56,130 @@ class Lattice:
         self.unknown = min(s for s, _ in self.score.values()) - PENALTY
         #: no piece goes on over a blank after another character, so texts can be cut there
         self.cuttable = not any(re.search(f"[^{BLANK}]{BLANK}", p) for p in self.score)
-        #: score, ids as 32-bit numbers, and whether they decode to the stretch, of stretches met before
+        #: score, ids as 32-bit numbers, and whether they decode to the stretch, of stretches met before in chunks
         self.known: dict[str, tuple[float, bytes, bool]] = {}
+        self._table()
+        self._forget()
+
+    def _forget(self) -> None:
+        #: stretches met before: their numbers, and where their ids begin in ``ids``
+        self.number: dict[str, int] = {}
+        self.begin, self.ids = np.zeros(1, dtype=np.int64), np.zeros(0, dtype=np.int32)
+
+    def _table(self) -> None:
+        """A hash table of the pieces: first piece of each slot, the next one of the same slot, score, id and code points."""
+        text = list(self.score)
+        self.codes = np.zeros((len(text), self.longest), dtype=np.uint32)
+        for row, piece in zip(self.codes, text, strict=True):
+            row[: len(piece)] = [ord(c) for c in piece]
+        self.size = np.array([len(p) for p in text])
+        self.worth, self.id = np.array([self.score[p][0] for p in text]), np.array([self.score[p][1] for p in text], dtype=np.int32)
+        self.hash = np.zeros(len(text), dtype=np.uint64)
+        for n in range(self.longest):
+            own = self.size > n
+            self.hash[own] = self._add(self.hash[own], self.codes[own, n])
+        self.first, self.next = np.full(1 << SLOTS, -1, dtype=np.int32), np.full(len(text), -1, dtype=np.int32)
+        for i, slot in enumerate(self._slot(self.hash)):
+            self.first[slot], self.next[i] = i, self.first[slot]
+
+    @staticmethod
+    def _add(hashes: np.ndarray, codes: np.ndarray) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            return (hashes + codes.astype(np.uint64) + np.uint64(1)) * np.uint64(BASE)
+
+    @staticmethod
+    def _slot(hashes: np.ndarray) -> np.ndarray:
+        return (hashes >> np.uint64(64 - SLOTS)).astype(np.int64)
+
+    def _solve(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids, how many each row has, whether they are known to be right) of stretches of one length, a row of code points each.
+
+        All rows go through the scan together, place by place.  A row is not sure if a character has no
+        piece, or if a piece of its path was taken for another by its hash.
+        """
+        rows, n = codes.shape
+        found: list[np.ndarray] = []  # by length - 1: the piece that begins at each place, -1 for none
+        hashes = np.zeros((rows, n), dtype=np.uint64)
+        for length in range(1, min(n, self.longest) + 1):
+            hashes = self._add(hashes[:, : n - length + 1], codes[:, length - 1 :])
+            at = self.first[self._slot(hashes)]
+            while True:
+                other = (at >= 0) & ((self.hash[at] != hashes) | (self.size[at] != length))
+                if not other.any():
+                    break
+                at[other] = self.next[at[other]]
+            found.append(at)
+        best, took = np.full((rows, n + 1), NEVER), np.zeros((rows, n + 1), dtype=np.int8)
+        best[:, 0] = 0.0
+        for j in range(1, n + 1):
+            for length in range(min(j, self.longest), 0, -1):  # of equal paths the longest last piece
+                at = found[length - 1][:, j - length]
+                value = best[:, j - length] + np.where(at >= 0, self.worth[at], self.unknown if length == 1 else NEVER)
+                better = value > best[:, j]
+                best[better, j], took[better, j] = value[better], length
+        sure, end, every = np.ones(rows, dtype=bool), np.full(rows, n), np.arange(rows)
+        made, count = np.full((rows, n), -1, dtype=np.int32), np.zeros(rows, dtype=np.int64)
+        step = 0
+        while len(every):
+            length = took[every, end[every]].astype(np.int64)
+            begin = end[every] - length
+            piece = np.empty(len(every), dtype=np.int64)
+            for own in range(1, min(n, self.longest) + 1):
+                these = np.flatnonzero(length == own)
+                if len(these):
+                    at = found[own - 1][every[these], begin[these]]
+                    piece[these] = at
+                    same = (self.codes[at, :own] == codes[every[these, None], begin[these, None] + np.arange(own)]).all(axis=1)
+                    sure[every[these[~same | (at < 0)]]] = False
+            made[every, n - 1 - step] = self.id[piece]
+            count[every] += 1
+            end[every] = begin
+            every, step = every[begin > 0], step + 1
+        return made[made >= 0] if sure.all() else made[sure][made[sure] >= 0], np.where(sure, count, 0), sure
+
+    def _learn(self, words: list[str]) -> None:
+        """Solve new stretches, those of one length together, and remember their ids."""
+        by_length: dict[int, list[str]] = {}
+        for word in words:
+            by_length.setdefault(len(word) if len(word) <= SHORT else 0, []).append(word)
+        order, counts, ids = [], [], []
+        for n, own in by_length.items():
+            step = max(1, CELLS // n) if n else 1
+            for at in range(0, len(own), step):
+                part = own[at : at + step]
+                if n:
+                    codes = np.frombuffer("".join(part).encode("utf-32-le", "surrogatepass"), dtype="<u4").reshape(len(part), n)
+                    made, count, sure = self._solve(codes)
+                else:
+                    made, count, sure = np.zeros(0, np.int32), np.zeros(len(part), np.int64), np.zeros(len(part), bool)
+                order += [w for w, fine in zip(part, sure, strict=True) if fine]
+                counts.append(count[sure])
+                ids.append(made)
+                for word in [w for w, fine in zip(part, sure, strict=True) if not fine]:
+                    own_ids = np.frombuffer(self.unit(word)[1], dtype="<i4")
+                    order.append(word)
+                    counts.append(np.array([len(own_ids)]))
+                    ids.append(own_ids)
+        first = len(self.number)
+        self.number.update(zip(order, range(first, first + len(order)), strict=True))
+        self.begin = np.r_[self.begin, self.begin[-1] + np.cumsum(np.concatenate(counts))]
+        self.ids = np.concatenate([self.ids, *ids])
+
+    def encoded_together(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids of each text."""
+        units = [self.units(t) for t in texts]
+        if len(self.number) > KEEP:
+            self._forget()
+        new = set().union(*units).difference(self.number)
+        if new:
+            self._learn(sorted(new))
+        number = self.number
+        at = np.array([number[u] for own in units for u in own], dtype=np.int64)
+        size = self.begin[at + 1] - self.begin[at]
+        ends = np.cumsum(size)
+        flat = self.ids[np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.begin[at] - (ends - size), size)]
+        cuts = np.r_[0, ends][np.cumsum([len(own) for own in units])]
+        return np.split(flat, cuts[:-1]) if len(cuts) else []
 
     def forward(self, text: str, body: int, begin: list[float]) -> tuple[list[float], list[int], list[int]]:
         """Best score, start and id of the last piece at every position, for pieces that start before ``body``.
@@ -92,7 +221,7 @@ class Lattice:
         """Score, ids and exactness of a stretch that no piece crosses."""
         found = self.known.get(text)
         if found is None:
-            if len(self.known) >= KEEP:
+            if len(self.known) >= KEEP // 4:
                 self.known.clear()
             best, start, last = self.forward(text, len(text), [0.0])
             ids = self.back(text, len(text), start, last)[1]
@@ -174,6 +303,12 @@ class Lattice:
         return came, ids + self.back(text[final:], body - final + reach, start, last)[1]
 
 
+@lru_cache(maxsize=1)
+def lattice_of(path: str) -> Lattice:
+    """The lattice of a file, read once in a Python worker."""
+    return Lattice(path)
+
+
 def max_plus(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Products of stacks of matrices, with max for sum and sum for product."""
     return (a[:, :, :, None] + b[:, None, :, :]).max(axis=2)
@@ -205,30 +340,33 @@ def encode_documents(docs: DataFrame, path: str, chunk: int = CHUNK) -> DataFram
     giant = F.length(text) + 1 > chunk
 
     def short(batches):
-        lattice = Lattice(path)
+        lattice = lattice_of(path)
         for batch in batches:
-            ids, exact = [], []
-            for raw in batch["text"]:
-                own, fine = lattice.encoded(BLANK + raw.replace(" ", BLANK) if raw else "")
-                ids.append(own)
-                exact.append(fine and BLANK not in (raw or ""))
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "ids": ids, "exact": exact})
+            texts = batch.column("text").to_pylist()
+            for part in slices(texts, SLICE):
+                shown = [BLANK + t.replace(" ", BLANK) if t else "" for t in texts[part]]
+                ids = lattice.encoded_together(shown)
+                exact = [lattice.decode(i.tolist()) == s and BLANK not in (t or "") for i, s, t in zip(ids, shown, texts[part], strict=True)]
+                ends = np.cumsum([0, *map(len, ids)], dtype=np.int32)  # a slice has fewer than 2^31 characters
+                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids)))
+                own = batch.column("doc_id").slice(part.start, len(ids))
+                yield pa.RecordBatch.from_arrays([own, lists, pa.array(exact)], names=["doc_id", "ids", "exact"])
 
     made = "doc_id long, ids array<int>, exact boolean"
-    few = docs.select("doc_id", "text").where(~giant).mapInPandas(short, made)
+    few = docs.select("doc_id", "text").where(~giant).mapInArrow(short, made)
 
     shown = F.concat(F.lit(BLANK), F.replace(text, F.lit(" "), F.lit(BLANK)))
     rows = docs.where(giant).select("doc_id", shown.alias("s"), F.contains(text, F.lit(BLANK)).alias("odd"))
     giants = stage(rows.withColumn("row", F.monotonically_increasing_id()), "giants")
-    number = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.length("s") - 1) / chunk).cast("long")))
-    size = F.lit(chunk + longest - 1)
-    cut = giants.select("row", F.length("s").alias("all"), "s", number.alias("no"))
-    parts = cut.select("row", "no", F.least(F.lit(chunk), F.col("all") - F.col("no") * chunk).cast("int").alias("body"),
-                       F.substring(F.col("s"), (F.col("no") * chunk + 1).cast("int"), size).alias("s"))
+    # cut in one pass over the text; a chunk sees how the next one begins
+    bodies = F.regexp_extract_all("s", F.lit(f"(?s).{{1,{chunk}}}"), F.lit(0))
+    cut = giants.select("row", bodies.alias("p")).select("row", "p", F.posexplode("p").alias("no", "own"))
+    ahead = F.substring(F.coalesce(F.get("p", F.col("no") + 1), F.lit("")), 1, longest - 1)
+    parts = cut.select("row", F.col("no").cast("long").alias("no"), F.length("own").alias("body"), F.concat("own", ahead).alias("s"))
     parts = stage(parts, "chunks")
 
     def matrices(batches):
-        lattice = Lattice(path)
+        lattice = lattice_of(path)
         for batch in batches:
             values = [lattice.matrix(s, b).ravel() for s, b in zip(batch["s"], batch["body"], strict=True)]
             yield batch[["row", "no"]].assign(matrix=values)
@@ -244,7 +382,7 @@ def encode_documents(docs: DataFrame, path: str, chunk: int = CHUNK) -> DataFram
     entered = stage(parts.join(scanned.applyInPandas(begins, "row long, no long, begin array<double>"), ["row", "no"]), "entered")
 
     def maps(batches):
-        lattice = Lattice(path)
+        lattice = lattice_of(path)
         for batch in batches:
             values = [lattice.sources(s, b, list(f)) for s, b, f in zip(batch["s"], batch["body"], batch["begin"], strict=True)]
             yield batch[["row", "no"]].assign(came=values)
@@ -261,7 +399,7 @@ def encode_documents(docs: DataFrame, path: str, chunk: int = CHUNK) -> DataFram
     ended = entered.join(mapped.applyInPandas(reaches, "row long, no long, reach int"), ["row", "no"])
 
     def trace(batches):
-        lattice = Lattice(path)
+        lattice = lattice_of(path)
         for batch in batches:
             out = []
             for s, body, begin, reach in zip(batch["s"], batch["body"], batch["begin"], batch["reach"], strict=True):
@@ -281,7 +419,7 @@ def decode_documents(tokens: DataFrame, path: str) -> DataFrame:
     """(doc_id, text) from (doc_id, ids); null ids give a null text, no ids the empty text."""
 
     def back(batches):
-        lattice = Lattice(path)
+        lattice = lattice_of(path)
         for batch in batches:
             texts = [None if ids is None else lattice.decode(list(ids)).replace(BLANK, " ") for ids in batch["ids"]]
             yield pd.DataFrame({"doc_id": batch["doc_id"], "text": [t if t is None else t[1:] if t[:1] == " " else t for t in texts]})

@@ -93,3 +93,37 @@ def test_empty_tables(docs_of, spark):
     assert pieces.encode_documents(docs_of([(1, "a")]).limit(0), PATH).collect() == []
     none = spark.createDataFrame([(1, None)], "doc_id long, ids array<int>")
     assert pieces.decode_documents(none, PATH).first()["text"] is None
+
+
+def test_stretches_solved_together_against_one_by_one(monkeypatch):
+    lattice = pieces.Lattice(PATH)
+    rng = random.Random(5)
+    words = ["".join(rng.choice("abcdefghij theo▁éÀ日=*0\U0001f600") for _ in range(rng.randint(1, 70))) for _ in range(400)]
+    texts = ["", *words, " ".join(words), "▁".join(words[:50]), "▁the" * 300]
+    want = [lattice.encode(t) for t in texts]
+    monkeypatch.setattr(pieces, "CELLS", 300)
+    for keep in (pieces.KEEP, 0):
+        monkeypatch.setattr(pieces, "KEEP", keep)
+        lattice._forget()
+        for _ in range(2):
+            assert [i.tolist() for i in lattice.encoded_together(texts)] == want
+    # pieces that share a slot, or are taken for others by their hash, change no ids
+    monkeypatch.setattr(pieces, "SLOTS", 6)
+    lattice._table()
+    lattice._forget()
+    assert [i.tolist() for i in lattice.encoded_together(texts)] == want
+    lattice.hash[:] = 0
+    monkeypatch.setattr(lattice, "_add", lambda h, c: np.zeros(c.shape, dtype=np.uint64))
+    lattice.first[:], lattice.next[:] = -1, -1
+    lattice.first[0] = lattice.id.argmax()
+    lattice._forget()
+    sure = lattice._solve(np.array([[ord("t"), ord("h")]], dtype="<u4"))[2]
+    assert not sure.any()
+
+
+def test_all_given_documents_decode(spark, lattice):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    whole = pieces.encode_documents(docs, PATH, chunk=20_000).join(docs.select("doc_id", "text"), "doc_id").collect()
+    for r in whole:
+        shown = "▁" + r["text"].replace(" ", "▁") if r["text"] else ""
+        assert r["exact"] == ("▁" not in (r["text"] or "")) and r["ids"] == lattice.encode(shown)
