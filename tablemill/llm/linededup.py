@@ -1,7 +1,7 @@
 """Line dedup by site-relative frequency.
 
 Within a host (here the document's source) a line is boilerplate if it stands on more than a given
-share of the host's pages and on at least a few of them.  Boilerplate lines are dropped.
+share of the host's pages, and on two of them at least: a line of one page repeats nothing.
 """
 
 from __future__ import annotations
@@ -29,7 +29,7 @@ def lines_of(text: Column) -> Column:
     return F.split(text, "\n", -1)
 
 
-def boilerplate(docs: DataFrame, ratio: float = 0.05, least: int = 5) -> DataFrame:
+def boilerplate(docs: DataFrame, ratio: float = 0.05, least: int = 2) -> DataFrame:
     """(host, lines): for each host the array of lines on more than ``ratio`` and at least ``least`` of its pages.
 
     Lines are counted by two 64-bit hashes, so texts are not shuffled, and at most one row per task,
@@ -52,11 +52,12 @@ def boilerplate(docs: DataFrame, ratio: float = 0.05, least: int = 5) -> DataFra
     return frequent.groupBy("host").agg(F.sort_array(F.collect_list(F.struct("h1", "h2"))).alias("marks"))
 
 
-def dedup_lines(docs: DataFrame, ratio: float = 0.05, least: int = 5) -> DataFrame:
+def dedup_lines(docs: DataFrame, ratio: float = 0.05, least: int = 2) -> DataFrame:
     """Every column of ``docs``, ``text`` without boilerplate lines, and n_dropped long.
 
     All occurrences of a boilerplate line go, lines of white space stay, and the order of the others
-    is kept.  Lines are compared without white space at their ends.  A null text stays null; a null
+    is kept.  Lines are compared without white space at their ends.  Very long texts are cut into lines whole,
+    in the task that holds them; a line exactly at the ratio stays.  A null text stays null; a null
     source is a host of its own; repeated rows count as pages of their own; a column n_dropped of
     ``docs`` is replaced; an empty table gives an empty table.
     """
@@ -79,7 +80,7 @@ def dedup_lines(docs: DataFrame, ratio: float = 0.05, least: int = 5) -> DataFra
     return kept.select(*columns, F.when(F.col("text").isNull(), F.lit(0)).otherwise(dropped).alias("n_dropped"))
 
 
-def dedup_sql(docs: str = "documents", ratio: float = 0.05, least: int = 5) -> str:
+def dedup_sql(docs: str = "documents", ratio: float = 0.05, least: int = 2) -> str:
     """DuckDB SQL for (doc_id, text, n_dropped) of ``dedup_lines`` over the named table."""
     key = r"regexp_replace(line, '^[ \t\r\f\v]+|[ \t\r\f\v]+$', '', 'g')"
     return f"""

@@ -43,3 +43,16 @@ def test_other_columns_stay_and_empty_tables(docs_of):
     out = linededup.dedup_lines(docs)
     assert set(out.columns) == set(docs.columns) and out.count() == len(ROWS)
     assert linededup.dedup_lines(docs.limit(0)).collect() == []
+
+
+def test_small_hosts_lose_their_lines_too(docs_of, spark):
+    """Hosts of two to five pages: a line on two pages is above the ratio, a line on one never is."""
+    rows = [(10 * n + i, f"Menu\nown {n} {i}\n" + ("twice" if i < 2 else f"tail {i}"), f"h{n}") for n in range(1, 6) for i in range(n)]
+    got = sorted(tuple(r) for r in linededup.dedup_lines(docs_of(rows)).select("doc_id", "text", "n_dropped").collect())
+    assert got == plain(rows, 0.05, 2)
+    by = {r[0]: r[1] for r in got}
+    assert by[10] == "Menu\nown 1 0\ntwice" and by[20] == "own 2 0" and by[54] == "own 5 4\ntail 4"
+    con = duckdb.connect()
+    con.execute("create table documents (doc_id bigint, text varchar, source varchar)")
+    con.executemany("insert into documents values (?, ?, ?)", rows)
+    assert sorted(con.execute(linededup.dedup_sql()).fetchall()) == got
