@@ -225,9 +225,9 @@ def _classes(docs: DataFrame, n: int, similarity: float, recall: float) -> tuple
     wanted = members.select("cid", "comp", "blocks", "block", F.col("copy_id").alias("own_id"), F.col("k1").alias("m1"), F.col("k2").alias("m2"))
     keyed = text_keys(docs)
     own = F.col("doc_id").eqNullSafe(F.col("own_id"))
-    texts = keyed.join(wanted, own & (F.col("k1") == F.col("m1")) & (F.col("k2") == F.col("m2"))).select(
-        "cid", "comp", "block", "blocks", "text"
-    )
+    met = keyed.join(wanted, own & (F.col("k1") == F.col("m1")) & (F.col("k2") == F.col("m2")))
+    # a row that repeats comes once, from each task as well
+    texts = met.groupBy("cid", "comp", "block", "blocks").agg(F.first("text").alias("text"))
     pairs = texts.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
         "comp", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "cid", "text"
     )
@@ -235,7 +235,6 @@ def _classes(docs: DataFrame, n: int, similarity: float, recall: float) -> tuple
 
     def verify(batches):
         for group in _groups(batches, ["comp", "low", "high"]):
-            group = group.drop_duplicates("cid")  # repeated rows of one document
             if group["low"].iloc[0] == group["high"].iloc[0] or group["block"].nunique() == 2:
                 yield _verify(group, n, per_mille)
 

@@ -111,3 +111,13 @@ def test_components_against_union_find(spark):
     pairs = {(got[n], find(n)) for n in got}
     assert len(pairs) == len({a for a, _ in pairs}) == len({b for _, b in pairs})
     assert graph.components(spark.createDataFrame([(1, 1)], "a long, b long")).collect() == []
+
+
+def test_a_row_that_repeats_in_a_third_of_the_table(docs_of):
+    words = [f"w{i}" for i in range(60)]
+    near, far = " ".join(words[:-1] + ["x"]), " ".join(f"z{i}" for i in range(40))
+    rows = [(1, " ".join(words))] * 300 + [(2, near)] + [(10 + i, f"{far} {i} " * 3) for i in range(600)]
+    got = jaccard.near_duplicates(docs_of(rows)).where("doc_id < 3").distinct().collect()
+    assert sorted((r["doc_id"], r["class_id"], r["n_links"]) for r in got) == [(1, 1, 1), (2, 1, 1)]
+    kept = jaccard.one_per_group(docs_of(rows)).where("doc_id < 3").collect()
+    assert [r["doc_id"] for r in kept] == [1]
