@@ -61,29 +61,45 @@ def sources(t):
     }
 
 
-# The rules in SQL, written from their description: the newest version of a contract line is its first
-# row in falling order of source, day and kind; lines count only under contracts whose price is final.
-STAR = f"""tx AS (SELECT {_duck(INV)} FROM lineitem),
-  positions AS (SELECT {_duck(MTM)} FROM (SELECT DISTINCT l_orderkey, l_linenumber, l_returnflag FROM lineitem) JOIN orders ON o_orderkey = l_orderkey),
-  ordered AS (SELECT *, rank() OVER (PARTITION BY contract_type, contract_number, contract_line_number, release_number
-      ORDER BY concat(source_system_id, last_update_date, type) DESC) AS place FROM tx WHERE NOT ends_with(json_object_id, 'BOD')),
-  newest AS (SELECT contract_type, contract_number, contract_line_number, release_number, source_system_id, volume_uom_contract AS new_uom, accounting_dt_id AS new_accounting,
-      invoiced_status AS new_status, actual_shipment_dt_id AS new_shipped, received_dt_id AS new_received
-    FROM ordered WHERE place = 1 AND contract_type <> 'OTHER' AND type <> 'Planned'),
-  links AS (SELECT DISTINCT json_object_id, source_system_id, release_number, 10 * contract_number + contract_line_number AS mtm_guid FROM tx),
-  unpriced AS (SELECT o_orderkey FROM customer JOIN orders ON o_custkey = c_custkey AND c_mktsegment = 'BUILDING'),
-  inv AS (SELECT mtm_guid, contract_type, contract_number, contract_line_number, release_number, source_system_id, product_id1, location_id1, legal_entity_id1, mele_id1, contract_line_id1,
-      max(update_dt) AS update_dt, max(last_update_date) AS last_update_date, sum(actual_quantity) AS q, sum(actual_quantity_32e) AS q32, 'Final' AS price_status,
-      max(new_received) AS received, max(new_shipped) AS shipped, max(new_status) AS invoiced_status, max(new_accounting) AS accounting_dt_id, max(new_uom) AS uom
-    FROM (SELECT * FROM tx ANTI JOIN unpriced ON contract_line_id1 = o_orderkey) AS priced
-      INNER JOIN newest USING (contract_type, contract_number, contract_line_number, release_number, source_system_id)
-      INNER JOIN links USING (json_object_id, source_system_id, release_number) GROUP BY ALL)"""
+# ---- the rules for the oracle, stated for the given tables --------------------------------
+# What a contract line shows: how it is drawn from the rows of the line, and the column it is drawn from.
+# "greatest" ignores what is unknown, "else 0" shows 0 if all is, "unknown 0" counts each unknown as 0.
+SHOWN = {
+    "greatest": {
+        "price_status": "i.price_status", "legal_entity_id": "m.legal_entity_id", "mele_id": "m.mele_id", "product_id": "m.product_id", "contract_uom": "i.uom",
+        "inventory_org_id": "m.inventory_org_id", "invoiced_status": "i.status", "last_update_date": "i.updated", "contract_currency": "m.currency_uom_contract",
+        "ebs_item": "p_brand", "product_name": "p_name", "product_type": "p_type"},
+    "else 0": {
+        "total_contract_price_contract_uom": "m.curr_contract_price_contract", "total_contract_price_usd_32e": "m.curr_contract_price_usd_32e",
+        "actualization_dt_id": "CASE i.line.kind WHEN 'PURCHASE' THEN i.received WHEN 'SALE' THEN i.shipped END"},
+    "unknown 0": {"accounting_dt_id": "i.accounted"},
+    "sum": {"total_quantity_contract_uom": "i.whole", "total_quantity_32e": "i.half"},
+}
+NAMED = {"mele_code": "CAST(s_suppkey AS VARCHAR)", "mele_name": "s_name", "inv_org_code": "CAST(n_nationkey AS VARCHAR)", "inv_org_name": "n_name"}
+DRAWN = {"greatest": "max({})", "else 0": "coalesce(max({}), 0)", "unknown 0": "max(coalesce({}, 0))", "sum": "CAST(sum({}) AS DOUBLE)"}
+#: What the newest row of a contract line decides for all of it.
+DECIDES = {"received": "received_dt_id", "shipped": "actual_shipment_dt_id", "status": "invoiced_status", "accounted": "accounting_dt_id", "uom": "volume_uom_contract"}
+
+# A contract line is one value.  Its newest row is the one of the greatest text of source, day and kind; it
+# speaks for the rows of its source if it is a purchase or a sale that took place.  Rows whose order is of
+# a customer of the building segment have no final price.  An order line is one marked position.
+STAR = f"""moved AS (SELECT *, {{'kind': contract_type, 'number': contract_number, 'place': contract_line_number, 'release': release_number}} AS line
+      FROM (SELECT {_duck(INV)} FROM lineitem)),
+  decided AS (SELECT line, source_system_id AS source, count(*) AS times, {", ".join(f"max({c}) AS {n}" for n, c in DECIDES.items())}
+    FROM (FROM moved WHERE json_object_id[-3:] <> 'BOD' QUALIFY dense_rank() OVER (PARTITION BY line ORDER BY source_system_id || last_update_date || type DESC) = 1)
+    WHERE line.kind <> 'OTHER' AND type <> 'Planned' GROUP BY line, source),
+  marked AS (SELECT {_duck(MTM)} FROM (SELECT DISTINCT ON (l_orderkey, l_linenumber, l_returnflag) * FROM lineitem) JOIN orders ON l_orderkey = o_orderkey),
+  settled AS (SELECT d.*, moved.product_id1 AS part, 'Final' AS price_status, max(moved.last_update_date) AS updated, max(moved.update_dt) AS update_dt,
+      sum(moved.actual_quantity) * any_value(d.times) AS whole, sum(moved.actual_quantity_32e) * any_value(d.times) AS half
+    FROM moved JOIN decided d ON moved.line = d.line AND moved.source_system_id = d.source
+    WHERE moved.contract_number NOT IN (SELECT o_orderkey FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING'))
+    GROUP BY ALL)"""
 
 
 def _allocated(quantity, base, original):
     # the exact quotient, rounded half up at the sixth (original: quotient at the tenth) decimal in whole numbers
     a = "CAST(sum(m.exp_settlement_amt_contract) * 100 AS HUGEINT)"
-    q = f"CAST(sum(inv.{quantity}) * 1000 AS HUGEINT)"
+    q = f"CAST(sum(i.{quantity}) * 1000 AS HUGEINT)"
     b = f"CAST(CASE WHEN coalesce(sum(m.{base}), 0) = 0 THEN 1 ELSE sum(m.{base}) END * 1000 AS HUGEINT)"
     if original:
         # quantity / base has at least 13 decimals before it is cut to ten
@@ -94,28 +110,24 @@ def _allocated(quantity, base, original):
 
 
 def settlement_sql(condition, original=False):
-    amount = {k: _allocated(q, b, original) for k, q, b in (("total_settlement_amt_32e", "q32", "curr_quantity_32e"),
-                                                          ("total_settlement_amt_contract_uom", "q", "curr_quantity_contract"))}
-    amounts = ", ".join(f"CAST({e} AS DOUBLE) / 1000000 AS {k}" for k, e in amount.items())
-    outer = "" if original else ", max(mele_code) AS mele_code, max(mele_name) AS mele_name, max(org_code) AS inv_org_code, max(org_name) AS inv_org_name"
-    joins = "" if original else """ LEFT JOIN (SELECT s_suppkey AS sk, CAST(s_suppkey AS VARCHAR) AS mele_code, s_name AS mele_name FROM supplier WHERE s_suppkey % 2 = 0) e ON e.sk = m.mele_id
-      LEFT JOIN (SELECT n_nationkey AS nk, CAST(n_nationkey AS VARCHAR) AS org_code, n_name AS org_name FROM nation WHERE n_nationkey < 20) o ON o.nk = m.inventory_org_id"""
+    """The loaded rows; ``condition`` is on a settled row ``i`` and a marked position ``m``."""
+    columns = [f"{DRAWN[how].format(c)} AS {n}" for how, drawn in SHOWN.items() for n, c in drawn.items()]
+    columns += [] if original else [f"max({c}) AS {n}" for n, c in NAMED.items()]
+    columns += [f"CAST({_allocated(*parts, original)} AS DOUBLE) / 1000000 AS {n}" for n, parts in (
+        ("total_settlement_amt_contract_uom", ("whole", "curr_quantity_contract")), ("total_settlement_amt_32e", ("half", "curr_quantity_32e")))]
+    keys = {"contract_type": "kind", "contract_number": "number", "contract_line_number": "place", "release_number": "release"}
+    text = "concat_ws('|#|', line.kind, line.number, line.place, line.release)"
+    # supplier and nation name a position's entity and organisation where they do
+    named = "" if original else """LEFT JOIN (FROM supplier WHERE s_suppkey % 2 = 0) ON m.mele_id = s_suppkey
+        LEFT JOIN (FROM nation WHERE n_nationkey < 20) ON m.inventory_org_id = n_nationkey"""
     status = ", 'HIST LOAD' AS blackline_status" if original else ""
-    key = "contract_type || '|#|' || contract_number || '|#|' || contract_line_number || '|#|' || release_number"
-    return f"""WITH {STAR}, o AS (SELECT inv.contract_type, inv.contract_number, inv.contract_line_number, inv.release_number, m.contract_line_id,
-        max(p_type) AS product_type, max(p_name) AS product_name, max(p_brand) AS ebs_item,
-        coalesce(CASE WHEN inv.contract_type = 'SALE' THEN max(shipped) WHEN inv.contract_type = 'PURCHASE' THEN max(received) ELSE 0 END, 0) AS actualization_dt_id,
-        CAST(sum(q32) AS DOUBLE) AS total_quantity_32e, coalesce(max(curr_contract_price_usd_32e), 0) AS total_contract_price_usd_32e,
-        CAST(sum(q) AS DOUBLE) AS total_quantity_contract_uom, coalesce(max(curr_contract_price_contract), 0) AS total_contract_price_contract_uom, {amounts},
-        max(currency_uom_contract) AS contract_currency, max(uom) AS contract_uom, max(coalesce(accounting_dt_id, 0)) AS accounting_dt_id, max(inv.last_update_date) AS last_update_date,
-        max(inv.invoiced_status) AS invoiced_status, max(inventory_org_id) AS inventory_org_id, max(product_id) AS product_id, max(mele_id) AS mele_id,
-        max(legal_entity_id) AS legal_entity_id, greatest(max(inv.last_update_date), max(m.update_dt)) AS change_date, max(price_status) AS price_status {outer}
-      FROM inv JOIN positions m ON m.mtm_guid = inv.mtm_guid AND inv.contract_number = m.contract_number AND inv.contract_line_number = m.contract_line_number AND inv.contract_type = m.contract_type
-        JOIN part ON p_partkey = inv.product_id1 {joins}
-      WHERE m.mtm_type = 'Realized' AND m.bkr_txn_type = 'COMMODITY' AND m.currency_uom_contract = 'USD' AND {condition}
-      GROUP BY inv.contract_type, inv.contract_number, inv.contract_line_number, inv.release_number, m.contract_line_id)
-    SELECT *, CAST(replace(change_date, '-', '') AS INTEGER) AS change_dt_id, {key} AS alternate_key, {key} || '|#|' || replace(change_date, '-', '') AS natural_key,
-      CAST(NULL AS DOUBLE) AS invoice_unit_price, CAST(NULL AS VARCHAR) AS accounted_flg {status} FROM o"""
+    return f"""WITH {STAR}, loaded AS (
+        SELECT i.line, m.contract_line_id, max(greatest(i.updated, m.update_dt)) AS change_date, {", ".join(columns)}
+        FROM marked m JOIN settled i ON m.mtm_guid = 10 * i.line.number + i.line.place AND m.contract_type = i.line.kind JOIN part ON i.part = p_partkey {named}
+        WHERE (m.mtm_type, m.bkr_txn_type, m.currency_uom_contract) = ('Realized', 'COMMODITY', 'USD') AND ({condition})
+        GROUP BY i.line, m.contract_line_id)
+      SELECT * EXCLUDE line, {", ".join(f"line.{c} AS {n}" for n, c in keys.items())}, {text} AS alternate_key, {text} || '|#|' || strftime(change_date::DATE, '%Y%m%d') AS natural_key,
+        CAST(strftime(change_date::DATE, '%Y%m%d') AS INTEGER) AS change_dt_id, NULL::DOUBLE AS invoice_unit_price, NULL::VARCHAR AS accounted_flg {status} FROM loaded"""
 
 
 def _shown(df):
@@ -132,7 +144,7 @@ def yearly_settlement(t):
     return _shown(settlement(sources(t), year=YEAR, load_stamps=False))
 
 
-@job("q02_changed_settlement", settlement_sql(f"greatest(inv.update_dt, m.update_dt) >= '{SINCE}'"))
+@job("q02_changed_settlement", settlement_sql(f"greatest(i.update_dt, m.update_dt) >= '{SINCE}'"))
 def changed_settlement(t):
     return _shown(settlement(sources(t), changed_since=SINCE, load_stamps=False))
 
