@@ -123,17 +123,22 @@ def build_index(x: np.ndarray, lists: int, degree: int = 24) -> Index:
 
 
 def usable(embeddings: DataFrame) -> DataFrame:
-    """(vec_id, embedding as array of double) of the vectors that take part.
+    """(vec_id, embedding as array of double) of the vectors that take part, very large and very small ones scaled.
 
     Vectors that are null, empty or zero, or hold null or non-finite components, take none; nor do those
     whose number of components is not the most frequent one (the largest of those, if tied).
     """
     values = embeddings.select("vec_id", F.col("embedding").cast("array<double>").alias("embedding"))
     finite = lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))
+    # a power of two changes no cosine; only vectors whose squares could leave the range of doubles are scaled
+    largest = F.array_max(F.transform("embedding", F.abs))
+    half = F.floor(F.log2(largest) / 2)
+    scaled = F.transform("embedding", lambda v: v * F.pow(F.lit(2.0), -half) * F.pow(F.lit(2.0), half - F.floor(F.log2(largest))))
+    scaled = F.when(largest.between(2.0**-300, 2.0**300), F.col("embedding")).otherwise(scaled)
     good = values.where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & F.forall("embedding", finite) & F.exists("embedding", lambda v: v != 0))
     sizes = good.groupBy(F.size("embedding").alias("size")).agg(F.count(F.lit(1)).alias("n"))
     top = sizes.agg(F.max(F.struct("n", "size"))["size"].alias("size")).first()
-    return good.where(F.size("embedding") == (top["size"] or 0))
+    return good.where(F.size("embedding") == (top["size"] or 0)).select("vec_id", scaled.alias("embedding"))
 
 
 def nearest_neighbours(embeddings: DataFrame, every: int = 50, k: int = 5, list_rows: int = 128, most_lists: int = 4096,

@@ -1,5 +1,6 @@
 """Nearest neighbours: recall against brute force, exact scores, ties, vectors that take no part."""
 
+import pytest
 import math
 from collections import defaultdict
 
@@ -90,3 +91,16 @@ def test_graph_search_finds_what_a_scan_finds():
     assert (np.diff(sims, axis=1) <= 1e-12).all()
     sizes = np.bincount(neighbours.nearest(x, index.centroids))
     assert sizes.max() <= 3 * 3000 / 100
+
+
+def test_vectors_of_any_size(spark):
+    """Squares that leave the range of doubles: the same neighbours and scores as vectors of common size have."""
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(120, 6))
+    sizes = np.array([2.0**-1020, 2.0**-660, 1.0, 2.0**660, 2.0**1015])[np.arange(120) % 5]
+    plain = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    far = spark.createDataFrame([(i, (v * s).tolist()) for i, (v, s) in enumerate(zip(x, sizes))], "vec_id long, embedding array<double>")
+    got, want = (sorted(tuple(r) for r in neighbours.nearest_neighbours(df, every=10).collect()) for df in (far, plain))
+    assert [g[:3] for g in got] == [w[:3] for w in want]
+    assert [g[3] for g in got] == pytest.approx([w[3] for w in want], abs=1e-12)
+    assert all(-1.0000001 <= g[3] <= 1.0000001 for g in got)
