@@ -35,6 +35,10 @@ def candidates(alphas=ALPHAS, betas=BETAS, gammas=GAMMAS, phis=PHIS) -> list[dic
     return out
 
 
+#: Values whose levels are gathered in one piece.
+CHUNK = 256
+
+
 def series_arrays(series: DataFrame, keys: Sequence[str]) -> DataFrame:
     """One row per series: values in bucket order; the array is as long as the calendar grid."""
     packed = F.array_sort(F.collect_list(F.struct("idx", "value")))
@@ -59,6 +63,11 @@ def _start(values: Column, season: Column, length: Column) -> Column:
 
 
 def _fold(values: Column, season: Column, length: Column, keep_levels: bool) -> Column:
+    """The state after all values; with ``keep_levels`` also the level after each.
+
+    Levels are gathered in pieces of CHUNK values that are put together at the end, so that the time grows
+    with the length of the series and not with its square.
+    """
     trend, alpha, beta = F.col("c.trend"), F.col("c.alpha"), F.col("c.beta")
     gamma, phi = F.col("c.gamma"), F.col("c.phi")
 
@@ -78,7 +87,22 @@ def _fold(values: Column, season: Column, length: Column, keep_levels: bool) ->
         levels = F.concat(s["levels"], F.array(level)) if keep_levels else s["levels"]
         return F.struct(level.alias("level"), slope.alias("slope"), rotated.alias("season"), levels.alias("levels"))
 
-    return F.aggregate(values, _start(values, season, length), step)
+    start = _start(values, season, length)
+    if not keep_levels:
+        return F.aggregate(values, start, step)
+    none = F.array().cast("array<double>")
+    firsts = F.when(F.size(values) > 0, F.sequence(F.lit(1), F.size(values), F.lit(CHUNK))).otherwise(F.array().cast("array<int>"))
+
+    def piece(s, first):
+        begin = F.struct(s["level"].alias("level"), s["slope"].alias("slope"), s["season"].alias("season"), none.alias("levels"))
+        done = F.aggregate(F.slice(values, first, F.lit(CHUNK)), begin, step)
+        # one element, so that the fold is named once and its parts are taken from it
+        return F.transform(F.array(done), lambda d: F.struct(
+            d["level"].alias("level"), d["slope"].alias("slope"), d["season"].alias("season"), F.concat(s["pieces"], F.array(d["levels"])).alias("pieces")))[0]
+
+    opened = F.struct(start["level"].alias("level"), start["slope"].alias("slope"), start["season"].alias("season"), F.array().cast("array<array<double>>").alias("pieces"))
+    return F.transform(F.array(F.aggregate(firsts, opened, piece)), lambda s: F.struct(
+        s["level"].alias("level"), s["slope"].alias("slope"), s["season"].alias("season"), F.flatten(s["pieces"]).alias("levels")))[0]
 
 
 def _ahead(state: Column, season: Column, steps: Column) -> Column:

@@ -53,7 +53,9 @@ def read_messy_text(spark: SparkSession, path: str, header_line: int = 3, commen
 
     Comments run to the end of the line; blank lines do not count.  The header is line
     ``header_line`` (from 0) of what is left of each file.  Only the start of a file can hold
-    it, so a few lines per file are ordered and the rest is read in parallel.
+    it, so a few lines per file are ordered and the rest is read in parallel.  Files may have other
+    columns, or the same in another order: columns are united by name, in the order in which files
+    name them, and are null where a file lacks them.  The first column of all is text.
     """
     raw = spark.read.text(path).select(
         F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
@@ -61,11 +63,20 @@ def read_messy_text(spark: SparkSession, path: str, header_line: int = 3, commen
         F.rtrim(F.regexp_replace("value", f"\\Q{comment}\\E.*$", "")).alias("line"))
     kept = raw.filter("line <> ''")
     first = top_per_group(kept.filter("block = 0"), ["file"], [F.col("id")], header_line + 1)
-    cut = first.groupBy("file").agg(F.max("id").alias("cut"), F.max_by("line", "id").alias("header"))
-    names = cut.select("header").orderBy("file").first()["header"].split(sep)
+    cut = first.groupBy("file").agg(F.max("id").alias("cut"), F.split(F.max_by("line", "id"), sep, -1).alias("header"))
+    # each file is read by its own header; what comes to the driver is the different headers
+    headers = [r["header"] for r in cut.groupBy("header").agg(F.min("file").alias("file")).orderBy("file").collect()]
+    names = list(dict.fromkeys(n for h in headers for n in h))
+    width = max(map(len, headers), default=0)
     body = kept.join(cut, "file").filter((F.col("block") > 0) | (F.col("id") > F.col("cut")))
-    schema = ", ".join(f"`{n}` {'string' if i == 0 else number_type}" for i, n in enumerate(names))
-    return body.select(F.from_csv("line", F.lit(schema), {"sep": sep}).alias("r")).select("r.*")
+    cells = F.from_csv("line", F.lit(", ".join(f"c{i} string" for i in range(max(width, 1)))), {"sep": sep})
+    row = body.select("header", cells.alias("r")).select("header", F.array(*[F.col(f"r.c{i}") for i in range(max(width, 1))]).alias("cells"))
+
+    def value(name: str, kind: str) -> Column:
+        at = F.array_position("header", F.lit(name))
+        return F.when(at > 0, F.get("cells", at.cast("int") - 1)).try_cast(kind).alias(name)
+
+    return row.select(*[value(n, "string" if i == 0 else number_type) for i, n in enumerate(names)])
 
 
 def read_json(spark: SparkSession, path: str, schema: T.StructType | str | None = None, whole_file: bool = False) -> DataFrame:

@@ -42,6 +42,56 @@ def batch_writer(shape: Callable[[DataFrame], DataFrame], path: str) -> Callable
     return write
 
 
+class ChangeLog:
+    """The latest state of every key, from batches of changes.
+
+    A batch writes its changes beside those since the last snapshot.  Every ``every``-th batch folds the
+    snapshot before it and these changes into the next one, in a folder of its own that counts once Spark
+    has marked it as complete.  A repeated batch writes the same files again.  A read opens one snapshot and
+    the changes of fewer than ``every`` batches (of the fold before, if one is being written), however many
+    batches there have been.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, keys: Sequence[str], schema: str, every: int = 16):
+        self.spark, self.path, self.keys, self.schema, self.every = spark, path, list(keys), schema, every
+
+    def _exists(self, name: str) -> bool:
+        at = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
+        return at.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(at)
+
+    def _read(self, after: int, upto: int) -> list[DataFrame]:
+        """The snapshot ``after`` and the changes from there to batch ``upto``, each with its batch."""
+        plain = self.spark.read.schema(f"{self.schema}, batch long")
+        parts = [plain.parquet(f"{self.path}/snapshot={after}")] if after >= 0 else []
+        changes = [f"{self.path}/after={after}/change={n}" for n in range(after + 1, upto + 1) if self._exists(f"after={after}/change={n}/_SUCCESS")]
+        return parts + ([plain.parquet(*changes)] if changes else [])
+
+    def _fold(self, parts: list[DataFrame]) -> DataFrame:
+        rest = [c for c in parts[0].columns if c not in (*self.keys, "batch")]
+        every = parts[0]
+        for part in parts[1:]:
+            every = every.unionByName(part)
+        last = every.groupBy(*self.keys).agg(F.max_by(F.struct(*rest, "batch"), "batch").alias("last"))
+        return last.select(*self.keys, *[f"last.{c}" for c in rest], "last.batch")
+
+    def write(self, batch: DataFrame, number: int) -> None:
+        after = number // self.every * self.every - 1
+        marked = batch.withColumn("batch", F.lit(number).cast("long"))
+        marked.write.mode("overwrite").parquet(f"{self.path}/after={after}/change={number}")
+        if (number + 1) % self.every == 0:
+            self._fold(self._read(after, number)).write.mode("overwrite").parquet(f"{self.path}/snapshot={number}")
+
+    def read(self) -> DataFrame:
+        """The keys and their latest values."""
+        after = -1
+        while self._exists(f"snapshot={after + self.every}/_SUCCESS"):
+            after += self.every
+        parts = self._read(after, after + self.every)
+        if not parts:
+            return self.spark.createDataFrame([], self.schema)
+        return self._fold(parts).drop("batch")
+
+
 def top_speeds(batch: DataFrame) -> DataFrame:
     """Highest speed per vehicle of one delivery, with the alert flag."""
     return batch.groupBy("vin").agg(F.max("speed").alias("speed")).withColumn("alert", F.col("speed") > SPEED_LIMIT)
@@ -56,9 +106,9 @@ def speed_alerts(feed: DataFrame, path: str, checkpoint: str) -> DataFrame:
 def overall_top_speeds(feed: DataFrame, path: str, checkpoint: str) -> DataFrame:
     """The stateful variant: maxima over all deliveries, each change written once."""
     state = feed.groupBy("vin").agg(F.max("speed").alias("speed"))
-    run_batches(state, batch_writer(lambda b: b, path), checkpoint, mode="update")
-    changes = feed.sparkSession.read.parquet(path)
-    return changes.groupBy("vin").agg(F.max_by("speed", "batch").alias("speed"))
+    log = ChangeLog(feed.sparkSession, path, ["vin"], "vin string, speed double")
+    run_batches(state, log.write, checkpoint, mode="update")
+    return log.read()
 
 
 NOTICE_SCHEMA = ("Records array<struct<eventName: string, eventTime: string, "
@@ -105,7 +155,7 @@ def convert_feed(feed: DataFrame, convert: Callable[[Column], Column], path: str
 def running_average(feed: DataFrame, keys: Sequence[str], value: Column, path: str, checkpoint: str) -> DataFrame:
     """Average over all deliveries so far; a batch writes the keys that it changed, and the last word counts."""
     state = feed.groupBy(*keys).agg((F.sum(value).cast("double") / F.count(value)).alias("average"), F.count(value).alias("n"))
-    run_batches(state, batch_writer(lambda b: b, path), checkpoint, mode="update")
-    changes = feed.sparkSession.read.parquet(path)
-    last = F.max_by(F.struct("average", "n"), "batch").alias("last")
-    return changes.groupBy(*keys).agg(last).select(*keys, "last.average", "last.n")
+    kinds = dict(state.dtypes)
+    log = ChangeLog(feed.sparkSession, path, keys, ", ".join(f"`{c}` {kinds[c]}" for c in state.columns))
+    run_batches(state, log.write, checkpoint, mode="update")
+    return log.read()

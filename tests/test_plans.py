@@ -341,3 +341,37 @@ def test_stream_equals_batch(spark, tmp_path):
     assert alerts.filter(F.col("alert") != (F.col("speed") > 45)).count() == 0
     averages = feeds.running_average(feeds.gps_feed(spark, path, 1), ["vin"], F.col("speed"), str(tmp_path / "avg"), str(tmp_path / "avg-state"))
     assert {(r.vin, r.n) for r in averages.collect()} == {(f"V{i}", 40) for i in range(5)}
+
+
+def test_messy_files_with_their_own_headers(spark, tmp_path):
+    folder = tmp_path / "mixed"
+    folder.mkdir()
+    head = "made by hand\n\nfor a test # so\nthree\n"
+    (folder / "a.txt").write_text(head + "name jan feb\nx 1 2\n# no row\ny 3 4 # tail\n")
+    (folder / "b.txt").write_text(head + "feb name mar\n20 z 30\n5 w odd\n")
+    (folder / "c.txt").write_text(head + "name jan feb\nv 7\n")
+    got = readers.read_messy_text(spark, str(folder))
+    assert got.dtypes == [("name", "string"), ("jan", "double"), ("feb", "double"), ("mar", "double")]
+    assert sorted(map(tuple, got.collect())) == [("v", 7.0, None, None), ("w", None, 5.0, None), ("x", 1.0, 2.0, None), ("y", 3.0, 4.0, None), ("z", None, 20.0, 30.0)]
+
+
+def test_change_log_of_many_batches(spark, tmp_path):
+    log = feeds.ChangeLog(spark, f"file://{tmp_path}/log", ["k"], "k long, v string")
+    assert log.read().collect() == []
+    want = {}
+    for n in range(50):
+        rows = [(k, f"{n}") for k in {n % 7, n % 5, 100 + n}]
+        want |= dict(rows)
+        batch = spark.createDataFrame(rows, "k long, v string").coalesce(1)
+        log.write(batch, n)
+        if n in (15, 31, 40):  # a batch that comes again
+            before = sorted(map(tuple, log.read().collect()))
+            log.write(batch, n)
+            assert sorted(map(tuple, log.read().collect())) == before
+    got = log.read()
+    assert {r.k: r.v for r in got.collect()} == want
+    assert len(got.inputFiles()) <= 20
+    # a fold that was cut off does not count
+    next(p for p in (tmp_path / "log" / "snapshot=47").iterdir() if p.name == "_SUCCESS").unlink()
+    shown = {r.k: r.v for r in log.read().collect()}
+    assert all(shown[k] == v for k, v in want.items() if int(v) <= 47 and k in shown) and len(shown) >= 90 - 40

@@ -2,6 +2,7 @@
 
 import math
 import random
+import time
 from datetime import date, datetime, timedelta
 
 import numpy as np
@@ -229,3 +230,31 @@ def test_trend_forecast_follows_a_line(spark):
     df = spark.range(800).select(F.date_add(F.lit("2020-01-01").cast("date"), F.col("id").cast("int")).alias("day"), (F.col("id") * 2.0 + 5).alias("value"))
     out = sm.trend_forecast(df, 10).filter("kind = 'forecast'").orderBy("day").collect()
     assert len(out) == 10 and out[0].fitted == pytest.approx(1605, rel=1e-3) and out[9].fitted == pytest.approx(1623, rel=1e-3)
+
+
+@pytest.mark.parametrize("n", [1, 2, 255, 256, 257, 700])
+def test_levels_in_pieces_follow_the_plain_recursion(spark, n):
+    rng = random.Random(n)
+    values = [rng.random() * 10 for _ in range(n)]
+    df = spark.createDataFrame([(values,)], "v array<double>").withColumn("c", F.struct(
+        F.lit("add").alias("trend"), F.lit(0.3).alias("alpha"), F.lit(0.2).alias("beta"), F.lit(0.1).alias("gamma"), F.lit(0.9).alias("phi")))
+    state = df.select(sm._fold(F.col("v"), F.lit("None"), F.lit(2), True).alias("s"), sm._fold(F.col("v"), F.lit("None"), F.lit(2), False).alias("t")).first()
+    level, slope, levels = values[0], (values[1] - values[0]) if n > 1 else 0.0, []
+    for x in values:
+        base = level + slope * 0.9
+        fresh = 0.3 * x + 0.7 * base
+        level, slope = fresh, 0.2 * (fresh - level) + 0.8 * (slope * 0.9)
+        levels.append(level)
+    assert state.s.levels == pytest.approx(levels)
+    assert (state.s.level, state.s.slope) == (state.t.level, state.t.slope)
+
+
+def test_a_hundred_thousand_buckets_in_linear_time(spark):
+    spent = []
+    for n in (50_000, 100_000):
+        df = spark.range(1).select(F.transform(F.sequence(F.lit(1), F.lit(n)), lambda i: F.sin(i) + 5).alias("v"), F.struct(
+            F.lit("None").alias("trend"), F.lit(0.3).alias("alpha"), F.lit(0.2).alias("beta"), F.lit(0.1).alias("gamma"), F.lit(1.0).alias("phi")).alias("c"))
+        began = time.time()
+        assert df.select(F.size(sm._fold(F.col("v"), F.lit("None"), F.lit(2), True)["levels"]).alias("n")).first().n == n
+        spent.append(time.time() - began)
+    assert spent[1] < 3 * spent[0] + 2 and spent[1] < 30
