@@ -6,10 +6,14 @@ the driver, where it decides about columns.
 
 from __future__ import annotations
 
+import hashlib
+import itertools
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -67,6 +71,36 @@ def distinct_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return listed.join(found, "column", "left").select("column", F.coalesce("n", F.lit(0)).alias("n"))
 
 
+def capped_counts(df: DataFrame, columns: Sequence[str], most: int) -> DataFrame:
+    """(column, n): numbers of distinct known values, exact up to ``most``; ``most`` + 1 stands for all above.
+
+    A task keeps the first ``most`` + 1 different values of a column and does not look at it after that, so
+    it sends so many digests at most: where a task has more the column has more, else it sends them all.
+    """
+    if not columns:
+        return df.sparkSession.createDataFrame([], "column string, n bigint")
+    kinds, plain = dict(df.dtypes), ("string", "boolean", "tinyint", "smallint", "int", "bigint")
+
+    def value(c: str) -> Column:
+        if kinds[c] in ("double", "float"):
+            return q(c) + F.lit(0.0)
+        return q(c) if kinds[c] in plain else q(c).cast("string")
+
+    def few(batches):
+        seen: list[set] = [set() for _ in columns]
+        for batch in batches:
+            for known, column in zip(seen, batch.columns, strict=True):
+                if len(known) <= most:
+                    known.update(pc.unique(column.drop_null())[: most + 1].to_pylist())
+        rows = [(i, hashlib.md5(repr(v).encode("utf-8", "surrogatepass")).digest()) for i, known in enumerate(seen) for v in itertools.islice(known, most + 1)]
+        yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in rows], pa.int32()), pa.array([v for _, v in rows], pa.binary())], names=["at", "v"])
+
+    sent = df.select(*[value(c).alias(f"c{i}") for i, c in enumerate(columns)]).mapInArrow(few, "at int, v binary")
+    found = sent.distinct().groupBy("at").agg(F.least(F.count(F.lit(1)), F.lit(most + 1)).alias("n"))
+    listed = df.sparkSession.createDataFrame(list(enumerate(columns)), "at int, column string")
+    return listed.join(found, "at", "left").select("column", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
+
+
 # ---- sparse, high-cardinality and blown-out columns --------------------------------------
 
 @dataclass(frozen=True)
@@ -367,7 +401,7 @@ def category_values(df: DataFrame, label: str | None, few: int = 5, limit: int =
     text = text_columns(df)
     plain = ("array", "map", "struct", "binary", "variant")
     candidates = [c for c, kind in df.dtypes if c != label and not kind.startswith(plain)]
-    distinct = {r["column"]: r["n"] for r in distinct_counts(df, candidates).collect()}
+    distinct = {r["column"]: r["n"] for r in capped_counts(df, candidates, max(few, limit)).collect()}
     chosen = [c for c in candidates if c in text or distinct[c] <= few]
     too_many = [c for c in chosen if distinct[c] > limit]
     if too_many:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tablemill.functions import dates
 from tablemill.functions.names import date_columns, non_numeric_columns, numeric_columns, text_columns
-from tablemill.plans.prepare import distinct_counts, nan_to_null
+from tablemill.plans.prepare import capped_counts, distinct_counts, nan_to_null
 
 
 def _as_rows(row: DataFrame, names: Sequence[str], label: str = "column") -> DataFrame:
@@ -65,7 +65,7 @@ def health_score(df: DataFrame) -> DataFrame:
     n_columns, others = len(df.columns), non_numeric_columns(df)
     n_numeric = n_columns - len(others)
     df = nan_to_null(df)
-    blown = distinct_counts(df, others).agg(F.count_if(F.col("n") > MANY_VALUES)).scalar()
+    blown = capped_counts(df, others, MANY_VALUES).agg(F.count_if(F.col("n") > MANY_VALUES)).scalar()
     profile = df.agg(
         F.count(F.lit(1)).alias("n_rows"),
         sum((F.count(F.lit(1)) - F.count(f"`{c}`") for c in df.columns), F.lit(0)).alias("n_null")).withColumn("n_blown", blown)

@@ -375,3 +375,16 @@ def test_change_log_of_many_batches(spark, tmp_path):
     next(p for p in (tmp_path / "log" / "snapshot=47").iterdir() if p.name == "_SUCCESS").unlink()
     shown = {r.k: r.v for r in log.read().collect()}
     assert all(shown[k] == v for k, v in want.items() if int(v) <= 47 and k in shown) and len(shown) >= 90 - 40
+
+
+def test_capped_counts_stop_at_the_cap(spark):
+    n = F.col("id")
+    df = spark.range(0, 5000, 1, 7).select(
+        (n % 5).alias("five"), n.alias("many"), F.when(n % 3 > 0, (n % 101).cast("string")).alias("a.b"), F.lit(None).cast("string").alias("none"), (n % 2 == 0).alias("flag"),
+        F.when(n % 2 == 0, -0.0).when(n % 5 == 0, float("nan")).otherwise(0.0).alias("zero"), F.array(n % 3).alias("list"), F.date_add(F.lit("2020-01-01"), (n % 102).cast("int")).alias("day"))
+    df = prep.nan_to_null(df)
+    exact = {r["column"]: r.n for r in prep.distinct_counts(df, df.columns).collect()}
+    for most in (1, 5, 100, 10_000):
+        assert {r["column"]: r.n for r in prep.capped_counts(df, df.columns, most).collect()} == {c: min(v, most + 1) for c, v in exact.items()}
+    assert prep.capped_counts(df, [], 3).collect() == []
+    assert {r.n for r in prep.capped_counts(df.limit(0), df.columns, 3).collect()} == {0}
