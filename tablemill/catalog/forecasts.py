@@ -2,9 +2,10 @@
 
 from pyspark.sql import functions as F
 
-from tablemill.catalog.timeseries import STATISTICS
+from tablemill.catalog.timeseries import STATISTICS, acf_sql
 from tablemill.functions.numbers import money
 from tablemill.operators.joining import union_all
+from tablemill.plans import results
 from tablemill.plans import series as ts
 from tablemill.plans import smoothing as sm
 from tablemill.registry import job
@@ -17,11 +18,7 @@ def monthly(t):
 
 
 def season_of(series):
-    """Seasonal model and length per series, from the decomposition."""
-    choice = ts.season_choice(series, ["k"], ts.PERIODS["MS"]).select("k", "seasonality")
-    lengths = [ts.season_length(ts.decompose(series, ["k"], ts.PERIODS["MS"], m), ["k"]).select("k", F.lit(m).alias("seasonality"), "season_length")
-               for m in ("add", "mul")]
-    return choice.join(union_all(lengths), ["k", "seasonality"], "left").select("k", "seasonality", F.coalesce("season_length", F.lit(2)).alias("season_length"))
+    return results.season_of(series, ["k"], ts.PERIODS["MS"])
 
 
 def smoothed(t):
@@ -61,6 +58,36 @@ def run_missing(t):
     return done
 
 
+def appended(t):
+    """The results of the monthly series, appended by two runs of which the second finds what is missing."""
+    series = monthly(t)
+    store = results.ResultStore(t.spark, t.scratch("series-results"), ["k"])
+    pairs = series.select("k").distinct()
+    for wanted in (pairs.filter("k = 'F'"), pairs):
+        store.run_missing(wanted, lambda todo: results.series_results(series.join(todo, "k", "left_semi"), ["k"], "MS"))
+    return store
+
+
+@job("t14_appended_acf", f"""
+    WITH kg AS (SELECT o_orderstatus AS k, year(o_orderdate) * 12 + month(o_orderdate) AS b, CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE) / count(*) AS value FROM orders GROUP BY ALL),
+      s AS (SELECT k, value, b - min(b) OVER (PARTITION BY k) AS idx FROM (SELECT k, unnest(generate_series(min(b), max(b))) AS b FROM kg GROUP BY k) LEFT JOIN kg USING (k, b)),
+      {acf_sql('s', 'a')} SELECT k, lag, lag - 1 AS lag0, round(acf, 6) AS acf FROM a""")
+def appended_acf(t):
+    return appended(t).read("acf").withColumn("acf", F.round("acf", 6))
+
+
+@job("t14_appended_results")
+def appended_results(t):
+    """Parts, forecasts and models of all runs as one table of texts and numbers."""
+    store = appended(t)
+    text = F.lit(None).cast("string")
+    trends = store.read("trends").select("k", F.lit("trends").alias("kind"), F.col("idx").cast("string").alias("at"), F.col("trend").alias("value"), text.alias("words"))
+    forecast = store.read("forecast").select("k", F.lit("forecast").alias("kind"), F.date_format("bucket", "yyyy-MM-dd").alias("at"), F.col("forecast").alias("value"), text.alias("words"))
+    models = store.read("best_model").select("k", F.lit("best_model").alias("kind"), text.alias("at"), F.lit(None).cast("double").alias("value"),
+                                             F.concat_ws(" | ", "trend", "damped", "seasonality", "periods").alias("words"))
+    return union_all([trends, forecast, models])
+
+
 @job("t15_trend_forecast")
 def trend_forecast(t):
     daily = t.orders.groupBy(F.col("o_orderdate").cast("date").alias("day")).agg((F.sum(money("o_totalprice")).cast("double") / F.count(F.lit(1))).alias("value"))

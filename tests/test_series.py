@@ -258,3 +258,27 @@ def test_a_hundred_thousand_buckets_in_linear_time(spark):
         assert df.select(F.size(sm._fold(F.col("v"), F.lit("None"), F.lit(2), True)["levels"]).alias("n")).first().n == n
         spent.append(time.time() - began)
     assert spent[1] < 3 * spent[0] + 2 and spent[1] < 30
+
+
+def test_results_appended_by_runs_equal_those_of_one(spark, tables, tmp_path):
+    from tablemill.catalog.forecasts import monthly
+    from tablemill.plans import results
+
+    series = monthly(tables)
+    compute = lambda todo: results.series_results(series.join(todo, "k", "left_semi"), ["k"], "MS")
+    pairs = series.select("k").distinct().cache()
+    one, two = (results.ResultStore(spark, f"file://{tmp_path}/{n}", ["k"]) for n in ("one", "two"))
+    assert one.run_missing(pairs, compute) == pairs.count()
+    assert two.run_missing(pairs.filter("k <> 'O'"), compute) == pairs.count() - 1
+    # a run that breaks off before it is listed: its rows do not count and its pairs are missing
+    with pytest.raises(RuntimeError):
+        def broken(todo):
+            made = compute(todo)
+            made["acf"].withColumn("run", F.lit("broken")).write.mode("append").parquet(f"file://{tmp_path}/two/acf")
+            raise RuntimeError
+        two.run_missing(pairs, broken)
+    assert two.run_missing(pairs, compute) == 1 and two.run_missing(pairs, compute) == 0
+    for name in results.TABLES:
+        assert sorted(map(repr, one.read(name).collect())) == sorted(map(repr, two.read(name).collect())), name
+        assert {r.k for r in two.read(name).select("k").distinct().collect()} <= {r.k for r in pairs.collect()}
+    assert two.read("forecast").filter("step > 0").count() > 0 and two.read("trends").count() > 0
