@@ -40,7 +40,7 @@ def test_odd_rows_pass_every_stage(spark, sf_dir, docs_of):
             step(spark, docs, sf_dir).collect()
 
 
-@pytest.mark.parametrize("n", range(1, 11))
+@pytest.mark.parametrize("n", range(1, 14))
 def test_every_operator_has_one_query(n):
     assert len([q for q in entry.queries() if q.startswith(f"op{n}_")]) == 1
     assert "pipeline" in entry.queries()
