@@ -164,6 +164,12 @@ def tree_importance(df: DataFrame, features: Sequence[str], seed: int = 11, top:
     return df.sparkSession.createDataFrame(rows, "feature string, importance double").orderBy(F.desc("importance"), "feature").limit(top)
 
 
+# Wording of the sentences on weights.
+FIRST_SENTENCE = "The strongest predictor is {feature}"
+NEXT_SENTENCE = "The {place} strongest predictor is {feature} with a weight {ratio:.2f}% of {first}"
+PLACES = ("second", "third")
+
+
 def weight_sentences(df: DataFrame, features: Sequence[str]) -> DataFrame:
     """Strongest three positive and negative logistic weights with their share of the strongest.
 
@@ -177,8 +183,8 @@ def weight_sentences(df: DataFrame, features: Sequence[str]) -> DataFrame:
         first = chosen[0]
         for place, (feature, weight) in enumerate(chosen):
             ratio = 100 * weight / first[1] if first[1] else 0.0
-            text = (f"The strongest predictor is {feature}" if place == 0 else
-                    f"The {('second', 'third')[place - 1]} strongest predictor is {feature} with a weight {ratio:.2f}% of {first[0]}")
+            text = (FIRST_SENTENCE.format(feature=feature) if place == 0 else
+                    NEXT_SENTENCE.format(place=PLACES[place - 1], feature=feature, ratio=ratio, first=first[0]))
             rows.append((side, place + 1, feature, weight, ratio, text))
     return df.sparkSession.createDataFrame(rows, "side string, place int, feature string, weight double, ratio double, sentence string")
 
