@@ -35,12 +35,35 @@ def smoothing_forecast(t):
     return rows.join(best.select("k", "trend", "damped", "seasonality", "sse"), "k", "left")
 
 
-@job("t13_level_parts")
+LEVELS = """
+    WITH RECURSIVE kg AS (SELECT o_orderstatus AS k, year(o_orderdate) * 12 + month(o_orderdate) AS b, CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE) / count(*) AS value FROM orders GROUP BY ALL),
+      g AS (SELECT k, value, b - min(b) OVER (PARTITION BY k) AS idx FROM (SELECT k, unnest(generate_series(min(b), max(b))) AS b FROM kg GROUP BY k) LEFT JOIN kg USING (k, b)),
+      s AS (SELECT k, list(value ORDER BY idx) AS v, count(*) AS n, CAST(round_even(count(*) * 0.8, 0) AS INTEGER) AS train FROM g GROUP BY k HAVING count(*) = count(value)),
+      c AS (SELECT trend, damped, alpha::DOUBLE AS alpha, beta::DOUBLE AS beta, phi::DOUBLE AS phi FROM (VALUES ('None', false), ('add', false), ('add', true), ('mul', false), ('mul', true)) t(trend, damped),
+              (VALUES (0.2), (0.5), (0.8)) a(alpha), (VALUES (0.0), (0.1), (0.3)) b(beta), (VALUES (1.0), (0.8), (0.95)) p(phi)
+            WHERE (trend = 'None') = (beta = 0) AND damped = (phi < 1)),
+      f AS (SELECT k, v, n, train, c.*, 0 AS i, v[1] AS level, CASE WHEN trend = 'mul' THEN coalesce(v[2], v[1]) / v[1] ELSE coalesce(v[2], v[1]) - v[1] END AS slope
+            FROM s, c WHERE trend <> 'mul' OR list_min(v) > 0
+            UNION ALL
+            SELECT k, v, n, train, trend, damped, alpha, beta, phi, i + 1, now,
+              CASE trend WHEN 'None' THEN slope WHEN 'add' THEN beta * (now - level) + (1 - beta) * eased ELSE beta * (now / level) + (1 - beta) * eased END
+            FROM (SELECT *, alpha * v[i + 1] + (1 - alpha) * CASE trend WHEN 'None' THEN level WHEN 'add' THEN level + eased ELSE level * eased END AS now
+                  FROM (SELECT *, CASE trend WHEN 'mul' THEN pow(slope, phi) ELSE slope * phi END AS eased FROM f WHERE i < n))),
+      e AS (SELECT k, trend, damped, alpha, beta, phi, unnest(generate_series(1, n - train)) AS h, v, train, level, slope FROM f WHERE i = train),
+      w AS (SELECT k, trend, damped, alpha, beta, phi, sum(pow(v[train + h] - CASE trend WHEN 'None' THEN level WHEN 'add' THEN level + reach * slope ELSE level * pow(slope, reach) END, 2)) AS sse
+            FROM (SELECT *, CASE WHEN phi = 1 THEN h::DOUBLE ELSE phi * (1 - pow(phi, h)) / (1 - phi) END AS reach FROM e) GROUP BY ALL),
+      best AS (SELECT * FROM w QUALIFY row_number() OVER (PARTITION BY k ORDER BY sse, trend, damped, alpha, beta, phi) = 1)"""
+
+
+@job("t13_level_parts", LEVELS + """
+    SELECT k, i - 1 AS idx, round(v[i], 4) AS original, round(level, 4) AS trend, CAST(NULL AS DOUBLE) AS seasonality, round(v[i] - level, 4) AS residual
+    FROM f JOIN best USING (k, trend, damped, alpha, beta, phi) WHERE i > 0""")
 def level_parts(t):
     series = monthly(t)
     none = series.select("k").distinct().select("k", F.lit("None").alias("seasonality"), F.lit(2).cast("long").alias("season_length"))
     best = stage(sm.choose_smoothing(series, ["k"], none), "smoothing")
-    return sm.level_parts(sm.smooth(series, ["k"], best), ["k"])
+    parts = sm.level_parts(sm.smooth(series, ["k"], best), ["k"])
+    return parts.withColumns({c: F.round(c, 4) for c in ("original", "trend", "residual")})
 
 
 @job("t14_run_missing", f"WITH {STATISTICS} SELECT * FROM st JOIN choice USING (k)")
@@ -105,11 +128,16 @@ def _models(t):
         (F.col("c_nationkey") + 2).alias("season_length"))
 
 
-@job("t16_model_summary", f"""
-    SELECT c_custkey, CASE c_custkey % 3 WHEN 0 THEN '{sm.TREND_TEXT["add"]}' WHEN 1 THEN '{sm.TREND_TEXT["mul"]}' ELSE '{sm.TREND_TEXT[None]}' END AS trend,
-      CASE WHEN c_custkey % 3 = 2 THEN 'N/A' WHEN c_custkey % 2 = 0 THEN 'Y' ELSE 'N' END AS damped,
-      CASE c_nationkey % 3 WHEN 0 THEN '{sm.SEASON_TEXT["mul"]}' WHEN 1 THEN '{sm.SEASON_TEXT[None]}' ELSE '{sm.SEASON_TEXT["add"]}' END AS seasonality,
-      CASE WHEN c_nationkey % 3 = 1 THEN 'N/A' ELSE CAST(c_nationkey + 2 AS VARCHAR) END AS periods FROM customer""")
+@job("t16_model_summary", """
+    WITH words AS (SELECT unnest(['add', 'mul', 'None']) AS kind,
+        unnest(['Additive - overall amplitude of residuals is constant', 'Multiplicative - overall amplitude of residuals varies with the level of the underlying variable',
+                'None - no overall additive or multiplicative effects']) AS trend_text,
+        unnest(['Additive - amplitude of seasonal effects is constant', 'Multiplicative - amplitude of seasonal effects varies with the level of the underlying variable',
+                'None - no seasonal effects']) AS season_text),
+      m AS (SELECT c_custkey, ['add', 'mul', 'None'][c_custkey % 3 + 1] AS t, c_custkey % 2 = 0 AS d, ['mul', 'None', 'add'][c_nationkey % 3 + 1] AS s, c_nationkey + 2 AS n FROM customer)
+    SELECT c_custkey, a.trend_text AS trend, CASE WHEN t = 'None' THEN 'N/A' WHEN d THEN 'Y' ELSE 'N' END AS damped, b.season_text AS seasonality,
+      CASE WHEN s = 'None' THEN 'N/A' ELSE CAST(n AS VARCHAR) END AS periods
+    FROM m JOIN words a ON a.kind = t JOIN words b ON b.kind = s""")
 def model_summary(t):
     return sm.model_summary(_models(t), ["c_custkey"])
 

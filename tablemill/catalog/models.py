@@ -77,6 +77,17 @@ def oversample_minority(t):
     return md.oversample_minority(train, "doc_id", "quality", ["n_chars", "n_words"], seed=9)
 
 
+@job("m03_folds", """
+    SELECT fold, count(*) AS n, count(*) FILTER (quality = 1) AS n_good FROM (
+      SELECT quality, CAST(('0x' || left(md5(doc_id || '-11'), 8))::BIGINT % 5 AS INTEGER) AS fold FROM labels JOIN documents USING (doc_id)
+      WHERE NOT ('0x' || left(md5(doc_id || '-5'), 8))::BIGINT % 100 < 20) GROUP BY 1""")
+def folds(t):
+    """Rows and good rows in each fold of the search."""
+    table = scaling.train_test_split(t.labels.join(t.documents.select("doc_id"), "doc_id"), "doc_id", 20, seed=5).filter("not test")
+    return md.with_folds(table, "doc_id", 5, 11).groupBy("fold").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(F.col("quality") == 1).alias("n_good"))
+
+
 @job("m03_search_models")
 def search_models(t):
     ready, _ = training(t)
@@ -121,6 +132,28 @@ def permutation_importance(t):
     return md.permutation_importance(model, ready.filter("test"), "doc_id", FEATURES, seed=21)
 
 
+FIXED_RULE = md.LinearRule((0.25, -1.5, 2.0, -1.0), 0.5)
+
+
+@job("m07_fixed_scorer", f"""
+    WITH x AS (SELECT doc_id, quality = 1 AS good, n_chars AS a, len({WORDS}) AS b, CASE WHEN lang = 'de' THEN 1 ELSE 0 END AS c, CASE WHEN lang = 'en' THEN 1 ELSE 0 END AS d
+               FROM labels JOIN documents USING (doc_id) WHERE ('0x' || left(md5(doc_id || '-5'), 8))::BIGINT % 100 < 20),
+      o AS (SELECT x.*, turn, ('0x' || left(md5(doc_id || '-' || (21 + turn)), 8))::BIGINT AS h FROM x, range(5) r(turn)),
+      m AS (SELECT *, coalesce(lead(s) OVER w, first_value(s) OVER w) AS z FROM (SELECT *, {{'a': a, 'b': b, 'c': c, 'd': d}} AS s FROM o) WINDOW w AS (PARTITION BY turn ORDER BY h, doc_id)),
+      t AS (SELECT unnest(['', 'n_chars', 'n_words', 'lang = de', 'lang = en']) AS feature, unnest([[a, b, c, d], [z.a, b, c, d], [a, z.b, c, d], [a, b, z.c, d], [a, b, c, z.d]]) AS v, good FROM m),
+      g AS (SELECT feature, count(*) FILTER ((v[1] * 0.25::DOUBLE - v[2] * 1.5::DOUBLE + v[3] * 2 - v[4] + 0.5::DOUBLE > 0) = good)::DOUBLE / count(*) AS accuracy FROM t GROUP BY 1)
+    SELECT feature, (SELECT accuracy FROM g WHERE feature = '') - accuracy AS weight FROM g WHERE feature <> ''""")
+def fixed_scorer(t):
+    """The importance of four measures for a scorer whose weights are given."""
+    lang = F.col("lang")
+    docs = t.labels.join(t.documents, "doc_id").select(
+        "doc_id", "quality", "n_chars", F.size(tx.words(F.col("text"))).alias("n_words"),
+        F.when(lang == "de", 1).otherwise(0).alias("lang = de"), F.when(lang == "en", 1).otherwise(0).alias("lang = en"))
+    names = ["n_chars", "n_words", "lang = de", "lang = en"]
+    ready = md.assemble(scaling.train_test_split(docs, "doc_id", 20, seed=5).filter("test"), names, "quality")
+    return md.permutation_importance(FIXED_RULE, ready, "doc_id", names, seed=21)
+
+
 @job("m07_parent_importance")
 def parent_importance(t):
     _, memory = document_features(t)

@@ -313,8 +313,13 @@ def day_or_month_first(t):
 
 
 @job("f44_is_date_column", """
-    SELECT 'iso' AS "column", true AS is_date UNION ALL SELECT 'mixed', false UNION ALL SELECT 'nanos', true UNION ALL SELECT 'small', false
-    UNION ALL SELECT 'text', false""")
+    WITH x AS (SELECT strftime(o_orderdate, '%Y-%m-%d') AS iso, o_orderpriority AS word, CASE WHEN o_orderkey % 50 = 0 THEN 'later' ELSE strftime(o_orderdate, '%Y-%m-%d') END AS mixed,
+                 epoch_us(o_orderdate::TIMESTAMP) * 1000 AS nanos, o_orderkey AS small FROM orders),
+      r AS (SELECT 'nanos' AS "column", min(nanos)::DOUBLE AS lo, max(nanos)::DOUBLE AS hi FROM x UNION ALL SELECT 'small', min(small)::DOUBLE, max(small)::DOUBLE FROM x)
+    SELECT 'iso' AS "column", count(*) FILTER (iso IS NOT NULL AND try_strptime(iso, '%Y-%m-%d') IS NULL) = 0 AS is_date FROM x UNION ALL
+    SELECT 'text', count(*) FILTER (word IS NOT NULL AND try_strptime(word, '%Y-%m-%d') IS NULL) = 0 FROM x UNION ALL
+    SELECT 'mixed', count(*) FILTER (mixed IS NOT NULL AND try_strptime(mixed, '%Y-%m-%d') IS NULL) = 0 FROM x UNION ALL
+    SELECT "column", hi - lo > 86400e9 AND lo > 0 FROM r""")
 def is_date_column(t):
     from tablemill.plans.profile import date_like
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tablemill.operators.ordered import positions
+from tablemill.session import stage
 
 
 def blocks_for(rows: int, block_rows: int = 50_000) -> int:
@@ -19,15 +20,18 @@ def blocks_for(rows: int, block_rows: int = 50_000) -> int:
 def product(left: DataFrame, right: DataFrame, block_rows: int = 50_000) -> DataFrame:
     """Every row of ``left`` with every row of ``right``, laid out as a grid of blocks.
 
-    Both sides are counted and dealt into blocks of about ``block_rows`` rows.  A left row visits
-    every right block and the other way round, so each grid cell is an equi-join of two blocks of
-    known size and no cell grows with the tables.
+    Both sides are stored, counted and dealt into blocks of about ``block_rows`` rows, by their place in
+    the stored files, so that equal rows are dealt apart as well.  A left row visits every right block and
+    the other way round, so each grid cell is an equi-join of two blocks of known size and no cell grows
+    with the tables.
     """
+    left, right = stage(left, "product-left"), stage(right, "product-right")
     n_left, n_right = blocks_for(left.count(), block_rows), blocks_for(right.count(), block_rows)
 
     def dealt(df: DataFrame, blocks: int, own: str, other: str, others: int) -> DataFrame:
-        mine = F.pmod(F.xxhash64(*df.columns), F.lit(blocks)).cast("int")
-        return df.withColumn(own, mine).withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(others - 1))))
+        mine = F.pmod(F.xxhash64("__place"), F.lit(blocks)).cast("int")
+        # the place is fixed by the files, a repeated task deals its rows alike
+        return df.withColumn("__place", F.monotonically_increasing_id()).withColumn(own, mine).drop("__place").withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(others - 1))))
 
     a = dealt(left, n_left, "__left", "__right", n_right)
     b = dealt(right, n_right, "__right", "__left", n_left)

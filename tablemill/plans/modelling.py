@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
+from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.classification import (
-    DecisionTreeClassifier, LinearSVC, LogisticRegression, NaiveBayes, RandomForestClassifier)
+    DecisionTreeClassifier, LinearSVC, LinearSVCModel, LogisticRegression, LogisticRegressionModel, NaiveBayes, RandomForestClassifier)
 from pyspark.ml.evaluation import BinaryClassificationEvaluator, MulticlassClassificationEvaluator
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -14,7 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tablemill.operators.nearest import nearest_rows
-from tablemill.operators.ordered import positions
+from tablemill.operators.ordered import RANGE_ROWS, positions
 from tablemill.operators.scaling import _hash32, uniform_of
 from tablemill.plans.prepare import SEPARATOR, q
 from tablemill.session import stage
@@ -125,26 +129,89 @@ def score(model, df: DataFrame) -> DataFrame:
     return scored.withColumn("score", vector_to_array("probability")[1]).withColumn("prediction", F.col("prediction").cast("int"))
 
 
+@dataclass(frozen=True)
+class LinearRule:
+    """Positive where the weighted sum of the features exceeds ``threshold``."""
+
+    weights: tuple[float, ...]
+    intercept: float = 0.0
+    threshold: float = 0.0
+
+    def __call__(self, rows: np.ndarray) -> np.ndarray:
+        return rows @ np.asarray(self.weights) + self.intercept > self.threshold
+
+
+def linear_rule(model) -> LinearRule | None:
+    """The decision of a fitted two-class linear model; None for other kinds."""
+    if isinstance(model, LinearSVCModel):
+        return LinearRule(tuple(model.coefficients.toArray().tolist()), model.intercept, model.getThreshold())
+    if isinstance(model, LogisticRegressionModel) and model.coefficientMatrix.numRows == 1 and 0 < model.getThreshold() < 1:
+        share = model.getThreshold()
+        return LinearRule(tuple(model.coefficients.toArray().tolist()), model.intercept, math.log(share / (1 - share)))
+    return None
+
+
+def _exchanges(rule: LinearRule, width: int):
+    """Arrow batches of (label, x, other) to rows (j, hits, n): one column is exchanged at a time, -1 for none."""
+
+    def counted(batches):
+        hits, n = np.zeros(width + 1, dtype=np.int64), 0
+        for batch in batches:
+            x, other = (batch.column(c).flatten().to_numpy(zero_copy_only=False).reshape(-1, width).copy() for c in ("x", "other"))
+            label = batch.column("label").to_numpy(zero_copy_only=False) == 1
+            n += len(label)
+            hits[0] += (rule(x) == label).sum()
+            for j in range(width):
+                own = x[:, j].copy()
+                x[:, j] = other[:, j]
+                hits[j + 1] += (rule(x) == label).sum()
+                x[:, j] = own
+        yield pa.RecordBatch.from_pydict({"j": np.arange(-1, width, dtype=np.int32), "hits": hits, "n": np.full(width + 1, n, dtype=np.int64)})
+
+    return counted
+
+
+def next_in_turn(base: DataFrame, key: str, seed: int, repeats: int) -> DataFrame:
+    """Every row of (key, label, x) with the ``x`` of its successor, as ``other``, in ``repeats`` orders fixed by hashes.
+
+    The orders are rings: the last row meets the first.  Hashes spread evenly, so equal stretches of them are
+    cells of about equal size; a cell's last row takes the first row of the next cell.  Rows move once a turn.
+    """
+    cells = max(1, -(-base.count() // RANGE_ROWS))
+    turns = F.explode(F.array(*[F.struct(F.lit(r).alias("turn"), _hash32(F.col(key), seed + r).alias("h")) for r in range(repeats)]))
+    dealt = base.withColumn("t", turns).select(
+        key, "label", "x", "t.turn", "t.h", F.floor(F.col("t.h") * cells / 2**32).cast("int").alias("cell"))
+    by_cell = Window.partitionBy("turn").orderBy("cell")
+    whole = by_cell.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    heads = dealt.groupBy("turn", "cell").agg(F.min_by("x", F.struct("h", key)).alias("head"))
+    heads = heads.select("turn", "cell", F.coalesce(F.lead("head").over(by_cell), F.first("head").over(whole)).alias("head"))
+    follows = F.lead("x").over(Window.partitionBy("turn", "cell").orderBy("h", key))
+    return dealt.withColumn("follows", follows).join(heads, ["turn", "cell"]).select(
+        "turn", key, "label", "x", F.coalesce("follows", "head").alias("other"))
+
+
 def permutation_importance(model, df: DataFrame, key: str, features: Sequence[str], seed: int, repeats: int = 5) -> DataFrame:
     """Mean accuracy lost when one feature is taken from another row: feature, weight, falling.
 
-    Rows are matched by their place in key order and in ``repeats`` orders fixed by hashes, one join
-    for all features and orders; the copies with one feature exchanged are scored together.
+    The other row is the next one in ``repeats`` orders fixed by hashes.  ``model`` is a LinearRule or a fitted
+    model.  Linear decisions are made batch by batch, one column exchanged at a time, and a task gives counts
+    only; other models score copies of the rows inside the task.  Equal keys are equal rows of the order;
+    an empty table gives no features.
     """
     base = stage(df.select(key, "label", vector_to_array("features").alias("x")), "importance")
-    placed = positions(base, [F.col(key)], on=key)
-    turns = base.select(key, F.col("x").alias("other"), F.explode(F.array(*[
-        F.struct(F.lit(r).alias("turn"), _hash32(F.col(key), seed + r).alias("h")) for r in range(repeats)])).alias("t"))
-    turns = turns.select(key, "other", "t.turn", "t.h")
-    shuffled = positions(stage(turns, "importance-turns"), [F.col("h"), F.col(key)], on=["h", key], keys=["turn"])
-    matched = placed.join(shuffled.select("pos", "other", "turn"), "pos")
-    swapped = matched.withColumn("j", F.explode(F.sequence(F.lit(-1), F.lit(len(features) - 1)))).withColumn(
-        "features", array_to_vector(F.transform("x", lambda v, i: F.when(i == F.col("j"), F.get("other", i)).otherwise(v))))
-    right = model.transform(swapped.select("j", "label", "features")).groupBy("j").agg(
-        F.avg((F.col("prediction") == F.col("label")).cast("double")).alias("accuracy"))
+    matched = next_in_turn(base, key, seed, repeats).select("label", "x", "other")
+    rule = model if isinstance(model, LinearRule) else linear_rule(model)
+    if rule is not None:
+        counted = matched.mapInArrow(_exchanges(rule, len(features)), "j int, hits long, n long")
+    else:
+        swapped = matched.withColumn("j", F.explode(F.sequence(F.lit(-1), F.lit(len(features) - 1)))).withColumn(
+            "features", array_to_vector(F.transform("x", lambda v, i: F.when(i == F.col("j"), F.get("other", i)).otherwise(v))))
+        counted = model.transform(swapped.select("j", "label", "features")).select(
+            "j", (F.col("prediction") == F.col("label")).cast("long").alias("hits"), F.lit(1).cast("long").alias("n"))
+    right = stage(counted.groupBy("j").agg(F.try_divide(F.sum("hits"), F.sum("n")).alias("accuracy")), "importance-right")
     names = F.element_at(F.array(*[F.lit(f) for f in features]), F.col("j") + 1)
     whole = right.filter("j = -1").select("accuracy").scalar()
-    return right.filter("j >= 0").select(names.alias("feature"), (whole - F.col("accuracy")).alias("weight")).orderBy(F.desc("weight"), "feature")
+    return right.filter("j >= 0 and accuracy is not null").select(names.alias("feature"), (whole - F.col("accuracy")).alias("weight")).orderBy(F.desc("weight"), "feature")
 
 
 def parent_importance(importance: DataFrame, memory: dict[str, list[str]]) -> DataFrame:

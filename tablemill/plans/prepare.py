@@ -447,18 +447,16 @@ def recode_label(df: DataFrame, label: str, positive) -> DataFrame:
 
 def time_columns(df: DataFrame, max_gap_days: int = 365, max_null_share: float = 0.5) -> list[str]:
     """Date columns without a gap above a year and with at most half of the cells missing."""
-    out, dated = [], date_columns(df)
+    dated = date_columns(df)
     shares = _facts(df, {c: F.try_divide(F.count(F.lit(1)) - F.count(q(c)), F.count(F.lit(1))) for c in dated}) if dated else {}
-    for c in dated:
-        share = shares[c] or 0
-        if share > max_null_share:
-            continue
-        days = df.select(F.unix_micros(q(c).cast("timestamp")).alias("at")).filter("at is not null").distinct()
-        days = stage(days, "days")
-        gap = largest_gap(days, "at").first()["max_gap"] or 0
-        if gap <= max_gap_days * 86_400 * 10**6:
-            out.append(c)
-    return out
+    filled = [c for c in dated if (shares[c] or 0) <= max_null_share]
+    if not filled:
+        return []
+    # all columns in one table of moments: one pass, one job
+    moments = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.unix_micros(q(c).cast("timestamp")).alias("at")) for c in filled]))
+    single = stage(df.select(moments.alias("m")).select("m.column", "m.at").filter("at is not null").distinct(), "moments")
+    gaps = {r["column"]: r["max_gap"] or 0 for r in largest_gap(single, "at", ["column"]).collect()}
+    return [c for c in filled if gaps.get(c, 0) <= max_gap_days * 86_400 * 10**6]
 
 
 def feature_columns(df: DataFrame, low: float = 0.05, high: float = 0.95) -> list[str]:

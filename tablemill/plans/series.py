@@ -221,16 +221,26 @@ def control_statistics(series: DataFrame, keys: Sequence[str]) -> DataFrame:
 def trimmed_series(rows: DataFrame, hours: DataFrame, keys: Sequence[str], at: str, value: str, order: str, choice: DataFrame) -> DataFrame:
     """Series at the chosen frequency after dropping the chosen first and last rows.
 
-    ``hours`` are the hourly sums of the rows.  Only the at most 40 rows near the ends are looked at one by one; their sums are taken off
-    the hourly sums.
+    ``hours`` are the hourly sums of the rows.  The hours that hold the dropped rows, ``MAX_TRIM`` at most at
+    each end, follow from their counts; only rows of these hours are ranked, and the sums of those dropped are
+    taken off the hourly sums.  The rows are read once, and not moved where the hours are few.
     """
-    known = rows.filter(F.col(at).isNotNull() & F.col(value).isNotNull()).select(*keys, at, value, order)
-    ends = None
+    known = rows.filter(F.col(at).isNotNull() & F.col(value).isNotNull()).select(
+        *keys, at, value, order, bucket_index(F.col(at), "H").alias("hour"))
+    counts = hours.select(*keys, "hour", "n")
+    wanted = []
     for count, direction in (("drop_first", F.asc), ("drop_last", F.desc)):
-        near = top_per_group(known, keys, [direction(at), direction(order)], MAX_TRIM)
-        near = near.withColumn("__rn", F.row_number().over(Window.partitionBy(*keys).orderBy(direction(at), direction(order))))
-        part = near.join(choice, list(keys)).filter(F.col("__rn") <= F.col(count)).select(*keys, at, value)
-        ends = part if ends is None else ends.unionByName(part)
+        earlier = Window.partitionBy(*keys).orderBy(direction("hour")).rowsBetween(Window.unboundedPreceding, -1)
+        near = top_per_group(counts, keys, [direction("hour")], MAX_TRIM).withColumn("__before", F.coalesce(F.sum("n").over(earlier), F.lit(0)))
+        left = F.col(count) - F.col("__before")
+        wanted.append(near.join(choice, list(keys)).filter(left > 0).select(*keys, "hour", F.lit(count).alias("__end"), left.alias("__left")))
+    # an hour gives its first or last rows, as many as are left to drop when the order comes to it
+    asked = known.join(wanted[0].unionByName(wanted[1]), [*keys, "hour"])
+    first, last = F.col("__end") == "drop_first", F.col("__end") == "drop_last"
+    # one order for both ends: rows of the other end are null in it
+    inwards = [F.when(first, F.col(at)), F.when(first, F.col(order)), F.desc(F.when(last, F.col(at))), F.desc(F.when(last, F.col(order)))]
+    ranked = asked.withColumn("__rn", F.row_number().over(Window.partitionBy(*keys, "hour", "__end").orderBy(*inwards)))
+    ends = ranked.filter((F.col("__rn") <= MAX_TRIM) & (F.col("__rn") <= F.col("__left"))).select(*keys, at, value)
     off = hourly(ends, keys, at, value).withColumnsRenamed({"n": "__n", "total": "__total"})
     left = hours.join(off, [*keys, "hour"], "left").select(
         *keys, "hour", (F.col("n") - F.coalesce("__n", F.lit(0))).alias("n"),

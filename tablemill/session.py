@@ -5,9 +5,12 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import AnalysisException
 from pyspark.sql import SparkSession
 
 _local_scratch: str | None = None
+_tried: set[str] = set()
 
 
 def get_session(app: str = "tablemill", master: str | None = None, **conf: str) -> SparkSession:
@@ -36,7 +39,8 @@ def shared_dir(spark: SparkSession) -> str:
 
     Where the setting is absent, a temporary folder serves one process on one machine.  On a cluster
     it has to be set, and to name its file system: executors would else write to their own disks, and
-    a later read would miss those files without an error.
+    a later read would miss those files without an error.  A ``file:`` folder on a cluster is tried once:
+    what executors write there must be seen by the driver and by the others.
     """
     global _local_scratch
     named = spark.conf.get("spark.checkpoint.dir", None)
@@ -44,12 +48,27 @@ def shared_dir(spark: SparkSession) -> str:
     if not alone and not (named and "://" in named or named and named.startswith("file:")):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share, with the scheme of its file system")
     if named:
+        if not alone and named.startswith("file:") and named not in _tried:
+            _try_folder(spark, named.rstrip("/"))
+            _tried.add(named)
         return named.rstrip("/")
     if _local_scratch is None:
         _local_scratch = tempfile.mkdtemp(prefix="tablemill-")
     return _local_scratch
 
 
+def _try_folder(spark: SparkSession, folder: str) -> None:
+    """Refuse a folder in which some rows that executors write cannot be read back."""
+    path, rows = f"{folder}/tablemill/probe-{uuid.uuid4().hex}", 32
+    try:
+        spark.range(0, rows, 1, rows).write.parquet(path)
+        seen = spark.read.schema("id long").parquet(path).count()
+    except (AnalysisException, Py4JJavaError) as error:
+        raise ValueError(f"spark.checkpoint.dir names {folder}, which executors do not share") from error
+    if seen != rows:
+        raise ValueError(f"spark.checkpoint.dir names {folder}, which executors do not share")
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A fresh path under the shared folder."""
     return f"{shared_dir(spark)}/tablemill/{label}-{uuid.uuid4().hex}"

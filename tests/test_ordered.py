@@ -187,6 +187,12 @@ def test_product(spark, block_rows):
     assert got == [(a, b) for a in range(7) for b in range(10)]
 
 
+def test_product_deals_equal_rows_apart(spark):
+    left, right = spark.range(600).select(F.lit(1).alias("a")), spark.range(2).toDF("b")
+    made = joining.product(left, right, 50)
+    assert made.count() == 1200 and made.distinct().count() == 2
+
+
 def test_latest_versions_rules(spark):
     rows = [("k1", "1", "Actualized"), ("k1", "2", "Planned"), ("k2", "3", "Actualized"), ("k2", "3", "Actualized"), ("k3", None, "Actualized"), (None, "1", "Actualized")]
     df = spark.createDataFrame(rows, "k string, v string, type string")

@@ -1,5 +1,6 @@
 """Preparation, baskets, evaluation, modelling, sources and feeds on small hand-made tables."""
 
+import hashlib
 import itertools
 import random
 import time
@@ -8,7 +9,7 @@ from itertools import combinations
 import numpy as np
 import pandas as pd
 import pytest
-from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.classification import LinearSVC, LogisticRegression
 from pyspark.sql import functions as F
 
 from tablemill.operators.nearest import nearest_rows
@@ -205,6 +206,49 @@ def test_importance_finds_the_feature(learnable):
     assert text[("positive", 1)] == "The strongest predictor is x"
 
 
+@pytest.mark.parametrize("cell_rows", [10**6, 70])
+def test_importance_against_brute_force(spark, monkeypatch, cell_rows):
+    monkeypatch.setattr(md, "RANGE_ROWS", cell_rows)
+    rng = random.Random(4)
+    rows = [(i, *[rng.randint(-4, 4) for _ in range(3)], rng.randint(0, 1)) for i in range(400)]
+    ready = md.assemble(spark.createDataFrame(rows, "id long, a int, b int, c int, y int"), ["a", "b", "c"], "y")
+    weights, start = (1.0, -0.5, 0.0), 0.25
+    got = {r.feature: r.weight for r in md.permutation_importance(md.LinearRule(weights, start), ready, "id", ["a", "b", "c"], seed=5).collect()}
+    order = lambda turn: sorted(rows, key=lambda r: (int(hashlib.md5(f"{r[0]}-{5 + turn}".encode()).hexdigest()[:8], 16), r[0]))
+    hits = dict.fromkeys(range(-1, 3), 0)
+    for ring in map(order, range(5)):
+        for own, other in zip(ring, ring[1:] + ring[:1]):
+            for j in hits:
+                x = [other[1 + i] if i == j else own[1 + i] for i in range(3)]
+                hits[j] += (sum(w * v for w, v in zip(weights, x)) + start > 0) == (own[4] == 1)
+    assert got == {f: pytest.approx((hits[-1] - hits[i]) / 2000) for i, f in enumerate("abc")} and got["c"] == 0
+
+
+def test_linear_rules_decide_as_their_models(learnable):
+    _, ready = learnable
+    x = np.array([r.features.toArray() for r in ready.orderBy("id").collect()])
+    for model in (LogisticRegression(threshold=0.3).fit(ready), LinearSVC(threshold=0.2).fit(ready)):
+        want = [r.prediction == 1 for r in model.transform(ready).orderBy("id").collect()]
+        assert md.linear_rule(model)(x).tolist() == want
+    tree = md.DecisionTreeClassifier(seed=1).fit(ready)
+    assert md.linear_rule(tree) is None
+    assert md.permutation_importance(tree, ready, "id", ["x", "noise"], seed=3).first().feature == "x"
+
+
+def test_importance_of_few_rows(spark):
+    one = md.assemble(spark.createDataFrame([(1, 2.0, 1)], "id long, x double, y int"), ["x"], "y")
+    assert [r.weight for r in md.permutation_importance(md.LinearRule((1.0,)), one, "id", ["x"], seed=1).collect()] == [0.0]
+    assert md.permutation_importance(md.LinearRule((1.0,)), one.limit(0), "id", ["x"], seed=1).collect() == []
+
+
+def test_date_columns_by_their_gaps(spark):
+    days = [F.date_add(F.lit("2020-01-01").cast("date"), F.col("id").cast("int") * step) for step in (1, 300, 400)]
+    df = spark.range(6).select(days[0].alias("near"), days[1].alias("wide"), days[2].alias("gap"),
+                               F.when(F.col("id") < 3, days[0]).alias("half"), F.when(F.col("id") < 2, days[0]).alias("few"))
+    assert prep.time_columns(df) == ["near", "wide", "half"]
+    assert prep.time_columns(df.limit(0)) == ["near", "wide", "gap", "half", "few"] and prep.time_columns(df.select(F.lit(1).alias("n"))) == []
+
+
 def test_search_and_svm(learnable):
     _, ready = learnable
     table, best = md.search_models(ready, "id", folds=2)

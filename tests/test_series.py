@@ -282,3 +282,26 @@ def test_results_appended_by_runs_equal_those_of_one(spark, tables, tmp_path):
         assert sorted(map(repr, one.read(name).collect())) == sorted(map(repr, two.read(name).collect())), name
         assert {r.k for r in two.read(name).select("k").distinct().collect()} <= {r.k for r in pairs.collect()}
     assert two.read("forecast").filter("step > 0").count() > 0 and two.read("trends").count() > 0
+
+
+def test_trimmed_ends_against_brute_force(spark):
+    rng = random.Random(12)
+    base = datetime(2021, 3, 1)
+    # many rows in the first and last hours, equal times, a single row, all rows of a series dropped from both sides of one hour
+    rows = [("hot", base + timedelta(minutes=rng.randint(0, 59)), i, float(rng.randint(1, 9))) for i in range(60)]
+    rows += [("hot", base + timedelta(hours=rng.randint(1, 60)), 100 + i, float(rng.randint(1, 9))) for i in range(80)]
+    rows += [("thin", base + timedelta(hours=2 * i), 300 + i, float(i)) for i in range(30)]
+    rows += [("one hour", base + timedelta(minutes=i // 2), 400 + i, float(i)) for i in range(20)]
+    drops = {"hot": (20, 20), "thin": (3, 7), "one hour": (4, 9)}
+    df = spark.createDataFrame(rows, "k string, at timestamp, id long, v double").withColumn("v", F.col("v").cast("decimal(18,2)"))
+    choice = spark.createDataFrame([(k, "H", *d) for k, d in drops.items()], "k string, period string, drop_first long, drop_last long")
+    series = ts.trimmed_series(df, ts.hourly(df, ["k"], "at", "v"), ["k"], "at", "v", "id", choice)
+    got = {(r.k, r.bucket.replace(tzinfo=None)): r.value for r in series.filter("value is not null").collect()}
+    want = {}
+    for k, (first, last) in drops.items():
+        own = sorted((r[1], r[2], r[3]) for r in rows if r[0] == k)
+        hours = {}
+        for at, _, v in own[first:len(own) - last]:
+            hours.setdefault(at.replace(minute=0), []).append(v)
+        want |= {(k, h): pytest.approx(sum(vs) / len(vs)) for h, vs in hours.items()}
+    assert got == want

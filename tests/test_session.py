@@ -29,6 +29,12 @@ def test_a_named_folder_is_used():
     assert session.shared_dir(Cluster("hdfs://name/dir/")) == "hdfs://name/dir"
 
 
+def test_a_file_folder_is_tried(spark, tmp_path):
+    session._try_folder(spark, f"file://{tmp_path}")
+    with pytest.raises(ValueError, match="do not share"):
+        session._try_folder(spark, "file:///proc/nowhere")
+
+
 def test_first_rows_of_null_and_odd_texts(spark):
     rows = [(1, None, "a"), (2, "\u0001", "a"), (3, "", "a"), (4, "x\u0000y", "z"), (5, "x", "y\u0000z"), (6, None, "a")]
     df = spark.createDataFrame(rows, "id int, t string, u string")
