@@ -2,9 +2,11 @@
 
 Texts that are equal form one class and are compared once.  Each class has a MinHash signature cut
 into bands; the numbers of bands and rows follow from the similarity and the wanted recall.  Classes
-that share a band hash are tied to the bucket's first class, the ties are gathered into candidate
-components, and within a component all pairs are verified on their full n-gram sets, in blocks of
-bounded size and through an inverted index, so that no list of pairs is ever written out.
+that share a band hash are tied to the bucket's first class and the ties are gathered into candidate
+components.  Within a component all pairs are verified on their full n-gram sets.  Where that takes more
+copies of texts than its buckets would, as in long chains, the classes of each bucket are verified instead
+and a pair counts in the first band it shares.  Either way pairs meet in blocks of bounded size and
+through an inverted index, so that no list of pairs is ever written out.
 """
 
 from __future__ import annotations
@@ -13,7 +15,7 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablemill.llm.common import BASE, KIND, Powers
@@ -157,8 +159,13 @@ def linked(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, per_mill
 
 
 def _verify(rows: pd.DataFrame, n: int, per_mille: int) -> pd.DataFrame:
-    """Links within one block, or between two: (cid, root, links) per class that has any."""
+    """Links within one block, or between two: (cid, root, links) per class that has any.
+
+    In a bucket of band number ``no`` links of classes that share an earlier band are left to that band.
+    """
     sets = Shingler(n)(rows["text"])
+    no = rows["no"].iloc[0]
+    earlier = np.stack(rows["bands"].to_numpy())[:, :no] if no > 0 else None
     block = rows["block"].to_numpy()
     same = block.min() == block.max()
     every = np.arange(len(rows))
@@ -172,6 +179,8 @@ def _verify(rows: pd.DataFrame, n: int, per_mille: int) -> pd.DataFrame:
         return i
 
     for i, js in linked(sets, left, right, per_mille):
+        if earlier is not None:
+            js = js[~(earlier[js] == earlier[i]).any(axis=1)]
         links[i] += len(js)
         if not same:
             links[js] += 1
@@ -201,6 +210,37 @@ def _groups(batches, keys: list[str]):
         yield rest
 
 
+def _cells(members: DataFrame) -> DataFrame:
+    """(cid, copy_id, k1, k2, cells, bands): where each class is verified, as (cell, no, blocks, block).
+
+    A cell is a component (no is -1, bands are null) or a bucket of one; whichever copies fewer texts.  A class
+    has one cell for each of its bands at most.
+    """
+    def size(df: DataFrame, *keys: str) -> DataFrame:
+        n = F.count(F.lit(1))
+        blocks = F.greatest(F.ceil(n / BLOCK_ROWS), F.ceil(F.sum("words") / BLOCK_WORDS)).cast("int")
+        return df.groupBy(*keys).agg(n.alias("n"), blocks.alias("blocks"))
+
+    comps = stage(size(members, "comp"), "comps")
+    wide = comps.where("blocks > 1").select("comp", (F.col("n") * F.col("blocks")).alias("whole"))
+    inside = members.join(wide, "comp").select("comp", "cid", "words", F.posexplode("bands").alias("no", "band"))
+    buckets = stage(size(inside, "comp", "no", "band").where("n > 1"), "buckets")
+    spent = buckets.groupBy("comp").agg(F.sum(F.col("n") * F.col("blocks")).alias("apart"))
+    chained = stage(wide.join(spent, "comp").where("apart < whole").select("comp"), "chained")
+
+    def cell(name: str, no: Column) -> Column:
+        block = F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int")
+        return F.struct(F.col(name).alias("cell"), no.cast("int").alias("no"), "blocks", block.alias("block"))
+
+    facts = ["cid", "copy_id", "k1", "k2"]
+    whole = members.join(comps.select("comp", "blocks"), "comp").join(chained, "comp", "left_anti").select(
+        *facts, F.array(cell("comp", F.lit(-1))).alias("cells"), F.lit(None).cast("array<bigint>").alias("bands"))
+    dealt = inside.join(chained, "comp", "left_semi").join(buckets.select("comp", "no", "band", "blocks"), ["comp", "no", "band"])
+    # one entry a band
+    listed = dealt.groupBy("cid").agg(F.collect_list(cell("band", F.col("no"))).alias("cells"))
+    return whole.unionByName(members.select(*facts, "bands").join(listed, "cid"))
+
+
 def _classes(docs: DataFrame, n: int, similarity: float, recall: float) -> tuple[DataFrame, DataFrame]:
     """(doc_id, k1, k2, ...) of every document and (cid, k1, k2, copy_id, n_links, root) of every different text."""
     bands, rows = banding(similarity, recall)
@@ -216,29 +256,27 @@ def _classes(docs: DataFrame, n: int, similarity: float, recall: float) -> tuple
     buckets = banded.groupBy("band").agg(F.min("cid").alias("first"), F.max("cid").alias("last")).where("first < last")
     ties = banded.join(buckets.select("band", "first"), "band").where("cid <> first").select(F.col("cid").alias("a"), F.col("first").alias("b"))
     found = components(ties).withColumnsRenamed({"node": "cid", "root": "comp"})
-    members = classes.drop("bands").join(found, "cid")
-    sizes = members.groupBy("comp").agg(
-        F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS), F.ceil(F.sum("words") / BLOCK_WORDS)).cast("int").alias("blocks")
-    )
-    members = members.join(sizes, "comp").withColumn("block", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int"))
+    members = stage(classes.join(found, "cid"), "members")
+    cells = _cells(members)
     # the text of one document of each class that has candidates
-    wanted = members.select("cid", "comp", "blocks", "block", F.col("copy_id").alias("own_id"), F.col("k1").alias("m1"), F.col("k2").alias("m2"))
+    wanted = cells.select("cid", "cells", F.col("bands").alias("own_bands"), F.col("copy_id").alias("own_id"), F.col("k1").alias("m1"), F.col("k2").alias("m2"))
     keyed = text_keys(docs)
     own = F.col("doc_id").eqNullSafe(F.col("own_id"))
     met = keyed.join(wanted, own & (F.col("k1") == F.col("m1")) & (F.col("k2") == F.col("m2")))
     # a row that repeats comes once, from each task as well
-    texts = met.groupBy("cid", "comp", "block", "blocks").agg(F.first("text").alias("text"))
-    pairs = texts.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
-        "comp", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "cid", "text"
+    texts = met.groupBy("cid").agg(F.first("text").alias("text"), F.first("cells").alias("cells"), F.first("own_bands").alias("bands"))
+    placed = texts.withColumn("c", F.explode("cells")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("c.blocks") - 1)))
+    pairs = placed.select(
+        "c.cell", "c.no", F.least("c.block", "other").alias("low"), F.greatest("c.block", "other").alias("high"), "c.block", "cid", "text", "bands"
     )
     per_mille = round(1000 * similarity)
 
     def verify(batches):
-        for group in _groups(batches, ["comp", "low", "high"]):
+        for group in _groups(batches, ["cell", "no", "low", "high"]):
             if group["low"].iloc[0] == group["high"].iloc[0] or group["block"].nunique() == 2:
                 yield _verify(group, n, per_mille)
 
-    sets = pairs.repartition("comp", "low", "high").sortWithinPartitions("comp", "low", "high", "cid")
+    sets = pairs.repartition("cell", "no", "low", "high").sortWithinPartitions("cell", "no", "low", "high", "cid")
     links = stage(sets.mapInPandas(verify, "cid long, root long, links long"), "links")
     joined = components(links.select(F.col("cid").alias("a"), F.col("root").alias("b"))).withColumnsRenamed({"node": "cid"})
     counted = links.groupBy("cid").agg(F.sum("links").alias("n_links")).join(joined, "cid")

@@ -70,6 +70,28 @@ def test_against_brute_force(docs_of, monkeypatch):
     assert sorted((tuple(r) for r in jaccard.near_duplicates(docs).collect()), key=repr) == want
 
 
+def test_long_chains_are_verified_by_buckets(docs_of, monkeypatch):
+    """Windows that move along one text: each is near a few others, and all hang together."""
+    rng = random.Random(9)
+    words = [f"w{rng.randint(0, 10**6)}" for _ in range(900)]
+    rows = [(i, " ".join(words[3 * i : 3 * i + 60])) for i in range(280)] + [(1000 + i, " ".join(words[3 * i : 3 * i + 60])) for i in range(0, 280, 9)]
+    # and a dense group, which is verified whole
+    rows += [(2000 + i, " ".join([*words[:30], f"end{i}"])) for i in range(40)]
+    want = plain(rows)
+    assert sum(r[3] for r in want) > 700
+    chosen, cells = [], jaccard._cells
+
+    def seen(members):
+        made = cells(members)
+        chosen.extend(r.no for r in made.select(F.explode("cells.no").alias("no")).collect())
+        return made
+
+    monkeypatch.setattr(jaccard, "BLOCK_ROWS", 4)
+    monkeypatch.setattr(jaccard, "_cells", seen)
+    assert sorted((tuple(r) for r in jaccard.near_duplicates(docs_of(rows)).collect()), key=repr) == want
+    assert chosen.count(-1) >= 40 and sum(no > 0 for no in chosen) > 280
+
+
 def test_one_stays_of_each_group(docs_of):
     rows = rows_of()
     docs = docs_of(rows).withColumn("__k1", F.lit(5))
