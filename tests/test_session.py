@@ -35,6 +35,25 @@ def test_a_file_folder_is_tried(spark, tmp_path):
         session._try_folder(spark, "file:///proc/nowhere")
 
 
+class Claiming:
+    """A local session that claims to run on a cluster; ``named`` is its spark.checkpoint.dir."""
+
+    def __init__(self, spark, named):
+        self.spark = spark
+        self.conf = {"spark.checkpoint.dir": named}
+        self.sparkContext = type("Context", (), {"master": "local-cluster[3,4,10240]"})
+
+    def __getattr__(self, name):
+        return getattr(self.spark, name)
+
+
+def test_a_folder_without_a_scheme_is_tried(spark, tmp_path):
+    assert session.shared_dir(Claiming(spark, f"{tmp_path}/")) == str(tmp_path)
+    assert list((tmp_path / "tablemill").glob("probe-*/part-*"))
+    with pytest.raises(ValueError, match="do not share"):
+        session.shared_dir(Claiming(spark, "/proc/nowhere"))
+
+
 def test_first_rows_of_null_and_odd_texts(spark):
     rows = [(1, None, "a"), (2, "\u0001", "a"), (3, "", "a"), (4, "x\u0000y", "z"), (5, "x", "y\u0000z"), (6, None, "a")]
     df = spark.createDataFrame(rows, "id int, t string, u string")
