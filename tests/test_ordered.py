@@ -164,6 +164,15 @@ def test_equal_sums_of_doubles_meet(spark):
     assert [tuple(r) for r in joining.pair_to_goal(df, ["k"], "p", "v", 0.3).collect()] == [(1, 0.1, 0.2)]
 
 
+def test_pair_to_goal_joins_nothing(spark, capsys):
+    rows = [(1, 1, 2), (1, 2, 4), (1, 3, 3), (1, 4, 3), (2, 1, 3), (2, 1, 3), (2, 2, 5), (2, 3, 1), (3, 2, 5), (3, 2, 1), (4, 1, 3), (5, None, 5), (5, 7, 1),
+            (6, 1, None), (6, 2, 6), (None, 9, 0), (None, 8, 6), (7, None, 3), (7, 4, 3)]
+    pairs = joining.pair_to_goal(spark.createDataFrame(rows, "k int, p int, v int"), ["k"], "p", "v", 6)
+    assert sorted((tuple(r) for r in pairs.collect()), key=str) == [(1, 2, 4), (2, 3, 3), (3, 1, 5), (5, 5, 1), (7, 3, 3), (None, 6, 0)]
+    pairs.explain()
+    assert "Join" not in capsys.readouterr().out
+
+
 @pytest.mark.parametrize("nums,goal,want", [([1, 2, 2, 10], 4, (2, 2)), ([4, 2, 10, 5, 1], 6, (4, 2)), ([5, 1, 4, 8, 3, 2], 7, (4, 3)), ([11, 20, 4, 2, 1, 5], 100, None)])
 def test_pair_to_goal_golden(spark, nums, goal, want):
     df = spark.createDataFrame([(1, i, v) for i, v in enumerate(nums)], "g int, pos int, v int")
