@@ -12,6 +12,7 @@ import pytest
 from pyspark.ml.classification import LinearSVC, LogisticRegression
 from pyspark.sql import functions as F
 
+from tablemill.catalog.settlement import changed_settlement
 from tablemill.operators.nearest import nearest_rows
 from tablemill.operators.summary import correlation_matrix
 from tablemill.plans import basket as mb
@@ -349,6 +350,29 @@ def test_allocated_guards(spark):
     assert str(first) == "33.3333330000" or str(first).startswith("33.33333")
 
 
+def test_changes_read_the_transactions_once(spark, capsys):
+    """Choice, sums and latest versions read the stored lines; only the bridge reads the table again."""
+    day = lambda text: f"timestamp_ntz'{text}'"
+    lines = [(10, 5, 2, 1, 4.0, "A", "F", day("2000-07-01")), (10, 5, 2, 1, 6.0, "A", "F", day("1999-07-01")), (20, 5, 2, 1, 4.0, "A", "F", day("1999-07-01")),
+             (30, 5, 2, 1, 4.0, "N", "F", day("2000-07-01")), (40, 5, 2, 1, 8.0, "R", "F", day("1999-07-01"))]
+    orders = [(10, 3, "F", 100.0, day("1999-01-01")), (20, 3, "F", 100.0, day("1999-01-01")), (30, 3, "F", 100.0, day("2000-08-01")), (40, 3, "F", 100.0, day("2000-08-01"))]
+    line = spark.createDataFrame([r[:7] for r in lines], "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_returnflag string, l_linestatus string")
+    dates = lambda rows, at, key: F.expr("CASE " + " ".join(f"WHEN {key(r)} THEN {r[at]}" for r in rows) + " END")
+    tables = type("Rows", (), {
+        "lineitem": line.withColumn("l_shipdate", dates(lines, 7, lambda r: f"l_orderkey = {r[0]} AND l_quantity = {r[4]}")),
+        "orders": spark.createDataFrame([r[:4] for r in orders], "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double").withColumn(
+            "o_orderdate", dates(orders, 4, lambda r: f"o_orderkey = {r[0]}")).withColumn("o_orderpriority", F.lit("1-URGENT")),
+        "customer": spark.createDataFrame([(3, "AUTOMOBILE")], "c_custkey long, c_mktsegment string"),
+        "part": spark.createDataFrame([(5, "TYPE", "name", "Brand")], "p_partkey long, p_type string, p_name string, p_brand string"),
+        "supplier": spark.createDataFrame([(2, "second")], "s_suppkey long, s_name string"),
+        "nation": spark.createDataFrame([(3, "third")], "n_nationkey int, n_name string")})
+    loaded = changed_settlement(tables)
+    rows = sorted((r.contract_number, r.contract_type, r.change_date, r.actualization_dt_id, r.total_quantity_contract_uom, r.product_name) for r in loaded.collect())
+    assert rows == [(10, "SALE", "2000-07-01", 20000701, 10.0, "name"), (40, "PURCHASE", "2000-08-01", 19990702, 8.0, "name")]
+    loaded.select("*").explain()
+    assert capsys.readouterr().out.count("Scan ExistingRDD[l_orderkey") == 1
+
+
 # ---- sources and feeds --------------------------------------------------------------------
 
 def test_jdbc_options():
