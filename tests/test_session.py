@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
 from tablemill import session
 from tablemill.functions import dates
 from tablemill.operators import sorting
@@ -54,6 +55,19 @@ def test_a_folder_without_a_scheme_is_tried(spark, tmp_path):
         session.shared_dir(Claiming(spark, "/proc/nowhere"))
 
 
+QUERIES = entry.queries()
+
+
+@pytest.mark.parametrize("name", [  # one query for each step that stores
+    "a28_tree_totals", "b03_rules", "b06_specific_baskets", "b07_basket_measures", "d12_series_columns", "d13_prepare_table", "j02_product", "j13_rising_pairs",
+    "m02_oversample_minority", "m06_roc_area", "m07_fixed_scorer", "m08_weight_sentences",
+])
+def test_queries_store_in_a_folder_without_a_scheme(spark, sf_dir, tmp_path, monkeypatch, name):
+    monkeypatch.setattr(session, "shared_dir", lambda s, real=session.shared_dir: real(Claiming(s, str(tmp_path))))
+    assert QUERIES[name](spark, sf_dir).count() > 0
+    assert {p.parent.name.split("-")[0] for p in (tmp_path / "tablemill").glob("*/part-*")} > {"probe"}
+
+
 def test_first_rows_of_null_and_odd_texts(spark):
     rows = [(1, None, "a"), (2, "\u0001", "a"), (3, "", "a"), (4, "x\u0000y", "z"), (5, "x", "y\u0000z"), (6, None, "a")]
     df = spark.createDataFrame(rows, "id int, t string, u string")
